@@ -1,8 +1,10 @@
 """The registered queries of this subpackage, and the SQL that answers them where SQL can."""
 
-from tessera.llm import quality_rules
+from tessera.llm import ngram_join, packing, quality_rules
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_packing": packing.op2_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 SQL = {
