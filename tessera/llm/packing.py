@@ -7,22 +7,24 @@ the window; a document that crosses a cut leaves a boundary record, a piece, on
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, table
-from tessera.llm.words import no_nulls, slices
+from tessera.llm.words import bounds, no_nulls, slices
 
 WINDOW, END_ID = 4096, 2
+#: Bytes of text encoded at once.
+SLICE = 3 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -41,28 +43,96 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, each with end_id behind, and the offsets of the texts in them.
+class _Cache:
+    """Ids of the chunks that this worker has met, in one flat array; it starts afresh when it is full."""
+
+    FULL = 250_000
+
+    def __init__(self, path: str, end_id: int):
+        self.tokenizer, self.end_id = _tokenizer(path), end_id
+        self.clear()
+
+    def clear(self):
+        self.place: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, self.end_id, np.uint32)
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where each of the (distinct) chunks is kept; place 0 is the end id."""
+        if len(self.place) > self.FULL:
+            self.clear()
+        if new := [c for c in chunks if c not in self.place]:
+            # Few at a time: an encoding holds much besides its ids.
+            ids = [e.ids for i in range(0, len(new), 2000) for e in self.tokenizer.encode_batch_fast(new[i : i + 2000], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+
+@lru_cache(maxsize=1)
+def _cache(path: str, end_id: int) -> _Cache:
+    return _Cache(path, end_id)
 
-    The vocabulary's pre-tokeniser never joins what white space parts, and drops the white space; so texts are split at
-    ASCII white space and each distinct chunk of the batch is encoded once.
+
+_KIND = np.full(256, 3, np.uint8)  # letters 1, digits 2, white space 0, all else 3
+_KIND[list(range(0x41, 0x5B)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_PLAIN = np.zeros(256, bool)  # ASCII but for the apostrophe, and the bytes of U+00C0 to U+017F
+_PLAIN[list(range(0x80)) + list(range(0x80, 0xC0)) + [0xC3, 0xC4, 0xC5]] = True
+_PLAIN[ord("'")] = False
+_DOWN = np.arange(256, dtype=np.uint8)
+_DOWN[0x41:0x5B] += 32
+
+
+def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut into chunks that the vocabulary encodes one by one as it does all at once, and each text's first chunk.
+
+    Its pre-tokeniser parts white space, letters, digits and the rest, and lower-cases. So cuts are made at ASCII white
+    space, and in words of plain letters, digits and signs between these kinds. Words with an apostrophe or a character
+    outside Latin letters stay whole, as contractions, compositions and other classes of characters may span them.
     """
-    chunks = pc.ascii_split_whitespace(no_nulls(texts))
-    at = chunks.offsets.to_numpy().astype(np.int64)
-    coded = chunks.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-    at -= at[0]
-    distinct = coded.dictionary.to_pylist()
-    ids = [e.ids for e in _tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)] + [[end_id]]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-    begin = np.cumsum(size) - size
-    # Each text's chunks, and then the chunk that is just end_id.
-    which = np.insert(coded.indices.to_numpy().astype(np.int64), at[1:], len(distinct))
-    n = size[which]
+    data, off = bounds(no_nulls(texts))
+    kind = _KIND[data]
+    inside = kind > 0
+    head = inside.copy()
+    head[1:] &= ~inside[:-1]
+    full = off[:-1][off[1:] > off[:-1]]
+    head[full] = inside[full]
+    word = np.cumsum(head)
+    odd = ~_PLAIN[data]
+    if len(data) > 1:
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the two signs among those letters
+        odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)  # lower-cases to a letter and a mark
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))  # may be the name of a special token
+    whole = np.zeros(int(word[-1]) + 1 if len(word) else 1, bool)
+    whole[word[odd & inside]] = True
+    as_is = whole[word] if len(word) else inside
+    kind[as_is & inside] = 1
+    head[1:] |= inside[1:] & (kind[1:] != kind[:-1]) & ~as_is[1:]
+    starts = np.flatnonzero(head)
+    body = np.where(as_is, data, _DOWN[data])[inside]
+    place = np.cumsum(inside) - inside
+    at = np.concatenate([place[starts], [len(body)]]).astype(np.int32)
+    out = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body)))
+    return out, np.searchsorted(starts, off)
+
+
+def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, each with end_id behind, and the offsets of the texts in them."""
+    cut, at = chunks(texts)
+    coded = cut.dictionary_encode()
+    kept = _cache(path, end_id)
+    places = kept.places(coded.dictionary.to_pylist())
+    # Each text's chunks, and then place 0, which is just end_id.
+    which = np.insert(places[coded.indices.to_numpy()] if len(cut) else np.zeros(0, np.int64), at[1:], 0)
+    n = kept.size[which]
     ends = np.cumsum(n)
-    out = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-    last = at[1:] + np.arange(1, len(at))
-    return out, np.concatenate([[0], ends[last - 1]]).astype(np.int64)
+    out = kept.flat[np.repeat(kept.begin[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    last = at[1:] + np.arange(1, len(at)) - 1
+    return out, np.concatenate([[0], ends[last]]).astype(np.int64)
 
 
 def tokenise(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
@@ -73,7 +143,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo, hi in slices(b["text"]):
+            for lo, hi in slices(b["text"], SLICE):
                 ids, off = encode(b["text"].slice(lo, hi - lo), path)
                 n = np.diff(off)
                 body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(off * 4), pa.py_buffer(ids.astype("<u4"))])
