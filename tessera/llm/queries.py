@@ -1,12 +1,18 @@
 """The registered queries of this subpackage, and the SQL that answers them where SQL can."""
 
-from tessera.llm import ngram_join, packing, quality_rules
+from tessera.llm import decontamination, html_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_packing": packing.op2_packing,
+    "op3_html_extraction": html_text.op3_html_extraction,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_warc": warc.op5_warc,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_personal_data": personal_data.op9_personal_data,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 SQL = {
+    "op5_warc": warc.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
