@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL that answers them where SQL can."""
 
-from tessera.llm import decontamination, html_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, warc
+from tessera.llm import decontamination, html_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, substring_dedup, tool_calls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -8,11 +8,14 @@ QUERIES = {
     "op3_html_extraction": html_text.op3_html_extraction,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_warc": warc.op5_warc,
+    "op6_tool_calls": tool_calls.op6_tool_calls,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_personal_data": personal_data.op9_personal_data,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 SQL = {
     "op5_warc": warc.OP5_SQL,
+    "op6_tool_calls": tool_calls.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
