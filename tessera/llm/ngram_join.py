@@ -3,11 +3,15 @@
 Sets are put in bands of equal size. In a band whose largest set has r members, two sets of similarity 0.8 differ in at most
 k = 2r/9 members. The domain of n-gram fingerprints is cut into first-level parts, each of these into second-level parts,
 and a set gets a signature for every subset of second-level parts that leaves ``spare`` of them out. There are more
-first-level parts than k differences can spoil, so similar sets share a signature. A set also signs for the next band if
-a partner may lie there. Signatures are exact filters: no similar pair is missed, and every candidate is verified.
+first-level parts than k differences can spoil, so similar sets share signatures. A set also signs for the next band if a
+partner may lie there.
+
+There are a quarter more parts than sharing one signature takes. So similar sets share many, and how many is known for
+each set: what shares fewer with all others together, or with one other, is dropped without a look at its members. This
+keeps out sets that have a passage in common and little else, however many they are. What is left is verified exactly.
 
 Groups of equal signature are never expanded to all pairs. First each member is verified against one centre of its groups;
-what this proves connected is one component. Only pairs that share a signature across components are then looked at.
+what this proves connected is one component. Only pairs that share enough signatures across components are then looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +33,9 @@ from tessera.llm.words import Words, mix, slices
 WORDS = 5
 #: Bands of up to this many differences have three second-level parts, one of them spared; wider ones a single part.
 FINE_K = 24
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: A signature's row carries the band and the least number of signatures that a similar pair shares there, in one number.
+BAND = 128
 
 
 @lru_cache(maxsize=1)
@@ -45,11 +51,18 @@ def _layout(r: int) -> tuple[int, int, int]:
     """First-level parts, second-level parts of each, and how many of these a subset spares, for sets of at most r members."""
     k = 2 * r // 9
     second, spare = (3, 1) if k <= FINE_K else (1, 0)
-    # Beyond what the pigeonhole needs, so that signatures of empty parts, which all sets share, are hardly ever needed.
-    slack = 2 + int(0.03 * k + 0.4 * k**0.5)
+    slack = 2 + int(0.1 * k if spare else 0.25 * k + 0.4 * k**0.5)
     return k // (spare + 1) + 1 + slack, second, spare
 
 
+def _least_shared(first: int, spare: int, differ: int) -> int:
+    """Signatures that two sets share at least if ``differ`` members spoil parts at will."""
+    if not spare:
+        return first - differ
+    # The first difference in a first-level part costs two of its three subsets, the second the last one.
+    return max(0, 3 * first - 2 * min(differ, first) - max(0, differ - first))
+
+
 def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram fingerprints of each text, sorted within it, and the offsets of the texts.
 
@@ -74,14 +87,14 @@ def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.searchsorted(doc[new], np.arange(w.docs + 1))
 
 
-def signatures(own: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of one sorted array of distinct fingerprints."""
+def signatures(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of one sorted array of distinct fingerprints, and for each its band and least number, as one."""
     s = len(own)
+    out, codes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if not s:
-        return np.zeros(0, np.uint64)
+        return out[0], codes[0]
     bands = _bands()
     band = int(np.searchsorted(bands, s))
-    out = []
     high = own >> np.uint64(32)
     with np.errstate(over="ignore"):
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))])
@@ -93,23 +106,25 @@ def signatures(own: np.ndarray) -> np.ndarray:
             n = first * second
             cut = np.searchsorted((high * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
             part = mix(running[cut[1:]] - running[cut[:-1]] + mix(np.arange(n, dtype=np.uint64) + np.uint64(i << 32)))
-            empty = cut[1:] == cut[:-1]
+            void = cut[1:] == cut[:-1]
             if spare:
-                part, empty = part.reshape(first, second), empty.reshape(first, second)
+                part, void = part.reshape(first, second), void.reshape(first, second)
                 # The subsets that leave out one of the three parts.
-                void = np.stack([empty[:, 1] & empty[:, 2], empty[:, 0] & empty[:, 2], empty[:, 0] & empty[:, 1]], 1)
-                part = np.stack([part[:, 1] + part[:, 2], part[:, 0] + part[:, 2], part[:, 0] + part[:, 1]], 1)
-                bad, void, part = int(void.any(1).sum()), void.ravel(), mix(part.ravel())
-            else:
-                bad, void = int(empty.sum()), empty
+                void = np.stack([void[:, 1] & void[:, 2], void[:, 0] & void[:, 2], void[:, 0] & void[:, 1]], 1).ravel()
+                part = mix(np.stack([part[:, 1] + part[:, 2], part[:, 0] + part[:, 2], part[:, 0] + part[:, 1]], 1).ravel())
+            # No partner in this band differs in more members than this.
             differ = (s + min(r, 5 * s // 4)) // 9
-            # Enough first-level parts hold members for the pigeonhole to work without the empty ones; else they sign too.
-            out.append(part[~void] if first - bad > differ // (spare + 1) else part)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            least = _least_shared(first, spare, differ)
+            # Subsets without members are the same in all sets and aren't signed, unless the rest can't vouch for a match.
+            if least - int(void.sum()) > 0:
+                part, least = part[~void], least - int(void.sum())
+            out.append(part)
+            codes.append(np.full(len(part), -1 - i - BAND * max(least, 1), np.int64))
+    return np.concatenate(out), np.concatenate(codes)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(sig, doc_id, n): one row per signature with n = -1, and one row per document, by the whole set, with n its size."""
+    """(sig, doc_id, n): one row per signature with n < 0, and one row per document, by the whole set, with n its size."""
     schema = T.StructType([T.StructField("sig", T.LongType()), docs.schema["doc_id"], T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +141,12 @@ def _signed(docs: DataFrame) -> DataFrame:
                 alone = (n == 0) | ~known
                 whole[alone] = mix(np.arange(seen, seen + hi - lo, dtype=np.uint64))[alone]
                 seen += hi - lo
-                sigs = [signatures(grams[at[i] : at[i + 1]]) if known[i] else grams[:0] for i in range(hi - lo)]
+                sigs, codes = zip(*[signatures(grams[at[i] : at[i + 1]] if known[i] else grams[:0]) for i in range(hi - lo)], strict=True)
                 size = np.fromiter(map(len, sigs), np.int64, len(sigs))
                 ids = b["doc_id"].slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), ids, pa.array(n)], names=["sig", "doc_id", "n"])
-                flat = np.concatenate([*sigs, np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids.take(pa.array(np.repeat(np.arange(hi - lo), size))), pa.array(np.full(len(flat), -1, np.int64))], names=["sig", "doc_id", "n"])
+                flat = np.concatenate(sigs)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids.take(pa.array(np.repeat(np.arange(hi - lo), size))), pa.array(np.concatenate(codes))], names=["sig", "doc_id", "n"])
 
     return docs.mapInArrow(run, schema)
 
@@ -159,6 +174,16 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where((100 * small >= 80 * large) & (100 * both >= 80 * (small + large - both))).select("a", "b").distinct()
 
 
+def _code() -> Column:
+    return -1 - F.col("n")
+
+
+def _enough(rows: DataFrame) -> DataFrame:
+    """The rows (sig, doc_id, n, ...) of documents that share as many signatures in a band as one partner there would bring."""
+    counts = rows.groupBy("doc_id", "n").count().where(F.col("count") >= F.floor(_code() / BAND)).select("doc_id", "n")
+    return rows.join(counts, ["doc_id", "n"], "left_semi")
+
+
 def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs.
 
@@ -171,34 +196,35 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     shared = _signed(docs).withColumn("centre", F.min("doc_id").over(group)).withColumn("far", F.max("doc_id").over(group))
     shared = scratch.write(shared.where((F.col("n") >= 0) | (F.col("centre") != F.col("far"))).drop("far"))
     equal = shared.where("n > 0 and doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-    near = shared.where("n < 0").select("sig", "doc_id", "centre")
-    candidates = near.select("doc_id").distinct()
+    near = scratch.write(_enough(shared.where("n < 0")))
+    # The written list of ids is small enough to be sent to the texts, or its size tells Spark that it isn't.
+    candidates = scratch.write(near.select("doc_id").distinct())
     sets = scratch.write(_sets(docs.join(candidates, "doc_id", "left_semi")))
-    # Round one: every member against the centre that most of its signatures name.
+    labels = components(equal, scratch)
     pairs = near.where("doc_id <> centre").groupBy("doc_id", "centre").count().groupBy(F.col("doc_id").alias("a")).agg(F.max_by("centre", "count").alias("b"))
     pairs = pairs.join(equal, ["a", "b"], "left_anti")
-    labels = components(equal.union(verify(pairs, sets)), scratch)
     for i in range(STAR_ROUNDS + 1):
-        # Groups that still hold several components, one row for each of their members.
-        own = near.select("sig", "doc_id").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_ = own.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-        own = scratch.write(own.join(open_, "sig"))
-        if own.isEmpty():
-            break
-        if i < STAR_ROUNDS:
-            # A member of each group as its centre, another one each round, for those of other components.
-            rank = F.xxhash64("doc_id", F.lit(i))
-            centres = own.groupBy("sig").agg(F.min_by("doc_id", rank).alias("b"), F.min_by("component", rank).alias("of"))
-            pairs = own.join(centres, "sig").where("component <> of").groupBy(F.col("doc_id").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", "count").alias("b"))
-        else:
-            # What is left: every pair that shares a signature across components.
-            other = own.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("of"))
-            pairs = own.join(other, "sig").where("component < of").select(F.col("doc_id").alias("a"), "b").distinct()
         found = scratch.write(verify(pairs, sets))
-        scratch.drop(own)
         if not found.isEmpty():
             labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), scratch)
-        near = near.join(open_, "sig", "left_semi") if i == 0 else near
+        if i == STAR_ROUNDS:
+            break
+        # Groups that still hold several components, and in them the documents that can have a partner in another one.
+        own = near.select("sig", "doc_id", "n").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = own.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+        near = scratch.write(_enough(own.join(several, "sig", "left_semi")))
+        if near.isEmpty():
+            break
+        if i < STAR_ROUNDS - 1:
+            # Another member of each group as its centre, for those of other components.
+            rank = F.xxhash64("doc_id", F.lit(i))
+            centres = near.groupBy("sig").agg(F.min_by("doc_id", rank).alias("b"), F.min_by("component", rank).alias("of"))
+            pairs = near.join(centres, "sig").where("component <> of").groupBy(F.col("doc_id").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", "count").alias("b"))
+        else:
+            # Every pair that shares signatures enough across components.
+            other = near.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))
+            both = near.join(other, "sig").where("component < of").groupBy(F.col("doc_id").alias("a"), "b", "n", "m").count()
+            pairs = both.where((F.col("count") >= F.floor(_code() / BAND)) & (F.col("count") >= F.floor((-1 - F.col("m")) / BAND))).select("a", "b").distinct()
     out = shared.where("n >= 0").select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
