@@ -93,8 +93,8 @@ def _context(text: Column, start: Column) -> Column:
     return F.filter(F.array(F.when(n >= 1, F.element_at(words, -1)), F.when(n >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))), lambda p: p.isNotNull())
 
 
-def find(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """docs with pii_base and pii_id, arrays of (kind, start, end, value) in order of kind and start.
+def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs, with or without their texts, with pii_base and pii_id, arrays of (kind, start, end, value) in order of kind and start.
 
     Null and empty texts hold nothing. Repeated rows each get their spans. Columns named pii_base or pii_id are replaced, and
     all others are left as they are. An empty table stays one. What is learnt is learnt from all documents: the graph has a
@@ -102,10 +102,11 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame
     """
     text = F.col(f"`{text_col}`").cast("string")
     columns = [c for c in docs.columns if c not in ("pii_base", "pii_id", "__row", "__seen")]
+    kept = [c for c in columns if keep_text or c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias("pii_base"), _candidates(text).alias("__found"))
     seen = F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
         _context(text, x["start"]).alias("patterns"), F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("seed")))
-    rows = scratch.write(rows.withColumn("__seen", seen).withColumn("__row", F.monotonically_increasing_id()).drop("__found"))
+    rows = scratch.write(rows.withColumn("__seen", seen).withColumn("__row", F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in kept], "pii_base", "__seen", "__row"))
     strings = rows.where(F.size("__seen") > 0).select("__row", F.explode("__seen").alias("s")).select("__row", "s.*")
     pairs = strings.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     pairs = scratch.write(pairs)
@@ -122,7 +123,7 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame
     new = strings.where(~F.col("seed")).join(taken, "value", "left_semi")
     new = new.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return rows.join(new, "__row", "left").select(*[F.col(f"`{c}`") for c in columns], "pii_base", F.coalesce("pii_id", none).alias("pii_id"))
+    return rows.join(new, "__row", "left").select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.coalesce("pii_id", none).alias("pii_id"))
 
 
 def redact(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
@@ -153,7 +154,7 @@ def _count(kind: str) -> Column:
 
 def op9_personal_data(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "personal-data")
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch, keep_text=False)
     counts = [_count(k).alias(f"n_{k}") for k in KINDS]
     return scratch.keep(found.select(
         "doc_id", *counts, F.sha2(_join(F.col("pii_base")), 256).alias("base_sha256"),
