@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts come to Python a few megabytes at a time, not Arrow's default of ten thousand rows, unless the user chose a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -40,6 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _small_batches(spark)
         self._done = weakref.finalize(self, _delete, spark, self.path)
         self._done.atexit = False
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.quality_rules import MEASURES, _repeats, measure
-from tessera.llm.words import Words, no_nulls, slices
+from tessera.llm.words import Words, bounds, no_nulls, slices
 
 COSINES, WIDTH, RIDGE, SEED, BINS = 256, 2.0, 1e-3, 20240101, 1000
 FOLDS, THRESHOLD = 5, 0.3
@@ -34,11 +34,12 @@ _STOP[list(b".,;:!?")] = True
 def features(texts: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text; all are bounded or logarithms, and 0 where they would be 0 / 0."""
     texts = no_nulls(texts)
-    m = {name: measure(texts).field(i).to_numpy().astype(float) for i, name in enumerate(MEASURES)} if len(texts) else {}
+    measured = measure(texts)
+    m = {name: measured.field(i).to_numpy().astype(float) for i, name in enumerate(MEASURES)}
     rest = []
     for a, b in slices(texts):
         w = Words(texts.slice(a, b - a), lower=True)
-        raw = np.frombuffer(b"".join(x.as_py().encode() for x in texts.slice(a, b - a)), np.uint8)
+        raw = bounds(texts.slice(a, b - a))[0]
         n = np.maximum(np.diff(w.at), 1)
         per = lambda mask, w=w: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.off])
         _, later = _repeats(w.hash, w.doc)

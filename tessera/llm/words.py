@@ -17,7 +17,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text that are worked on at once; a longer document is a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
