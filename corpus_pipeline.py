@@ -1,10 +1,16 @@
-"""A corpus pipeline of five stages, each over all that the one before it kept."""
+"""A corpus pipeline of five stages, each over all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. The last
+returns the packed pieces. The tokeniser puts the pipeline beyond SQL, so ``ORACLE_SQL`` is None and the tests compare it
+with a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import decontamination, ngram_join, packing, personal_data, quality_rules
 from tessera.llm.common import Scratch, table
 
 
@@ -13,16 +19,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of 0.8 Jaccard similarity or more connect, the one of the smallest id stays."""
+    scratch = Scratch(spark, "near-duplicates")
+    gone = ngram_join.link(docs, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return scratch.keep(docs.join(scratch.write(gone), F.col("doc_id") == F.col("__gone"), "left_anti"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one within its error budget, go."""
+    scratch = Scratch(spark, "decontamination")
+    return scratch.keep(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), scratch))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind, and n_chars counts the new text."""
+    scratch = Scratch(spark, "redaction")
+    clean = personal_data.redact(docs, scratch)
+    counted = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    return scratch.keep(counted)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, cut into sequences of 4096."""
+    scratch = Scratch(spark, "packing")
+    return scratch.keep(packing.pack(docs, scratch))
+
+
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("personal_data", redact), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's result written to the shared folder and read again."""
+    """The stages in order over ``documents``, each one's result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.write(docs)
-    return scratch.keep(docs)
+            if i:
+                scratch.drop(last)
+    docs._stages = scratch
+    return docs
