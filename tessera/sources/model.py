@@ -58,3 +58,50 @@ FROM (SELECT o_orderkey AS decision_id, o_custkey AS patient_id, r_name AS site,
       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) o
       JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) d)"""
 EXPOSURE_CTE = "exposure AS (SELECT DISTINCT l_orderkey AS decision_id, p_brand AS candidate FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+SCORED_CTE = """scored AS (SELECT l_orderkey AS decision_id, p_brand AS candidate, ROUND(SUM(l_quantity * (1 - l_discount)) / 100.0 - 0.25, 6) AS score,
+  ROUND(AVG(l_tax) * 10.0 + 0.02, 6) AS propensity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+counted AS (SELECT candidate, COUNT(*) AS exposed FROM scored GROUP BY 1)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long (decision_id, candidate, score, propensity): what an emulation would hand to the gate, derived from the lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("decision_id"), F.col("p_brand").alias("candidate")).agg(
+        F.round(F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))) / 100.0 - 0.25, 6).alias("score"), F.round(F.avg("l_tax") * 10.0 + 0.02, 6).alias("propensity")
+    )
+
+
+RATED_CTE = "rated AS (SELECT doc_id, quality AS outcome, ROUND(n_chars / (n_chars + 1500.0), 4) AS p, ROUND(LEAST(0.99, n_chars / 4000.0), 4) AS p2 FROM documents JOIN labels USING (doc_id))"
+
+
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, outcome, p, p2): labelled documents with two predicted probabilities."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return d.select("doc_id", F.col("quality").alias("outcome"), F.round(F.col("n_chars") / (F.col("n_chars") + 1500.0), 4).alias("p"), F.round(F.least(F.lit(0.99), F.col("n_chars") / 4000.0), 4).alias("p2"))
+
+
+EDGE_CTE = """edge AS (
+  SELECT DISTINCT 'candidate:' || p_brand AS head, 'has_type' AS relation, 'pathway:' || p_type AS tail FROM part
+  UNION ALL SELECT DISTINCT 'candidate:' || p_brand, 'has_size', 'target:' || CAST(p_size % 10 AS VARCHAR) FROM part
+  UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR), 'located_in', 'nation:' || n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'nation:' || n_name, 'part_of', 'region:' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT DISTINCT 'supplier:' || CAST(l_suppkey AS VARCHAR), 'supplies', 'candidate:' || p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(head, relation, tail): a typed graph over brands, types, sizes, suppliers, nations and regions."""
+    part, supplier, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    region, lines = table(spark, sf_dir, "region"), table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string"))
+    col = F.col
+    rows = lambda df, h, r, t: df.select(h.alias("head"), F.lit(r).alias("relation"), t.alias("tail"))
+    brand = node("candidate", col("p_brand"))
+    return (
+        rows(part, brand, "has_type", node("pathway", col("p_type"))).distinct()
+        .union(rows(part, brand, "has_size", node("target", col("p_size") % 10)).distinct())
+        .union(rows(supplier.join(nation, col("s_nationkey") == col("n_nationkey")), node("supplier", col("s_suppkey")), "located_in", node("nation", col("n_name"))))
+        .union(rows(nation.join(region, col("n_regionkey") == col("r_regionkey")), node("nation", col("n_name")), "part_of", node("region", col("r_name"))))
+        .union(rows(lines.join(part, col("l_partkey") == col("p_partkey")), node("supplier", col("l_suppkey")), "supplies", brand).distinct())
+    )
