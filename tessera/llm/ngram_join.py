@@ -184,6 +184,30 @@ def _enough(rows: DataFrame) -> DataFrame:
     return rows.join(counts, ["doc_id", "n"], "left_semi")
 
 
+def _left_over(near: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of near (doc_id, sig, n, component) across components that can be similar, for exact verification.
+
+    A set's overlap with any other is at most the number of its members that are not its alone. Two sets of sizes x and y
+    need an overlap of 4/9 (x + y); so this number bounds the size of a partner from above. Copies that are too far from
+    their group's centre mostly differ by members of their own, and so go here one by one, before any pair is formed.
+    """
+    members = near.select("doc_id").distinct()
+    own = sets.join(members, "doc_id", "left_semi").select("doc_id", F.explode("grams").alias("g"))
+    alone = own.groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    most = members.join(sizes, "doc_id").join(alone, "doc_id", "left")
+    most = most.select("doc_id", "size", F.floor((F.col("size") - F.coalesce("alone", F.lit(0))) * 9 / 4 - F.col("size")).alias("largest"))
+    near = near.join(most, "doc_id")
+    # A group counts for a document if it has one small enough in it, and counts at all if it has several components.
+    group = near.groupBy("sig").agg(F.min("size").alias("smallest"))
+    near = near.join(group, "sig").where("largest >= smallest").drop("smallest")
+    several = near.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+    near = scratch.write(_enough(near.join(several, "sig", "left_semi")))
+    other = near.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"))
+    can = (F.col("component") < F.col("of")) & (F.col("size") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest"))
+    both = near.join(other, (near["sig"] == other["sig"]) & can).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").count()
+    return both.where((F.col("count") >= F.floor(_code() / BAND)) & (F.col("count") >= F.floor((-1 - F.col("m")) / BAND))).select("a", "b").distinct()
+
+
 def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs.
 
@@ -221,10 +245,7 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
             centres = near.groupBy("sig").agg(F.min_by("doc_id", rank).alias("b"), F.min_by("component", rank).alias("of"))
             pairs = near.join(centres, "sig").where("component <> of").groupBy(F.col("doc_id").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", "count").alias("b"))
         else:
-            # Every pair that shares signatures enough across components.
-            other = near.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))
-            both = near.join(other, "sig").where("component < of").groupBy(F.col("doc_id").alias("a"), "b", "n", "m").count()
-            pairs = both.where((F.col("count") >= F.floor(_code() / BAND)) & (F.col("count") >= F.floor((-1 - F.col("m")) / BAND))).select("a", "b").distinct()
+            pairs = _left_over(near, sets, shared.where("n > 0").select("doc_id", F.col("n").alias("size")).distinct(), scratch)
     out = shared.where("n >= 0").select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
