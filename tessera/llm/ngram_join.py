@@ -202,10 +202,17 @@ def _left_over(near: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scra
     near = near.join(group, "sig").where("largest >= smallest").drop("smallest")
     several = near.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     near = scratch.write(_enough(near.join(several, "sig", "left_semi")))
-    other = near.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"))
+    # Of the documents that are left, the members by how rare they are among them. If two sets are similar, their first
+    # common member comes early enough in both for what follows to reach the overlap: members further on needn't be met.
+    kept = near.select("doc_id", "size", "component").distinct()
+    ranked = sets.join(kept.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("grams").alias("g")).withColumn("df", F.count("*").over(Window.partitionBy("g")))
+    ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))).where("df > 1")
+    early = ranked.join(kept, "doc_id").withColumn("largest", F.floor((F.col("size") - F.col("pos") + 1) * 9 / 4 - F.col("size"))).where("10 * largest >= 8 * size")
+    several = early.groupBy("g").agg(F.min("size").alias("smallest"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g", "smallest")
+    early = scratch.write(early.join(several, "g").where("largest >= smallest").select("g", "doc_id", "component", "size", "largest"))
+    other = early.select("g", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"))
     can = (F.col("component") < F.col("of")) & (F.col("size") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest"))
-    both = near.join(other, (near["sig"] == other["sig"]) & can).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").count()
-    return both.where((F.col("count") >= F.floor(_code() / BAND)) & (F.col("count") >= F.floor((-1 - F.col("m")) / BAND))).select("a", "b").distinct()
+    return early.join(other, (early["g"] == other["g"]) & can).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
