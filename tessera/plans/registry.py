@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import survival
+from tessera.plans import clones, cohort, discrimination, estimation, graph, ranking, survival
 
-FLAGSHIP = survival.km_by_line
-QUERIES = {**survival.QUERIES}
-SQL = {**survival.SQL}
+_MODULES = (survival, cohort, graph, clones, ranking, discrimination, estimation)
+FLAGSHIP = estimation.emulation_table
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
