@@ -121,8 +121,8 @@ SQL = {
     "concordance_index": f"""WITH {DECISION_CTE}, d AS (SELECT site, line, CAST(ROUND(follow_up_months * 4) AS INTEGER) AS t, CAST(FLOOR((c_acctbal + 1000.0) / 110.0) AS INTEGER) AS s, event FROM decision),
 n AS (SELECT site, line, t, s, COUNT(*) AS n, COUNT(*) FILTER (event) AS e FROM d GROUP BY ALL)
 SELECT a.site, a.line, CAST(SUM(a.e * b.n) AS BIGINT) AS pairs, ROUND(SUM(a.e * b.n * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / SUM(a.e * b.n), 6) AS c_index FROM n a JOIN n b ON a.site = b.site AND a.line = b.line AND b.t > a.t WHERE a.e > 0 GROUP BY 1, 2""",
-    "auprc": f"""{_D}, c AS (SELECT CAST(SUM(outcome) OVER w AS DOUBLE) AS tp, row_number() OVER (ORDER BY p DESC, doc_id) AS at, SUM(outcome) OVER () AS total FROM rated WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)),
-x AS (SELECT at, tp / at AS prec, tp / total AS rec FROM c) SELECT ROUND(SUM(s), 6) AS auprc FROM (SELECT (rec - COALESCE(lag(rec) OVER (ORDER BY at), 0.0)) * (prec + COALESCE(lag(prec) OVER (ORDER BY at), 1.0)) / 2.0 AS s FROM x)""",
+    "auprc": f"""{_D}, c AS (SELECT CAST(SUM(outcome) OVER w AS DOUBLE) AS tp, row_number() OVER (ORDER BY p DESC, doc_id) AS place, SUM(outcome) OVER () AS total FROM rated WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT place, tp / place AS prec, tp / total AS rec FROM c) SELECT ROUND(SUM(s), 6) AS auprc FROM (SELECT (rec - COALESCE(lag(rec) OVER (ORDER BY place), 0.0)) * (prec + COALESCE(lag(prec) OVER (ORDER BY place), 1.0)) / 2.0 AS s FROM x)""",
     "net_benefit": f"""{_D}, a AS (SELECT CAST(t AS DOUBLE) AS t, COUNT(*) AS n, SUM(outcome) AS pos, COUNT(*) FILTER (outcome = 1 AND p >= t) AS tp, COUNT(*) FILTER (outcome = 0 AND p >= t) AS fp FROM rated, (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7]) AS t) GROUP BY t)
 SELECT t AS threshold, ROUND((tp - fp * (t / (1 - t))) / n, 6) AS net_benefit, ROUND((tp - fp * (t / (1 - t))) / n - GREATEST(0.0, (pos - (n - pos) * (t / (1 - t))) / n), 6) AS advantage FROM a""",
     "nri": f"""{_D} SELECT ROUND(CAST(COUNT(*) FILTER (outcome = 1 AND p2 >= 0.5 AND p < 0.5) - COUNT(*) FILTER (outcome = 1 AND p2 < 0.5 AND p >= 0.5) AS DOUBLE) / GREATEST(1, COUNT(*) FILTER (outcome = 1))
