@@ -22,14 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of 0.8 Jaccard similarity or more connect, the one of the smallest id stays."""
     scratch = Scratch(spark, "near-duplicates")
-    gone = ngram_join.link(docs, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return scratch.keep(docs.join(scratch.write(gone), F.col("doc_id") == F.col("__gone"), "left_anti"))
+    gone = scratch.write(ngram_join.link(docs, scratch).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or one within its error budget, go."""
     scratch = Scratch(spark, "decontamination")
-    return scratch.keep(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), scratch))
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), scratch)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "redaction")
     clean = personal_data.redact(docs, scratch)
     counted = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
-    return scratch.keep(counted)
+    return counted
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, cut into sequences of 4096."""
     scratch = Scratch(spark, "packing")
-    return scratch.keep(packing.pack(docs, scratch))
+    return packing.pack(docs, scratch)
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("personal_data", redact), ("packing", pack)]
@@ -55,10 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        last, docs = docs, stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.write(docs)
-            if i:
-                scratch.drop(last)
-    docs._stages = scratch
     return docs

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share, with its scheme; a local one only where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub(r"^file:/+", "file:///", whole)
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -41,30 +43,43 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder, so that what follows survives the loss of executors.
 
-    The folder is deleted when the last frame that was handed to :meth:`keep` is collected.
+    A table is deleted once no frame that reads it is left, here or in the JVM; that is looked up whenever another is written.
     """
 
+    #: Of each table that was written: a weak reference to what its readers hold, the session, and the paths.
+    _written: list[tuple] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         _small_batches(spark)
-        self._done = weakref.finalize(self, _delete, spark, self.path)
-        self._done.atexit = False
+        self._sweep()
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Write df and read it again: a cut of the lineage."""
+    def write(self, df: DataFrame, codec: str = "zstd", with_folder: str | None = None) -> DataFrame:
+        """Write df and read it again: a cut of the lineage. Files of with_folder, which its rows name, go when it goes."""
         self._n += 1
         at = f"{self.path}/{self._n}"
         df.write.option("compression", codec).parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._scratch_path = at
+        files = back._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+        Scratch._written.append((self.spark.sparkContext._jvm.java.lang.ref.WeakReference(files), self.spark, [at, *filter(None, [with_folder])]))
+        self._sweep()
         return back
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table that :meth:`write` returned and nothing reads any more."""
+        """Delete a table that :meth:`write` returned and nothing will read again."""
         _delete(self.spark, df._scratch_path)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Tie the folder's life to that of df, which reads it."""
-        df._scratch = self
-        return df
+    def _sweep(self) -> None:
+        left = []
+        for ref, spark, paths in Scratch._written:
+            try:
+                if ref.get() is None:
+                    for at in paths:
+                        _delete(spark, at)
+                    continue
+            except Exception:  # of a session that has ended
+                continue
+            left.append((ref, spark, paths))
+        Scratch._written[:] = left

@@ -147,8 +147,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id has no match. Rows of a null id are kept."""
-    found = scratch.write(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__found")).distinct())
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("__found"), "left_anti")
+    found = scratch.write(contaminated(docs, items, id_col, text_col).select("doc_id").distinct())
+    return docs.join(found, docs[f"`{id_col}`"] == found["doc_id"], "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

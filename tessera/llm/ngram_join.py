@@ -259,4 +259,4 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
-    return scratch.keep(link(table(spark, sf_dir, "documents"), scratch))
+    return link(table(spark, sf_dir, "documents"), scratch)

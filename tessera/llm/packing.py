@@ -184,4 +184,4 @@ def pack(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "packing")
-    return scratch.keep(pack(table(spark, sf_dir, "documents"), scratch).drop("ids"))
+    return pack(table(spark, sf_dir, "documents"), scratch).drop("ids")

@@ -93,6 +93,14 @@ def _context(text: Column, start: Column) -> Column:
     return F.filter(F.array(F.when(n >= 1, F.element_at(words, -1)), F.when(n >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))), lambda p: p.isNotNull())
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that no column has."""
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs, with or without their texts, with pii_base and pii_id, arrays of (kind, start, end, value) in order of kind and start.
 
@@ -101,13 +109,15 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: b
     row for each distinct pair of pattern and string, summed before it is shuffled.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    columns = [c for c in docs.columns if c not in ("pii_base", "pii_id", "__row", "__seen")]
+    columns = [c for c in docs.columns if c not in ("pii_base", "pii_id")]
+    row, own, found = (_free(n, docs.columns) for n in ("row", "seen", "found"))
     kept = [c for c in columns if keep_text or c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias("pii_base"), _candidates(text).alias("__found"))
-    seen = F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
-        _context(text, x["start"]).alias("patterns"), F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("seed")))
-    rows = scratch.write(rows.withColumn("__seen", seen).withColumn("__row", F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in kept], "pii_base", "__seen", "__row"))
-    strings = rows.where(F.size("__seen") > 0).select("__row", F.explode("__seen").alias("s")).select("__row", "s.*")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias("pii_base"), _candidates(text).alias(found))
+    entry = lambda seed: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(text, x["start"]).alias("patterns"), F.lit(seed).alias("seed"))
+    others = F.filter(found, lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    seen = F.concat(F.transform("pii_base", entry(True)), F.transform(others, entry(False)))
+    rows = scratch.write(rows.withColumn(own, seen).withColumn(row, F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in kept], "pii_base", own, row))
+    strings = rows.where(F.size(own) > 0).select(F.col(row).alias("row"), F.explode(own).alias("s")).select("row", "s.*")
     pairs = strings.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     pairs = scratch.write(pairs)
     score = None
@@ -121,9 +131,10 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: b
         score = scratch.write(pairs.where(~F.col("seed")).join(patterns, "pattern").groupBy("value").agg((1 - wrong).alias("score")))
     taken = score.where(F.col("score") >= TAKEN).select("value")
     new = strings.where(~F.col("seed")).join(taken, "value", "left_semi")
-    new = new.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id"))
+    new = new.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return rows.join(new, "__row", "left").select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.coalesce("pii_id", none).alias("pii_id"))
+    out = rows.join(new.withColumnsRenamed({"of": (of := _free("of", rows.columns)), "pii_id": (ids := _free("ids", rows.columns))}), F.col(row) == F.col(of), "left")
+    return out.select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.coalesce(ids, none).alias("pii_id"))
 
 
 def redact(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
@@ -156,7 +167,7 @@ def op9_personal_data(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "personal-data")
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch, keep_text=False)
     counts = [_count(k).alias(f"n_{k}") for k in KINDS]
-    return scratch.keep(found.select(
+    return found.select(
         "doc_id", *counts, F.sha2(_join(F.col("pii_base")), 256).alias("base_sha256"),
         _join(F.concat("pii_base", "pii_id")).alias("spans"), F.size("pii_id").cast("bigint").alias("n_id"),
-    ))
+    )

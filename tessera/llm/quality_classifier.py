@@ -172,4 +172,4 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, label_col: str =
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality-classifier")
-    return scratch.keep(score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch)

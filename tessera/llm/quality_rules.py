@@ -129,6 +129,8 @@ def verdict(failed_bits: Column, policy: str = CURRENT) -> Column:
 def apply_policy(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of docs that the policy keeps, with the columns of docs."""
     own = "__quality_ledger"
+    while own in docs.columns:
+        own += "_"
     return ledger(docs, text_col, own).where(verdict(F.col(own)["failed_bits"], policy)).drop(own)
 
 

@@ -116,8 +116,8 @@ def _settle(rows: DataFrame) -> DataFrame:
 
 def _with_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
     """The open anchors (rank, doc, place, low, high) with the bytes that their windows span."""
-    lists = open_.groupBy("doc").agg(F.collect_list(F.struct("rank", "place", "low", "high")).alias("anchors"))
-    joined = docs.select("doc", "text").join(lists, "doc")
+    lists = open_.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("rank", "place", "low", "high")).alias("anchors"))
+    joined = docs.select("doc", "text").join(lists, F.col("doc").eqNullSafe(F.col("of"))).drop("of")
     schema = T.StructType([f for f in open_.schema if f.name in ("rank", "doc", "place", "low", "high")] + [T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +184,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _cut(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     """docs (doc, doc_id, text) with what is left of them: n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept."""
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(lists, "doc", "left").select("doc_id", "text", "spans")
+    lists = spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = docs.join(lists, F.col("doc").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "spans")
     more = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text
     schema = T.StructType([docs.schema["doc_id"], *more])
 
@@ -235,4 +235,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "suffix-dedup")
-    return scratch.keep(remove_repeats(table(spark, sf_dir, "documents"), scratch))
+    return remove_repeats(table(spark, sf_dir, "documents"), scratch)

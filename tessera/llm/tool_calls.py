@@ -161,7 +161,7 @@ def op6_tool_calls(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tool-calls")
     schemas = spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "n_chars", "integer", True)], "name string, param string, type string, required boolean")
     out = link(as_tool_log(table(spark, sf_dir, "conversations")), schemas, scratch)
-    return scratch.keep(out.select("conv_id", "turn", F.col("part").cast("bigint").alias("part"), "role", "kind", "call_id", "linked_turn", "status", "problems", "order_turn", "order_level", "json"))
+    return out.select("conv_id", "turn", F.col("part").cast("bigint").alias("part"), "role", "kind", "call_id", "linked_turn", "status", "problems", "order_turn", "order_level", "json")
 
 
 OP6_SQL = """

@@ -214,8 +214,8 @@ def archive(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col
     its header and never is the smallest, unless all are null: then each is a response. Other columns are ignored. An
     empty table gives no archives.
     """
-    written = scratch.write(write_archives(classify(pages, id_col, url_col, html_col), f"{scratch.path}/whole"))
-    return scratch.write(normalise(written, f"{scratch.path}/members"))
+    written = scratch.write(write_archives(classify(pages, id_col, url_col, html_col), f"{scratch.path}/whole"), with_folder=f"{scratch.path}/whole")
+    return scratch.write(normalise(written, f"{scratch.path}/members"), with_folder=f"{scratch.path}/members")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     kind = pages.schema["page_id"].dataType
     back = read_archives(archive(pages, scratch))
-    return scratch.keep(back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
+    return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 OP5_SQL = """
