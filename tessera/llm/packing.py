@@ -46,7 +46,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class _Cache:
     """Ids of the chunks that this worker has met, in one flat array; it starts afresh when it is full."""
 
-    FULL = 250_000
+    FULL = 400_000
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end_id = _tokenizer(path), end_id
@@ -54,7 +54,7 @@ class _Cache:
 
     def clear(self):
         self.place: dict[str, int] = {}
-        self.begin, self.size, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, self.end_id, np.uint32)
+        self.begin, self.flat = np.zeros(1, np.int64), np.full(1, self.end_id, np.uint32)
 
     def places(self, chunks: list[str]) -> np.ndarray:
         """Where each of the (distinct) chunks is kept; place 0 is the end id."""
@@ -64,9 +64,8 @@ class _Cache:
             # Few at a time: an encoding holds much besides its ids.
             ids = [e.ids for i in range(0, len(new), 2000) for e in self.tokenizer.encode_batch_fast(new[i : i + 2000], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.place.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
         return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
 
@@ -128,11 +127,11 @@ def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray
     places = kept.places(coded.dictionary.to_pylist())
     # Each text's chunks, and then place 0, which is just end_id.
     which = np.insert(places[coded.indices.to_numpy()] if len(cut) else np.zeros(0, np.int64), at[1:], 0)
-    n = kept.size[which]
-    ends = np.cumsum(n)
-    out = kept.flat[np.repeat(kept.begin[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    begin = pa.array(np.concatenate([kept.begin, [len(kept.flat)]]).astype(np.int32))
+    taken = pa.ListArray.from_arrays(begin, pa.array(kept.flat)).take(pa.array(which))
+    ends = taken.offsets.to_numpy()[1:].astype(np.int64) - taken.offsets[0].as_py()
     last = at[1:] + np.arange(1, len(at)) - 1
-    return out, np.concatenate([[0], ends[last]]).astype(np.int64)
+    return taken.flatten().to_numpy(), np.concatenate([[0], ends[last]]).astype(np.int64)
 
 
 def tokenise(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
