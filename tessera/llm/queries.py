@@ -15,7 +15,9 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 SQL = {
+    "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_tool_calls": tool_calls.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op8_suffix_dedup": substring_dedup.OP8_SQL,
 }
