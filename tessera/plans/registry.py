@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tessera.plans import clones, cohort, discrimination, estimation, graph, ranking, survival
+from tessera.streaming import events
 
-_MODULES = (survival, cohort, graph, clones, ranking, discrimination, estimation)
+_MODULES = (survival, cohort, graph, clones, ranking, discrimination, estimation, events)
 FLAGSHIP = estimation.emulation_table
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

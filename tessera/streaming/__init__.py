@@ -1 +1 @@
-"""streaming"""
+"""Structured Streaming forms of queries whose input arrives over time."""
