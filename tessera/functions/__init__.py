@@ -22,9 +22,13 @@ def safe_divide(a: Column, b: Column, fill: float = 0.0) -> Column:
     return F.when(F.abs(b) <= 1e-12, F.lit(fill)).otherwise(F.try_divide(a, b))
 
 
+#: Multipliers of full period modulo 2**31 - 1, one for each stream of draws.
+MULTIPLIERS = (16807, 48271, 69621, 39373, 40692)
+
+
 def uniform(key: Column, stream: int) -> Column:
-    """A number in (0, 1) from an integer key: arithmetic that any engine can repeat, a different one for each stream."""
-    h = (key * 48271 + 69621 * stream + 12345) % 2147483647
+    """A number in (0, 1) from an integer key: arithmetic that any engine can repeat, with its own multiplier for each stream."""
+    h = (key * MULTIPLIERS[stream] + 12345) % 2147483647
     return ((h * 16807 + stream) % 2147483647 + 0.5) / 2147483647.0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import uniform, weibull
+from tessera.functions import MULTIPLIERS, uniform, weibull
 from tessera.sources.model import DECISION_CTE, decisions
 
 SHAPE, SCALE, CENSOR_SCALE, HORIZON = 1.3, 6.0, 9.0, 5.5
@@ -41,7 +41,7 @@ def reported_restricted_mean(spark, sf_dir):
 
 
 def _u(stream: int) -> str:
-    return f"((((decision_id * 48271 + {69621 * stream} + 12345) % 2147483647) * 16807 + {stream}) % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647.0 AS DOUBLE)"
+    return f"((((decision_id * {MULTIPLIERS[stream]} + 12345) % 2147483647) * 16807 + {stream}) % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647.0 AS DOUBLE)"
 
 
 _COHORT = f"""WITH {DECISION_CTE}, t AS (SELECT decision_id, site, CASE WHEN {_u(1)} < 0.4 THEN 1 ELSE 0 END AS treated, ecog, prior_bucket FROM decision),
