@@ -94,16 +94,18 @@ def records(parts: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
         raise ValueError("an archive ends inside a record")
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def classify(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to), one row per page.
 
     Digests are summed to the smallest page before the shuffle, so a payload that a third of all pages share is one row per
-    task; where the pages meet that row, adaptive execution splits the common digest.
+    task. The digests that occur twice are written, so that Spark knows whether they are few enough to go to the pages; if not,
+    adaptive execution splits the common ones.
     """
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha2("payload", 256))
     first = p.where(F.col("payload_bytes") >= SMALLEST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = scratch.write(first)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return p.join(first, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
@@ -214,7 +216,7 @@ def archive(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col
     its header and never is the smallest, unless all are null: then each is a response. Other columns are ignored. An
     empty table gives no archives.
     """
-    written = scratch.write(write_archives(classify(pages, id_col, url_col, html_col), f"{scratch.path}/whole"), with_folder=f"{scratch.path}/whole")
+    written = scratch.write(write_archives(classify(pages, scratch, id_col, url_col, html_col), f"{scratch.path}/whole"), with_folder=f"{scratch.path}/whole")
     return scratch.write(normalise(written, f"{scratch.path}/members"), with_folder=f"{scratch.path}/members")
 
 
