@@ -131,7 +131,8 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: b
         score = scratch.write(pairs.where(~F.col("seed")).join(patterns, "pattern").groupBy("value").agg((1 - wrong).alias("score")))
     taken = score.where(F.col("score") >= TAKEN).select("value")
     new = strings.where(~F.col("seed")).join(taken, "value", "left_semi")
-    new = new.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id"))
+    # Written, so that Spark knows its size and need not shuffle the texts if it is small.
+    new = scratch.write(new.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     out = rows.join(new.withColumnsRenamed({"of": (of := _free("of", rows.columns)), "pii_id": (ids := _free("ids", rows.columns))}), F.col(row) == F.col(of), "left")
     return out.select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.coalesce(ids, none).alias("pii_id"))
