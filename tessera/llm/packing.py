@@ -60,14 +60,19 @@ class _Cache:
         """Where each of the (distinct) chunks is kept; place 0 is the end id."""
         if len(self.place) > self.FULL:
             self.clear()
-        if new := [c for c in chunks if c not in self.place]:
+        found = list(map(self.place.get, chunks))
+        if missing := [i for i, at in enumerate(found) if at is None]:
+            new = [chunks[i] for i in missing]
             # Few at a time: an encoding holds much besides its ids.
             ids = [e.ids for i in range(0, len(new), 2000) for e in self.tokenizer.encode_batch_fast(new[i : i + 2000], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.place.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
+            at = range(len(self.begin), len(self.begin) + len(new))
+            self.place.update(zip(new, at, strict=True))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            for i, k in zip(missing, at, strict=True):
+                found[i] = k
+        return np.array(found, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +105,7 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     head[1:] &= ~inside[:-1]
     full = off[:-1][off[1:] > off[:-1]]
     head[full] = inside[full]
-    word = np.cumsum(head)
+    word = np.cumsum(head, dtype=np.int32)
     odd = ~_PLAIN[data]
     if len(data) > 1:
         odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the two signs among those letters
@@ -113,7 +118,7 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     head[1:] |= inside[1:] & (kind[1:] != kind[:-1]) & ~as_is[1:]
     starts = np.flatnonzero(head)
     body = np.where(as_is, data, _DOWN[data])[inside]
-    place = np.cumsum(inside) - inside
+    place = np.cumsum(inside, dtype=np.int32) - inside
     at = np.concatenate([place[starts], [len(body)]]).astype(np.int32)
     out = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body)))
     return out, np.searchsorted(starts, off)
