@@ -47,15 +47,17 @@ def td_auroc(spark, sf_dir):
 def concordance_index(spark, sf_dir):
     """Harrell's C per site and line: comparable pairs have the event first.
 
-    Scores are binned to a hundred levels and times to their hundredths, so rows are first counted per (time, level); the
-    join then is over those counts, whose number the bins bound, not over pairs of decisions.
+    Scores are binned to a hundred levels and times to quarters of a month, so rows are first counted per (time, level). Over
+    the grid of those, which the bins bound, later and lower counts are running sums: pairs are never formed.
     """
     d = decisions(spark, sf_dir).select("site", "line", F.round(F.col("follow_up_months") * 4).cast("int").alias("t"), F.floor((F.col("c_acctbal") + 1000.0) / 110.0).cast("int").alias("s"), "event")
-    n = d.groupBy("site", "line", "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events"))
-    a, b = n.where("events > 0").alias("a"), n.alias("b")
-    pairs = a.join(b, ["site", "line"]).where("b.t > a.t").groupBy("site", "line").agg(
-        F.sum(F.col("a.events") * F.col("b.n")).alias("pairs"), F.sum(F.col("a.events") * F.col("b.n") * F.when(F.col("a.s") > F.col("b.s"), 1.0).when(F.col("a.s") == F.col("b.s"), 0.5).otherwise(0.0)).alias("agree")
-    )
+    by = ["site", "line"]
+    n = d.groupBy(*by, "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events"))
+    grid = n.select(*by, "t").distinct().join(n.select(*by, "s").distinct(), by).join(n, [*by, "t", "s"], "left").fillna(0, ["n", "events"])
+    before = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    later = grid.withColumn("later", F.coalesce(F.sum("n").over(before([*by, "s"], F.desc("t"))), F.lit(0)))
+    lower = later.withColumn("lower", F.coalesce(F.sum("later").over(before([*by, "t"], "s")), F.lit(0))).withColumn("all", F.sum("later").over(Window.partitionBy(*by, "t")))
+    pairs = lower.groupBy(*by).agg(F.sum(F.col("events") * F.col("all")).alias("pairs"), F.sum(F.col("events") * (F.col("lower") + F.col("later") / 2.0)).alias("agree"))
     return pairs.select("site", "line", "pairs", F.round(F.try_divide("agree", F.col("pairs")), 6).alias("c_index"))
 
 
