@@ -115,9 +115,12 @@ def signatures(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             # No partner in this band differs in more members than this.
             differ = (s + min(r, 5 * s // 4)) // 9
             least = _least_shared(first, spare, differ)
-            # Subsets without members are the same in all sets and aren't signed, unless the rest can't vouch for a match.
+            # Subsets without members are the same in all sets and aren't signed, unless the rest can't vouch for a match. Then
+            # all are, but a partner may sign for none of its own, and is only known to share one that has members.
             if least - int(void.sum()) > 0:
                 part, least = part[~void], least - int(void.sum())
+            else:
+                least = 1
             out.append(part)
             codes.append(np.full(len(part), -1 - i - BAND * max(least, 1), np.int64))
     return np.concatenate(out), np.concatenate(codes)

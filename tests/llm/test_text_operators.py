@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -131,6 +132,40 @@ def test_similar_sets_share_enough_signatures():
             assert any(n >= max(need(ca, k) | need(cb, k)) for k, n in bands.items())
 
 
+def enough(a, b):
+    """Whether in one band the sets share as many signatures as either's code names there."""
+    (sa, ca), (sb, cb) = ngram_join.signatures(np.sort(a)), ngram_join.signatures(np.sort(b))
+    in_a, in_b = dict(zip(sa.tolist(), (-1 - ca).tolist(), strict=True)), dict(zip(sb.tolist(), (-1 - cb).tolist(), strict=True))
+    bands = collections.defaultdict(list)
+    for s in in_a.keys() & in_b.keys():
+        bands[in_a[s] % ngram_join.BAND].append(max(in_a[s], in_b[s]) // ngram_join.BAND)
+    return any(len(n) >= max(n) for n in bands.values())
+
+
+def test_sets_of_four_and_five_in_all_parts_share_enough_signatures():
+    """Four common members and one more, in every way they can lie in the nine parts of their band."""
+    members = [[np.uint64((part * 2 + 1) * (2**64 // 18) + i) for i in range(5)] for part in range(9)]
+    for four in itertools.combinations_with_replacement(range(9), 4):
+        a = np.array([members[part][i] for i, part in enumerate(four)], np.uint64)
+        for part in range(9):
+            assert enough(a, np.append(a, members[part][4])), (four, part)
+
+
+def test_sets_of_ten_to_forty_share_enough_signatures():
+    """Random pairs at the threshold, members crowded into a few parts so that some sets keep signatures without members."""
+    rng = np.random.default_rng(6)
+    for _ in range(20_000):
+        n = int(rng.integers(10, 41))
+        more = int(rng.integers(0, n // 4 + 1))
+        less = (n - 4 * more) // 5 if n > 4 * more else 0
+        span = 64 - int(rng.integers(0, 5))
+        pool = np.unique(rng.integers(0, 2**span, n + more + 4, np.uint64, endpoint=False))[: n + more]
+        pool = pool[rng.permutation(len(pool))]
+        a, b = pool[: n], pool[less:]
+        if len(pool) == n + more and 100 * (n - less) >= 80 * len(pool) and more + less:
+            assert enough(a, b), (n, more, less, span)
+
+
 def test_components(spark, scratch):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(60, 50), (50, 60), (60, 55)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(e, scratch).collect()}
