@@ -3,7 +3,8 @@
 Every DOM node gets the characters per tag of its subtree, adjusted for how much of it is link text; a node's density sum
 adds up its children's densities. The subtree of the largest sum is the article. The least density on the path from it up to
 the body is the threshold for what else on the page counts as content. Elements that are boilerplate by their meaning
-(menus, forms, scripts, adverts, comments and so on) take no part.
+(menus, forms, scripts, adverts, comments and so on) take no part. A class, id or role alone doesn't drop what can be the
+article: an element around an ``article`` or ``main``, or, where the page has none, around the largest sum.
 """
 
 from __future__ import annotations
@@ -21,19 +22,21 @@ from pyspark.sql import types as T
 from tessera.llm.common import table
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold the article's text.
-DROPPED = frozenset("aside button canvas datalist dialog footer form frame frameset head header iframe input label map math menu nav noembed noframes noscript object script select style svg template textarea title xmp".split())
-#: Words of classes, ids and roles that mark boilerplate, compared whole.
+DROPPED = frozenset("aside button canvas datalist dialog footer form frame frameset head header iframe input label menu nav noembed noframes noscript object script select style svg template textarea title xmp".split())
+#: Words of classes, ids and roles that mark boilerplate. A name marks it if it has one and no words but these and the plain ones.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation navigation newsletter notice notification overlay pagination popup promo promoted promotion related respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation navigation newsletter notice notification overlay pagination popup promo promoted promotion respond search share sharing sidebar skip sponsor sponsored subscribe subscription toolbar".split()
 )
+#: Words that say where on a page something is or what shape it has.
+PLAIN = frozenset("area bar block bottom box container global inner left links list main page primary right secondary section site slot top unit wrap wrapper".split())
 #: Elements that may be the article: those that hold blocks. Others count by their density, as the children of these.
 CONTAINERS = frozenset("#root html body main article section div center blockquote details dl fieldset figure ol ul li table tbody tr td".split())
 #: These start tags end an open element of the same group.
@@ -41,21 +44,31 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _marks(name: str) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words)
+
+
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate whatever it holds, and whether its names say that it is."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(w in MARKS for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+        return False, False
+    marked = False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NONE.search(value):
+            return True, False
+        marked = marked or name in ("class", "id", "role") and any(map(_marks, value.split()))
+    return False, marked
 
 
 class _Page:
     """The elements of a page in order of their start tags, and its pieces of text, each with the element around it."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop = ["#root"], [-1], [False]
+        self.tag, self.parent, self.drop, self.marked = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, str]] = []  # text; a break between blocks is the empty string
         stack, at, end = [0], 0, len(source)
         while at < end:
@@ -79,7 +92,9 @@ class _Page:
                     self.end_open(stack, {"p"}, {"table", "div", "section", "article", "aside", "nav", "form", "li", "td", "button"})
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.drop.append(self.drop[stack[-1]] or _boilerplate(tag, m[3]))
+            drop, marked = _boilerplate(tag, m[3])
+            self.drop.append(self.drop[stack[-1]] or drop)
+            self.marked.append(marked)
             node = len(self.tag) - 1
             if tag in BLOCK:
                 self.pieces.append((node, ""))
@@ -109,15 +124,13 @@ class _Page:
                 return
 
 
-def extract(source: str | None) -> str:
-    """The page's main text: blocks of single-spaced text, one on each line. Empty for null or empty pages."""
-    page = _Page(source or "")
-    n = len(page.tag)
-    tag, parent, drop = page.tag, page.parent, page.drop
-    texts = [(node, html.unescape(t) if t else "") for node, t in page.pieces if not drop[node]]
+def _scores(page: _Page, texts: list[tuple[int, str]], drop: list[bool]) -> tuple[list[float], list[float], list[int], int, int] | None:
+    """Density, density sum and best node of each node, the body and the best node in it; none for a page without text."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, t in texts:
-        chars[node] += len("".join(t.split()))
+        if not drop[node]:
+            chars[node] += len("".join(t.split()))
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = tag[i] == "a" or in_link[parent[i]]
@@ -130,7 +143,7 @@ def extract(source: str | None) -> str:
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (tag[i] == "a")
     if not chars[0]:
-        return ""
+        return None
     share = links[0] / chars[0]
     density = [0.0] * n
     for i in range(n):
@@ -151,6 +164,42 @@ def extract(source: str | None) -> str:
                 best[parent[i]] = a
     body = next((i for i in range(n) if tag[i] == "body"), 0)
     top = best[body] if sums[best[body]] > 0 else body
+    return density, sums, best, body, top
+
+
+def _dropped(page: _Page, texts: list[tuple[int, str]]) -> list[bool]:
+    """What takes no part: also the elements that their names mark, but for those that can hold the article."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
+    marked = [i for i in range(n) if page.marked[i] and not page.drop[i]]
+    scores = _scores(page, texts, page.drop) if marked else None
+    if scores is None:
+        return page.drop
+    _, sums, best, _, top = scores
+    named = [not page.drop[i] and tag[i] in ("article", "main") for i in range(n)]
+    holds = [int(x) for x in named]
+    for i in range(n - 1, 0, -1):
+        holds[parent[i]] += holds[i]
+    drop = list(page.drop)
+    for i in marked:
+        # Where no element is named the article, the largest sum is it.
+        drop[i] = not holds[i] and (holds[0] > 0 or sums[best[i]] < sums[top])
+    for i in range(1, n):
+        drop[i] = drop[i] or drop[parent[i]]
+    return drop
+
+
+def extract(source: str | None) -> str:
+    """The page's main text: blocks of single-spaced text, one on each line. Empty for null or empty pages."""
+    page = _Page(source or "")
+    n = len(page.tag)
+    tag, parent = page.tag, page.parent
+    texts = [(node, html.unescape(t) if t else "") for node, t in page.pieces if not page.drop[node]]
+    drop = _dropped(page, texts)
+    texts = [(node, t) for node, t in texts if not drop[node]]
+    scores = _scores(page, texts, drop)
+    if scores is None:
+        return ""
+    density, sums, best, body, top = scores
     threshold, i = density[top], top
     while i > body:
         i = parent[i]

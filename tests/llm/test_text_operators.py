@@ -374,6 +374,25 @@ def test_html(html, text):
     assert html_text.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "class='content has-sidebar'", "class=no-sidebar", "class='page with-ads'", "class=elementor-widget-container", "class=search-results", "class=share-price",
+        "class='block hidden md:flex'", "title='a hidden gem'", "class=byline", "class=related", "class=social", "class=widget", "data-id=ad", "class=sidebar",
+    ],
+)
+def test_html_names_do_not_empty_the_article(wrapper):
+    paragraphs = "<p>The first paragraph of a text that is read.</p><p>The second paragraph, as long as the first one.</p>"
+    want = "The first paragraph of a text that is read.\nThe second paragraph, as long as the first one."
+    assert html_text.extract(page(f"<div {wrapper}>{paragraphs}</div><div class=ad><p>Buy.</p></div>")) == want
+    assert html_text.extract(page(f"<div {wrapper}><article>{paragraphs}</article></div><div class=comments><p>{'I liked this. ' * 40}</p></div>")) == want
+
+
+@pytest.mark.parametrize("names", ["class=ad", "class='x site-footer'", "id=mainNav", "role=navigation", "class=cookie-notice", "class=comment-list", "hidden", "hidden=''", "style='display: none'", "aria-hidden=true"])
+def test_html_names_that_mark_boilerplate(names):
+    assert html_text.extract(page(f"<div><p>The first paragraph of a text that is read.</p><p>The second paragraph.</p></div><div {names}><p>Not of the text.</p></div>")) == "The first paragraph of a text that is read.\nThe second paragraph."
+
+
 def test_html_table(spark):
     d = spark.createDataFrame([(1, "u", "<p>a</p>"), (None, None, None), (1, "u", "<p>a</p>")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.main_text(d)
