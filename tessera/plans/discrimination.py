@@ -45,7 +45,7 @@ def td_auroc(spark, sf_dir):
 
 
 def concordance_index(spark, sf_dir):
-    """Harrell's C per site and line: comparable pairs have the event first.
+    """Harrell's C per site and line of binned times and scores, so approximate; ``concordance_exact`` leaves them as they are.
 
     Scores are binned to a hundred levels and times to quarters of a month, so rows are first counted per (time, level). Over
     the grid of those, which the bins bound, later and lower counts are running sums: pairs are never formed.
@@ -61,6 +61,31 @@ def concordance_index(spark, sf_dir):
     return pairs.select("site", "line", "pairs", F.round(F.try_divide("agree", F.col("pairs")), 6).alias("c_index"))
 
 
+def concordance(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, pairs, c_index) of rows (*by, t, s, event), exact: pairs have the event first, equal scores count one half.
+
+    Of two ranks of times the later one has a one where the other has a zero, in the highest bit that differs. So each pair is
+    counted once, at that bit, among the ranks that agree above it: by running sums over the distinct scores there.
+    """
+    n = rows.where("t is not null and s is not null").groupBy(*by, "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events"))
+    times = n.select(*by, "t").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("t")))
+    bits = F.length(F.bin(F.max("rank").over(Window.partitionBy(*by))))
+    rank = n.join(times.withColumn("bits", bits), [*by, "t"]).select(*by, "s", "n", "events", "rank", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
+    one = F.expr("shiftright(rank, bit) & 1") == 1
+    level = [*by, "bit", "above"]
+    d = rank.withColumn("above", F.expr("shiftright(shiftright(rank, bit), 1)")).groupBy(*level, "s").agg(F.sum(F.when(one, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(one, 0).otherwise(F.col("events"))).alias("events"))
+    w = Window.partitionBy(*level)
+    d = d.withColumn("all", F.sum("later").over(w)).withColumn("lower", F.sum("later").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("later"))
+    pairs = d.groupBy(*by).agg(F.sum(F.col("events") * F.col("all")).alias("pairs"), F.sum(F.col("events") * (F.col("lower") + F.col("later") / 2.0)).alias("agree"))
+    return pairs.where("pairs > 0").select(*by, "pairs", F.round(F.col("agree") / F.col("pairs"), 6).alias("c_index"))
+
+
+def concordance_exact(spark, sf_dir):
+    """Harrell's C per site and line, of times and scores as they are; groups without comparable pairs have no row."""
+    d = decisions(spark, sf_dir).select("site", "line", F.col("follow_up_months").alias("t"), F.col("c_acctbal").alias("s"), "event")
+    return concordance(d, ["site", "line"])
+
+
 def auprc(spark, sf_dir):
     """Trapezoid area under precision over recall, from (0, 1), ties in order of id; one row per distinct probability and id order."""
     r = rated(spark, sf_dir)
@@ -114,7 +139,7 @@ def calibration_slope(spark, sf_dir):
 _D = f"WITH {RATED_CTE}"
 _TD = f"""WITH {DECISION_CTE}, d AS (SELECT ROUND(c_acctbal, 2) AS s, CASE WHEN event AND follow_up_months <= {MONTH} THEN 1 ELSE 0 END AS y, CASE WHEN follow_up_months > {MONTH} THEN 1 ELSE 0 END AS z FROM decision)"""
 _MW = "SELECT ROUND(SUM(y * (CAST(below AS DOUBLE) + same / 2.0)) / (SUM(y) * SUM(z)), 6) AS auroc, CAST(SUM(y) AS BIGINT) AS cases, CAST(SUM(z) AS BIGINT) AS controls FROM (SELECT s, y, z, below, z AS same FROM (SELECT s, SUM(y) AS y, SUM(z) AS z, SUM(SUM(z)) OVER (ORDER BY s) - SUM(z) AS below FROM d GROUP BY s))"
-QUERIES = {f.__name__: f for f in (brier, ece, auroc, td_auroc, concordance_index, auprc, net_benefit, nri, calibration_slope)}
+QUERIES = {f.__name__: f for f in (brier, ece, auroc, td_auroc, concordance_index, concordance_exact, auprc, net_benefit, nri, calibration_slope)}
 SQL = {
     "brier": f"{_D} SELECT ROUND(AVG((p - outcome) * (p - outcome)), 6) AS brier, COUNT(*) AS n FROM rated",
     "ece": f"{_D}, b AS (SELECT LEAST({BINS - 1}, FLOOR(p * {BINS})) AS bin, COUNT(*) AS n, AVG(p) AS p, AVG(outcome) AS y FROM rated GROUP BY 1) SELECT ROUND(SUM(n * ABS(p - y)) / SUM(n), 6) AS ece FROM b",
@@ -122,6 +147,8 @@ SQL = {
     "td_auroc": f"{_TD} {_MW}",
     "concordance_index": f"""WITH {DECISION_CTE}, d AS (SELECT site, line, CAST(ROUND(follow_up_months * 4) AS INTEGER) AS t, CAST(FLOOR((c_acctbal + 1000.0) / 110.0) AS INTEGER) AS s, event FROM decision),
 n AS (SELECT site, line, t, s, COUNT(*) AS n, COUNT(*) FILTER (event) AS e FROM d GROUP BY ALL)
+SELECT a.site, a.line, CAST(SUM(a.e * b.n) AS BIGINT) AS pairs, ROUND(SUM(a.e * b.n * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / SUM(a.e * b.n), 6) AS c_index FROM n a JOIN n b ON a.site = b.site AND a.line = b.line AND b.t > a.t WHERE a.e > 0 GROUP BY 1, 2""",
+    "concordance_exact": f"""WITH {DECISION_CTE}, n AS (SELECT site, line, follow_up_months AS t, c_acctbal AS s, COUNT(*) AS n, COUNT(*) FILTER (event) AS e FROM decision WHERE c_acctbal IS NOT NULL GROUP BY ALL)
 SELECT a.site, a.line, CAST(SUM(a.e * b.n) AS BIGINT) AS pairs, ROUND(SUM(a.e * b.n * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / SUM(a.e * b.n), 6) AS c_index FROM n a JOIN n b ON a.site = b.site AND a.line = b.line AND b.t > a.t WHERE a.e > 0 GROUP BY 1, 2""",
     "auprc": f"""{_D}, c AS (SELECT CAST(SUM(outcome) OVER w AS DOUBLE) AS tp, row_number() OVER (ORDER BY p DESC, doc_id) AS place, SUM(outcome) OVER () AS total FROM rated WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)),
 x AS (SELECT place, tp / place AS prec, tp / total AS rec FROM c) SELECT ROUND(SUM(s), 6) AS auprc FROM (SELECT (rec - COALESCE(lag(rec) OVER (ORDER BY place), 0.0)) * (prec + COALESCE(lag(prec) OVER (ORDER BY place), 1.0)) / 2.0 AS s FROM x)""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import survival as S
 from tessera.operators.estimation import cox_hazard_ratio, irls
 from tessera.operators.ranking import at_k, ranked
+from tessera.plans.discrimination import concordance
 
 
 def one(df):
@@ -67,3 +68,18 @@ def test_irls_solves_its_equations():
     b = irls(x, hits, n)
     gradient = x.T @ (hits - n / (1 + np.exp(-x @ b))) - np.r_[0, b[1:]]
     assert np.abs(gradient).max() < 1e-6
+
+
+def test_concordance_counts_pairs_of_near_times_and_scores(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", float(rng.integers(100, 140)) / 100, float(rng.integers(0, 30)) / 100, bool(rng.integers(0, 2))) for _ in range(120)]
+    rows += [("b", 1.0, 0.02, True), ("b", 1.01, 0.01, False), ("c", 1.0, 0.5, True), ("d", None, 0.5, True), ("d", 1.0, None, True)]
+    want = {}
+    for k, t, s, e in rows:
+        for k2, t2, s2, _ in rows:
+            if k == k2 and e and None not in (t, s, t2, s2) and t2 > t:
+                p, a = want.get(k, (0, 0.0))
+                want[k] = (p + 1, a + (s > s2) + (s == s2) / 2)
+    got = concordance(spark.createDataFrame(rows, "k string, t double, s double, event boolean"), ["k"]).collect()
+    assert {r.k: (r.pairs, r.c_index) for r in got} == {k: (p, round(a / p, 6)) for k, (p, a) in want.items()}
+    assert want["b"] == (1, 1.0) and want.keys() == {"a", "b"}
