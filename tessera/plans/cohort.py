@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, decisions, exposures, table
 
 FOLDS, TARGET = 5, 1000
+#: Of the first coordinates in a slide's signature.
+WEIGHTS = (-0.9, 0.2, 0.6, 0.2)
 VARIABLES = ("site", "split", "line", "c_mktsegment")
 
 
@@ -109,11 +111,25 @@ def embedding_norm(spark, sf_dir):
 
 
 def slide_signature(spark, sf_dir):
-    """Per label, the mean of each embedding coordinate's first eight: exploded with positions and summed map-side."""
+    """Per label, the mean of each of an embedding's first eight coordinates; ``slide_feature`` is the survey's dot product.
+
+    Exploded with positions and summed map-side.
+    """
     e = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "x"))
     return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
 
 
+def feature(embedding):
+    """The dot product of an embedding's first coordinates with the weights, of as many as it has; 0 for none."""
+    pairs = F.zip_with(F.slice(embedding, 1, len(WEIGHTS)), F.slice(F.array(*map(F.lit, WEIGHTS)), F.lit(1), F.least(F.size(embedding), F.lit(len(WEIGHTS)))), lambda x, w: x.cast("double") * w)
+    return F.when(F.size(embedding) > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+
+
+def slide_feature(spark, sf_dir):
+    """The survey's slide signature of each vector."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(feature(F.col("embedding")), 4).alias("signature"))
+
+
 def centred_modifier(spark, sf_dir):
     """A modifier centred on the eligible rows of its site: others keep zero."""
     d = decisions(spark, sf_dir).select("decision_id", "site", "c_acctbal", (F.col("ecog") == 0).alias("eligible"))
@@ -126,7 +142,7 @@ _LONG = f"""{_W}, l AS (SELECT 'site' AS variable, site AS label FROM decision U
 UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM decision UNION ALL SELECT 'status', CASE WHEN ecog = 1 THEN 'impaired' ELSE 'active' END FROM decision),
 n AS (SELECT variable, label, COUNT(*) AS n FROM l GROUP BY 1, 2)"""
 _FOLD = f"{_W}, fold AS (SELECT patient_id, site, CAST((row_number() OVER (PARTITION BY site ORDER BY (patient_id * 7919 + 104729) % 1000003, patient_id) - 1) % {FOLDS} AS INTEGER) AS fold FROM (SELECT DISTINCT patient_id, site FROM decision))"
-QUERIES = {f.__name__: f for f in (marginal_counts, scaled_marginals, interleave, fold_assignment, fold_sizes, cross_fitted_folds, first_decision, outer_site_split, partition_closes, exposure_prevalence, modality_census, patient_counts, validation_rejects, embedding_norm, slide_signature, centred_modifier)}
+QUERIES = {f.__name__: f for f in (marginal_counts, scaled_marginals, interleave, fold_assignment, fold_sizes, cross_fitted_folds, first_decision, outer_site_split, partition_closes, exposure_prevalence, modality_census, patient_counts, validation_rejects, embedding_norm, slide_signature, slide_feature, centred_modifier)}
 SQL = {
     "marginal_counts": f"{_LONG} SELECT * FROM n UNION ALL SELECT variable, '_total', CAST(SUM(n) AS BIGINT) FROM n GROUP BY 1",
     "scaled_marginals": f"""{_LONG}, s AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY variable) AS BIGINT) AS total FROM n), f AS (SELECT *, n * {TARGET} // total AS whole, (n * {TARGET}) % total AS rest FROM s),
@@ -145,5 +161,6 @@ SELECT row_number() OVER (ORDER BY k, site) AS slot, site, i FROM s""",
     "validation_rejects": f"{_W} SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in CHECKS) + " ELSE 'valid' END AS reason, COUNT(*) AS n FROM decision GROUP BY 1",
     "embedding_norm": "SELECT vec_id, label, ROUND(SQRT(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings",
     "slide_signature": "SELECT label, CAST(i - 1 AS INTEGER) AS pos, ROUND(AVG(CAST(embedding[i] AS DOUBLE)), 4) AS mean FROM embeddings, unnest(range(1, 9)) AS u(i) GROUP BY 1, 2",
+    "slide_feature": f"SELECT vec_id, ROUND(COALESCE(list_sum(list_transform(list_zip(embedding[1:{len(WEIGHTS)}], {list(WEIGHTS)}[1:len(embedding)]), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 0.0), 4) AS signature FROM embeddings",
     "centred_modifier": f"{_W} SELECT decision_id, ROUND(CASE WHEN ecog = 0 THEN c_acctbal - AVG(c_acctbal) FILTER (ecog = 0) OVER (PARTITION BY site) ELSE 0.0 END, 4) AS centred FROM decision",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import survival as S
 from tessera.operators.estimation import cox_hazard_ratio, irls
 from tessera.operators.ranking import at_k, ranked
+from tessera.plans.cohort import feature
 from tessera.plans.discrimination import concordance
 
 
@@ -83,3 +84,9 @@ def test_concordance_counts_pairs_of_near_times_and_scores(spark):
     got = concordance(spark.createDataFrame(rows, "k string, t double, s double, event boolean"), ["k"]).collect()
     assert {r.k: (r.pairs, r.c_index) for r in got} == {k: (p, round(a / p, 6)) for k, (p, a) in want.items()}
     assert want["b"] == (1, 1.0) and want.keys() == {"a", "b"}
+
+
+def test_slide_feature_weights_the_first_four(spark):
+    d = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0, 50.0]), (2, []), (3, None), (4, [1.0, 2.0])], "i int, e array<float>")
+    got = {r.i: r.x for r in d.select("i", feature(F.col("e")).alias("x")).collect()}
+    assert got == pytest.approx({1: -0.9 + 0.4 + 1.8 + 0.8, 2: 0.0, 3: 0.0, 4: -0.5})
