@@ -1,10 +1,10 @@
-"""Removal of repeated byte strings by prefix doubling over sampled positions.
+"""Removal of repeated byte strings by sampled positions, in place of prefix doubling over all.
 
-A position's rank is first that of the KEY bytes there, then of ever longer strings around it, until it is unique or the
-strings are LENGTH bytes long. Each round is one sort of (rank, fingerprint at the grown offset) pairs; what is unique drops
-out. Ranks are 64-bit fingerprints, the same wherever a string occurs, so no round has to number them.
+A position's rank is first that of the KEY bytes there, then of longer strings around it, of fixed lengths, until it is unique
+or the strings are LENGTH bytes long. No ranks are paired at doubled offsets. What is unique drops out after each round. Ranks
+are 64-bit fingerprints, the same wherever a string occurs, so no round has to number them.
 
-Ranking every byte would shuffle many times the input. So positions are sampled by content: of the KEY-byte strings in each
+What ranking every byte would cost is not measured. Positions are sampled by content: of the KEY-byte strings in each
 window of LENGTH bytes, the one of the least fingerprint is the window's anchor. Equal windows have their anchors at equal
 offsets, so windows only need comparing where anchors agree, and a window that repeats is never missed. An anchor stands
 for the run of windows that chose it; a round looks at aligned pieces of runs, of 64 windows, then 8, then one:
