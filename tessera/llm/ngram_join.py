@@ -10,7 +10,8 @@ There are a quarter more parts than sharing one signature takes. So similar sets
 each set: what shares fewer with all others together, or with one other, is dropped without a look at its members. This
 keeps out sets that have a passage in common and little else, however many they are. What is left is verified exactly.
 
-Groups of equal signature are never expanded to all pairs. First each member is verified against one centre of its groups;
+Sets that are equal to one that the task met before are not signed again: a text that a million pages share signs about once
+a task. Groups of equal signature are never expanded to all pairs. First each member is verified against one centre of its groups;
 what this proves connected is one component. Only pairs that share enough signatures across components are then looked at.
 """
 
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.components import components
@@ -34,6 +36,8 @@ WORDS = 5
 #: Bands of up to this many differences have three second-level parts, one of them spared; wider ones a single part.
 FINE_K = 24
 STAR_ROUNDS = 2
+#: Sets that a task remembers to know their copies by; it then forgets them all, and signs a text once more when it comes back.
+KEPT_SETS = 200_000
 #: A signature's row carries the band and the least number of signatures that a similar pair shares there, in one number.
 BAND = 128
 
@@ -73,11 +77,11 @@ def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     doc = w.doc[first]
     count = np.diff(w.at)
     short = np.flatnonzero((count > 0) & (count < n))
-    whole = np.zeros(len(short), np.uint64)
+    whole, word = np.zeros(len(short), np.uint64), w.hashes() if len(short) else w.code
     with np.errstate(over="ignore"):
         for j in range(n - 1):
             has = count[short] > j
-            whole[has] += mix(w.hash[w.at[short[has]] + j] + np.uint64(j * 0x1000193 + 7))
+            whole[has] += mix(word[w.at[short[has]] + j] + np.uint64(j * 0x1000193 + 7))
         whole = mix(whole + count[short].astype(np.uint64))
     grams, doc = np.concatenate([grams, whole]), np.concatenate([doc, short])
     order = np.lexsort((grams, doc))
@@ -126,30 +130,57 @@ def signatures(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(codes)
 
 
+def _whole(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit fingerprints of each whole set: only sets that agree in both count as equal."""
+    n = np.diff(at).astype(np.uint64)
+    out = []
+    with np.errstate(over="ignore"):
+        for salt in (np.uint64(1 << 60), np.uint64(0x5851F42D4C957F2D)):
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ salt))])
+            out.append(mix(running[at[1:]] - running[at[:-1]] + mix(n + salt)))
+    return out[0], out[1]
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """(sig, doc_id, n): one row per signature with n < 0, and one row per document, by the whole set, with n its size."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), docs.schema["doc_id"], T.StructField("n", T.LongType())])
+    """(sig, check, doc_id, n, of): one row per signature with n < 0, and one row per document, by the whole set, with n its size.
+
+    of is an earlier document of the same task whose set is equal, if this worker still knows it; such a copy isn't signed and
+    its row is alone.
+    """
+    key = docs.schema["doc_id"]
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("check", T.LongType()), key, T.StructField("n", T.LongType()), T.StructField("of", key.dataType)])
+    of_type = to_arrow_type(key.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = TaskContext.get().partitionId() << 40
+        at_row, met = TaskContext.get().partitionId() << 40, {}
         for b in batches:
             for lo, hi in slices(b["text"]):
                 grams, at = shingles(b["text"].slice(lo, hi - lo))
-                known = b["doc_id"].slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+                ids = b["doc_id"].slice(lo, hi - lo)
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
                 n = np.diff(at)
-                with np.errstate(over="ignore"):
-                    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
-                    whole = mix(running[at[1:]] - running[at[:-1]] + mix(n.astype(np.uint64) + np.uint64(1 << 60)))
-                # Those that link with nothing are spread out, each alone.
-                alone = (n == 0) | ~known
-                whole[alone] = mix(np.arange(seen, seen + hi - lo, dtype=np.uint64))[alone]
-                seen += hi - lo
-                sigs, codes = zip(*[signatures(grams[at[i] : at[i + 1]] if known[i] else grams[:0]) for i in range(hi - lo)], strict=True)
+                whole, check = _whole(grams, at)
+                names, keys, alone, of, sign = ids.to_pylist(), np.stack([whole, check], 1).tobytes(), (n == 0) | ~known, [None] * (hi - lo), np.zeros(hi - lo, bool)
+                if len(met) > KEPT_SETS:
+                    met.clear()
+                for i in np.flatnonzero(~alone).tolist():
+                    first = met.setdefault(keys[16 * i : 16 * i + 16], (names[i],))
+                    if first[0] is names[i]:
+                        sign[i] = True
+                    else:
+                        of[i] = first[0]
+                # Those that link with nothing, and copies that know of what, are spread out, each alone.
+                alone |= ~sign
+                whole[alone] = mix(np.arange(at_row, at_row + hi - lo, dtype=np.uint64))[alone]
+                at_row += hi - lo
+                sigs, codes = zip(*[signatures(grams[at[i] : at[i + 1]] if sign[i] else grams[:0]) for i in range(hi - lo)], strict=True)
                 size = np.fromiter(map(len, sigs), np.int64, len(sigs))
-                ids = b["doc_id"].slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), ids, pa.array(n)], names=["sig", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(check.view(np.int64)), ids, pa.array(n), pa.array(of, of_type)], names=schema.names)
                 flat = np.concatenate(sigs)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids.take(pa.array(np.repeat(np.arange(hi - lo), size))), pa.array(np.concatenate(codes))], names=["sig", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat.view(np.int64)), pa.array(np.zeros(len(flat), np.int64)), ids.take(pa.array(np.repeat(np.arange(hi - lo), size))), pa.array(np.concatenate(codes)), pa.nulls(len(flat), of_type)],
+                    names=schema.names,
+                )
 
     return docs.mapInArrow(run, schema)
 
@@ -207,12 +238,16 @@ def _left_over(near: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scra
     near = scratch.write(_enough(near.join(several, "sig", "left_semi")))
     # Of the documents that are left, the members by how rare they are among them. If two sets are similar, their first
     # common member comes early enough in both for what follows to reach the overlap: members further on needn't be met.
-    kept = near.select("doc_id", "size", "component").distinct()
-    ranked = sets.join(kept.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("grams").alias("g")).withColumn("df", F.count("*").over(Window.partitionBy("g")))
-    ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))).where("df > 1")
-    early = ranked.join(kept, "doc_id").withColumn("largest", F.floor((F.col("size") - F.col("pos") + 1) * 9 / 4 - F.col("size"))).where("10 * largest >= 8 * size")
+    # Counts are combined before they are shuffled, and written: a member that thousands of sets have then only meets its
+    # count in a plain join, which adaptive execution splits.
+    kept = scratch.write(near.select("doc_id", "size", "component").distinct())
+    held = sets.join(kept.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("grams").alias("g"))
+    df = scratch.write(held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
+    own = Window.partitionBy("doc_id")
+    met = held.join(df, "g").join(kept, "doc_id").withColumn("pos", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "g")))
+    early = scratch.write(met.withColumn("largest", F.floor((F.col("size") - F.col("pos") + 1) * 9 / 4 - F.col("size"))).where("10 * largest >= 8 * size").drop("df", "pos"))
     several = early.groupBy("g").agg(F.min("size").alias("smallest"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g", "smallest")
-    early = scratch.write(early.join(several, "g").where("largest >= smallest").select("g", "doc_id", "component", "size", "largest"))
+    early = scratch.write(early.join(scratch.write(several), "g").where("largest >= smallest").select("g", "doc_id", "component", "size", "largest"))
     other = early.select("g", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"))
     can = (F.col("component") < F.col("of")) & (F.col("size") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest"))
     return early.join(other, (early["g"] == other["g"]) & can).select(F.col("doc_id").alias("a"), "b").distinct()
@@ -226,9 +261,9 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     document. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    group = Window.partitionBy("sig")
+    group = Window.partitionBy("sig", "check")
     shared = _signed(docs).withColumn("centre", F.min("doc_id").over(group)).withColumn("far", F.max("doc_id").over(group))
-    shared = scratch.write(shared.where((F.col("n") >= 0) | (F.col("centre") != F.col("far"))).drop("far"))
+    shared = scratch.write(shared.where((F.col("n") >= 0) | (F.col("centre") != F.col("far"))).withColumn("centre", F.coalesce("of", "centre")).drop("far", "of", "check"))
     equal = shared.where("n > 0 and doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
     near = scratch.write(_enough(shared.where("n < 0")))
     # The written list of ids is small enough to be sent to the texts, or its size tells Spark that it isn't.

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, table
-from tessera.llm.quality_rules import MEASURES, _repeats, measure
-from tessera.llm.words import Words, bounds, no_nulls, slices
+from tessera.llm.quality_rules import MEASURES, measure
+from tessera.llm.words import Words, bounds, no_nulls, repeats, slices
 
 COSINES, WIDTH, RIDGE, SEED, BINS = 256, 2.0, 1e-3, 20240101, 1000
 FOLDS, THRESHOLD = 5, 0.3
@@ -42,9 +42,9 @@ def features(texts: pa.Array) -> np.ndarray:
         raw = bounds(texts.slice(a, b - a))[0]
         n = np.maximum(np.diff(w.at), 1)
         per = lambda mask, w=w: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.off])
-        _, later = _repeats(w.hash, w.doc)
-        same = np.zeros(len(w.hash), bool)
-        same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+        _, later = repeats(w.code, w.doc)
+        same = np.zeros(len(w.code), bool)
+        same[1:] = (w.code[1:] == w.code[:-1]) & (w.doc[1:] == w.doc[:-1])
         size = np.maximum(np.diff(w.off), 1)
         count = lambda mask, w=w: np.bincount(w.doc[mask], minlength=w.docs)
         rest.append([1 - count(later) / n, count(same) / n, per(_UPPER[raw]) / np.maximum(per(_ALPHA[raw]), 1), per(_DIGIT[raw]) / size, per(_STOP[raw]) / n, per(raw >= 0x80) / size])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import table
-from tessera.llm.words import Words, bounds, mix, no_nulls, slices, span_hash
+from tessera.llm.words import Words, codes, no_nulls, repeats, slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -23,18 +23,6 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 _STRUCT = pa.struct([(m, pa.int64()) for m in MEASURES])
 
 
-def _repeats(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of keys within documents: which occur twice or more, and which equal an earlier one (input order is document order)."""
-    with np.errstate(over="ignore"):
-        own = mix(key + mix(doc.astype(np.uint64)))
-    order = np.argsort(own, kind="stable")
-    same = own[order][1:] == own[order][:-1]
-    often, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    often[order[1:][same]] = often[order[:-1][same]] = True
-    later[order[1:][same]] = True
-    return often, later
-
-
 def measure(texts: pa.Array) -> pa.Array:
     """The measurements of each text, as a struct (null texts count as empty)."""
     texts = no_nulls(texts)
@@ -55,11 +43,12 @@ def measure(texts: pa.Array) -> pa.Array:
         start = np.minimum(start, end)
         seen = np.concatenate([[0], np.cumsum(w.inside)])
         has = seen[end] > seen[start]
-        _, later = _repeats(span_hash(w.data, start[has], end[has]), line_doc[has])
+        number, _ = codes(w.data, w.data != 10, start)
+        _, later = repeats(number[has], line_doc[has])
         n_lines = np.bincount(line_doc, minlength=n)
         n_dup = np.bincount(line_doc[has][later], minlength=n)
-        grams, first = w.grams(3)
-        often, _ = _repeats(grams, w.doc[first])
+        grams, first = w.gram_codes(3)
+        often, _ = repeats(grams, w.doc[first])
         covered = np.zeros(len(w.doc) + 3, bool)
         for j in range(3):
             covered[first[often] + j] = True

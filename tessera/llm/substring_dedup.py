@@ -1,14 +1,15 @@
-"""Removal of repeated byte strings by sampled positions, in place of prefix doubling over all.
-
-A position's rank is first that of the KEY bytes there, then of longer strings around it, of fixed lengths, until it is unique
-or the strings are LENGTH bytes long. No ranks are paired at doubled offsets. What is unique drops out after each round. Ranks
-are 64-bit fingerprints, the same wherever a string occurs, so no round has to number them.
-
-What ranking every byte would cost is not measured. Positions are sampled by content: of the KEY-byte strings in each
-window of LENGTH bytes, the one of the least fingerprint is the window's anchor. Equal windows have their anchors at equal
-offsets, so windows only need comparing where anchors agree, and a window that repeats is never missed. An anchor stands
-for the run of windows that chose it; a round looks at aligned pieces of runs, of 64 windows, then 8, then one:
-the string that all windows of a piece share is its rank, and the string they span tells whether whole pieces are equal.
+"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+
+Positions are ranked by the KEY bytes there, then by the pair of that rank and the rank KEY bytes further on, which names twice
+as many bytes, then by the pair of two such names that cover LENGTH bytes: 37, 74, 100. Spark sorts the pairs in each round; what
+is unique drops out, and so does what is known to repeat. Within a task the first ranks come about in the same way, from pairs of
+8, 16 and 32 bytes. Ranks are 64-bit names that depend on the string alone, so no round has to number them.
+
+Not every position is ranked but a sample that its content chooses: of the KEY-byte strings in each window of LENGTH bytes, the
+one of the least rank is the window's anchor. Equal windows have their anchors at equal offsets, so windows only need comparing
+where anchors agree, and a window that repeats is never missed. An anchor stands for the run of windows that chose it; a round
+looks at aligned pieces of runs, of 64 windows, then 27, then one: the string that all windows of a piece share, as long as the
+round's ranks, is sorted, and the string that they span tells whether whole pieces are equal.
 """
 
 from __future__ import annotations
@@ -24,23 +25,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, table
-from tessera.llm.words import bounds, mix, no_nulls, slices, span_hash
+from tessera.llm.words import Ranks, bounds, mix, no_nulls, pair, slices
 
 LENGTH, KEY = 100, 37
-SPAN = LENGTH - KEY + 1  # windows that can share an anchor: 64, so that pieces are aligned powers of two
+SPAN = LENGTH - KEY + 1  # windows that can share an anchor
+HALF = LENGTH - 2 * KEY + 1  # windows that share 2 * KEY bytes
 #: Bytes ranked at once; longer documents are ranked in overlapping parts.
 PART = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The anchors of documents data[off[i]:off[i+1]]: document, anchor's place in it, least and greatest offset of its windows, rank, fingerprint of all that they span."""
+    """The anchors of documents data[off[i]:off[i+1]]: document, anchor's place in it, least and greatest offset of its windows, rank, name of all that they span."""
     empty = np.zeros(0, np.int64)
     n = len(data)
     if n < LENGTH:
         return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    ranks = Ranks(data, 64)
+    rank = ranks.of(slice(None), 32, KEY - 32)
     at = np.arange(n - KEY + 1)
-    rank = span_hash(data, at, at + KEY)
     # The least of each 64 in a row, the leftmost on a tie: minima of 2, 4, ... 64.
     least = (rank & ~_PLACE) | at.astype(np.uint64)
     for step in (1, 2, 4, 8, 16, 32):
@@ -55,7 +58,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.concatenate([first[1:], [len(windows)]]) - 1
     place = anchor[first]
     low, high = place - windows[last], place - windows[first]
-    whole = span_hash(data, windows[first], windows[last] + LENGTH)
+    whole = ranks.spans(windows[first], windows[last] + LENGTH)
     with np.errstate(over="ignore"):
         whole = mix(whole + (low * SPAN + high).astype(np.uint64))
     doc = np.searchsorted(off, place, "right") - 1
@@ -102,23 +105,23 @@ def _ranked(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """rows (rank, whole, doc, place, ...) that say something, with ``repeat`` and ``open``.
+def _settle(rows: DataFrame, *rank: str) -> DataFrame:
+    """rows (rank..., whole, doc, place, ...) that say something, with ``repeat`` and ``open``.
 
     A row repeats if one of equal rank and whole is earlier. The earliest is open if its rank has another whole: only parts of
     it may be equal. All else is unique, or the first of equals, and drops out. One sort by rank; groups stream through it.
     """
-    earlier = F.row_number().over(Window.partitionBy("rank", "whole").orderBy("doc", "place")) > 1
-    group = Window.partitionBy("rank")
-    rows = rows.repartition("rank").withColumn("repeat", F.col("repeat") | earlier).withColumn("least", F.min("whole").over(group)).withColumn("most", F.max("whole").over(group))
+    earlier = F.row_number().over(Window.partitionBy(*rank, "whole").orderBy("doc", "place")) > 1
+    group = Window.partitionBy(*rank)
+    rows = rows.repartition(*rank).withColumn("repeat", F.col("repeat") | earlier).withColumn("least", F.min("whole").over(group)).withColumn("most", F.max("whole").over(group))
     return rows.where("repeat or least <> most").withColumn("open", ~F.col("repeat")).drop("least", "most")
 
 
 def _with_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """The open anchors (rank, doc, place, low, high) with the bytes that their windows span."""
-    lists = open_.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("rank", "place", "low", "high")).alias("anchors"))
+    """The open anchors (doc, place, low, high) with the bytes that their windows span."""
+    lists = open_.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("place", "low", "high")).alias("anchors"))
     joined = docs.select("doc", "text").join(lists, F.col("doc").eqNullSafe(F.col("of"))).drop("of")
-    schema = T.StructType([f for f in open_.schema if f.name in ("rank", "doc", "place", "low", "high")] + [T.StructField("bytes", T.BinaryType())])
+    schema = T.StructType([f for f in open_.schema if f.name in ("doc", "place", "low", "high")] + [T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,20 +130,22 @@ def _with_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
                 own = b["anchors"][i].values
                 place, low, high = (own.field(f).to_numpy() for f in ("place", "low", "high"))
                 cut = [text[p - h : p - l + LENGTH] for p, l, h in zip(place.tolist(), low.tolist(), high.tolist(), strict=True)]
-                columns = {"rank": own.field("rank"), "doc": b["doc"].take(pa.array(np.full(len(cut), i))), "place": own.field("place"), "low": own.field("low"), "high": own.field("high"), "bytes": pa.array(cut, pa.binary())}
+                columns = {"doc": b["doc"].take(pa.array(np.full(len(cut), i))), "place": own.field("place"), "low": own.field("low"), "high": own.field("high"), "bytes": pa.array(cut, pa.binary())}
                 yield pa.RecordBatch.from_arrays([columns[f] for f in schema.names], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
 def _finer(rows: DataFrame, size: int) -> DataFrame:
-    """Open pieces (rank, doc, place, low, high, bytes) cut into aligned pieces of size windows, with their new ranks.
+    """Open pieces (doc, place, low, high, bytes) cut into aligned pieces of size windows, with rank and next, a pair of ranks.
 
-    bytes are those that the piece's windows span; they are carried on while pieces have more than one window.
+    Pieces of HALF windows share 2 * KEY bytes, named by the ranks of their two halves; single windows, of LENGTH bytes, are named
+    by two overlapping such pairs. bytes are those that the piece's windows span; they are carried on while pieces have more
+    than one window.
     """
     keep = size > 1
-    names = ["rank", "whole", "doc", "place", "low", "high", "repeat"] + ["bytes"] * keep
-    types = {"rank": T.LongType(), "whole": T.LongType(), "repeat": T.BooleanType(), "bytes": T.BinaryType()}
+    names = ["rank", "next", "whole", "doc", "place", "low", "high", "repeat"] + ["bytes"] * keep
+    types = {"rank": T.LongType(), "next": T.LongType(), "whole": T.LongType(), "repeat": T.BooleanType(), "bytes": T.BinaryType()}
     schema = T.StructType([T.StructField(n, types[n]) if n in types else rows.schema[n] for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +159,14 @@ def _finer(rows: DataFrame, size: int) -> DataFrame:
                 piece = low[i] // size + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
                 least, most = np.maximum(low[i], piece * size), np.minimum(high[i], piece * size + size - 1)
                 at = off[:-1][i] + high[i]  # the anchor's place in the slice's bytes
-                inner = span_hash(data, at - piece * size, at - (piece * size + size - 1) + LENGTH)
-                outer = span_hash(data, at - most, at - least + LENGTH)
+                shared, ranks = at - piece * size, Ranks(data, 64)  # where the bytes begin that all windows of the piece share
+                one = lambda p: ranks.of(p, 32, KEY - 32)
+                two = lambda p: pair(one(p), one(p + KEY))
+                rank, then = (one(shared), one(shared + KEY)) if keep else (two(shared), two(shared + LENGTH - 2 * KEY))
                 with np.errstate(over="ignore"):
-                    rank = mix(c["rank"].to_numpy().view(np.uint64)[i] + mix(inner + piece.astype(np.uint64)))
-                    whole = mix(outer + (least * SPAN + most).astype(np.uint64))
+                    whole = mix(ranks.spans(at - most, at - least + LENGTH) + (least * SPAN + most).astype(np.uint64))
                 take = pa.array(i)
-                columns = [pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), c["doc"].take(take), c["place"].take(take), pa.array(least.astype(np.int8)), pa.array(most.astype(np.int8)), pa.array(np.zeros(len(i), bool))]
+                columns = [pa.array(rank.view(np.int64)), pa.array(then.view(np.int64)), pa.array(whole.view(np.int64)), c["doc"].take(take), c["place"].take(take), pa.array(least.astype(np.int8)), pa.array(most.astype(np.int8)), pa.array(np.zeros(len(i), bool))]
                 if keep:
                     raw = data.tobytes()
                     columns.append(pa.array([raw[x:y] for x, y in zip((at - most).tolist(), (at - least + LENGTH).tolist(), strict=True)], pa.binary()))
@@ -172,11 +178,11 @@ def _finer(rows: DataFrame, size: int) -> DataFrame:
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, start, end): the byte ranges of docs (doc, order, tie, text) that repeat an earlier string; they may overlap."""
     spans = lambda d: d.where("repeat").select("doc", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + LENGTH).alias("end"))
-    found = scratch.write(_settle(_ranked(docs)))
+    found = scratch.write(_settle(_ranked(docs), "rank"))
     out = spans(found)
     rows = scratch.write(_with_bytes(docs, found.where("open")))
-    for size in (8, 1):
-        found = scratch.write(_settle(_finer(rows, size)))
+    for size in (HALF, 1):
+        found = scratch.write(_settle(_finer(rows, size), "rank", "next"))
         out = out.union(spans(found))
         rows = found.where("open")
     return out

@@ -166,6 +166,46 @@ def test_sets_of_ten_to_forty_share_enough_signatures():
             assert enough(a, b), (n, more, less, span)
 
 
+def thue_morse():
+    """Two texts of one word each that differ in every byte and have equal polynomial hashes modulo 2**64, whatever the base."""
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_texts_are_told_apart(spark, scratch):
+    a, b = thue_morse()
+    measured = quality_rules.measure(pa.array([f"{a}\n{b}", f"{a}\n{a}", f"{a} {a} {a} {b} {b} {b}", " ".join([a, b, a] * 2)])).to_pylist()
+    assert [(m["n_dup_lines"], m["n_repeat_words"]) for m in measured] == [(0, 0), (1, 0), (0, 0), (0, 6)]
+    got = ngram_join.link(texts(spark, [(1, a), (2, b), (3, a)]), scratch).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+    distinct = quality_classifier.FEATURES.index("distinct_words")
+    assert quality_classifier.features(pa.array([f"{a} {b}", f"{a} {a}"]))[:, distinct].tolist() == [1.0, 0.5]
+    rows = [(1, a), (2, b), (3, a[:300]), (4, b[500:700])]
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(texts(spark, rows), scratch).collect()} == removed(rows)
+
+
+def test_ngram_join_folds_copies_before_signing(spark, scratch):
+    """Copies of a text that a task has met sign nothing, under ids before and after, and when it forgets."""
+    rows = [(i, f"one text that {'is' if i % 3 else 'was'} copied many times over and over again") for i in range(90, 0, -1)] + [(None, "one text"), (100, "one")]
+    signed = ngram_join._signed(texts(spark, rows).coalesce(1)).collect()
+    assert len({r.doc_id for r in signed if r.n < 0}) == 2 and sum(r.of is not None for r in signed) == 88
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, rows), scratch).collect() if r.doc_id is not None}
+    assert got == linked(rows)
+
+
+def test_line_and_gram_codes_are_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b", "é", " ", "\n", "\r", "\t", "ab"]) for _ in range(rng.randint(0, 40)))
+        m = quality_rules.measure(pa.array(["x\n", t, ""])).to_pylist()[1]
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        grams = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeated = {i + j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(3)}
+        assert (m["n_dup_lines"], m["n_repeat_words"], m["n_words"], m["n_lines"]) == (len(lines) - len(set(lines)), len(repeated), len(words), t.count("\n") + 1)
+
+
 def test_components(spark, scratch):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(60, 50), (50, 60), (60, 55)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(e, scratch).collect()}
