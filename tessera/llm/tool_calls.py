@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
 
-CALL, RESULT = r"(?s)<tool_call>(.*?)</tool_call>", r"(?s)<tool_result>(.*?)</tool_result>"
+#: A wrapper ends at the first closing tag outside the strings of its JSON; if there is none, at the first closing tag.
+_WRAPPED = r"(?s)<{0}>((?:[^\"<]++|\"(?:[^\"\\]++|\\.)*+\"|<(?!/{0}>))*+(?=</{0}>)|.*?(?=</{0}>))</{0}>"
+CALL, RESULT = _WRAPPED.format("tool_call"), _WRAPPED.format("tool_result")
 #: An argument of this form stands for the result of the call it names, which must come first.
 REFERENCE = r"\$\{([^}]+)\}"
 
@@ -59,40 +61,56 @@ def _problems(schema: Column, args: Column) -> Column:
     return F.array_sort(F.concat(missing, unknown, wrong))
 
 
+def _key(turn: Column, level: Column | int) -> Column:
+    return F.struct(turn.cast("bigint").alias("turn"), (level if isinstance(level, Column) else F.lit(level)).cast("bigint").alias("level"))
+
+
+def _later(key: Column, by: Column | int) -> Column:
+    return _key(key["turn"], key["level"] + by)
+
+
 def _order(ends: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
     """ends with order keys for each call and its result: (turn, level), a call after the results it needs, a result after its call.
 
-    Keys start from the turns and are only raised, by what a call needs, until nothing changes: a log in order takes one
-    round, one out of order as many as its longest chain of inversions. A key whose level passes the number of the
-    conversation's calls goes round in a circle; such calls keep that level and are reported.
+    Keys start from the turns, and only conversations where that doesn't satisfy a need are looked at further. There, calls
+    without open needs are peeled off round by round, each raising the keys of what needs it. A need of a call that itself
+    has a single open need is replaced by that one, and what both demand of the key is put together: so chains get half as
+    long each round, and rounds grow with their logarithm, not with the conversation. A round that peels nothing is the last
+    one: what is left goes round in a circle, or needs what does, and keeps its own place.
     """
-    key = lambda turn, level: F.struct(turn.alias("turn"), level.alias("level"))
-    zero = F.lit(0).cast("bigint")
-    counts = ends.groupBy("conv_id").agg(F.count("*").alias("n_calls"))
-    keys = ends.join(counts, "conv_id").withColumn("call_key", key(F.coalesce(F.col("call_at.turn"), F.col("result_at.turn")), zero))
-
-    def with_result(k: DataFrame) -> DataFrame:
-        after = key(F.col("call_key.turn"), F.col("call_key.level") + 1)
-        return k.withColumn("result_key", F.when(F.col("result_at").isNotNull(), F.greatest(key(F.col("result_at.turn"), zero), after)))
-
-    keys = scratch.write(with_result(keys))
-    needs = scratch.write(needs)
-    while not needs.isEmpty():
-        after = keys.select("conv_id", F.col("call_id").alias("need"), F.coalesce(F.col("result_key"), F.col("call_key")).alias("k"))
-        raised = needs.join(after, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max(key(F.col("k.turn"), F.col("k.level") + 1)).alias("raised"))
-        raised = raised.withColumn("raised", F.col("raised"))
-        moved = keys.join(raised, ["conv_id", "call_id"], "left").withColumn("old", F.col("call_key"))
-        top = F.greatest("call_key", F.coalesce("raised", F.col("call_key")))
-        moved = moved.withColumn("call_key", F.when(F.col("call_key.level") > 2 * F.col("n_calls"), F.col("call_key")).otherwise(top)).drop("raised", "result_key")
-        moved = scratch.write(with_result(moved))
-        done = moved.where(F.col("old") != F.col("call_key")).isEmpty()
-        scratch.drop(keys)
-        path = moved._scratch_path
-        keys = moved.drop("old")
-        keys._scratch_path = path
-        if done:
-            break
-    return keys.withColumn("circular", F.col("call_key.level") > 2 * F.col("n_calls")).drop("n_calls")
+    ends = scratch.write(ends.withColumn("base", _key(F.coalesce(F.col("call_at.turn"), F.col("result_at.turn")), 0)))
+    # A call's key is at least floor, and at least add levels after the key of the call it needs.
+    first = ends.select("conv_id", F.col("call_id").alias("need"), F.col("base").alias("needed"), F.when(F.col("result_at").isNotNull(), _key(F.col("result_at.turn"), 1)).alias("floor"), F.when(F.col("result_at").isNotNull(), 2).otherwise(1).cast("bigint").alias("add"))
+    edges = needs.join(first, ["conv_id", "need"]).join(ends.select("conv_id", "call_id", "base"), ["conv_id", "call_id"])
+    edges = scratch.write(edges.withColumn("early", F.col("base") < F.greatest("floor", _later(F.col("needed"), F.col("add")))).drop("base", "needed"))
+    astray = scratch.write(edges.where("early").select("conv_id").distinct())
+    finals = None
+    if not astray.isEmpty():
+        nodes = scratch.write(ends.join(astray, "conv_id", "left_semi").select("conv_id", "call_id", F.col("base").alias("key")))
+        waits = scratch.write(edges.join(astray, "conv_id", "left_semi").drop("early"))
+        while True:
+            waiting = waits.select("conv_id", "call_id").distinct()
+            peeled = nodes.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", F.col("call_id").alias("need"), F.col("key").alias("known"))
+            step = scratch.write(waits.join(peeled, ["conv_id", "need"], "left"))
+            if step.where("known is not null").isEmpty():
+                finals = nodes.join(waiting.withColumn("circular", F.lit(True)), ["conv_id", "call_id"], "left")
+                break
+            raised = step.where("known is not null").groupBy("conv_id", "call_id").agg(F.max(F.greatest("floor", _later(F.col("known"), F.col("add")))).alias("raised"))
+            nodes = scratch.write(nodes.join(raised, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("key", "raised").alias("key")))
+            left = step.where("known is null").drop("known")
+            single = left.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.max(F.struct("need", "floor", "add")).alias("up")).where("n = 1")
+            single = single.join(nodes, ["conv_id", "call_id"]).select("conv_id", F.col("call_id").alias("need"), "up", "key")
+            jumped = left.join(single, ["conv_id", "need"], "left")
+            past = F.col("up").isNotNull()
+            floor = F.when(past, F.greatest("floor", _later(F.greatest("key", "up.floor"), F.col("add")))).otherwise(F.col("floor"))
+            waits = jumped.select("conv_id", "call_id", F.coalesce("up.need", "need").alias("need"), floor.alias("floor"), (F.col("add") + F.coalesce("up.add", F.lit(0))).alias("add"))
+            waits = scratch.write(waits.groupBy("conv_id", "call_id", "need").agg(F.max("floor").alias("floor"), F.max("add").alias("add")))
+    if finals is None:
+        keyed = ends.withColumn("circular", F.lit(False)).withColumn("call_key", F.col("base"))
+    else:
+        keyed = ends.join(finals, ["conv_id", "call_id"], "left").withColumn("circular", F.coalesce("circular", F.lit(False))).withColumn("call_key", F.coalesce("key", "base")).drop("key")
+    result = F.when(F.col("result_at").isNotNull(), F.greatest(_key(F.col("result_at.turn"), 0), _later(F.col("call_key"), 1)))
+    return keyed.withColumn("result_key", result).drop("base")
 
 
 def link(messages: DataFrame, schemas: DataFrame, scratch: Scratch, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -102,7 +120,8 @@ def link(messages: DataFrame, schemas: DataFrame, scratch: Scratch, conv_col: st
     without parameters. Sorting a conversation by (order_turn, order_level, turn, part) gives an order in which calls precede
     their results and follow the results they refer to. json is canonical: sorted keys, no spaces.
 
-    status of calls: ok, invalid (see problems), unknown_tool, duplicate (an earlier call has its id), unanswered, circular;
+    status of calls: ok, invalid (see problems), unknown_tool, duplicate (an earlier call has its id), unanswered, circular (it needs
+    its own result, by way of others perhaps, or that of such a call; it keeps its place);
     of results: ok, orphan (no such call), duplicate; of both: malformed (no JSON object, or no id). Messages are ok. Null and
     empty texts are empty messages. Null conversations are never linked. Repeated rows repeat their events, of which the
     first is the one linked. Other columns are ignored; an empty table gives no rows.
@@ -134,6 +153,7 @@ def link(messages: DataFrame, schemas: DataFrame, scratch: Scratch, conv_col: st
         .when(is_call & F.col("result_at").isNull(), "unanswered").otherwise("ok")
     )
     own = F.when(is_call & (at == F.col("call_at")), F.col("call_key")).when(is_result & (at == F.col("result_at")) & F.col("call_at").isNotNull(), F.col("result_key"))
+    own = F.when(~F.col("circular"), own)
     shown = (
         F.when(F.col("body").isNull(), F.to_json(F.struct(F.col("raw").alias("content"), F.col("role"))))
         .when(is_call, F.to_json(F.struct(args.alias("arguments"), F.col("call_id").alias("id"), "name", "role", F.lit("tool_call").alias("type"))))
@@ -146,34 +166,78 @@ def link(messages: DataFrame, schemas: DataFrame, scratch: Scratch, conv_col: st
 
 
 def as_tool_log(conversations: DataFrame) -> DataFrame:
-    """Question-and-answer turns as a tool log: a user turn calls ``reply``, an assistant turn is the result of the turn before it.
+    """Question-and-answer turns as a tool log that has all that a log can have, by rules on the length of a turn's text.
+
+    A user turn calls ``reply`` under an id made of conversation and turn, an assistant turn is the result of the turn before
+    it, other turns stay messages. Of a user turn of L characters the call
+
+    * refers to the result of two turns before if 3 divides L, and of two turns later, which is out of order, if 5 does;
+    * leaves out its prompt if L mod 7 is 1, gives n_chars as a string if it is 2, and has an argument too many if 11 divides L;
+    * has the id of the turn two before if 17 divides L, and names an unknown tool if 19 does.
 
-    Other turns stay messages. Turns without a text make calls without a prompt.
+    Of an assistant turn the result has no id if 29 divides L, and is another one for the call three turns before if 31 does.
     """
     turn_id = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    call = F.to_json(F.struct(turn_id(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct(F.col("text").alias("prompt"), F.char_length("text").alias("n_chars")).alias("arguments")))
-    result = F.to_json(F.struct(turn_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")))
-    text = F.when(F.col("role") == "user", F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>"))).when(F.col("role") == "assistant", F.concat(F.lit("<tool_result>"), result, F.lit("</tool_result>"))).otherwise(F.col("text"))
+    turn, n = F.col("turn"), F.char_length(F.coalesce("text", F.lit("")))
+    reference = lambda word, t: F.concat(F.lit(word + " ${"), turn_id(t), F.lit("}"))
+    context = F.concat_ws(" ", F.when((n % 3 == 0) & (turn >= 2), reference("after", turn - 2)), F.when(n % 5 == 0, reference("before", turn + 2)))
+    arguments = lambda n_chars: F.struct(F.when(n % 7 != 1, F.col("text")).alias("prompt"), n_chars.alias("n_chars"), F.nullif(context, F.lit("")).alias("context"), F.when(n % 11 == 0, "x").alias("note"))
+    head = F.when((n % 17 == 0) & (turn >= 2), turn_id(turn - 2)).otherwise(turn_id(turn)).alias("id"), F.when(n % 19 == 0, "lookup").otherwise("reply").alias("name")
+    written = lambda n_chars: F.to_json(F.struct(*head, arguments(n_chars).alias("arguments")))
+    call = F.when(n % 7 == 2, written(n.cast("string"))).otherwise(written(n))
+    of = F.when(n % 29 != 0, F.when((n % 31 == 0) & (turn >= 3), turn_id(turn - 3)).otherwise(turn_id(turn - 1)))
+    result = F.to_json(F.struct(of.alias("call_id"), F.col("text").alias("content")))
+    wrapped = lambda tag, body: F.concat(F.lit(f"<{tag}>"), body, F.lit(f"</{tag}>"))
+    text = F.when(F.col("role") == "user", wrapped("tool_call", call)).when(F.col("role") == "assistant", wrapped("tool_result", result)).otherwise(F.col("text"))
     return conversations.select("conv_id", "turn", "role", text.alias("text"))
 
 
 def op6_tool_calls(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tool-calls")
-    schemas = spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "n_chars", "integer", True)], "name string, param string, type string, required boolean")
+    schemas = [("reply", "prompt", "string", True), ("reply", "n_chars", "integer", True), ("reply", "context", "string", False)]
+    schemas = spark.createDataFrame(schemas, "name string, param string, type string, required boolean")
     out = link(as_tool_log(table(spark, sf_dir, "conversations")), schemas, scratch)
-    return out.select("conv_id", "turn", F.col("part").cast("bigint").alias("part"), "role", "kind", "call_id", "linked_turn", "status", "problems", "order_turn", "order_level", "json")
+    return out.select("conv_id", "turn", F.col("part").cast("bigint").alias("part"), "role", "kind", "call_id", "name", "linked_turn", "status", "problems", "order_turn", "order_level", "json")
 
 
 OP6_SQL = """
-WITH t AS (SELECT conv_id, turn::BIGINT AS turn, role, text,
-                  CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-                  CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id FROM conversations),
-j AS (SELECT t.*, o.turn AS linked_turn FROM t LEFT JOIN t o ON t.conv_id = o.conv_id AND t.call_id = o.call_id AND t.kind <> 'message' AND o.kind <> t.kind)
-SELECT conv_id, turn, 0::BIGINT AS part, role, kind, call_id, linked_turn,
-       CASE WHEN kind = 'message' THEN 'ok' WHEN linked_turn IS NOT NULL THEN 'ok' WHEN kind = 'call' THEN 'unanswered' ELSE 'orphan' END AS status,
-       '' AS problems, turn AS order_turn, 0::BIGINT AS order_level,
-       CASE kind WHEN 'message' THEN '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}'
-                 WHEN 'call' THEN '{"arguments":{"n_chars":' || length(text) || ',"prompt":' || to_json(text) || '},"id":' || to_json(call_id) || ',"name":"reply","role":' || to_json(role) || ',"type":"tool_call"}'
-                 ELSE '{"call_id":' || to_json(call_id) || ',"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"tool_result"}' END AS json
-FROM j
+WITH RECURSIVE u AS (SELECT conv_id, turn::BIGINT AS turn, role, text, length(coalesce(text, '')) AS n FROM conversations),
+e AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+             CASE WHEN role = 'user' THEN conv_id || ':' || CASE WHEN n % 17 = 0 AND turn >= 2 THEN turn - 2 ELSE turn END
+                  WHEN role = 'assistant' AND n % 29 <> 0 THEN conv_id || ':' || CASE WHEN n % 31 = 0 AND turn >= 3 THEN turn - 3 ELSE turn - 1 END END AS call_id,
+             CASE WHEN role = 'user' THEN CASE WHEN n % 19 = 0 THEN 'lookup' ELSE 'reply' END END AS name,
+             CASE WHEN role = 'user' AND n % 3 = 0 AND turn >= 2 THEN conv_id || ':' || (turn - 2) END AS needs_before,
+             CASE WHEN role = 'user' AND n % 5 = 0 THEN conv_id || ':' || (turn + 2) END AS needs_later FROM u),
+c AS (SELECT conv_id, call_id, min(turn) AS called FROM e WHERE kind = 'call' GROUP BY 1, 2),
+r AS (SELECT conv_id, call_id, min(turn) AS answered FROM e WHERE kind = 'result' AND call_id IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT conv_id, call_id, called, answered, coalesce(called, answered) AS base FROM c FULL JOIN r USING (conv_id, call_id)),
+n AS (SELECT e.conv_id, e.call_id AS b, need AS a FROM e JOIN c ON c.conv_id = e.conv_id AND c.call_id = e.call_id AND c.called = e.turn AND e.kind = 'call', unnest([needs_before, needs_later]) AS t(need)
+      JOIN x ON x.conv_id = e.conv_id AND x.call_id = need),
+reach AS (SELECT conv_id, a, b FROM n UNION SELECT reach.conv_id, reach.a, n.b FROM reach JOIN n ON n.conv_id = reach.conv_id AND n.a = reach.b),
+circular AS (SELECT DISTINCT z.conv_id, z.b AS call_id FROM reach y JOIN reach z ON y.conv_id = z.conv_id AND y.a = y.b AND z.a = y.a),
+walk AS (
+  SELECT conv_id, call_id AS node, base AS t, 0::BIGINT AS l, [call_id] AS path FROM x
+  UNION ALL
+  SELECT w.conv_id, n.b, CASE WHEN xb.base > after_t THEN xb.base ELSE after_t END, CASE WHEN xb.base > after_t THEN 0 ELSE after_l END, list_append(path, n.b)
+  FROM (SELECT walk.*, CASE WHEN answered > t THEN answered ELSE t END AS after_t, CASE WHEN answered IS NULL THEN l + 1 WHEN answered > t THEN 1 ELSE l + 2 END AS after_l FROM walk JOIN x ON x.conv_id = walk.conv_id AND x.call_id = walk.node) w
+  JOIN n ON n.conv_id = w.conv_id AND n.a = w.node JOIN x xb ON xb.conv_id = n.conv_id AND xb.call_id = n.b WHERE NOT list_contains(path, n.b)),
+k AS (SELECT conv_id, node AS call_id, max(t * 100000 + l) // 100000 AS t, max(t * 100000 + l) % 100000 AS l FROM walk GROUP BY 1, 2),
+o AS (SELECT x.conv_id, x.call_id, called, answered, t, l, circular.call_id IS NOT NULL AS circular, CASE WHEN answered > t THEN answered ELSE t END AS rt, CASE WHEN answered > t THEN 0 ELSE l + 1 END AS rl
+      FROM x JOIN k USING (conv_id, call_id) LEFT JOIN circular USING (conv_id, call_id)),
+p AS (SELECT e.*, called, answered, t, l, rt, rl, circular,
+             CASE WHEN kind = 'call' THEN nullif(concat_ws(' ', 'after ${' || needs_before || '}', 'before ${' || needs_later || '}'), '') END AS context,
+             CASE WHEN kind = 'call' AND name = 'reply' THEN concat_ws(',', CASE WHEN n % 7 = 1 THEN 'missing:prompt' END, CASE WHEN n % 7 = 2 THEN 'type:n_chars' END, CASE WHEN n % 11 = 0 THEN 'unknown:note' END) ELSE '' END AS problems
+      FROM e LEFT JOIN o ON o.conv_id = e.conv_id AND o.call_id = e.call_id)
+SELECT conv_id, turn, 0::BIGINT AS part, role, kind, call_id, name, CASE kind WHEN 'call' THEN answered WHEN 'result' THEN called END AS linked_turn,
+       CASE WHEN kind = 'message' THEN 'ok' WHEN call_id IS NULL THEN 'malformed' WHEN kind = 'call' AND turn <> called THEN 'duplicate' WHEN kind = 'result' AND called IS NULL THEN 'orphan'
+            WHEN kind = 'result' AND turn <> answered THEN 'duplicate' WHEN circular THEN 'circular' WHEN name = 'lookup' THEN 'unknown_tool' WHEN problems <> '' THEN 'invalid'
+            WHEN kind = 'call' AND answered IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+       problems,
+       CASE WHEN circular THEN turn WHEN kind = 'call' AND turn = called THEN t WHEN kind = 'result' AND turn = answered AND called IS NOT NULL THEN rt ELSE turn END AS order_turn,
+       CASE WHEN circular THEN 0 WHEN kind = 'call' AND turn = called THEN l WHEN kind = 'result' AND turn = answered AND called IS NOT NULL THEN rl ELSE 0 END::BIGINT AS order_level,
+       CASE kind WHEN 'message' THEN '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(role) || '}'
+                 WHEN 'call' THEN '{"arguments":{' || concat_ws(',', '"context":' || to_json(context), '"n_chars":' || CASE WHEN n % 7 = 2 THEN '"' || n || '"' ELSE n::VARCHAR END, CASE WHEN n % 11 = 0 THEN '"note":"x"' END, CASE WHEN n % 7 <> 1 THEN '"prompt":' || to_json(text) END)
+                      || '},"id":' || to_json(call_id) || ',"name":' || to_json(name) || ',"role":' || to_json(role) || ',"type":"tool_call"}'
+                 ELSE '{' || concat_ws(',', '"call_id":' || to_json(call_id), '"content":' || to_json(text), '"role":' || to_json(role)) || ',"type":"tool_result"}' END AS json
+FROM p
 """

@@ -506,6 +506,45 @@ def test_tool_calls(spark, scratch):
     assert chat(spark, scratch, []).count() == 0 and at["c", 7, "message", None].json == '{"content":"","role":"user"}'
 
 
+def test_tool_calls_out_of_order(spark, scratch, monkeypatch):
+    """Chains, forks and circles out of order: every call comes after what it needs, in rounds that don't grow with the log."""
+    n, tables = 40, []
+    monkeypatch.setattr(Scratch, "write", lambda self, *a, _w=Scratch.write, **k: (tables.append(1), _w(self, *a, **k))[1])
+    chain = [("c", i, "assistant", call(f"k{i}", "search", query=f"${{k{i + 1}}}" if i < n else "x")) for i in range(n + 1)] + [("c", n + 1 + i, "tool", result(f"k{i}", i)) for i in range(0, n + 1, 3)]
+    fork = [("f", 1, "assistant", call("a", "search", query="${b} ${c} ${lost}")), ("f", 2, "assistant", call("b", "search", query="${d}")), ("f", 3, "assistant", call("c", "search", query="${d}")), ("f", 4, "assistant", call("d", "now")), ("f", 0, "tool", result("d", 1))]
+    circle = [("e", i, "assistant", call(f"k{i}", "search", query=f"${{k{(i + 1) % 5}}}")) for i in range(5)] + [("e", 6, "assistant", call("after", "search", query="${k2}")), ("e", 7, "assistant", call("free", "now"))]
+    got = [r for r in chat(spark, scratch, chain + fork + circle).collect() if r.kind != "message"]
+    place = {(r.conv_id, r.kind, r.call_id): (r.order_turn, r.order_level, r.turn, r.part) for r in got}
+    for (conv, kind, i), at in place.items():
+        if kind == "result":
+            assert place[conv, "call", i] < at
+    for i in range(n):
+        assert place["c", "result" if ("c", "result", f"k{i + 1}") in place else "call", f"k{i + 1}"] < place["c", "call", f"k{i}"]
+    assert place["f", "result", "d"] < min(place["f", "call", "b"], place["f", "call", "c"]) and max(place["f", "call", "b"], place["f", "call", "c"]) < place["f", "call", "a"]
+    assert {r.call_id for r in got if r.status == "circular"} == {"k0", "k1", "k2", "k3", "k4", "after"} and place["e", "call", "k3"] == (3, 0, 3, 0)
+    assert len(tables) < 40
+
+
+def test_tool_calls_wrappers_and_repeats(spark, scratch):
+    """Closing tags inside JSON strings, broken JSON, long texts, repeated rows."""
+    tricky, long = 'a </tool_call> b \\" </tool_result> {"', "x" * 300_000
+    rows = [("c", 1, "assistant", "so " + call("a", "search", query=tricky) + " then " + call("b", "now")), ("c", 2, "tool", result("a", tricky)), ("c", 3, "assistant", '<tool_call>{"id": "z</tool_call> and <tool_call>{"id":"y","name":"now"}</tool_call>'), ("c", 4, "tool", result("b", long)), ("c", 4, "tool", result("b", long)), ("c", 5, "user", long)]
+    got = chat(spark, scratch, rows).collect()
+    calls = {r.call_id: r for r in got if r.kind == "call"}
+    assert json.loads(calls["a"].json)["arguments"] == {"query": tricky} and calls["a"].linked_turn == 2 and calls["b"].status == "ok"
+    assert json.loads(next(r for r in got if r.call_id == "a" and r.kind == "result").json)["content"] == tricky
+    assert [r.json for r in got if r.turn == 1 and r.kind == "message"] == ['{"content":"so  then","role":"assistant"}']
+    assert {r.status for r in got if r.turn == 3} == {"malformed", "ok", "unanswered"}
+    assert [(r.status, len(r.json) > 300_000) for r in got if r.turn == 4] == [("ok", True)] * 2 and len([r for r in got if r.turn == 5]) == 1
+
+
+def test_tool_call_query_has_every_case(spark):
+    got = QUERIES["op6_tool_calls"](spark, "/root/testdata/sf0.01").collect()
+    status = collections.Counter((r.kind, r.status) for r in got)
+    assert {("call", s) for s in ("ok", "invalid", "unknown_tool", "duplicate", "unanswered", "circular")} | {("result", s) for s in ("ok", "orphan", "duplicate", "malformed", "circular")} | {("message", "ok")} <= set(status)
+    assert any(r.order_level > 0 for r in got)
+
+
 def test_classifier(spark, scratch):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(rng.randint(40, 90))) + "."
