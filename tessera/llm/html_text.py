@@ -4,7 +4,8 @@ Every DOM node gets the characters per tag of its subtree, adjusted for how much
 adds up its children's densities. The subtree of the largest sum is the article. The least density on the path from it up to
 the body is the threshold for what else on the page counts as content. Elements that are boilerplate by their meaning
 (menus, forms, scripts, adverts, comments and so on) take no part. A class, id or role alone doesn't drop what can be the
-article: an element around an ``article`` or ``main``, or, where the page has none, around the largest sum.
+article: an element around an ``article`` or ``main``, or, where the page has none, around the largest sum. A form that goes
+around an ``article``, ``main`` or ``h1`` is the page's, and stays but for its controls.
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold the article's text.
-DROPPED = frozenset("aside button canvas datalist dialog footer form frame frameset head header iframe input label menu nav noembed noframes noscript object script select style svg template textarea title xmp".split())
+DROPPED = frozenset("aside button canvas datalist dialog footer frame frameset head header iframe input menu nav noembed noframes noscript object script select style svg template textarea title xmp".split())
 #: Words of classes, ids and roles that mark boilerplate. A name marks it if it has one and no words but these and the plain ones.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation navigation newsletter notice notification overlay pagination popup promo promoted promotion respond search share sharing sidebar skip sponsor sponsored subscribe subscription toolbar".split()
+    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification overlay pagination popup promo promoted promotion respond search share sharing sidebar skip sponsor sponsored subscribe subscription toolbar".split()
 )
 #: Words that say where on a page something is or what shape it has.
 PLAIN = frozenset("area bar block bottom box container global inner left links list main page primary right secondary section site slot top unit wrap wrapper".split())
 #: Elements that may be the article: those that hold blocks. Others count by their density, as the children of these.
-CONTAINERS = frozenset("#root html body main article section div center blockquote details dl fieldset figure ol ul li table tbody tr td".split())
+CONTAINERS = frozenset("#root html body main article section div form center blockquote details dl fieldset figure ol ul li table tbody tr td".split())
 #: These start tags end an open element of the same group.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -70,6 +71,8 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.drop, self.marked = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, str]] = []  # text; a break between blocks is the empty string
+        #: Where in the stack the open elements of each name are, so that no tag searches a deep stack in vain.
+        self.open: dict[str, list[int]] = {}
         stack, at, end = [0], 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
@@ -104,24 +107,29 @@ class _Page:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else end
                 continue
+            self.open.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
+    def _last(self, tags: set[str]) -> int:
+        """The place in the stack of the innermost open element of one of these names, or 0."""
+        return max((at[-1] for t in tags if (at := self.open.get(t))), default=0)
+
+    def _cut(self, stack: list[int], at: int) -> None:
+        for node in stack[at:]:
+            self.open[self.tag[node]].pop()
+        del stack[at:]
+
     def end_open(self, stack: list[int], tags: set[str], scope: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] in tags:
-                self.pieces.append((self.parent[stack[i]], ""))
-                del stack[i:]
-                return
-            if self.tag[stack[i]] in scope:
-                return
+        at = self._last(tags)
+        if at > self._last(scope):
+            self.pieces.append((self.parent[stack[at]], ""))
+            self._cut(stack, at)
 
     def close(self, stack: list[int], tag: str) -> None:
         if tag in BLOCK:
             self.pieces.append((stack[-1], ""))
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == tag:
-                del stack[i:]
-                return
+        if at := self._last({tag}):
+            self._cut(stack, at)
 
 
 def _scores(page: _Page, texts: list[tuple[int, str]], drop: list[bool]) -> tuple[list[float], list[float], list[int], int, int] | None:
@@ -167,6 +175,18 @@ def _scores(page: _Page, texts: list[tuple[int, str]], drop: list[bool]) -> tupl
     return density, sums, best, body, top
 
 
+def _forms(page: _Page) -> None:
+    """Drops the forms and what is in them, but for those around the page's article, main or heading."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
+    if "form" not in tag:
+        return
+    holds = [not page.drop[i] and tag[i] in ("article", "main", "h1") for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        holds[parent[i]] = holds[parent[i]] or holds[i]
+    for i in range(1, n):
+        page.drop[i] = page.drop[i] or page.drop[parent[i]] or tag[i] == "form" and not holds[i]
+
+
 def _dropped(page: _Page, texts: list[tuple[int, str]]) -> list[bool]:
     """What takes no part: also the elements that their names mark, but for those that can hold the article."""
     tag, parent, n = page.tag, page.parent, len(page.tag)
@@ -191,6 +211,7 @@ def _dropped(page: _Page, texts: list[tuple[int, str]]) -> list[bool]:
 def extract(source: str | None) -> str:
     """The page's main text: blocks of single-spaced text, one on each line. Empty for null or empty pages."""
     page = _Page(source or "")
+    _forms(page)
     n = len(page.tag)
     tag, parent = page.tag, page.parent
     texts = [(node, html.unescape(t) if t else "") for node, t in page.pieces if not page.drop[node]]
@@ -204,7 +225,7 @@ def extract(source: str | None) -> str:
     while i > body:
         i = parent[i]
         threshold = min(threshold, density[i])
-    # A page that says what its article is has it whole.
+    # Density picks the article; if it picked a part of an element that is named one, it means the whole of it.
     whole = top
     while whole > body and tag[whole] != "article":
         whole = parent[whole]

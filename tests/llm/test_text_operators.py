@@ -4,9 +4,12 @@ import collections
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -433,6 +436,120 @@ def test_html_names_that_mark_boilerplate(names):
     assert html_text.extract(page(f"<div><p>The first paragraph of a text that is read.</p><p>The second paragraph.</p></div><div {names}><p>Not of the text.</p></div>")) == "The first paragraph of a text that is read.\nThe second paragraph."
 
 
+def test_html_forms_and_labels():
+    two = "<p>The first paragraph of a text that is read.</p><p>The <label>second</label> paragraph, as long as the first one.</p>"
+    want = "The first paragraph of a text that is read.\nThe second paragraph, as long as the first one."
+    assert html_text.extract(page(f"<div>{two}</div><form><label>Name</label><input><button>Send</button></form>")) == want
+    assert html_text.extract(f"<body><form action=x><input type=hidden><div><h1>Head</h1>{two}</div><button>Send</button><select><option>a</select></form></body>") == f"Head\n{want}"
+    assert html_text.extract(page("<form><p>Name</p><textarea>x</textarea></form>")) == ""
+
+
+def test_html_of_every_page_is_its_article(spark):
+    """The pages' articles cut out by hand: what is between the tags, a line for each run between breaks."""
+    for r in html_text.main_text(spark.read.parquet(f"{SMALL}/pages.parquet").union(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).select("page_id", "url", "html", F.col("html").alias("source"))).join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), ["page_id", "url"]).collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|br|h1|h2|div)[^>]*>", re.sub(r"<!--.*?-->", "", inner, flags=re.S))]
+        assert r.text == "\n".join(x for x in lines if x)
+
+
+class Tree:
+    """A random element, and its density figures by recursion over the whole tree."""
+
+    def __init__(self, rng, depth=0, tag=None):
+        self.tag = tag or rng.choice(["div", "section", "p", "a", "b", "ul", "li"] if depth else ["div"])
+        flat = self.tag in ("p", "a", "b")
+        self.parts = [" ".join(rng.choice(["alpha", "be", "gamma-delta"]) for _ in range(rng.choice([0, 1, 4, 12]))) if rng.random() < 0.6 or depth > 5 else None for _ in range(rng.randint(1, 4))]
+        inline = lambda: Tree(rng, 9, rng.choice(["a", "b"])) if self.tag != "a" and depth < 9 else "x"
+        block = lambda: Tree(rng, depth + 1, "li" if self.tag == "ul" else rng.choice(["div", "section", "p", "ul"]))
+        self.parts = [x if x is not None else (inline() if flat else block()) for x in self.parts]
+
+    def html(self):
+        return f"<{self.tag}>" + "".join(x if isinstance(x, str) else x.html() for x in self.parts) + f"</{self.tag}>"
+
+    def kids(self):
+        return [x for x in self.parts if not isinstance(x, str)]
+
+    def text(self):
+        return "".join(x if isinstance(x, str) else x.text() for x in self.parts)
+
+    def chars(self):
+        return len("".join(self.text().split()))
+
+    def links(self):
+        return self.chars() if self.tag == "a" else sum(k.links() for k in self.kids())
+
+    def tags(self):
+        return sum(1 + k.tags() for k in self.kids())
+
+    def link_tags(self):
+        return sum((k.tag == "a") + k.link_tags() for k in self.kids())
+
+    def density(self, share):
+        c, lc, t, lt = self.chars(), max(self.links(), 1), max(self.tags(), 1), max(self.link_tags(), 1)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - self.links(), 1) * self.links() + share * c + math.e)
+        top = math.log(max(c / lc * t / lt, 1.0) + 1e-9)
+        return c / t * top / math.log(base) if base > 1 + 1e-9 and math.log(base) > 1e-9 else c / t * top
+
+    def sum(self, share):
+        return sum(k.density(share) for k in self.kids()) if self.tag not in ("p", "a", "b") else 0.0
+
+    def best(self, share):
+        """The node of the largest sum, the outermost and first on a tie."""
+        found = self
+        for k in self.kids():
+            b = k.best(share)
+            if b.sum(share) > found.sum(share):
+                found = b
+        return found
+
+    def lines(self, content, out, on=False):
+        on = on or any(self is c for c in content)
+        block = self.tag not in ("a", "b")
+        out += ["\n"] * block
+        for x in self.parts:
+            if isinstance(x, str):
+                out += [x] * on
+            else:
+                x.lines(content, out, on)
+        out += ["\n"] * block
+        return out
+
+
+def test_html_density_is_brute_force():
+    """Random markup: sums, article, threshold of its path and what else counts, each from its definition."""
+    rng = random.Random(11)
+    for _ in range(400):
+        body = Tree(rng, 0, "div")
+        body.tag = "body"
+        share = body.links() / max(body.chars(), 1)
+        top = body.best(share) if body.best(share).sum(share) > 0 else body
+
+        def path(node, to):
+            return [node] if node is to else next(([node, *p] for k in node.kids() if (p := path(k, to))), None)
+
+        threshold, content = min(x.density(share) for x in path(body, top)), [top]
+
+        def reach(node, threshold=threshold, content=content, share=share):
+            if node.density(share) >= threshold:
+                b = node.best(share)
+                content.append(b if b.sum(share) > 0 else node)
+                for k in node.kids():
+                    reach(k)
+
+        reach(body)
+        lines = [" ".join(x.split()) for x in "".join(body.lines(content, [])).split("\n")]
+        assert html_text.extract(body.html()) == "\n".join(x for x in lines if x), body.html()
+
+
+def test_html_deep_markup_takes_linear_time():
+    deep = "<b>" * 40_000 + "x" + "</i></p>" * 40_000 + "<p>y" * 1000
+    start = time.time()
+    assert html_text.extract(deep).startswith("x")
+    assert time.time() - start < 20
+
+
 def test_html_table(spark):
     d = spark.createDataFrame([(1, "u", "<p>a</p>"), (None, None, None), (1, "u", "<p>a</p>")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.main_text(d)
