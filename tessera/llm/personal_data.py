@@ -1,9 +1,11 @@
 """Personal data: pattern kinds, and bootstrapped contextual extraction of what no pattern describes.
 
-The kinds with a fixed form (email, ip, card, phone) are the seeds. The words in front of them are lexical patterns, which
-also stand in front of other identifier-like strings. A pattern is as good as the strings it extracts, a string as good as
-the patterns that extract it: the two are scored in turn over the graph of distinct (pattern, string) pairs, and strings of
-a high score are personal data of the kind ``id``. Everything is DataFrame functions; no Python runs on the executors.
+The kinds with a fixed form (email, ip, card, phone) are seeds, and so are long hexadecimal keys. The words in front of them are
+lexical patterns, which also stand in front of other identifier-like strings. A pattern is as good as the strings it extracts,
+a string as good as the patterns that extract it: the two are scored in turn over the graph of distinct (pattern, string) pairs
+until no score moves, and strings of a high score are personal data of the kind ``id``. A key is one only if patterns say so: a
+checksum in a list of checksums shares its form, not its context. Everything is DataFrame functions; no Python runs on the
+executors.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ PATTERNS = {
 }
 #: An identifier-like string: a run of characters without white space or quotes that holds six digits or more.
 CANDIDATE = r"(?<![^\s\"'])(?=[^\s\"'0-9]*+[0-9])(?:[^\s\"'0-9]*+[0-9]){6,}+[^\s\"'0-9]*+"
+#: A key that is a seed: digits of base 16, 32 or more in a row.
+KEY = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 #: A pattern counts once it stands before so many different seeds; one that scores less is not believed, and a string is
-#: taken over at this score.
-SUPPORT, BELIEVED, TAKEN, ROUNDS = 3, 0.6, 0.8, 3
+#: taken over at this score. Scores only rise from round to round; the last round is the one that raises none by STABLE.
+SUPPORT, BELIEVED, TAKEN, STABLE = 3, 0.5, 0.8, 0.01
+#: Code points looked at for the two words in front of a span, as few as will do; in the end all of them are.
+REACH = (60, 2000)
 
 
 def _found(text: Column, kind: str, pattern: str, valid) -> Column:
@@ -86,9 +92,16 @@ def _candidates(text: Column) -> Column:
 
 
 def _context(text: Column, start: Column) -> Column:
-    """The lexical patterns in front of a span: the last word, and the last two, in lower case. Empty at a text's start."""
-    before = F.lower(F.substr(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60))))
-    words = F.filter(F.split(before, r"[\s\"']+"), lambda w: w != "")
+    """The lexical patterns in front of a span: the last word, and the last two, in lower case. Empty at a text's start.
+
+    Words are whole, however long: a window that may have cut one of the two is widened.
+    """
+    before = lambda reach: F.substr(text, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))
+    split = lambda x: F.filter(F.split(F.lower(x), r"[\s\"']+"), lambda w: w != "")
+    words = split(F.substr(text, F.lit(1), start))
+    for reach in reversed(REACH):
+        near = split(before(reach))
+        words = F.when((start <= reach) | (F.size(near) > 2), near).otherwise(words)
     n = F.size(words)
     return F.filter(F.array(F.when(n >= 1, F.element_at(words, -1)), F.when(n >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))), lambda p: p.isNotNull())
 
@@ -104,7 +117,8 @@ def _free(name: str, taken: list[str]) -> str:
 def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs, with or without their texts, with pii_base and pii_id, arrays of (kind, start, end, value) in order of kind and start.
 
-    Null and empty texts hold nothing. Repeated rows each get their spans. Columns named pii_base or pii_id are replaced, and
+    What is learnt has six digits or more and neither white space nor quotes in it; a pattern stands before three different seeds
+    or more. Null and empty texts hold nothing. Repeated rows each get their spans. Columns named pii_base or pii_id are replaced, and
     all others are left as they are. An empty table stays one. What is learnt is learnt from all documents: the graph has a
     row for each distinct pair of pattern and string, summed before it is shuffled.
     """
@@ -113,24 +127,30 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: b
     row, own, found = (_free(n, docs.columns) for n in ("row", "seen", "found"))
     kept = [c for c in columns if keep_text or c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias("pii_base"), _candidates(text).alias(found))
-    entry = lambda seed: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(text, x["start"]).alias("patterns"), F.lit(seed).alias("seed"))
+    entry = lambda base: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(text, x["start"]).alias("patterns"), F.lit(base).alias("base"))
     others = F.filter(found, lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     seen = F.concat(F.transform("pii_base", entry(True)), F.transform(others, entry(False)))
     rows = scratch.write(rows.withColumn(own, seen).withColumn(row, F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in kept], "pii_base", own, row))
     strings = rows.where(F.size(own) > 0).select(F.col(row).alias("row"), F.explode(own).alias("s")).select("row", "s.*")
-    pairs = strings.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    pairs = scratch.write(pairs)
+    pairs = strings.select(F.explode("patterns").alias("pattern"), "value", "base").groupBy("pattern", "value").agg(F.max("base").alias("base"))
+    pairs = scratch.write(pairs.withColumn("seed", F.col("base") | F.rlike("value", F.lit(KEY))))
     score = None
-    for _ in range(ROUNDS):
+    while True:
         now = pairs.withColumn("score", F.col("seed").cast("double")) if score is None else pairs.join(score, "value", "left").withColumn("score", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))))
         # A pattern's confidence: the mean score of the different strings behind it, one failure added.
         patterns = now.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.sum(F.col("seed").cast("int")).alias("seeds"))
         patterns = patterns.where((F.col("seeds") >= SUPPORT) & (F.col("trust") >= BELIEVED)).select("pattern", "trust")
         # A string's: that not all of its patterns are wrong.
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
-        score = scratch.write(pairs.where(~F.col("seed")).join(patterns, "pattern").groupBy("value").agg((1 - wrong).alias("score")))
+        raised = scratch.write(pairs.where(~F.col("base")).join(patterns, "pattern").groupBy("value").agg((1 - wrong).alias("score")))
+        rise = F.col("score") - (F.lit(0.0) if score is None else F.coalesce("before", F.lit(0.0)))
+        moved = raised if score is None else raised.join(score.withColumnRenamed("score", "before"), "value", "left")
+        settled = moved.where(rise >= STABLE).isEmpty()
+        score = raised
+        if settled:
+            break
     taken = score.where(F.col("score") >= TAKEN).select("value")
-    new = strings.where(~F.col("seed")).join(taken, "value", "left_semi")
+    new = strings.where(~F.col("base")).join(taken, "value", "left_semi")
     # Written, so that Spark knows its size and need not shuffle the texts if it is small.
     new = scratch.write(new.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")

@@ -386,6 +386,39 @@ def test_personal_data_learns_contexts(spark, scratch):
     assert personal_data.find(texts(spark, []), scratch).count() == 0
 
 
+def test_personal_data_recall_of_planted_identifiers(spark, scratch):
+    """Identifiers of forms that no seed has, planted behind contexts that seeds share; and numbers that are none, behind other words."""
+    rng = random.Random(12)
+    contexts = ["reach me under", "my number is", "account holder", "member card", "token =", "patient file", "écrivez à"]
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    prose = lambda k: " ".join("".join(rng.choice("abcdeghinorst") for _ in range(rng.randint(2, 9))) for _ in range(k))
+    seeds = [lambda: f"u{digits(4)}@mail.example.com", lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.7", lambda: f'"{hashlib.sha1(digits(9).encode()).hexdigest()}"']
+    unseen = [lambda: f"ID-{digits(7)}", lambda: f"{digits(3)}/{digits(5)}-x{digits(2)}", lambda: f"K{digits(9)}Z"]
+    rows, planted, innocent = [], {}, set()
+    for i in range(1500):
+        kind, c = rng.random(), rng.choice(contexts)
+        if kind < 0.4:
+            body = f"{c} {rng.choice(seeds)()}"
+        elif kind < 0.6:
+            planted[i] = rng.choice(unseen)()
+            body = f"{c} {planted[i]}"
+        else:
+            innocent.add(i)
+            body = f"{rng.choice(['chapter', 'weighs about', 'edition of', 'sum'])} {digits(rng.randint(6, 9))}"
+        rows.append((i, f"{prose(12)} {body} {prose(8)}"))
+    # A checksum among words that no seed shares is none; long words in front are read whole, not by their ends; repeated rows repeat.
+    lone = hashlib.sha1(b"x").hexdigest()
+    rows += [(2000, f"the build of {lone} went well"), (2001, f"y{'w' * 3000} AB{digits(8)} end"), (2002, f"{'w' * 3000} token = AB12345678 end"), (2002, f"{'w' * 3000} token = AB12345678 end")]
+    rows += [(3000 + i, f"so x{'w' * 3000} u{digits(4)}@mail.example.com") for i in range(6)] + [(3100, f"so x{'w' * 3000} AB777888999 end")]
+    got = collections.defaultdict(list)
+    for r in personal_data.find(texts(spark, rows), scratch).collect():
+        got[r.doc_id] += [s.value for s in r.pii_id]
+    caught = sum(v in got[i] for i, v in planted.items())
+    assert caught >= 0.9 * len(planted) and not any(got[i] for i in innocent) and not got[2000]
+    assert got[2001] == [] and got[2002] == ["AB12345678"] * 2 and got[3100] == ["AB777888999"]
+    assert sum(len(v) == 40 for vs in got.values() for v in vs) > 100
+
+
 def test_quality_ledger(spark):
     rows = [(1, None), (2, ""), (3, "a b c " * 40), (4, " ".join(f"word{i}" for i in range(80))), (5, "x\nx\nx\n\n \nx"), (None, "#$ " * 60), (4, "dup"), (6, "éé " * 3)]
     d = quality_rules.ledger(texts(spark, rows))
