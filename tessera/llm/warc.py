@@ -32,22 +32,34 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _clean(value: str) -> str:
-    """A header value: control characters, which would end it, are percent-encoded."""
-    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value)
+    """A header value: blanks and control characters, which a reader would strip or take for its end, are percent-encoded."""
+    return "".join(f"%{ord(c):02X}" if ord(c) <= 32 or ord(c) == 127 else c for c in value)
 
 
-def record(page_id, url: str | None, kind: str, digest: str, size: int, refers_to, payload: bytes) -> bytes:
-    """One WARC record, uncompressed. A revisit carries headers only."""
+def record_id(page_id, url: str | None, digest: str, copy: int) -> str:
+    """A record's identifier: the same whenever the row is written again; copy tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([str(page_id), url, digest, copy]))}>"
+
+
+def record(row: dict) -> bytes:
+    """One WARC record of a classified row, uncompressed. A revisit carries headers only."""
+    page_id, url, digest, size, first = row["page_id"], row["url"], row["payload_digest"], row["payload_bytes"], row["refers_to"]
+    revisit = row["record_type"] == "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {size}".encode() + _BREAK
-    block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}')}>", f"WARC-Date: {DATE}"]
+    block = http + (b"" if revisit else row["payload"])
+    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {record_id(page_id, url, digest, row['copy'])}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+    head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head.append(f"X-Page-ID: {json.dumps(str(page_id))}")
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {DATE}"]
+        if row["refers_url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_clean(row['refers_url'])}")
+        if not row["refers_repeated"]:
+            head.append(f"WARC-Refers-To: {record_id(first, row['refers_url'], digest, 0)}")
+        head += [f"X-Refers-To-Page-ID: {json.dumps(str(first))}", f"X-Payload-Length: {size}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + _BREAK + block + _BREAK
 
@@ -59,17 +71,20 @@ def headers(raw: bytes) -> dict[str, str]:
 
 
 def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip stream, whatever number of members it has, some at a time."""
-    unzip = zlib.decompressobj(31)
+    """The bytes of a gzip stream, whatever number of members it has, some at a time; one that is cut off is an error."""
+    unzip, inside = zlib.decompressobj(31), False
     while data := read(CHUNK):
         while data:
+            inside = True
             yield unzip.decompress(data, 4 * CHUNK)
             while unzip.unconsumed_tail:
                 yield unzip.decompress(unzip.unconsumed_tail, 4 * CHUNK)
             data = unzip.unused_data
             if unzip.eof:
-                unzip = zlib.decompressobj(31)
+                unzip, inside = zlib.decompressobj(31), False
     yield unzip.flush()
+    if inside and not unzip.eof:
+        raise ValueError("an archive ends inside a gzip member")
 
 
 def records(parts: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -95,21 +110,30 @@ def records(parts: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
 
 
 def classify(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to), one row per page.
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, ...), one row per page.
 
     Digests are summed to the smallest page before the shuffle, so a payload that a third of all pages share is one row per
     task. The digests that occur twice are written, so that Spark knows whether they are few enough to go to the pages; if not,
-    adaptive execution splits the common ones.
+    adaptive execution splits the common ones. The same holds for page ids that occur twice, whose rows get a ``copy`` number.
     """
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    twice = scratch.write(p.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("twice")))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = p.where(F.col("payload_bytes") >= SMALLEST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = p.where(F.col("payload_bytes") >= SMALLEST).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    if twice.isEmpty():
+        first, copy = first.withColumn("refers_repeated", F.lit(False)), F.lit(0)
+    else:
+        ids = twice.select("twice").where("twice is not null").withColumn("refers_repeated", F.lit(True))
+        first = first.join(ids, F.col("first.page_id") == F.col("twice"), "left").drop("twice").withColumn("refers_repeated", F.coalesce("refers_repeated", F.lit(False)))
+        p = p.join(twice.withColumn("again", F.lit(True)), F.col("page_id").eqNullSafe(F.col("twice")), "left").drop("twice")
+        copy = F.when(F.col("again"), F.monotonically_increasing_id() + 1).otherwise(0)
     first = scratch.write(first)
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return p.join(first, "payload_digest", "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
-    )
+        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"),
+        F.when(again, F.col("first.url")).alias("refers_url"), "refers_repeated", copy.cast("bigint").alias("copy"),
+    )
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -124,7 +148,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     store, path = _open(uri)
                     store.create_dir(path.rpartition("/")[0])
                     out, zipped = store.open_output_stream(path, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(zipped.compress(record(r["page_id"], r["url"], r["record_type"], r["payload_digest"], r["payload_bytes"], r["refers_to"], r["payload"])))
+                out.write(zipped.compress(record(r)))
                 n += 1
         if out is not None:
             out.write(zipped.flush())
@@ -170,7 +194,8 @@ READ_SCHEMA = T.StructType([T.StructField(n, k) for n, k in (("page_id", T.Strin
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of normalised archives (path, index_path), each read by its offset; payload is null for revisits.
 
-    The digest of every payload that is there is computed again; a record that does not match its own fails the job.
+    The digest and the length of every payload that is there are computed again; a record that does not match its own digest fails
+    the job. A revisit's length is the one that its record states.
     """
     import hashlib
 
@@ -185,10 +210,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         raw = zlib.decompress(source.read_at(e["length"], e["offset"]), 31)
                         head, _, block = raw.partition(_BREAK)
                         h, payload = headers(head), block[:-4].partition(_BREAK)[2]
-                        digest = h["warc-payload-digest"].removeprefix("sha256:")
-                        if h["warc-type"] != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
+                        digest, revisit = h["warc-payload-digest"].removeprefix("sha256:"), h["warc-type"] == "revisit"
+                        if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{r['path']} at {e['offset']}: the payload is not that of its digest")
-                        rows.append({"page_id": h.get("x-page-id"), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "payload_bytes": int(h["x-payload-length"]), "payload_digest": digest, "refers_to": h.get("x-refers-to-page-id"), "payload": None if h["warc-type"] == "revisit" else payload})
+                        size = int(h["x-payload-length"]) if revisit else len(payload)
+                        rows.append({"page_id": _own(h, "x-page-id"), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": _own(h, "x-refers-to-page-id"), "payload": None if revisit else payload})
                         held += len(payload)
                         if held > 4 * CHUNK:
                             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -201,6 +227,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
 _ARROW = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
 
+def _own(head: dict[str, str], name: str) -> str | None:
+    return json.loads(head[name]) if name in head else None
+
+
 def _lines(source) -> Iterator[bytes]:
     rest = b""
     while data := source.read(CHUNK):
