@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, with its scheme; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share, with its scheme; a local one only for a local session that names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
@@ -55,11 +57,15 @@ class Scratch:
         _small_batches(spark)
         self._sweep()
 
-    def write(self, df: DataFrame, codec: str = "zstd", with_folder: str | None = None) -> DataFrame:
-        """Write df and read it again: a cut of the lineage. Files of with_folder, which its rows name, go when it goes."""
+    def write(self, df: DataFrame, codec: str = "zstd", with_folder: str | None = None, by: str | None = None) -> DataFrame:
+        """Write df and read it again: a cut of the lineage. Files of with_folder, which its rows name, go when it goes.
+
+        With a column ``by``, the rows of each of its values are in a folder of their own.
+        """
         self._n += 1
         at = f"{self.path}/{self._n}"
-        df.write.option("compression", codec).parquet(at)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._scratch_path = at
         files = back._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
