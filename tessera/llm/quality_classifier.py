@@ -2,8 +2,9 @@
 
 Statistics of each document are standardised and mapped to cosines of random projections, whose inner products approximate
 a Gaussian kernel. Each partition of labelled rows sums its part of the normal equations, of a fixed size whatever the
-rows; the sums are added on Spark and solved once. The raw scores of the labelled rows, counted in fixed bins, give a
-monotone map to probabilities (pool adjacent violators). All labelled rows outside the held-out fold are used.
+rows; the sums are added on Spark and solved once. The raw scores of labelled rows that the equations left out, counted in fixed
+bins, give a monotone map to probabilities (pool adjacent violators). All labelled rows outside the held-out fold are used: of
+the other four, three for the ridge and one for the map.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tessera.llm.words import Words, bounds, no_nulls, repeats, slices
 
 COSINES, WIDTH, RIDGE, SEED, BINS = 256, 2.0, 1e-3, 20240101, 1000
 FOLDS, THRESHOLD = 5, 0.3
+#: The fold whose rows are held out, and the one that calibrates.
+HELD_OUT, CALIBRATES = 0, 4
 FEATURES = ("log_words", "word_chars", "symbols", "dup_lines", "repeat_words", "distinct_words", "equal_neighbours", "upper", "digits", "stops", "wide", "log_words_per_line")
 _UPPER, _ALPHA, _DIGIT, _STOP = (np.zeros(256, bool) for _ in range(4))
 _UPPER[0x41:0x5B] = True
@@ -102,12 +105,13 @@ def pool(edges: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+def fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
 def fit(described: DataFrame, labels: DataFrame, label_col: str) -> Model:
-    """A model from described (doc_id, x) and labels (doc_id, label_col in 0/1); null labels and ids are left out.
+    """A model from described (doc_id, x) and labels (doc_id, label_col in 0/1); null labels and ids are left out, and several labels
+    of one id count as their mean.
 
     To the driver go one row of moments, COSINES + 1 rows of the summed equations and at most BINS + 1 counts.
     """
@@ -117,7 +121,9 @@ def fit(described: DataFrame, labels: DataFrame, label_col: str) -> Model:
     scale = np.array([moments[f"s{i}"] or 1.0 for i in range(k)])
     model = Model(mean, scale, np.zeros(dim), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
     y = F.col(f"`{label_col}`").cast("double")
-    train = described.join(labels.select(F.col("doc_id").alias("of"), y.alias("y")).where("y is not null"), F.col("doc_id") == F.col("of")).where(~held_out(F.col("doc_id"))).select("x", "y")
+    known = labels.select(F.col("doc_id").alias("of"), y.alias("y")).where("y is not null").groupBy("of").agg(F.avg("y").alias("y"))
+    labelled = described.join(known, F.col("doc_id") == F.col("of")).select("x", "y", fold(F.col("doc_id")).alias("fold")).where(F.col("fold") != HELD_OUT)
+    train = labelled.where(F.col("fold") != CALIBRATES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim + 2))
@@ -138,7 +144,9 @@ def fit(described: DataFrame, labels: DataFrame, label_col: str) -> Model:
         return model
     beta = np.linalg.solve(whole[:, :dim] + RIDGE * rows * np.diag(np.r_[0, np.ones(COSINES)] / COSINES) + 1e-9 * np.eye(dim), whole[:, dim])
     model = Model(mean, scale, beta, model.edges, model.values)
-    bins = train.select(F.round(_raw(model)("x") * BINS).cast("int").alias("bin"), "y").groupBy("bin").agg(F.sum("y").alias("hits"), F.count("*").alias("n")).collect()
+    bins = labelled.where(F.col("fold") == CALIBRATES).select(F.round(_raw(model)("x") * BINS).cast("int").alias("bin"), "y").groupBy("bin").agg(F.sum("y").alias("hits"), F.count("*").alias("n")).collect()
+    if not bins:
+        return Model(mean, scale, beta, model.edges, model.edges)
     bins.sort(key=lambda r: r["bin"])
     edges, values = pool(np.array([r["bin"] / BINS for r in bins]), np.array([r["hits"] for r in bins]), np.array([r["n"] for r in bins], float))
     return Model(mean, scale, beta, edges, values)
@@ -160,13 +168,13 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, label_col: str =
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
     Null and empty texts are scored by their statistics, which are all zero. A null id is never held out and never learnt
-    from; repeated rows are scored, and learnt from, as often as they occur. Without labels every score is 0.5. Other
+    from; repeated rows of documents are scored, and learnt from, as often as they occur. Without labels every score is 0.5. Other
     columns of either table are ignored. The texts are read once; what is kept of them is a dozen numbers each.
     """
     x = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _features(F.col(f"`{text_col}`").cast("string")).alias("x"))
     x = scratch.write(x)
     model = fit(x, labels.select(F.col(f"`{label_id_col}`").alias("doc_id"), F.col(f"`{label_col}`")), label_col)
-    out = x.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), _udf(model.score)("x").alias("score"))
+    out = x.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), _udf(model.score)("x").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
