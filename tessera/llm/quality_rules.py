@@ -123,18 +123,19 @@ def apply_policy(docs: DataFrame, policy: str = CURRENT, text_col: str = "text")
     return ledger(docs, text_col, own).where(verdict(F.col(own)["failed_bits"], policy)).drop(own)
 
 
-def ablation(entries: DataFrame, policy: str = CURRENT, into: str = "quality_ledger") -> DataFrame:
-    """Per rule of a policy: rows that fail it, and rows that only it rejects (what its removal would bring back).
+def ablation(entries: DataFrame, *policies: str, into: str = "quality_ledger") -> DataFrame:
+    """(policy, rule, n_failed, n_only_this): rows that fail a rule, and rows that only it rejects, which its removal would bring back.
 
-    Rows are first counted by their failed bits, of which there are at most 2**rules, so the shuffle is tiny whatever the input.
+    Rows are first counted by their failed bits, of which there are at most 2**rules, so the shuffle is tiny whatever the input,
+    and any number of policies is answered by one pass.
     """
-    m = mask(POLICIES[policy])
-    counts = entries.groupBy((F.col(into)["failed_bits"]).bitwiseAND(F.lit(m).cast("bigint")).alias("bits")).agg(F.count("*").alias("n"))
-    rules = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("bigint").alias("bit")) for r in RULES if r.name in POLICIES[policy]])
+    counts = entries.groupBy(F.col(into)["failed_bits"].alias("bits")).agg(F.count("*").alias("n"))
+    rules = [(p, r.name, 1 << r.bit, mask(POLICIES[p])) for p in policies or (CURRENT,) for r in RULES if r.name in POLICIES[p]]
+    rules = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(bit).cast("bigint").alias("bit"), F.lit(m).cast("bigint").alias("mask")) for p, r, bit, m in rules])
     each = counts.select("bits", "n", F.explode(rules).alias("r"))
-    return each.groupBy(F.col("r.rule").alias("rule")).agg(
+    return each.groupBy(F.col("r.policy").alias("policy"), F.col("r.rule").alias("rule")).agg(
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("r.bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
-        F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("n_only_this"),
+        F.sum(F.when(F.col("bits").bitwiseAND(F.col("r.mask")) == F.col("r.bit"), F.col("n")).otherwise(0)).alias("n_only_this"),
     )
 
 
@@ -166,3 +167,15 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 63) = 0 AS kept, failed_bits FROM b
 """
+
+
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """The ablation of every rule of every policy, from one ledger."""
+    return ablation(ledger(table(spark, sf_dir, "documents").select("text")), *POLICIES)
+
+
+ABLATION_SQL = f"""
+WITH b AS ({OP7_SQL}),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{r.name}', {1 << r.bit}, {mask(names)})" for p, names in POLICIES.items() for r in RULES if r.name in names)}) AS t(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER ((failed_bits & bit) <> 0) AS n_failed, count(*) FILTER ((failed_bits & mask) = bit) AS n_only_this FROM b, r GROUP BY 1, 2
+"""

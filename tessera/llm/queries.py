@@ -10,14 +10,17 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_tool_calls": tool_calls.op6_tool_calls,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "quality_ablation": quality_rules.ABLATION_SQL,
     "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_personal_data": personal_data.op9_personal_data,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "quality_ablation": quality_rules.quality_ablation,
 }
 SQL = {
     "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_tool_calls": tool_calls.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
     "op8_suffix_dedup": substring_dedup.OP8_SQL,
 }

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import itertools
 import json
 import math
@@ -619,6 +620,30 @@ def test_warc_round_trip(spark, scratch):
     assert warc.archive(pages.limit(0), scratch).count() == 0
 
 
+def test_warc_headers_and_cut_off_streams(spark, scratch):
+    """Ids and addresses that would break a header, repeated rows, references of revisits, archives cut off between records."""
+    big = "y" * 200
+    rows = [("a\nb: c", " http://h/ x\r\n", big), ("  z ", None, big), ("q", "u", big), ("q", "u", big), ("é", "u", "é"), ("r", "u", "w" * 300), ("r", "u", "w" * 300), ("s", "v", "w" * 300)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2)
+    made = warc.archive(pages, scratch)
+    got = warc.read_archives(made).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    kind = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in got)
+    assert kind == {("  z ", "response", None): 1, ("a\nb: c", "revisit", "  z "): 1, ("q", "revisit", "  z "): 2, ("é", "response", None): 1, ("r", "response", None): 2, ("s", "revisit", "r"): 1}
+    raw = [open(r.path.removeprefix("file://"), "rb").read() for r in made.collect()]
+    heads = [warc.headers(h) for x in raw for h, _ in warc.records(warc.inflate(io.BytesIO(x).read))]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(rows)
+    by_page = {json.loads(h["x-page-id"]): h for h in heads}
+    assert by_page["a\nb: c"]["warc-refers-to"] == by_page["  z "]["warc-record-id"] and "warc-refers-to" not in by_page["s"] and by_page["s"]["warc-refers-to-target-uri"] == "u"
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    whole = z.compress(b"".join(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n" for _ in range(3)))
+    whole += z.flush(zlib.Z_FULL_FLUSH)
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.records(warc.inflate(io.BytesIO(whole).read)))
+    assert len(list(warc.records(warc.inflate(io.BytesIO(whole + z.flush()).read)))) == 3
+
+
 SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("now", None, None, None)]
 
 
