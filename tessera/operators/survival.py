@@ -34,6 +34,18 @@ def restricted_mean_error(steps: DataFrame, keys: list[str], horizon: str) -> Da
     return steps.where(F.col("t") <= F.col(horizon)).groupBy(*keys, F.col(horizon).alias("_h")).agg((F.sqrt(F.sum(part)) * F.col("_h")).alias("error")).drop("_h")
 
 
+def inverse_integral(steps: DataFrame, keys: list[str], floor: float) -> DataFrame:
+    """steps (keys, t, n, deaths) with the curve and ``integral``: that of one over the floored curve from 0 up to t, by left values."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    back = Window.partitionBy(*keys).orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = steps.withColumn("at_risk", F.sum("n").over(back))
+    at = at.withColumn("survival", F.product(1.0 - F.coalesce(F.try_divide("deaths", F.col("at_risk")), F.lit(0.0))).over(run))
+    width = F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0.0))
+    piece = at.withColumn("piece", width / F.greatest(F.coalesce(F.lag("survival").over(w), F.lit(1.0)), F.lit(floor)))
+    return piece.withColumn("integral", F.sum("piece").over(run)).drop("piece")
+
+
 def survival_at(steps: DataFrame, keys: list[str], month: Column) -> DataFrame:
     """keys and survival: the curve's value at a time, 1 before the first step."""
     inside = F.col("t") <= month

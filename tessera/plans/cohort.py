@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.order import rank_within
 from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, decisions, exposures, table
 
 FOLDS, TARGET = 5, 1000
@@ -34,21 +35,32 @@ def scaled_marginals(spark, sf_dir):
     return s.select("variable", "label", (F.col("whole") + F.when(F.col("rk") <= F.col("left"), 1).otherwise(0)).alias("n"))
 
 
+#: Slots are made so many at a time.
+CHUNK = 10_000
+
+
 def interleave(spark, sf_dir):
-    """Labels of a variable spread evenly over the slots: the i-th of n is due at (i + 1/2) N / n."""
+    """Labels of a variable spread evenly over the slots: the i-th of n is due at (i + 1/2) N / n.
+
+    An item's slot is its own number and, for each other label, the count of that label's items that are due before it, which
+    is arithmetic on the two labels' sizes. So slots need no sort, only the label counts, of which there are few.
+    """
     n = decisions(spark, sf_dir).groupBy("site").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    slots = n.crossJoin(F.broadcast(total)).select("site", "n", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-    # The order is that of the exact fraction (2 i + 1) total / (2 n); the windows sort by its double.
-    key = (2 * F.col("i") + 1) * F.col("total") / (2.0 * F.col("n"))
-    return slots.select(F.row_number().over(Window.orderBy(key, "site")).alias("slot"), "site", "i")
+    sizes = n.agg(F.collect_list(F.struct("site", "n")).alias("sizes"))
+    chunks = n.crossJoin(F.broadcast(sizes)).select("site", "n", "sizes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(CHUNK).cast("bigint"))).alias("first"))
+    items = chunks.select("site", "n", "sizes", F.explode(F.sequence("first", F.least(F.col("first") + CHUNK - 1, F.col("n") - 1))).alias("i"))
+    # Item j of a label of m is due before item i of one of n if (2 j + 1) n < (2 i + 1) m, or if the two are equal and its name comes first.
+    due = lambda x: (2 * F.col("i") + 1) * x["n"] - F.col("n")
+    strictly = lambda x: F.when(due(x) > 0, F.floor((due(x) + 2 * F.col("n") - 1) / (2 * F.col("n")))).otherwise(0)
+    or_equal = lambda x: F.when(due(x) >= 0, F.floor(due(x) / (2 * F.col("n"))) + 1).otherwise(0)
+    before = F.transform(F.filter("sizes", lambda x: x["site"] != F.col("site")), lambda x: F.least(x["n"], F.when(x["site"] < F.col("site"), or_equal(x)).otherwise(strictly(x)).cast("bigint")))
+    return items.select((F.col("i") + 1 + F.aggregate(before, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("slot"), "site", "i")
 
 
 def fold_assignment(spark, sf_dir):
     """Patients of each site dealt to folds in the order of a hash that any engine can repeat."""
-    p = decisions(spark, sf_dir).select("patient_id", "site").distinct()
-    h = (F.col("patient_id") * 7919 + 104729) % 1000003
-    return p.select("patient_id", "site", ((F.row_number().over(Window.partitionBy("site").orderBy(h, "patient_id")) - 1) % FOLDS).alias("fold"))
+    p = decisions(spark, sf_dir).select("patient_id", "site").distinct().withColumn("h", (F.col("patient_id") * 7919 + 104729) % 1000003)
+    return rank_within(p, ["site"], "h", "patient_id").select("patient_id", "site", ((F.col("rank") - 1) % FOLDS).cast("int").alias("fold"))
 
 
 def fold_sizes(spark, sf_dir):
@@ -133,8 +145,8 @@ def slide_feature(spark, sf_dir):
 def centred_modifier(spark, sf_dir):
     """A modifier centred on the eligible rows of its site: others keep zero."""
     d = decisions(spark, sf_dir).select("decision_id", "site", "c_acctbal", (F.col("ecog") == 0).alias("eligible"))
-    mean = F.avg(F.when(F.col("eligible"), F.col("c_acctbal"))).over(Window.partitionBy("site"))
-    return d.select("decision_id", F.round(F.when(F.col("eligible"), F.col("c_acctbal") - mean).otherwise(0.0), 4).alias("centred"))
+    mean = d.groupBy("site").agg(F.avg(F.when(F.col("eligible"), F.col("c_acctbal"))).alias("mean"))
+    return d.join(mean, "site").select("decision_id", F.round(F.when(F.col("eligible"), F.col("c_acctbal") - F.col("mean")).otherwise(0.0), 4).alias("centred"))
 
 
 _W = f"WITH {DECISION_CTE}"

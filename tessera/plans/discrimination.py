@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.model import DECISION_CTE, RATED_CTE, decisions, rated
+from tessera.sources.stored import cut
 
 BINS, MONTH = 10, 4.0
 
@@ -44,23 +45,6 @@ def td_auroc(spark, sf_dir):
     return a.select(F.round(F.try_divide("won", F.col("cases") * F.col("controls")), 6).alias("auroc"), "cases", "controls")
 
 
-def concordance_index(spark, sf_dir):
-    """Harrell's C per site and line of binned times and scores, so approximate; ``concordance_exact`` leaves them as they are.
-
-    Scores are binned to a hundred levels and times to quarters of a month, so rows are first counted per (time, level). Over
-    the grid of those, which the bins bound, later and lower counts are running sums: pairs are never formed.
-    """
-    d = decisions(spark, sf_dir).select("site", "line", F.round(F.col("follow_up_months") * 4).cast("int").alias("t"), F.floor((F.col("c_acctbal") + 1000.0) / 110.0).cast("int").alias("s"), "event")
-    by = ["site", "line"]
-    n = d.groupBy(*by, "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events"))
-    grid = n.select(*by, "t").distinct().join(n.select(*by, "s").distinct(), by).join(n, [*by, "t", "s"], "left").fillna(0, ["n", "events"])
-    before = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    later = grid.withColumn("later", F.coalesce(F.sum("n").over(before([*by, "s"], F.desc("t"))), F.lit(0)))
-    lower = later.withColumn("lower", F.coalesce(F.sum("later").over(before([*by, "t"], "s")), F.lit(0))).withColumn("all", F.sum("later").over(Window.partitionBy(*by, "t")))
-    pairs = lower.groupBy(*by).agg(F.sum(F.col("events") * F.col("all")).alias("pairs"), F.sum(F.col("events") * (F.col("lower") + F.col("later") / 2.0)).alias("agree"))
-    return pairs.select("site", "line", "pairs", F.round(F.try_divide("agree", F.col("pairs")), 6).alias("c_index"))
-
-
 def concordance(rows: DataFrame, by: list[str]) -> DataFrame:
     """(*by, pairs, c_index) of rows (*by, t, s, event), exact: pairs have the event first, equal scores count one half.
 
@@ -80,23 +64,45 @@ def concordance(rows: DataFrame, by: list[str]) -> DataFrame:
     return pairs.where("pairs > 0").select(*by, "pairs", F.round(F.col("agree") / F.col("pairs"), 6).alias("c_index"))
 
 
-def concordance_exact(spark, sf_dir):
+def concordance_index(spark, sf_dir):
     """Harrell's C per site and line, of times and scores as they are; groups without comparable pairs have no row."""
     d = decisions(spark, sf_dir).select("site", "line", F.col("follow_up_months").alias("t"), F.col("c_acctbal").alias("s"), "event")
     return concordance(d, ["site", "line"])
 
 
+def concordance_binned(spark, sf_dir):
+    """Harrell's C per site and line of binned times and scores, so approximate: a cheaper look than ``concordance_index``.
+
+    Scores are binned to a hundred levels and times to quarters of a month, so rows are first counted per (time, level). Over
+    the grid of those, which the bins bound, later and lower counts are running sums: pairs are never formed.
+    """
+    d = decisions(spark, sf_dir).select("site", "line", F.round(F.col("follow_up_months") * 4).cast("int").alias("t"), F.floor((F.col("c_acctbal") + 1000.0) / 110.0).cast("int").alias("s"), "event")
+    by = ["site", "line"]
+    n = d.groupBy(*by, "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events"))
+    grid = n.select(*by, "t").distinct().join(n.select(*by, "s").distinct(), by).join(n, [*by, "t", "s"], "left").fillna(0, ["n", "events"])
+    before = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    later = grid.withColumn("later", F.coalesce(F.sum("n").over(before([*by, "s"], F.desc("t"))), F.lit(0)))
+    lower = later.withColumn("lower", F.coalesce(F.sum("later").over(before([*by, "t"], "s")), F.lit(0))).withColumn("all", F.sum("later").over(Window.partitionBy(*by, "t")))
+    pairs = lower.groupBy(*by).agg(F.sum(F.col("events") * F.col("all")).alias("pairs"), F.sum(F.col("events") * (F.col("lower") + F.col("later") / 2.0)).alias("agree"))
+    return pairs.select("site", "line", "pairs", F.round(F.try_divide("agree", F.col("pairs")), 6).alias("c_index"))
+
+
 def auprc(spark, sf_dir):
-    """Trapezoid area under precision over recall, from (0, 1), ties in order of id; one row per distinct probability and id order."""
+    """Trapezoid area under precision over recall, from (0, 1), ties in order of id.
+
+    Rows are numbered among those of equal probability; what comes before is a running sum over the distinct probabilities.
+    A step's predecessor is known from its own numbers, so steps meet no other.
+    """
     r = rated(spark, sf_dir)
-    w = Window.orderBy(F.desc("p"), "doc_id")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = r.withColumn("tp", F.sum("outcome").over(run)).withColumn("at", F.row_number().over(w))
-    total = r.agg(F.sum("outcome").alias("total"))
-    x = c.crossJoin(F.broadcast(total)).select((F.col("tp") / F.col("at")).alias("precision"), F.try_divide("tp", "total").alias("recall"), "at")
-    o = Window.orderBy("at")
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(o), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(o), F.lit(1.0))) / 2.0
-    return x.select(step.alias("s")).agg(F.round(F.sum("s"), 6).alias("auprc"))
+    own = Window.partitionBy("p").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = r.withColumn("tp", F.sum("outcome").over(own)).withColumn("at", F.count("*").over(own))
+    n = r.groupBy("p").agg(F.count("*").alias("n"), F.sum("outcome").alias("hits"))
+    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = n.select("p", (F.sum("n").over(w) - F.col("n")).alias("n_before"), (F.sum("hits").over(w) - F.col("hits")).alias("hits_before"), F.sum("hits").over(Window.partitionBy()).alias("total"))
+    x = each.join(before, "p").select("outcome", (F.col("at") + F.col("n_before")).alias("at"), (F.col("tp") + F.col("hits_before")).alias("tp"), "total")
+    precision = F.col("tp") / F.col("at")
+    last = F.when(F.col("at") == 1, 1.0).otherwise((F.col("tp") - F.col("outcome")) / (F.col("at") - 1))
+    return x.agg(F.round(F.sum(F.try_divide("outcome", F.col("total")) * (precision + last) / 2.0), 6).alias("auprc"))
 
 
 def net_benefit(spark, sf_dir):
@@ -118,11 +124,15 @@ def nri(spark, sf_dir):
     return a.select(F.round((F.col("ue") - F.col("de")) / F.col("e") - (F.col("un") - F.col("dn")) / F.col("m"), 6).alias("nri"))
 
 
+STEPS = 25
+
+
 def calibration_slope(spark, sf_dir):
-    """Logistic intercept and slope of the outcome on the probability's logit: Newton steps, each one sum over all rows."""
+    """Logistic intercept and slope of the outcome on the probability's logit: Newton steps over counts of distinct logits, which are written once."""
     r = rated(spark, sf_dir).select(F.col("outcome").cast("double").alias("y"), F.log(F.greatest("p", F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6))).alias("x")).groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    r = cut(r)
     a = b = 0.0
-    for _ in range(25):
+    for _ in range(STEPS):
         m = 1.0 / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
         w, e = F.col("n") * m * (1 - m), F.col("y") - F.col("n") * m
         s = r.agg(F.sum(e).alias("g0"), F.sum(e * F.col("x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11")).first()
@@ -139,16 +149,16 @@ def calibration_slope(spark, sf_dir):
 _D = f"WITH {RATED_CTE}"
 _TD = f"""WITH {DECISION_CTE}, d AS (SELECT ROUND(c_acctbal, 2) AS s, CASE WHEN event AND follow_up_months <= {MONTH} THEN 1 ELSE 0 END AS y, CASE WHEN follow_up_months > {MONTH} THEN 1 ELSE 0 END AS z FROM decision)"""
 _MW = "SELECT ROUND(SUM(y * (CAST(below AS DOUBLE) + same / 2.0)) / (SUM(y) * SUM(z)), 6) AS auroc, CAST(SUM(y) AS BIGINT) AS cases, CAST(SUM(z) AS BIGINT) AS controls FROM (SELECT s, y, z, below, z AS same FROM (SELECT s, SUM(y) AS y, SUM(z) AS z, SUM(SUM(z)) OVER (ORDER BY s) - SUM(z) AS below FROM d GROUP BY s))"
-QUERIES = {f.__name__: f for f in (brier, ece, auroc, td_auroc, concordance_index, concordance_exact, auprc, net_benefit, nri, calibration_slope)}
+QUERIES = {f.__name__: f for f in (brier, ece, auroc, td_auroc, concordance_index, concordance_binned, auprc, net_benefit, nri, calibration_slope)}
 SQL = {
     "brier": f"{_D} SELECT ROUND(AVG((p - outcome) * (p - outcome)), 6) AS brier, COUNT(*) AS n FROM rated",
     "ece": f"{_D}, b AS (SELECT LEAST({BINS - 1}, FLOOR(p * {BINS})) AS bin, COUNT(*) AS n, AVG(p) AS p, AVG(outcome) AS y FROM rated GROUP BY 1) SELECT ROUND(SUM(n * ABS(p - y)) / SUM(n), 6) AS ece FROM b",
     "auroc": f"{_D}, d AS (SELECT p AS s, outcome AS y, 1 - outcome AS z FROM rated) {_MW}",
     "td_auroc": f"{_TD} {_MW}",
-    "concordance_index": f"""WITH {DECISION_CTE}, d AS (SELECT site, line, CAST(ROUND(follow_up_months * 4) AS INTEGER) AS t, CAST(FLOOR((c_acctbal + 1000.0) / 110.0) AS INTEGER) AS s, event FROM decision),
+    "concordance_binned": f"""WITH {DECISION_CTE}, d AS (SELECT site, line, CAST(ROUND(follow_up_months * 4) AS INTEGER) AS t, CAST(FLOOR((c_acctbal + 1000.0) / 110.0) AS INTEGER) AS s, event FROM decision),
 n AS (SELECT site, line, t, s, COUNT(*) AS n, COUNT(*) FILTER (event) AS e FROM d GROUP BY ALL)
 SELECT a.site, a.line, CAST(SUM(a.e * b.n) AS BIGINT) AS pairs, ROUND(SUM(a.e * b.n * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / SUM(a.e * b.n), 6) AS c_index FROM n a JOIN n b ON a.site = b.site AND a.line = b.line AND b.t > a.t WHERE a.e > 0 GROUP BY 1, 2""",
-    "concordance_exact": f"""WITH {DECISION_CTE}, n AS (SELECT site, line, follow_up_months AS t, c_acctbal AS s, COUNT(*) AS n, COUNT(*) FILTER (event) AS e FROM decision WHERE c_acctbal IS NOT NULL GROUP BY ALL)
+    "concordance_index": f"""WITH {DECISION_CTE}, n AS (SELECT site, line, follow_up_months AS t, c_acctbal AS s, COUNT(*) AS n, COUNT(*) FILTER (event) AS e FROM decision WHERE c_acctbal IS NOT NULL GROUP BY ALL)
 SELECT a.site, a.line, CAST(SUM(a.e * b.n) AS BIGINT) AS pairs, ROUND(SUM(a.e * b.n * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / SUM(a.e * b.n), 6) AS c_index FROM n a JOIN n b ON a.site = b.site AND a.line = b.line AND b.t > a.t WHERE a.e > 0 GROUP BY 1, 2""",
     "auprc": f"""{_D}, c AS (SELECT CAST(SUM(outcome) OVER w AS DOUBLE) AS tp, row_number() OVER (ORDER BY p DESC, doc_id) AS place, SUM(outcome) OVER () AS total FROM rated WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)),
 x AS (SELECT place, tp / place AS prec, tp / total AS rec FROM c) SELECT ROUND(SUM(s), 6) AS auprc FROM (SELECT (rec - COALESCE(lag(rec) OVER (ORDER BY place), 0.0)) * (prec + COALESCE(lag(prec) OVER (ORDER BY place), 1.0)) / 2.0 AS s FROM x)""",
@@ -156,4 +166,10 @@ x AS (SELECT place, tp / place AS prec, tp / total AS rec FROM c) SELECT ROUND(S
 SELECT t AS threshold, ROUND((tp - fp * (t / (1 - t))) / n, 6) AS net_benefit, ROUND((tp - fp * (t / (1 - t))) / n - GREATEST(0.0, (pos - (n - pos) * (t / (1 - t))) / n), 6) AS advantage FROM a""",
     "nri": f"""{_D} SELECT ROUND(CAST(COUNT(*) FILTER (outcome = 1 AND p2 >= 0.5 AND p < 0.5) - COUNT(*) FILTER (outcome = 1 AND p2 < 0.5 AND p >= 0.5) AS DOUBLE) / GREATEST(1, COUNT(*) FILTER (outcome = 1))
   - CAST(COUNT(*) FILTER (outcome = 0 AND p2 >= 0.5 AND p < 0.5) - COUNT(*) FILTER (outcome = 0 AND p2 < 0.5 AND p >= 0.5) AS DOUBLE) / GREATEST(1, COUNT(*) FILTER (outcome = 0)), 6) AS nri FROM rated""",
+    "calibration_slope": f"""WITH RECURSIVE {RATED_CTE}, r AS (SELECT LN(GREATEST(p, 1e-6) / GREATEST(1 - p, 1e-6)) AS x, CAST(SUM(outcome) AS DOUBLE) AS y, COUNT(*) AS n FROM rated GROUP BY 1),
+s AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+  SELECT k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT k, a, b, SUM(y - n * m) AS g0, SUM((y - n * m) * x) AS g1, SUM(n * m * (1 - m)) AS h00, SUM(n * m * (1 - m) * x) AS h01, SUM(n * m * (1 - m) * x * x) AS h11
+    FROM (SELECT k, a, b, x, y, n, 1 / (1 + EXP(-(a + b * x))) AS m FROM s, r WHERE k < {STEPS}) GROUP BY k, a, b))
+SELECT ROUND(a, 6) AS intercept, ROUND(b, 6) AS slope FROM s WHERE k = {STEPS}""",
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.estimation import cox_hazard_ratio as _cox
 from tessera.operators.estimation import effects
+from tessera.operators.order import rank_within
+from tessera.operators.survival import inverse_integral
 from tessera.plans.cohort import FOLDS
 from tessera.plans.graph import degree_terciles
 from tessera.plans.ranking import EPSILON, N_MIN
@@ -16,35 +18,68 @@ from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, SCORED_CTE, decisi
 CELL = ["fold", "site", "ecog", "prior_bucket", "c_mktsegment"]
 
 
+#: The censoring curve's covariates, and the value it isn't believed below.
+CENSORING, FLOOR = ["ecog", "prior_bucket"], 0.05
+
+
 def _folded(spark, sf_dir) -> DataFrame:
-    """Development decisions with their restricted time and a fold that is a function of the patient."""
+    """Development decisions with a fold that is a function of the patient, and their outcome."""
     fold = ((F.col("patient_id") * 7919 + 104729) % 1000003 % FOLDS).cast("int")
-    return decisions(spark, sf_dir).where("split = 'development'").withColumn("fold", fold).withColumn("y", F.least("follow_up_months", "horizon_months"))
+    return with_outcome(decisions(spark, sf_dir).where("split = 'development'").withColumn("fold", fold))
+
+
+def with_outcome(d: DataFrame) -> DataFrame:
+    """d with ``y``: the integral of 1 / G up to the restricted time, G the survival of censoring among the other folds.
+
+    Its mean is that of the restricted time without censoring: a decision that was lost stands for those like it that were not.
+    G is a curve for each fold and censoring key. Its knots are the distinct times of the key and the horizons, so every
+    restricted time is one, and the integrals up to the knots go to the decisions by an equi-join.
+    """
+    at = d.groupBy(*CENSORING, "fold", F.col("follow_up_months").alias("t")).agg(F.count("*").alias("n"), F.count_if(~F.col("event")).alias("lost"))
+    ends = d.select(*CENSORING, F.col("horizon_months").alias("t"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("lost")).distinct()
+    whole = at.select(*ends.columns).union(ends).groupBy(*CENSORING, "t").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+    each = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).join(at.withColumnsRenamed({"n": "own", "lost": "own_lost"}), [*CENSORING, "fold", "t"], "left").fillna(0, ["own", "own_lost"])
+    other = each.select(*CENSORING, "fold", "t", (F.col("n") - F.col("own")).alias("n"), (F.col("lost") - F.col("own_lost")).alias("deaths"))
+    knots = inverse_integral(other, [*CENSORING, "fold"], FLOOR).select(*CENSORING, "fold", "t", F.col("integral").alias("y"))
+    return d.withColumn("t", F.least("follow_up_months", "horizon_months")).join(knots, [*CENSORING, "fold", "t"]).drop("t")
 
 
-def _cells(spark, sf_dir, cell: list[str]) -> DataFrame:
-    """Counts, sums and sums of squares of the outcome per cell and candidate; the unexposed follow by subtraction.
+def cells(d: DataFrame, x: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts, sums and sums of squares of the outcome: of all per cell, and of the exposed per candidate and cell.
 
     Only the long exposure rows meet the decisions, and are summed at once; no (decision, candidate) product is formed.
     """
-    d = _folded(spark, sf_dir)
     sums = lambda s: [F.count("*").alias(f"n{s}"), F.sum("y").alias(f"y{s}"), F.sum(F.col("y") * F.col("y")).alias(f"yy{s}")]
-    total = d.groupBy(*cell).agg(*sums(""))
-    x = exposures(spark, sf_dir).join(d, "decision_id").groupBy("candidate", *cell).agg(*sums("1"))
-    names = x.select("candidate").distinct()
-    return names.crossJoin(F.broadcast(total)).join(x, ["candidate", *cell], "left").fillna(0, ["n1", "y1", "yy1"])
+    return d.groupBy(*cell).agg(*sums("")), x.join(d, "decision_id").groupBy("candidate", *cell).agg(*sums("1"))
+
+
+def effect_table(d: DataFrame, x: DataFrame) -> DataFrame:
+    """Per candidate of x (decision_id, candidate): the cross-fitted doubly robust effect over d, see :func:`effects`.
+
+    A candidate's cells are all cells, of which the covariates bound the number, whatever the number of decisions; the
+    unexposed follow by subtraction.
+    """
+    total, exposed = cells(d, x, CELL)
+    every = exposed.select("candidate").distinct().crossJoin(total)
+    return effects(every.join(exposed, ["candidate", *CELL], "left").fillna(0, ["n1", "y1", "yy1"]), CELL[1:], EPSILON, N_MIN)
 
 
 def emulation_table(spark, sf_dir):
-    """Per candidate: cross-fitted doubly robust effect on restricted months, error, eligible, trimmed and exposed counts."""
-    e = effects(_cells(spark, sf_dir, CELL), CELL[1:], EPSILON, N_MIN)
+    """Per candidate: cross-fitted doubly robust effect on restricted months, error, eligible, trimmed and exposed counts.
+
+    Censoring is accounted for by the inverse integral in the outcome; there is no martingale augmentation.
+    """
+    e = effect_table(_folded(spark, sf_dir), exposures(spark, sf_dir))
     return e.select("candidate", F.round("tau", 6).alias("tau"), F.round("se", 6).alias("se"), "eligible", "trimmed", "exposed")
 
 
 def saturated_effects(spark, sf_dir):
     """The same estimator with cell shares and means of the other folds as its nuisances, in DataFrame operations only."""
     cell = ["fold", "ecog", "prior_bucket"]
-    c = _cells(spark, sf_dir, cell)
+    total, exposed = cells(_folded(spark, sf_dir), exposures(spark, sf_dir), cell)
+    # Where no fold has an exposed decision there is no model of the exposed: such cells drop out anyway.
+    seen = exposed.select("candidate", "ecog", "prior_bucket").distinct().join(total, ["ecog", "prior_bucket"])
+    c = seen.join(exposed, ["candidate", *cell], "left").fillna(0, ["n1", "y1", "yy1"])
     w = Window.partitionBy("candidate", "ecog", "prior_bucket")
     out = lambda k: F.sum(k).over(w) - F.col(k)
     c = c.select("candidate", *cell, "n", "y", "n1", "y1", *[out(k).alias(f"o_{k}") for k in ("n", "y", "n1", "y1")])
@@ -71,10 +106,9 @@ def cox_hazard_ratio(spark, sf_dir):
 
 def placebo_permutation(spark, sf_dir):
     """Exposure dealt anew within each site in the order of a hash: the contrast it leaves should be about nothing."""
-    d = armed(spark, sf_dir).withColumn("y", F.least("follow_up_months", "horizon_months"))
-    h = (F.col("decision_id") * 7919 + 104729) % 1000003
-    a = d.select("site", "exposed", F.row_number().over(Window.partitionBy("site").orderBy(h, "decision_id")).alias("k"))
-    b = d.select("site", "y", F.row_number().over(Window.partitionBy("site").orderBy("decision_id")).alias("k"))
+    d = armed(spark, sf_dir).withColumn("y", F.least("follow_up_months", "horizon_months")).withColumn("h", (F.col("decision_id") * 7919 + 104729) % 1000003)
+    a = rank_within(d.select("site", "exposed", "h", "decision_id"), ["site"], "h", "decision_id", "k").select("site", "exposed", "k")
+    b = rank_within(d.select("site", "y", "decision_id"), ["site"], "decision_id", "decision_id", "k").select("site", "y", "k")
     j = a.join(b, ["site", "k"])
     arm = lambda x: F.avg(F.when(F.col("exposed") == x, F.col("y")))
     return j.groupBy("site").agg(F.round(arm(1) - arm(0), 6).alias("contrast"), F.sum("exposed").alias("exposed"))
@@ -90,8 +124,8 @@ def bootstrap_ci(spark, sf_dir):
     meet the values, and the replicates' sums are taken map-side.
     """
     d = decisions(spark, sf_dir).select("site", "decision_id", "follow_up_months")
-    w = Window.partitionBy("site")
-    k = d.select("site", "follow_up_months", (F.row_number().over(w.orderBy("decision_id")) - 1).cast("bigint").alias("k"), F.count("*").over(w).alias("n"))
+    k = rank_within(d, ["site"], "decision_id", "decision_id", "k").join(d.groupBy("site").agg(F.count("*").alias("n")), "site")
+    k = k.select("site", "follow_up_months", (F.col("k") - 1).cast("bigint").alias("k"), "n")
     draws = k.select("site", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))).alias("rep")).select("site", "rep", F.expr(DRAW).alias("k")).groupBy("site", "rep", "k").agg(F.count("*").alias("times"))
     r = draws.join(k.select("site", "k", "follow_up_months"), ["site", "k"]).groupBy("rep").agg((F.sum(F.round(F.col("follow_up_months") * 100).cast("bigint") * F.col("times")) / F.sum("times") / 100.0).alias("m"))
     point = d.agg(F.avg("follow_up_months").alias("point"))
@@ -148,10 +182,19 @@ _GRAM = " UNION ALL ".join(
     f"SELECT exposed, '{a}*{b}' AS entry, ROUND(SUM({a} * {b}), 3) AS value FROM x GROUP BY 1"
     for i, a in enumerate(("one", "ecog", "prior_bucket", "balance")) for b in [*("one", "ecog", "prior_bucket", "balance")[i:], "y"]
 )
+_OUTCOME = f"""d0 AS (SELECT *, (patient_id * 7919 + 104729) % 1000003 % {FOLDS} AS fold FROM decision WHERE split = 'development'),
+cn AS (SELECT ecog, prior_bucket, fold, follow_up_months AS t, COUNT(*) AS n, COUNT(*) FILTER (NOT event) AS lost FROM d0 GROUP BY ALL),
+ca AS (SELECT ecog, prior_bucket, t, SUM(n) AS n, SUM(lost) AS lost FROM (SELECT ecog, prior_bucket, t, n, lost FROM cn UNION ALL SELECT DISTINCT ecog, prior_bucket, horizon_months, 0, 0 FROM d0) GROUP BY ALL),
+co AS (SELECT ca.ecog, ca.prior_bucket, ca.t, f.fold, ca.n - COALESCE(cn.n, 0) AS n, ca.lost - COALESCE(cn.lost, 0) AS lost FROM ca CROSS JOIN (SELECT unnest(range({FOLDS})) AS fold) f LEFT JOIN cn ON cn.ecog = ca.ecog AND cn.prior_bucket = ca.prior_bucket AND cn.t = ca.t AND cn.fold = f.fold),
+cr AS (SELECT *, SUM(n) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t DESC) AS at_risk FROM co),
+cg AS (SELECT *, product(1.0 - COALESCE(CAST(lost AS DOUBLE) / NULLIF(at_risk, 0), 0.0)) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS g FROM cr),
+cp AS (SELECT *, (t - COALESCE(lag(t) OVER w, 0.0)) / GREATEST(COALESCE(lag(g) OVER w, 1.0), {FLOOR}) AS piece FROM cg WINDOW w AS (PARTITION BY ecog, prior_bucket, fold ORDER BY t)),
+ci AS (SELECT *, SUM(piece) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS y FROM cp),
+d AS (SELECT d0.*, ci.y FROM d0 JOIN ci ON ci.ecog = d0.ecog AND ci.prior_bucket = d0.prior_bucket AND ci.fold = d0.fold AND ci.t = LEAST(follow_up_months, horizon_months))"""
 _TAIL = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * EXP(-x * x)"
 QUERIES = {f.__name__: f for f in (emulation_table, saturated_effects, ridge_gram, cox_hazard_ratio, placebo_permutation, bootstrap_ci, paired_seed_test, iab_ir, tercile_summary, unadjusted_contrast)}
 SQL = {
-    "saturated_effects": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, d AS (SELECT *, (patient_id * 7919 + 104729) % 1000003 % {FOLDS} AS fold, LEAST(follow_up_months, horizon_months) AS y FROM decision WHERE split = 'development'),
+    "saturated_effects": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, {_OUTCOME},
 t AS (SELECT fold, ecog, prior_bucket, COUNT(*) AS n, SUM(y) AS y FROM d GROUP BY 1, 2, 3), x AS (SELECT candidate, fold, ecog, prior_bucket, COUNT(*) AS n1, SUM(y) AS y1 FROM exposure JOIN d USING (decision_id) GROUP BY ALL),
 c AS (SELECT k.candidate, t.*, COALESCE(n1, 0) AS n1, COALESCE(y1, 0) AS y1 FROM (SELECT DISTINCT candidate FROM x) k CROSS JOIN t LEFT JOIN x ON x.candidate = k.candidate AND x.fold = t.fold AND x.ecog = t.ecog AND x.prior_bucket = t.prior_bucket),
 o AS (SELECT *, SUM(n) OVER w - n AS o_n, SUM(y) OVER w - y AS o_y, SUM(n1) OVER w - n1 AS o_n1, SUM(y1) OVER w - y1 AS o_y1 FROM c WINDOW w AS (PARTITION BY candidate, ecog, prior_bucket)),
