@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.stored import cut
+
 CLIP, RIDGE = (0.01, 0.99), 1.0
 
 
@@ -76,23 +78,59 @@ def effects(cells: DataFrame, columns: list[str], epsilon: float, n_min: int) ->
     return cells.groupBy("candidate").applyInPandas(fit, "candidate string, tau double, se double, eligible bigint, trimmed bigint, exposed bigint")
 
 
-def cox_hazard_ratio(rows: DataFrame, time: str, event: str, x: str, ridge: float = 0.0, steps: int = 30) -> tuple[float, float]:
-    """(log hazard ratio, standard error) of one covariate, Breslow risk sets; each Newton step is one pass over distinct (time, x)."""
-    n = rows.groupBy(F.col(time).alias("t"), F.col(x).cast("double").alias("x")).agg(F.count("*").alias("n"), F.count_if(F.col(event)).alias("d")).cache()
-    beta, info = 0.0, 0.0
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+def cox_fit(rows: DataFrame, time: str, event: str, xs: list[str], ridge: float = 0.0, weight: str | None = None, steps: int = 30) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Coefficients of a Cox model, their information matrix, and the steps (t, hazard) of the cumulative baseline hazard.
+
+    Breslow risk sets; rows are counted to distinct (time, covariates) once and written, and each Newton step is one pass over
+    those counts, of which only sums over distinct times reach a window and only sums of a fixed number the driver.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    names = [f"x{i}" for i in range(len(xs))]
+    n = cut(rows.groupBy(F.col(time).alias("t"), *[F.col(x).cast("double").alias(c) for x, c in zip(xs, names, strict=True)]).agg(F.sum(w).alias("n"), F.sum(F.when(F.col(event), w).otherwise(0.0)).alias("d")))
+    beta, info = np.zeros(len(xs)), np.zeros((len(xs), len(xs)))
+    back = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+
+    def sums(beta: np.ndarray) -> DataFrame:
+        e = F.col("n") * F.exp(sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, names, strict=True)), F.lit(0.0)))
+        moments = {"s0": e, **{f"s_{c}": e * F.col(c) for c in names}, **{f"s_{i}_{j}": e * F.col(names[i]) * F.col(names[j]) for i, j in pairs}}
+        s = n.groupBy("t").agg(F.sum("d").alias("d"), *[F.sum(F.col("d") * F.col(c)).alias(f"d_{c}") for c in names], *[F.sum(v).alias(k) for k, v in moments.items()])
+        return s.select("t", "d", *[f"d_{c}" for c in names], *[F.sum(k).over(back).alias(k) for k in moments]).where("d > 0")
+
     for _ in range(steps):
-        e = F.col("n") * F.exp(F.lit(beta) * F.col("x"))
-        s = n.groupBy("t").agg(F.sum("d").alias("d"), F.sum(F.col("d") * F.col("x")).alias("dx"), F.sum(e).alias("s0"), F.sum(e * F.col("x")).alias("s1"), F.sum(e * F.col("x") * F.col("x")).alias("s2"))
-        s = s.select("d", "dx", *[F.sum(c).over(w).alias(c) for c in ("s0", "s1", "s2")]).where("d > 0")
-        m = F.col("s1") / F.col("s0")
-        g = s.agg(F.sum(F.col("dx") - F.col("d") * m).alias("g"), F.sum(F.col("d") * (F.col("s2") / F.col("s0") - m * m)).alias("h")).first()
-        info = (g["h"] or 0.0) + ridge
-        if info <= 0:
+        mean = lambda c: F.col(f"s_{c}") / F.col("s0")
+        g = [F.sum(F.col(f"d_{c}") - F.col("d") * mean(c)).alias(f"g{i}") for i, c in enumerate(names)]
+        h = [F.sum(F.col("d") * (F.col(f"s_{i}_{j}") / F.col("s0") - mean(names[i]) * mean(names[j]))).alias(f"h{i}_{j}") for i, j in pairs]
+        r = sums(beta).agg(*g, *h).first()
+        for i, j in pairs:
+            info[i, j] = info[j, i] = r[f"h{i}_{j}"] or 0.0
+        held = info + ridge * np.eye(len(xs))
+        if np.linalg.matrix_rank(held) < len(xs):
             break
-        step = ((g["g"] or 0.0) - ridge * beta) / info
-        beta += step
-        if abs(step) < 1e-9:
+        step = np.linalg.solve(held, np.array([r[f"g{i}"] or 0.0 for i in range(len(xs))]) - ridge * beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
             break
-    n.unpersist()
-    return beta, 1 / info**0.5 if info > 0 else float("nan")
+    run = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return beta, info + ridge * np.eye(len(xs)), sums(beta).select("t", F.sum(F.col("d") / F.col("s0")).over(run).alias("hazard"))
+
+
+def cox_hazard_ratio(rows: DataFrame, time: str, event: str, x: str, ridge: float = 0.0, steps: int = 30) -> tuple[float, float]:
+    """(log hazard ratio, standard error) of one covariate."""
+    beta, info, _ = cox_fit(rows, time, event, [x], ridge, steps=steps)
+    return float(beta[0]), float(1 / info[0, 0] ** 0.5) if info[0, 0] > 0 else float("nan")
+
+
+def cox_restricted_mean(points: DataFrame, baseline: DataFrame, eta: Column, horizon: str, keys: list[str]) -> DataFrame:
+    """keys and rmst: the area up to the horizon under exp(-H0(t) exp(eta)) for each of the (few) covariate points.
+
+    baseline has a row per distinct event time, of which each point takes those before its horizon.
+    """
+    nxt = F.lead("t").over(Window.orderBy("t"))
+    pieces = baseline.withColumn("next", nxt)
+    first = baseline.agg(F.min("t").alias("first"))
+    each = points.withColumn("_risk", F.exp(eta)).crossJoin(first).join(pieces, F.col("t") < F.col(horizon), "left")
+    width = F.least(F.coalesce("next", F.col(horizon)), F.col(horizon)) - F.col("t")
+    area = F.coalesce(F.sum(F.exp(-F.col("hazard") * F.col("_risk")) * width), F.lit(0.0))
+    head = F.least(F.coalesce("first", F.col(horizon)), F.col(horizon))
+    return each.groupBy(*keys, F.col(horizon).alias("_h"), head.alias("_head")).agg((area + F.first(head)).alias("rmst")).drop("_h", "_head")

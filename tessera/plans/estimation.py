@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.estimation import cox_hazard_ratio as _cox
-from tessera.operators.estimation import effects
+from tessera.operators.estimation import cox_fit, cox_restricted_mean, effects
 from tessera.operators.order import rank_within
 from tessera.operators.survival import inverse_integral
 from tessera.plans.cohort import FOLDS
@@ -104,6 +104,16 @@ def cox_hazard_ratio(spark, sf_dir):
     return spark.createDataFrame([(round(beta, 6), round(se, 6))], "log_hr double, se double").select(F.round(F.exp("log_hr"), 6).alias("hazard_ratio"), F.round(F.exp(F.col("log_hr") - 1.959964 * F.col("se")), 6).alias("lower"), F.round(F.exp(F.col("log_hr") + 1.959964 * F.col("se")), 6).alias("upper"))
 
 
+def cox_outcome_model(spark, sf_dir):
+    """A Cox outcome model on exposure and covariates, and its restricted mean and survival at the horizon for every covariate cell."""
+    xs = ["exposed", "ecog", "prior_bucket"]
+    d = armed(spark, sf_dir).select("follow_up_months", "event", "horizon_months", *xs)
+    beta, _, baseline = cox_fit(d, "follow_up_months", "event", xs, ridge=1.0)
+    eta = sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, xs, strict=True)), F.lit(0.0))
+    points = d.select(*xs, "horizon_months").distinct()
+    return cox_restricted_mean(points, baseline, eta, "horizon_months", [*xs, "horizon_months"]).select(*xs, "horizon_months", F.round("rmst", 6).alias("rmst"))
+
+
 def placebo_permutation(spark, sf_dir):
     """Exposure dealt anew within each site in the order of a hash: the contrast it leaves should be about nothing."""
     d = armed(spark, sf_dir).withColumn("y", F.least("follow_up_months", "horizon_months")).withColumn("h", (F.col("decision_id") * 7919 + 104729) % 1000003)
@@ -148,8 +158,8 @@ def paired_seed_test(spark, sf_dir):
     return s.select(F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round(_normal_tail(F.col("mean") / F.col("se")), 6).alias("p"))
 
 
-#: Removal deltas of a joint and its two singles: fixed values of the reported panel, with their intervals.
-REMOVALS = (("components one and two", -17.7, -20.1, -15.3, -8.4, -10.0, -6.8, -7.8, -9.3, -6.3), ("no joint effect", -1.0, -2.4, 0.4, -0.6, -1.4, 0.2, -0.5, -1.2, 0.2))
+#: Removal deltas of a joint and its two singles: fixed values of the reported panel, with their intervals, and a made-up pair without a joint effect.
+REMOVALS = (("C1 x C2", -17.7, -20.1, -15.3, -8.4, -10.0, -6.8, -7.8, -9.3, -6.3), ("no joint effect", -1.0, -2.4, 0.4, -0.6, -1.4, 0.2, -0.5, -1.2, 0.2))
 _REMOVAL = "pair string, joint double, joint_lo double, joint_hi double, a double, a_lo double, a_hi double, b double, b_lo double, b_hi double"
 
 
@@ -192,7 +202,7 @@ cp AS (SELECT *, (t - COALESCE(lag(t) OVER w, 0.0)) / GREATEST(COALESCE(lag(g) O
 ci AS (SELECT *, SUM(piece) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS y FROM cp),
 d AS (SELECT d0.*, ci.y FROM d0 JOIN ci ON ci.ecog = d0.ecog AND ci.prior_bucket = d0.prior_bucket AND ci.fold = d0.fold AND ci.t = LEAST(follow_up_months, horizon_months))"""
 _TAIL = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * EXP(-x * x)"
-QUERIES = {f.__name__: f for f in (emulation_table, saturated_effects, ridge_gram, cox_hazard_ratio, placebo_permutation, bootstrap_ci, paired_seed_test, iab_ir, tercile_summary, unadjusted_contrast)}
+QUERIES = {f.__name__: f for f in (emulation_table, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, iab_ir, tercile_summary, unadjusted_contrast)}
 SQL = {
     "saturated_effects": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, {_OUTCOME},
 t AS (SELECT fold, ecog, prior_bucket, COUNT(*) AS n, SUM(y) AS y FROM d GROUP BY 1, 2, 3), x AS (SELECT candidate, fold, ecog, prior_bucket, COUNT(*) AS n1, SUM(y) AS y1 FROM exposure JOIN d USING (decision_id) GROUP BY ALL),
@@ -200,6 +210,13 @@ c AS (SELECT k.candidate, t.*, COALESCE(n1, 0) AS n1, COALESCE(y1, 0) AS y1 FROM
 o AS (SELECT *, SUM(n) OVER w - n AS o_n, SUM(y) OVER w - y AS o_y, SUM(n1) OVER w - n1 AS o_n1, SUM(y1) OVER w - y1 AS o_y1 FROM c WINDOW w AS (PARTITION BY candidate, ecog, prior_bucket)),
 e AS (SELECT *, GREATEST(0.01, LEAST(0.99, CAST(o_n1 AS DOUBLE) / NULLIF(o_n, 0))) AS e, o_y1 / NULLIF(o_n1, 0) AS m1, (o_y - o_y1) / NULLIF(o_n - o_n1, 0) AS m0 FROM o)
 SELECT candidate, ROUND(SUM((m1 - m0) * n + (y1 - n1 * m1) / e - ((y - y1) - (n - n1) * m0) / (1 - e)) / SUM(n), 6) AS tau, CAST(SUM(n) AS BIGINT) AS eligible FROM e WHERE m1 IS NOT NULL AND m0 IS NOT NULL AND e BETWEEN 0.05 AND 0.95 GROUP BY 1""",
+    "cox_hazard_ratio": f"""WITH RECURSIVE {ARMED_CTE}, n AS (SELECT follow_up_months AS t, CAST(exposed AS DOUBLE) AS x, COUNT(*) AS n, COUNT(*) FILTER (event) AS d FROM armed GROUP BY 1, 2),
+s AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS beta, CAST(0 AS DOUBLE) AS info UNION ALL
+  SELECT k + 1, beta + SUM(dx - d * s1 / s0) / SUM(d * (s2 / s0 - s1 * s1 / (s0 * s0))), SUM(d * (s2 / s0 - s1 * s1 / (s0 * s0))) FROM (
+    SELECT k, beta, d, dx, SUM(e) OVER w AS s0, SUM(e1) OVER w AS s1, SUM(e2) OVER w AS s2 FROM (
+      SELECT k, beta, t, SUM(d) AS d, SUM(d * x) AS dx, SUM(n * EXP(beta * x)) AS e, SUM(n * EXP(beta * x) * x) AS e1, SUM(n * EXP(beta * x) * x * x) AS e2 FROM s, n WHERE k < 12 GROUP BY k, beta, t)
+    WINDOW w AS (PARTITION BY k ORDER BY t DESC)) GROUP BY k, beta)
+SELECT ROUND(EXP(ROUND(beta, 6)), 6) AS hazard_ratio, ROUND(EXP(ROUND(beta, 6) - 1.959964 * ROUND(1 / SQRT(info), 6)), 6) AS lower, ROUND(EXP(ROUND(beta, 6) + 1.959964 * ROUND(1 / SQRT(info), 6)), 6) AS upper FROM s WHERE k = 12""",
     "ridge_gram": f"{_A}, x AS (SELECT exposed, 1.0 AS one, ecog, prior_bucket, c_acctbal / 1000.0 AS balance, LEAST(follow_up_months, horizon_months) AS y FROM armed) {_GRAM}",
     "placebo_permutation": f"""{_A}, a AS (SELECT site, exposed, row_number() OVER (PARTITION BY site ORDER BY (decision_id * 7919 + 104729) % 1000003, decision_id) AS k FROM armed), b AS (SELECT site, LEAST(follow_up_months, horizon_months) AS y, row_number() OVER (PARTITION BY site ORDER BY decision_id) AS k FROM armed)
 SELECT site, ROUND(AVG(y) FILTER (exposed = 1) - AVG(y) FILTER (exposed = 0), 6) AS contrast, CAST(SUM(exposed) AS BIGINT) AS exposed FROM a JOIN b USING (site, k) GROUP BY 1""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.ranking import at_k, ranked
 from tessera.sources.model import DECISION_CTE, SCORED_CTE, decisions, scored
 
-K, EPSILON, N_MIN, QUANTILE, MARGIN = 3, 0.05, 40, 0.12, 0.0
+K, EPSILON, N_MIN, ALPHA, MARGIN = 3, 0.05, 40, 0.1, 0.0
 #: What separates trimmed candidates: exposure is tested first.
 REASON = f"CASE WHEN exposed < {N_MIN} THEN 'exposure below minimum' WHEN propensity < {EPSILON} OR propensity > {1 - EPSILON} THEN 'propensity trimmed' END"
 
@@ -107,9 +107,49 @@ def selection_regret(spark, sf_dir):
     return d.agg(F.round(F.avg("regret"), 6).alias("regret"), F.count("*").alias("n"))
 
 
+def _residuals(spark, sf_dir) -> DataFrame:
+    """Scored pairs with their residual, the distance from the candidate's mean score in development, and their covariate bin."""
+    d = _binned(spark, sf_dir)
+    s = scored(spark, sf_dir).join(d, "decision_id")
+    mean = s.where("split <> 'held_out'").groupBy("candidate").agg(F.round(F.avg("score"), 6).alias("mean"))
+    return s.join(mean, "candidate").withColumn("residual", F.round(F.abs(F.col("score") - F.col("mean")), 4))
+
+
+def _limit(residuals: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row (q, n): the residuals' weighted quantile at level (1 - a)(1 + 1 / n), development rows weighted to look like the held-out ones.
+
+    Weights are whole millionths, so that sums are exact; the window runs over distinct residuals, which rounding bounds.
+    """
+    w = weights.select("bin", F.round(F.col("weight") * 1000000).cast("bigint").alias("w"))
+    cal = residuals.where("split <> 'held_out'").join(w, "bin").groupBy("residual").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    total = cal.agg(F.sum("w").alias("total"), F.sum("n").alias("all"))
+    c = cal.withColumn("cum", F.sum("w").over(Window.orderBy("residual").rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(total))
+    level = F.least(F.lit(1.0), (1 - ALPHA) * (1.0 + 1.0 / F.col("all")))
+    return c.agg(F.min(F.when(F.col("cum") / F.col("total") >= level, F.col("residual"))).alias("q"), F.max("all").alias("n"))
+
+
+def weighted_conformal(spark, sf_dir):
+    """The weighted limit of the development decisions, and how many held-out scores lie within it of their prediction."""
+    r = _residuals(spark, sf_dir)
+    q = _limit(r, covariate_weights(spark, sf_dir))
+    return r.where("split = 'held_out'").crossJoin(F.broadcast(q)).agg(F.max("q").alias("q"), F.max("n").alias("calibrated"), F.count("*").alias("n"), F.count_if(F.col("residual") <= F.col("q")).alias("covered"))
+
+
+def conformal_bounds(spark, sf_dir):
+    """Mean lower and upper limit of the held-out decisions' scores by candidate, and the share of them on one side of zero."""
+    q = _limit(_residuals(spark, sf_dir), covariate_weights(spark, sf_dir))
+    s = scored(spark, sf_dir).join(_binned(spark, sf_dir).where("split = 'held_out'"), "decision_id").crossJoin(F.broadcast(q))
+    lower, upper = F.col("score") - F.col("q"), F.col("score") + F.col("q")
+    return s.groupBy("candidate").agg(F.round(F.avg(lower), 6).alias("lower"), F.round(F.avg(upper), 6).alias("upper"), F.count_if((lower > 0) | (upper < 0)).alias("clear"), F.count("*").alias("n"))
+
+
 def _gate(spark, sf_dir) -> DataFrame:
-    """One row per decision: its ranking of identified, positive, harmless candidates, what harm removed, and whether to act."""
-    c = _counted(spark, sf_dir).withColumn("lower", F.col("score") - QUANTILE)
+    """One row per decision: its ranking of identified, positive, harmless candidates, what harm removed, and whether to act.
+
+    A score's lower limit is the weighted conformal one.
+    """
+    q = _limit(_residuals(spark, sf_dir), covariate_weights(spark, sf_dir)).select("q")
+    c = _counted(spark, sf_dir).crossJoin(F.broadcast(q)).withColumn("lower", F.col("score") - F.col("q"))
     ok = F.col("reason").isNull()
     c = c.withColumn("harm", ok & (F.col("lower") < 0)).withColumn("kept", ok & (F.col("lower") >= 0) & (F.col("score") > 0))
     r = c.withColumn("rank", F.when(F.col("kept"), F.row_number().over(Window.partitionBy("decision_id", "kept").orderBy(F.desc("score"), "candidate"))))
@@ -178,12 +218,16 @@ def conformal_limits(spark, sf_dir):
     return s.where("half = 1").crossJoin(F.broadcast(q)).agg(F.max("q").alias("q"), F.count("*").alias("n"), F.count_if(F.col("residual") <= F.col("q")).alias("covered"))
 
 
+def _binned(spark, sf_dir) -> DataFrame:
+    """Decisions with their account balance's bin of ten."""
+    d = decisions(spark, sf_dir).select("decision_id", "split", F.col("c_acctbal").alias("x"))
+    edges = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return d.crossJoin(F.broadcast(edges)).select("decision_id", "split", F.least(F.lit(9), F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10.0))).cast("int").alias("bin"))
+
+
 def covariate_weights(spark, sf_dir):
     """Histogram density ratio of held-out over development account balances in ten shared bins, floored and clipped."""
-    d = decisions(spark, sf_dir).select("split", F.col("c_acctbal").alias("x"))
-    edges = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    b = d.crossJoin(F.broadcast(edges)).select("split", F.least(F.lit(9), F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10.0))).cast("int").alias("bin"))
-    n = b.groupBy("bin").agg(F.count_if(F.col("split") == "held_out").alias("target"), F.count_if(F.col("split") != "held_out").alias("source"))
+    n = _binned(spark, sf_dir).groupBy("bin").agg(F.count_if(F.col("split") == "held_out").alias("target"), F.count_if(F.col("split") != "held_out").alias("source"))
     return n.select("bin", "target", "source", F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.col("target") / F.greatest("source", F.lit(1)))), 6).alias("weight"))
 
 
@@ -193,13 +237,20 @@ _RANKED = f"""{_W}, r AS (SELECT *, row_number() OVER (PARTITION BY decision_id
 m AS (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY gain DESC) AS ideal, SUM(rel) OVER (PARTITION BY decision_id ORDER BY rk) AS found FROM r)"""
 _TOP = """top AS (SELECT decision_id, list(candidate) FILTER (rs <= 3) AS a, list(candidate) FILTER (rp <= 3) AS b FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, candidate) AS rs,
   row_number() OVER (PARTITION BY decision_id ORDER BY propensity DESC, candidate) AS rp FROM scored) GROUP BY decision_id)"""
-_GATE = f"""{_COUNTED}, l AS (SELECT *, score - {QUANTILE} AS lower, reason IS NULL AS ok FROM c),
+_BINS = """eb AS (SELECT MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi FROM decision), bd AS (SELECT decision_id, split, CAST(LEAST(9, FLOOR((c_acctbal - lo) / ((hi - lo) / 10.0))) AS INTEGER) AS bin FROM decision, eb),
+bw AS (SELECT bin, target, source, ROUND(LEAST(10.0, GREATEST(0.1, CAST(target AS DOUBLE) / GREATEST(source, 1))), 6) AS weight FROM (SELECT bin, COUNT(*) FILTER (split = 'held_out') AS target, COUNT(*) FILTER (split <> 'held_out') AS source FROM bd GROUP BY 1))"""
+_LIMIT = f"""{DECISION_CTE}, {SCORED_CTE}, {_BINS}, lm AS (SELECT candidate, ROUND(AVG(score), 6) AS mean FROM scored JOIN bd USING (decision_id) WHERE split <> 'held_out' GROUP BY 1),
+lr AS (SELECT split, bin, ROUND(ABS(score - mean), 4) AS residual FROM scored JOIN bd USING (decision_id) JOIN lm USING (candidate)),
+lc AS (SELECT residual, SUM(CAST(ROUND(weight * 1000000) AS BIGINT)) AS w, COUNT(*) AS n FROM lr JOIN bw USING (bin) WHERE split <> 'held_out' GROUP BY 1),
+lt AS (SELECT residual, CAST(SUM(w) OVER (ORDER BY residual) AS DOUBLE) / SUM(w) OVER () AS share, SUM(n) OVER () AS n FROM lc),
+lq AS (SELECT MIN(residual) FILTER (share >= LEAST(1.0, CAST({1 - ALPHA} AS DOUBLE) * (1.0 + CAST(1.0 AS DOUBLE) / n))) AS q, CAST(MAX(n) AS BIGINT) AS n FROM lt)"""
+_GATE = f"""WITH {_LIMIT}, c AS (SELECT *, {REASON} AS reason FROM scored JOIN counted USING (candidate)), l AS (SELECT c.*, score - q AS lower, reason IS NULL AS ok FROM c, lq),
 k AS (SELECT *, ok AND lower < 0 AS is_harm, ok AND lower >= 0 AND score > 0 AS kept FROM l),
 r AS (SELECT *, CASE WHEN kept THEN row_number() OVER (PARTITION BY decision_id, kept ORDER BY score DESC, candidate) END AS rk FROM k),
 g AS (SELECT decision_id, COALESCE(string_agg(candidate, ',' ORDER BY rk) FILTER (kept), '') AS ranking, COALESCE(string_agg(candidate, ',' ORDER BY candidate) FILTER (is_harm), '') AS harm,
   MAX(CASE WHEN rk <= {K} THEN lower END) AS best, COUNT(*) FILTER (ok) AS identified FROM r GROUP BY decision_id),
 gate AS (SELECT decision_id, ranking, harm, COALESCE(best > {MARGIN}, FALSE) AS act, CASE WHEN COALESCE(best > {MARGIN}, FALSE) THEN '' WHEN identified = 0 THEN 'no identified candidate' WHEN ranking = '' THEN 'no candidate without harm' ELSE 'limit within margin' END AS reason FROM g)"""
-QUERIES = {f.__name__: f for f in (eligibility_partition, eligible_sizes, trimming_sweep, propensity_margins, hits_at_k, ndcg_at_k, recall_at_k, average_precision, top_k_jaccard, mean_pairwise_jaccard, policy_value_k, selection_regret, gate_decisions, deferral_reasons, pathway_readout, softmax, kish_ess, weighted_quantile, conformal_limits, covariate_weights)}
+QUERIES = {f.__name__: f for f in (eligibility_partition, eligible_sizes, trimming_sweep, propensity_margins, hits_at_k, ndcg_at_k, recall_at_k, average_precision, top_k_jaccard, mean_pairwise_jaccard, policy_value_k, selection_regret, gate_decisions, deferral_reasons, pathway_readout, softmax, kish_ess, weighted_quantile, conformal_limits, covariate_weights, weighted_conformal, conformal_bounds)}
 SQL = {
     "eligibility_partition": f"{_COUNTED} SELECT COALESCE(reason, 'eligible') AS status, COUNT(*) AS n, COUNT(DISTINCT candidate) AS candidates FROM c GROUP BY 1",
     "eligible_sizes": f"{_COUNTED} SELECT decision_id, COUNT(*) FILTER (reason IS NULL) AS eligible, COUNT(*) AS scored FROM c GROUP BY 1",
@@ -230,6 +281,8 @@ SELECT CASE WHEN list_contains(agents, r[1]) THEN 'top_ranked_started' WHEN list
 c AS (SELECT *, SUM(m) OVER (PARTITION BY candidate ORDER BY score) AS cum, SUM(m) OVER (PARTITION BY candidate) AS total FROM d) SELECT candidate, MIN(score) FILTER (cum * 10 >= total * 9) AS quantile FROM c GROUP BY 1""",
     "conformal_limits": f"""{_W}, s AS (SELECT *, ROUND(ABS(score - propensity), 6) AS residual FROM scored), c AS (SELECT residual, CAST(SUM(COUNT(*)) OVER (ORDER BY residual) AS DOUBLE) / SUM(COUNT(*)) OVER () AS share, SUM(COUNT(*)) OVER () AS total FROM s WHERE decision_id % 2 = 0 GROUP BY residual),
 q AS (SELECT MIN(residual) AS q FROM c WHERE share >= LEAST(1.0, CAST(0.9 AS DOUBLE) * (1.0 + CAST(1.0 AS DOUBLE) / total))) SELECT MAX(q) AS q, COUNT(*) AS n, COUNT(*) FILTER (residual <= q) AS covered FROM s, q WHERE decision_id % 2 = 1""",
+    "weighted_conformal": f"WITH {_LIMIT} SELECT MAX(q) AS q, MAX(lq.n) AS calibrated, COUNT(*) AS n, COUNT(*) FILTER (residual <= q) AS covered FROM lr, lq WHERE split = 'held_out'",
+    "conformal_bounds": f"WITH {_LIMIT} SELECT candidate, ROUND(AVG(score - q), 6) AS lower, ROUND(AVG(score + q), 6) AS upper, COUNT(*) FILTER (score - q > 0 OR score + q < 0) AS clear, COUNT(*) AS n FROM scored JOIN bd USING (decision_id), lq WHERE split = 'held_out' GROUP BY 1",
     "covariate_weights": f"""WITH {DECISION_CTE}, e AS (SELECT MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi FROM decision), b AS (SELECT split, CAST(LEAST(9, FLOOR((c_acctbal - lo) / ((hi - lo) / 10.0))) AS INTEGER) AS bin FROM decision, e),
 n AS (SELECT bin, COUNT(*) FILTER (split = 'held_out') AS target, COUNT(*) FILTER (split <> 'held_out') AS source FROM b GROUP BY 1) SELECT bin, target, source, ROUND(LEAST(10.0, GREATEST(0.1, CAST(target AS DOUBLE) / GREATEST(source, 1))), 6) AS weight FROM n""",
 }
