@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.model import EDGE_CTE, edges
+from tessera.sources.model import EDGE_CTE, SCORED_CTE, edges, scored
+from tessera.sources.stored import cut
 
 MOTIFS = (("has_type", "has_size"), ("located_in", "part_of"), ("supplies", "has_type"), ("supplies", "has_size"))
 
@@ -26,6 +27,14 @@ def graph_census(spark, sf_dir):
     return n.union(r).union(n.agg(F.lit("node:_total").alias("what"), F.sum("n").alias("n"))).union(r.agg(F.lit("edge:_total").alias("what"), F.sum("n").alias("n")))
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct names with their number from 0 in order: ranges of names are sorted apart, and the ranges' counts are summed up."""
+    part = cut(rows.repartitionByRange(name).withColumn("part", F.spark_partition_id()))
+    n = part.groupBy("part").agg(F.count("*").alias("n"))
+    before = n.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    return part.join(before, "part").select(name, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1).alias("number"))
+
+
 def _degrees(e: DataFrame) -> DataFrame:
     both = e.select(F.col("head").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select(F.col("tail").alias("node"), F.lit(0), F.lit(1)))
     return both.groupBy("node").agg(F.sum("out").alias("out_degree"), F.sum("in").alias("in_degree"))
@@ -58,20 +67,80 @@ def motif_frequencies(spark, sf_dir):
     return motifs.join(walk_counts_2(spark, sf_dir), ["first", "second"], "left").select(F.concat_ws(">", "first", "second").alias("motif"), F.coalesce("walks", F.lit(0).cast("bigint")).alias("walks"))
 
 
+def walks(e: DataFrame, motif: tuple[str, ...]) -> DataFrame:
+    """(start, end, n): the number of walks along the motif's relations; a relation after ~ is walked backwards.
+
+    Walks are counted to (start, node) after every step, so no single walk is formed. These are the nonzero entries of the
+    product of the relations' operators.
+    """
+    now = None
+    for relation in motif:
+        head, tail = ("tail", "head") if relation.startswith("~") else ("head", "tail")
+        step = e.where(F.col("relation") == relation.lstrip("~")).select(F.col(head).alias("node"), F.col(tail).alias("end"))
+        if now is None:
+            now = step.select(F.col("node").alias("start"), "end", F.lit(1).cast("bigint").alias("n"))
+        else:
+            now = now.withColumnRenamed("end", "node").join(step, "node").select("start", "end", "n")
+        now = now.groupBy("start", "end").agg(F.sum("n").alias("n"))
+    return now
+
+
+#: The motif of the orbits and of the Laplacian: candidates that share targets.
+SHARED = ("has_size", "~has_size")
+
+
 def orbit_partition(spark, sf_dir):
-    """Candidates with the same kinds of neighbours in the same numbers are one orbit."""
+    """The orbits of each candidate's neighbourhood under a motif: neighbours that as many walks from it reach."""
+    w = walks(edges(spark, sf_dir), SHARED)
+    return w.groupBy(F.col("start").alias("candidate"), F.col("n").alias("walks")).agg(F.count("*").alias("size"), F.concat_ws(",", F.sort_array(F.collect_list("end"))).alias("members"))
+
+
+def orbit_regret_floor(spark, sf_dir):
+    """Per candidate, the size-weighted mean spread of mean scores inside its orbits: what an encoder of structure alone can't resolve."""
+    w = walks(edges(spark, sf_dir), SHARED)
+    score = scored(spark, sf_dir).groupBy(F.concat(F.lit("candidate:"), "candidate").alias("end")).agg(F.avg("score").alias("score"))
+    o = w.join(score, "end").groupBy("start", "n").agg(F.count("*").alias("size"), F.stddev_pop("score").alias("spread"))
+    return o.groupBy(F.col("start").alias("candidate")).agg(F.round(F.sum(F.col("size") * F.col("spread")) / F.sum("size"), 6).alias("floor"), F.count("*").alias("orbits"))
+
+
+def motif_bank(spark, sf_dir):
+    """The motif signature of every node that starts a walk: its number of walks of each motif of the set.
+
+    A motif's second relation is first counted per node, so a node's walks are a sum over its neighbours' counts.
+    """
     e = edges(spark, sf_dir)
-    n = e.where("head like 'candidate:%'").select(F.col("head").alias("node"), "relation").union(e.where("tail like 'candidate:%'").select("tail", F.concat(F.lit("~"), F.col("relation"))))
-    c = n.groupBy("node", "relation").agg(F.count("*").alias("n"))
-    sig = c.groupBy("node").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("=", "relation", F.col("n").cast("string"))))).alias("signature"))
-    return sig.groupBy("signature").agg(F.count("*").alias("size"), F.min("node").alias("representative"))
+    out = e.groupBy(F.col("head").alias("tail"), F.col("relation").alias("second")).agg(F.count("*").alias("o"))
+    two = e.withColumnRenamed("relation", "first").join(out, "tail").groupBy("head", "first", "second").agg(F.sum("o").alias("n"))
+    return two.groupBy(F.col("head").alias("node")).agg(*[F.sum(F.when((F.col("first") == a) & (F.col("second") == b), F.col("n")).otherwise(0)).alias(f"{a}_{b}") for a, b in MOTIFS])
+
+
+def enumerate_motifs(spark, sf_dir):
+    """Every pattern of two relations that occurs, in the order of their names, and its share of all walks."""
+    w = walk_counts_2(spark, sf_dir)
+    return w.select(F.concat_ws(">", "first", "second").alias("motif"), F.row_number().over(Window.orderBy("first", "second")).alias("place"), F.round(F.col("walks") / F.sum("walks").over(Window.partitionBy()), 6).alias("share"))
+
+
+MASK_EVERY, NEGATIVES, STRIDE = 7, 12, 7919
 
 
 def negative_tails(spark, sf_dir):
-    """For each candidate, the pathways it is not linked to: an anti-join over two small dimensions."""
-    e = edges(spark, sf_dir).where("relation = 'has_type'")
-    heads, tails = e.select("head").distinct(), e.select("tail").distinct()
-    return heads.crossJoin(F.broadcast(tails)).join(e.select("head", "tail"), ["head", "tail"], "left_anti").select("head", "tail")
+    """Of a fixed share of edges, each masked, NEGATIVES tails that are neither its head nor linked to it by its relation.
+
+    Nodes are numbered once. An edge steps through them from a place of its own by a stride, meeting no node twice, one step
+    for each negative and each node that it may have to pass over; the first free ones are its draw. So a draw is without
+    replacement, and the rows are a few for each masked edge, never all that aren't linked.
+    """
+    e = edges(spark, sf_dir)
+    node = numbered(nodes(e), "node")
+    m = node.count()
+    at = node.select(F.col("node").alias("head"), F.col("number").alias("h"))
+    masked = e.join(at, "head").join(node.select(F.col("node").alias("tail"), F.col("number").alias("t")), "tail").where((F.col("h") * 31 + F.col("t") * 17) % MASK_EVERY == 0)
+    taken = e.groupBy("head", "relation").agg(F.count("*").alias("taken"))
+    steps = masked.join(taken, ["head", "relation"]).where(NEGATIVES + F.col("taken") + 1 <= m).select("head", "relation", "tail", "h", "t", F.explode(F.sequence(F.lit(0), (F.lit(NEGATIVES) + F.col("taken")).cast("int"))).alias("step"))
+    drawn = steps.withColumn("number", (F.col("h") * 31 + F.col("t") * 17 + F.col("step") * STRIDE) % m).join(node.withColumnRenamed("node", "negative"), "number").where("negative <> head")
+    free = drawn.join(e.select("head", "relation", F.col("tail").alias("negative")), ["head", "relation", "negative"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("head", "relation", "tail").orderBy("step"))
+    return free.withColumn("place", place).where(F.col("place") <= NEGATIVES).select("head", "relation", "tail", "negative", "place")
 
 
 def anchors(spark, sf_dir):
@@ -81,17 +150,20 @@ def anchors(spark, sf_dir):
 
 
 def laplacian_entries(spark, sf_dir):
-    """Nonzero entries of D - A over the undirected candidate-pathway-target part, with D the row sums."""
-    e = edges(spark, sf_dir).where("relation in ('has_type', 'has_size')")
-    a = e.select(F.col("head").alias("i"), F.col("tail").alias("j")).union(e.select("tail", "head")).groupBy("i", "j").agg(F.count("*").alias("a"))
-    return a.select("i", "j", (-F.col("a")).alias("value")).union(a.groupBy("i").agg(F.col("i").alias("j"), F.sum("a").alias("value")).select("i", "j", "value"))
+    """Nonzero entries of the symmetric normalised Laplacian I - D^-1/2 A D^-1/2 of a motif's operator A, with D its row sums."""
+    a = walks(edges(spark, sf_dir), SHARED)
+    d = a.groupBy("start").agg(F.sum("n").alias("d"))
+    both = a.join(d, "start").join(d.select(F.col("start").alias("end"), F.col("d").alias("d_end")), "end")
+    value = F.when(F.col("start") == F.col("end"), 1.0).otherwise(0.0) - F.col("n") / F.sqrt(F.col("d").cast("double") * F.col("d_end"))
+    return both.select(F.col("start").alias("i"), F.col("end").alias("j"), F.round(value, 6).alias("value"))
 
 
 _W = f"WITH {EDGE_CTE}"
 _N = f"{_W}, node AS (SELECT head AS node FROM edge UNION SELECT tail FROM edge)"
 _DEG = f"{_W}, d AS (SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT head AS node, 1 AS o, 0 AS i FROM edge UNION ALL SELECT tail, 0, 1 FROM edge) GROUP BY 1)"
+_SHARED = f"{_W}, z AS (SELECT head, tail FROM edge WHERE relation = 'has_size'), a AS (SELECT x.head AS s, y.head AS t, COUNT(*) AS n FROM z x JOIN z y USING (tail) GROUP BY 1, 2)"
 _WALK = f"{_W}, w AS (SELECT a.relation AS first, b.relation AS second, COUNT(*) AS walks FROM edge a JOIN edge b ON a.tail = b.head GROUP BY 1, 2)"
-QUERIES = {f.__name__: f for f in (graph_census, degrees, degree_terciles, walk_counts_2, motif_frequencies, orbit_partition, negative_tails, anchors, laplacian_entries)}
+QUERIES = {f.__name__: f for f in (graph_census, degrees, degree_terciles, walk_counts_2, motif_frequencies, orbit_partition, orbit_regret_floor, motif_bank, enumerate_motifs, negative_tails, anchors, laplacian_entries)}
 SQL = {
     "graph_census": f"""{_N}, c AS (SELECT 'node:' || split_part(node, ':', 1) AS what, COUNT(*) AS n FROM node GROUP BY 1 UNION ALL SELECT 'edge:' || relation, COUNT(*) FROM edge GROUP BY 1)
 SELECT * FROM c UNION ALL SELECT 'node:_total', COUNT(*) FROM node UNION ALL SELECT 'edge:_total', COUNT(*) FROM edge""",
@@ -100,10 +172,15 @@ SELECT * FROM c UNION ALL SELECT 'node:_total', COUNT(*) FROM node UNION ALL SEL
 SELECT node, degree, CASE WHEN rk <= n // 3 THEN 'low' WHEN rk <= 2 * n // 3 THEN 'middle' ELSE 'high' END AS tercile FROM r""",
     "walk_counts_2": f"{_WALK} SELECT * FROM w",
     "motif_frequencies": f"{_WALK} SELECT m.first || '>' || m.second AS motif, COALESCE(walks, 0) AS walks FROM (VALUES {', '.join(str(m) for m in MOTIFS)}) AS m(first, second) LEFT JOIN w USING (first, second)",
-    "orbit_partition": f"""{_W}, n AS (SELECT head AS node, relation FROM edge WHERE head LIKE 'candidate:%' UNION ALL SELECT tail, '~' || relation FROM edge WHERE tail LIKE 'candidate:%'), c AS (SELECT node, relation || '=' || COUNT(*) AS x FROM n GROUP BY node, relation),
-s AS (SELECT node, string_agg(x, ',' ORDER BY x) AS signature FROM c GROUP BY 1) SELECT signature, COUNT(*) AS size, MIN(node) AS representative FROM s GROUP BY 1""",
-    "negative_tails": f"{_W}, e AS (SELECT head, tail FROM edge WHERE relation = 'has_type') SELECT h.head, t.tail FROM (SELECT DISTINCT head FROM e) h, (SELECT DISTINCT tail FROM e) t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.head = h.head AND e.tail = t.tail)",
+    "orbit_partition": f"{_SHARED} SELECT s AS candidate, n AS walks, COUNT(*) AS size, string_agg(t, ',' ORDER BY t) AS members FROM a GROUP BY 1, 2",
+    "orbit_regret_floor": f"""{_SHARED}, {SCORED_CTE}, m AS (SELECT 'candidate:' || candidate AS t, AVG(score) AS score FROM scored GROUP BY 1), o AS (SELECT s, n, COUNT(*) AS size, STDDEV_POP(score) AS spread FROM a JOIN m USING (t) GROUP BY 1, 2)
+SELECT s AS candidate, ROUND(SUM(size * spread) / SUM(size), 6) AS floor, COUNT(*) AS orbits FROM o GROUP BY 1""",
+    "motif_bank": f"{_W} SELECT a.head AS node, {', '.join(f"COUNT(*) FILTER (a.relation = '{x}' AND b.relation = '{y}') AS {x}_{y}" for x, y in MOTIFS)} FROM edge a JOIN edge b ON a.tail = b.head GROUP BY 1",
+    "enumerate_motifs": f"{_WALK} SELECT first || '>' || second AS motif, row_number() OVER (ORDER BY first, second) AS place, ROUND(CAST(walks AS DOUBLE) / SUM(walks) OVER (), 6) AS share FROM w",
+    "negative_tails": f"""{_N}, v AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS number, COUNT(*) OVER () AS m FROM node), k AS (SELECT head, relation, COUNT(*) AS taken FROM edge GROUP BY 1, 2),
+d AS (SELECT e.*, h.number * 31 + t.number * 17 AS place, h.m, taken FROM edge e JOIN v h ON h.node = e.head JOIN v t ON t.node = e.tail JOIN k ON k.head = e.head AND k.relation = e.relation WHERE (h.number * 31 + t.number * 17) % {MASK_EVERY} = 0 AND {NEGATIVES} + taken + 1 <= h.m),
+x AS (SELECT d.head, d.relation, d.tail, v.node AS negative, step FROM d, unnest(range({NEGATIVES} + taken + 1)) AS u(step) JOIN v ON v.number = (d.place + step * {STRIDE}) % d.m WHERE v.node <> d.head AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.head = d.head AND e.relation = d.relation AND e.tail = v.node))
+SELECT * FROM (SELECT head, relation, tail, negative, row_number() OVER (PARTITION BY head, relation, tail ORDER BY step) AS place FROM x) WHERE place <= {NEGATIVES}""",
     "anchors": f"{_W}, n AS (SELECT relation, tail, COUNT(*) AS n FROM edge GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY n DESC, tail) AS rk FROM n) SELECT relation, tail AS anchor, n FROM r WHERE rk = 1",
-    "laplacian_entries": f"""{_W}, u AS (SELECT head AS i, tail AS j FROM edge WHERE relation IN ('has_type', 'has_size') UNION ALL SELECT tail, head FROM edge WHERE relation IN ('has_type', 'has_size')), a AS (SELECT i, j, COUNT(*) AS a FROM u GROUP BY 1, 2)
-SELECT i, j, -a AS value FROM a UNION ALL SELECT i, i, CAST(SUM(a) AS BIGINT) FROM a GROUP BY i""",
+    "laplacian_entries": f"{_SHARED}, d AS (SELECT s, SUM(n) AS d FROM a GROUP BY 1) SELECT a.s AS i, a.t AS j, ROUND(CASE WHEN a.s = a.t THEN 1.0 ELSE 0.0 END - n / SQRT(CAST(x.d AS DOUBLE) * y.d), 6) AS value FROM a JOIN d x ON x.s = a.s JOIN d y ON y.s = a.t",
 }
