@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.estimation import cox_hazard_ratio as _cox
 from tessera.operators.estimation import cox_fit, cox_restricted_mean, effects
 from tessera.operators.order import rank_within
+from tessera.operators.resampling import DRAW, interval, replicates
 from tessera.operators.survival import inverse_integral
 from tessera.plans.cohort import FOLDS
 from tessera.plans.graph import degree_terciles
@@ -124,23 +125,15 @@ def placebo_permutation(spark, sf_dir):
     return j.groupBy("site").agg(F.round(arm(1) - arm(0), 6).alias("contrast"), F.sum("exposed").alias("exposed"))
 
 
-REPS, DRAW = 20, "(k * 48271 + rep * 69621 + 12345) % 2147483647 % n"
+REPS = 20
 
 
 def bootstrap_ci(spark, sf_dir):
-    """Percentile interval of mean follow-up, decisions drawn with replacement within their site.
-
-    A draw is arithmetic on (rank, replicate), so it can be repeated anywhere. Draws are counted per (site, rank) before they
-    meet the values, and the replicates' sums are taken map-side.
-    """
+    """Percentile interval of mean follow-up, decisions drawn with replacement within their site."""
     d = decisions(spark, sf_dir).select("site", "decision_id", "follow_up_months")
-    k = rank_within(d, ["site"], "decision_id", "decision_id", "k").join(d.groupBy("site").agg(F.count("*").alias("n")), "site")
-    k = k.select("site", "follow_up_months", (F.col("k") - 1).cast("bigint").alias("k"), "n")
-    draws = k.select("site", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))).alias("rep")).select("site", "rep", F.expr(DRAW).alias("k")).groupBy("site", "rep", "k").agg(F.count("*").alias("times"))
-    r = draws.join(k.select("site", "k", "follow_up_months"), ["site", "k"]).groupBy("rep").agg((F.sum(F.round(F.col("follow_up_months") * 100).cast("bigint") * F.col("times")) / F.sum("times") / 100.0).alias("m"))
-    point = d.agg(F.avg("follow_up_months").alias("point"))
-    q = r.agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"), F.count("*").alias("reps"))
-    return q.crossJoin(point).select(F.round("point", 6).alias("point"), F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "reps")
+    mean = F.sum(F.round(F.col("follow_up_months") * 100).cast("bigint") * F.col("times")) / F.sum("times") / 100.0
+    q = interval(replicates(d, "site", "decision_id", {"m": mean}, REPS), "m")
+    return q.crossJoin(d.agg(F.avg("follow_up_months").alias("point"))).select(F.round("point", 6).alias("point"), F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "reps")
 
 
 def _normal_tail(z: Column) -> Column:
