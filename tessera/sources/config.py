@@ -46,3 +46,11 @@ def parse(payload: dict) -> Protocol:
 
 def load(spark: SparkSession, path: str) -> Protocol:
     return parse(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
+
+
+def merge(payload: dict, overrides: dict) -> dict:
+    """payload with the overrides' values in place of its own, section by section; neither is changed."""
+    out = dict(payload)
+    for key, value in overrides.items():
+        out[key] = merge(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, length, digest) of the files below a path; each file is digested where it is read."""
+    """(name, length, digest) of the files below a path; each is digested where it is read. Spark's reader lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
 
@@ -17,3 +17,14 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.select("name", F.col("digest").alias("was")), after.select("name", F.col("digest").alias("is"))
     status = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "changed")
     return a.join(b, "name", "full").select("name", status.alias("status")).where("status is not null")
+
+
+def summary(files: DataFrame) -> DataFrame:
+    """One row (files, bytes, digest) of a manifest. The digest doesn't depend on the order of the files or on how they are partitioned.
+
+    It is the digest of 4,096 partial ones, each over the sorted lines of the names that hash to it, so no task holds all names.
+    """
+    line = F.concat_ws(" ", "digest", "name")
+    part = files.groupBy(F.pmod(F.xxhash64("name"), F.lit(4096)).alias("part")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("digest"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])
+    return part.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.concat_ws("\n", lines), 256).alias("digest"))

@@ -28,18 +28,28 @@ def windows(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "2 days").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The stream's result once all that is there has been read. The memory sink holds the aggregate only."""
-    name = f"stream_{uuid.uuid4().hex}"
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{at.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _run(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The stream's last word on every key once all that is there has been read.
+
+    Each batch writes the groups it changed to the shared folder, so state behind the watermark is dropped and no result has to
+    fit on the driver. A batch that is run again writes the same rows again, which changes nothing.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="tessera-")
+    path = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    write = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/rows")
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    last = spark.read.parquet(f"{path}/rows").groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, "last.*")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by event type, computed as a stream."""
-    out = _run(spark, windows(source(spark, f"{sf_dir}/events.parquet")), "complete")
+    out = _run(spark, windows(source(spark, f"{sf_dir}/events.parquet")), ["w", "event_type"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
 
 

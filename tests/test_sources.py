@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import functions as fn
-from tessera.sources import config, manifest
+from tessera.sources import config, manifest, sinks
 
 
 def test_protocol(spark, tmp_path):
@@ -43,3 +43,44 @@ def test_functions(spark):
 def test_uniform_is_spread(spark):
     u = spark.range(20000).select(fn.uniform(F.col("id"), 1).alias("a"), fn.uniform(F.col("id"), 2).alias("b")).agg(F.avg("a"), F.avg("b"), F.corr("a", "b"), F.min("a"), F.max("a")).first()
     assert abs(u[0] - 0.5) < 0.02 and abs(u[1] - 0.5) < 0.02 and abs(u[2]) < 0.2 and 0 < u[3] < u[4] < 1
+
+
+def test_merge_and_summary(spark, tmp_path):
+    base = {"gate": {"depth": 3, "alpha": 0.1}, "name": "a"}
+    assert config.merge(base, {"gate": {"depth": 5}, "name": "b"}) == {"gate": {"depth": 5, "alpha": 0.1}, "name": "b"} and base["gate"]["depth"] == 3
+    for i in range(30):
+        (tmp_path / f"f{i}").write_text("x" * (i + 1))
+    files = manifest.manifest(spark, str(tmp_path))
+    a, b = manifest.summary(files).first(), manifest.summary(files.repartition(7)).first()
+    assert (a.files, a.bytes) == (30, sum(range(31))) and a.digest == b.digest
+    (tmp_path / "f3").write_text("yyy")
+    assert manifest.summary(manifest.manifest(spark, str(tmp_path))).first().digest != a.digest
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_sinks_round_trip(spark, tmp_path, fmt):
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, "c, d")], "k bigint, v string")
+    for _ in range(2):
+        sinks.write(d, str(tmp_path / fmt), fmt)
+    assert sorted(map(tuple, sinks.read(spark, str(tmp_path / fmt), fmt, d.schema).collect()), key=str) == sorted(map(tuple, d.collect()), key=str)
+    with pytest.raises(ValueError, match="none of"):
+        sinks.write(d, str(tmp_path / "x"), "exe")
+
+
+def test_flat_columns_and_text(spark):
+    d = spark.sql("SELECT 1 AS a, named_struct('x', 2, 'y', named_struct('z', 'q')) AS b")
+    flat = sinks.flatten(d)
+    assert flat.columns == ["a", "b.x", "b.y.z"] and sinks.unflatten(flat).schema == d.schema and sinks.unflatten(flat).collect() == d.collect()
+    assert sinks.to_text(flat) == "a  b.x  b.y.z\n1  2    q\n"
+    with pytest.raises(ValueError, match="more than"):
+        sinks.to_text(spark.range(sinks.SHOWN + 1))
+    with pytest.raises(ValueError, match="missing columns: nope"):
+        sinks.require(d, ["a", "nope"])
+
+
+def test_intervals(spark):
+    assert fn.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
+    lo, hi = fn.two_sided(F.lit(1.0), F.lit(0.5))
+    d = spark.createDataFrame([(1.0, 1.0), (3.0, 3.0)], "v double, w double").agg(fn.weighted_mean(F.col("v"), F.col("w")).alias("m"), fn.weighted_mean(F.col("v"), F.col("w") * 0, -1.0).alias("f"))
+    r = d.select("m", "f", lo.alias("lo"), hi.alias("hi"), fn.one_sided_upper(F.lit(1.0), F.lit(0.5)).alias("up"), fn.excludes(lo, hi, F.lit(2.5)).alias("out")).first()
+    assert (r.m, r.f, r.out) == (2.5, -1.0, True) and r.lo == pytest.approx(0.020018, abs=1e-6) and r.up == pytest.approx(1.822427, abs=1e-6)
