@@ -114,23 +114,24 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs, with or without their texts, with pii_base and pii_id, arrays of (kind, start, end, value) in order of kind and start.
+def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: bool = True, into: tuple[str, str] = ("pii_base", "pii_id")) -> DataFrame:
+    """docs, with or without their texts, with pii_base and pii_id (or ``into``), arrays of (kind, start, end, value) in order of kind and start.
 
     What is learnt has six digits or more and neither white space nor quotes in it; a pattern stands before three different seeds
-    or more. Null and empty texts hold nothing. Repeated rows each get their spans. Columns named pii_base or pii_id are replaced, and
+    or more. Null and empty texts hold nothing. Repeated rows each get their spans. Columns of those two names are replaced, and
     all others are left as they are. An empty table stays one. What is learnt is learnt from all documents: the graph has a
     row for each distinct pair of pattern and string, summed before it is shuffled.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    columns = [c for c in docs.columns if c not in ("pii_base", "pii_id")]
+    columns = [c for c in docs.columns if c not in into]
+    base, learnt = into
     row, own, found = (_free(n, docs.columns) for n in ("row", "seen", "found"))
     kept = [c for c in columns if keep_text or c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias("pii_base"), _candidates(text).alias(found))
-    entry = lambda base: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(text, x["start"]).alias("patterns"), F.lit(base).alias("base"))
-    others = F.filter(found, lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    seen = F.concat(F.transform("pii_base", entry(True)), F.transform(others, entry(False)))
-    rows = scratch.write(rows.withColumn(own, seen).withColumn(row, F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in kept], "pii_base", own, row))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias(base), _candidates(text).alias(found))
+    entry = lambda is_base: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(text, x["start"]).alias("patterns"), F.lit(is_base).alias("base"))
+    others = F.filter(found, lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    seen = F.concat(F.transform(F.col(base), entry(True)), F.transform(others, entry(False)))
+    rows = scratch.write(rows.withColumn(own, seen).withColumn(row, F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in kept], base, own, row))
     strings = rows.where(F.size(own) > 0).select(F.col(row).alias("row"), F.explode(own).alias("s")).select("row", "s.*")
     pairs = strings.select(F.explode("patterns").alias("pattern"), "value", "base").groupBy("pattern", "value").agg(F.max("base").alias("base"))
     pairs = scratch.write(pairs.withColumn("seed", F.col("base") | F.rlike("value", F.lit(KEY))))
@@ -152,17 +153,18 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep_text: b
     taken = score.where(F.col("score") >= TAKEN).select("value")
     new = strings.where(~F.col("base")).join(taken, "value", "left_semi")
     # Written, so that Spark knows its size and need not shuffle the texts if it is small.
-    new = scratch.write(new.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("pii_id")))
+    new = scratch.write(new.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end", "value"))).alias("spans")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    out = rows.join(new.withColumnsRenamed({"of": (of := _free("of", rows.columns)), "pii_id": (ids := _free("ids", rows.columns))}), F.col(row) == F.col(of), "left")
-    return out.select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.coalesce(ids, none).alias("pii_id"))
+    out = rows.join(new.withColumnsRenamed({"of": (of := _free("of", rows.columns)), "spans": (ids := _free("ids", rows.columns))}), F.col(row) == F.col(of), "left")
+    return out.select(*[F.col(f"`{c}`") for c in kept], base, F.coalesce(ids, none).alias(learnt))
 
 
 def redact(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
-    found = find(docs, scratch, text_col)
+    base, learnt = _free("pii_base", docs.columns), _free("pii_id", docs.columns)
+    found = find(docs, scratch, text_col, into=(base, learnt))
     text = F.col(f"`{text_col}`").cast("string")
-    spans = F.array_sort(F.transform(F.concat("pii_base", "pii_id"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(F.concat(base, learnt), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -172,7 +174,7 @@ def redact(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFra
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
 
     clean = F.aggregate(spans, begin, step, lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substr(text, acc["at"] + 1, F.length(text))))
-    hit = F.size("pii_base") + F.size("pii_id") > 0
+    hit = F.size(base) + F.size(learnt) > 0
     return found.select(*[(F.when(hit, clean).otherwise(F.col(f"`{text_col}`")).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
 
 
