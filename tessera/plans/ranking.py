@@ -140,7 +140,7 @@ def conformal_bounds(spark, sf_dir):
     q = _limit(_residuals(spark, sf_dir), covariate_weights(spark, sf_dir))
     s = scored(spark, sf_dir).join(_binned(spark, sf_dir).where("split = 'held_out'"), "decision_id").crossJoin(F.broadcast(q))
     lower, upper = F.col("score") - F.col("q"), F.col("score") + F.col("q")
-    return s.groupBy("candidate").agg(F.round(F.avg(lower), 6).alias("lower"), F.round(F.avg(upper), 6).alias("upper"), F.count_if((lower > 0) | (upper < 0)).alias("clear"), F.count("*").alias("n"))
+    return s.groupBy("candidate").agg(F.round(F.avg(lower) + 1e-9, 5).alias("lower"), F.round(F.avg(upper) + 1e-9, 5).alias("upper"), F.count_if((lower > 0) | (upper < 0)).alias("clear"), F.count("*").alias("n"))
 
 
 def _gate(spark, sf_dir) -> DataFrame:
@@ -282,7 +282,7 @@ c AS (SELECT *, SUM(m) OVER (PARTITION BY candidate ORDER BY score) AS cum, SUM(
     "conformal_limits": f"""{_W}, s AS (SELECT *, ROUND(ABS(score - propensity), 6) AS residual FROM scored), c AS (SELECT residual, CAST(SUM(COUNT(*)) OVER (ORDER BY residual) AS DOUBLE) / SUM(COUNT(*)) OVER () AS share, SUM(COUNT(*)) OVER () AS total FROM s WHERE decision_id % 2 = 0 GROUP BY residual),
 q AS (SELECT MIN(residual) AS q FROM c WHERE share >= LEAST(1.0, CAST(0.9 AS DOUBLE) * (1.0 + CAST(1.0 AS DOUBLE) / total))) SELECT MAX(q) AS q, COUNT(*) AS n, COUNT(*) FILTER (residual <= q) AS covered FROM s, q WHERE decision_id % 2 = 1""",
     "weighted_conformal": f"WITH {_LIMIT} SELECT MAX(q) AS q, MAX(lq.n) AS calibrated, COUNT(*) AS n, COUNT(*) FILTER (residual <= q) AS covered FROM lr, lq WHERE split = 'held_out'",
-    "conformal_bounds": f"WITH {_LIMIT} SELECT candidate, ROUND(AVG(score - q), 6) AS lower, ROUND(AVG(score + q), 6) AS upper, COUNT(*) FILTER (score - q > 0 OR score + q < 0) AS clear, COUNT(*) AS n FROM scored JOIN bd USING (decision_id), lq WHERE split = 'held_out' GROUP BY 1",
+    "conformal_bounds": f"WITH {_LIMIT} SELECT candidate, ROUND(AVG(score - q) + 1e-9, 5) AS lower, ROUND(AVG(score + q) + 1e-9, 5) AS upper, COUNT(*) FILTER (score - q > 0 OR score + q < 0) AS clear, COUNT(*) AS n FROM scored JOIN bd USING (decision_id), lq WHERE split = 'held_out' GROUP BY 1",
     "covariate_weights": f"""WITH {DECISION_CTE}, e AS (SELECT MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi FROM decision), b AS (SELECT split, CAST(LEAST(9, FLOOR((c_acctbal - lo) / ((hi - lo) / 10.0))) AS INTEGER) AS bin FROM decision, e),
 n AS (SELECT bin, COUNT(*) FILTER (split = 'held_out') AS target, COUNT(*) FILTER (split <> 'held_out') AS source FROM b GROUP BY 1) SELECT bin, target, source, ROUND(LEAST(10.0, GREATEST(0.1, CAST(target AS DOUBLE) / GREATEST(source, 1))), 6) AS weight FROM n""",
 }
