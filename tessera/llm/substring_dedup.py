@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,9 @@ HALF = LENGTH - 2 * KEY + 1  # windows that share 2 * KEY bytes
 #: Bytes ranked at once; longer documents are ranked in overlapping parts.
 PART = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
+#: What a task knows of a row: nothing, that it repeats an earlier one of its slice whole, that its rank has several wholes in its
+#: slice, or that it is no row but says so of a rank.
+COLD, REPEAT, SEVERAL, PROBE = range(4)
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,28 +81,45 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
                 yield lo, a, part, np.array([0, len(part)])
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """(rank, whole, doc, place, low, high, repeat): the anchors of all documents.
+def _known(name: np.ndarray, whole: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a slice of rows in order tells of them: their sort keys, their states, and the rows that speak for ranks of several wholes.
 
-    Anchors that repeat an earlier one of the same slice whole are settled here (repeat), under a rank of their own: however
-    often a string occurs, a slice sends one row for it to the task that sorts its rank.
+    A rank may occur in every document there is. So what a slice settles is sorted by keys of its own: a row that repeats one of
+    the slice whole by a key that no other has, and rows of a rank with several wholes, which are open whatever other slices
+    hold, by rank and whole. For such a rank one row goes to the task that sorts it, and opens what it has of other slices.
     """
-    schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField("whole", T.LongType()), docs.schema["doc"], T.StructField("place", T.LongType()), T.StructField("low", T.ByteType()), T.StructField("high", T.ByteType()), T.StructField("repeat", T.BooleanType())])
+    by = np.lexsort((whole, name))
+    n, w = name[by], whole[by]
+    head, new = np.ones(len(by), bool), np.ones(len(by), bool)
+    head[1:] = n[1:] != n[:-1]
+    new[1:] = head[1:] | (w[1:] != w[:-1])
+    group = np.cumsum(head) - 1
+    several = np.bincount(group, weights=new)[group] > 1 if len(by) else head
+    state = np.zeros(len(by), np.int8)
+    state[by] = np.where(new, np.where(several, SEVERAL, COLD), REPEAT)
+    with np.errstate(over="ignore"):
+        key = np.where(state == REPEAT, mix(name + mix(row.astype(np.uint64) * np.uint64(2) + np.uint64(1))), np.where(state == SEVERAL, mix(name + mix(whole)), name))
+    return key, state, by[head & several]
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """(rank, whole, doc, place, low, high, state): the anchors of all documents, and what their slice tells of them."""
+    schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField("whole", T.LongType()), docs.schema["doc"], T.StructField("place", T.LongType()), T.StructField("low", T.ByteType()), T.StructField("high", T.ByteType()), T.StructField("state", T.ByteType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = TaskContext.get().partitionId() << 40
         for b in batches:
             # Documents in the order of their ids, so that the first of equal anchors is the earliest.
             b = b.take(pc.sort_indices(b, sort_keys=[("order", "ascending"), ("tie", "ascending")], null_placement="at_start"))
             texts = no_nulls(b["text"])
             for row, start, data, off in _parts(texts):
                 doc, place, low, high, rank, whole = anchors(data, off)
-                by = np.lexsort((whole, rank))
-                repeat = np.zeros(len(by), bool)
-                repeat[by[1:]] = (rank[by[1:]] == rank[by[:-1]]) & (whole[by[1:]] == whole[by[:-1]])
-                with np.errstate(over="ignore"):
-                    rank = np.where(repeat, mix(rank + mix((place + row + start).astype(np.uint64) * np.uint64(2) + np.uint64(1))), rank)
+                key, state, probes = _known(rank, whole, seen + np.arange(len(rank)))
+                seen += len(rank)
+                key, whole, state = np.concatenate([key, rank[probes]]), np.concatenate([whole, np.zeros(len(probes), np.uint64)]), np.concatenate([state, np.full(len(probes), PROBE, np.int8)])
+                each = np.concatenate([np.arange(len(doc)), probes])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), b["doc"].take(pa.array(doc + row)), pa.array(place + start), pa.array(low.astype(np.int8)), pa.array(high.astype(np.int8)), pa.array(repeat)],
+                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), b["doc"].take(pa.array(doc[each] + row)), pa.array(place[each] + start), pa.array(low[each].astype(np.int8)), pa.array(high[each].astype(np.int8)), pa.array(state)],
                     names=schema.names,
                 )
 
@@ -106,15 +127,16 @@ def _ranked(docs: DataFrame) -> DataFrame:
 
 
 def _settle(rows: DataFrame, *rank: str) -> DataFrame:
-    """rows (rank..., whole, doc, place, ...) that say something, with ``repeat`` and ``open``.
+    """rows (rank..., whole, doc, place, state, ...) that say something, with ``repeat`` and ``open``.
 
     A row repeats if one of equal rank and whole is earlier. The earliest is open if its rank has another whole: only parts of
     it may be equal. All else is unique, or the first of equals, and drops out. One sort by rank; groups stream through it.
     """
     earlier = F.row_number().over(Window.partitionBy(*rank, "whole").orderBy("doc", "place")) > 1
     group = Window.partitionBy(*rank)
-    rows = rows.repartition(*rank).withColumn("repeat", F.col("repeat") | earlier).withColumn("least", F.min("whole").over(group)).withColumn("most", F.max("whole").over(group))
-    return rows.where("repeat or least <> most").withColumn("open", ~F.col("repeat")).drop("least", "most")
+    rows = rows.repartition(*rank).withColumn("repeat", (F.col("state") == REPEAT) | earlier).withColumn("least", F.min("whole").over(group)).withColumn("most", F.max("whole").over(group))
+    said = F.col("repeat") | (F.col("state") == SEVERAL) | (F.col("least") != F.col("most"))
+    return rows.where((F.col("state") != PROBE) & said).withColumn("open", ~F.col("repeat")).drop("least", "most", "state")
 
 
 def _with_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
@@ -141,15 +163,18 @@ def _finer(rows: DataFrame, size: int) -> DataFrame:
 
     Pieces of HALF windows share 2 * KEY bytes, named by the ranks of their two halves; single windows, of LENGTH bytes, are named
     by two overlapping such pairs. bytes are those that the piece's windows span; they are carried on while pieces have more
-    than one window.
+    than one window. Where documents have plain ids, a slice tells of its rows what it can.
     """
-    keep = size > 1
-    names = ["rank", "next", "whole", "doc", "place", "low", "high", "repeat"] + ["bytes"] * keep
-    types = {"rank": T.LongType(), "next": T.LongType(), "whole": T.LongType(), "repeat": T.BooleanType(), "bytes": T.BinaryType()}
+    keep, plain = size > 1, not isinstance(rows.schema["doc"].dataType, T.StructType)
+    names = ["rank", "next", "whole", "doc", "place", "low", "high", "state"] + ["bytes"] * keep
+    types = {"rank": T.LongType(), "next": T.LongType(), "whole": T.LongType(), "state": T.ByteType(), "bytes": T.BinaryType()}
     schema = T.StructType([T.StructField(n, types[n]) if n in types else rows.schema[n] for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = TaskContext.get().partitionId() << 40
         for b in batches:
+            if plain:
+                b = b.take(pc.sort_indices(b, sort_keys=[("doc", "ascending"), ("place", "ascending")], null_placement="at_start"))
             for lo, hi in slices(b["bytes"], PART):
                 c = b.slice(lo, hi - lo)
                 data, off = bounds(c["bytes"])
@@ -165,11 +190,18 @@ def _finer(rows: DataFrame, size: int) -> DataFrame:
                 rank, then = (one(shared), one(shared + KEY)) if keep else (two(shared), two(shared + LENGTH - 2 * KEY))
                 with np.errstate(over="ignore"):
                     whole = mix(ranks.spans(at - most, at - least + LENGTH) + (least * SPAN + most).astype(np.uint64))
-                take = pa.array(i)
-                columns = [pa.array(rank.view(np.int64)), pa.array(then.view(np.int64)), pa.array(whole.view(np.int64)), c["doc"].take(take), c["place"].take(take), pa.array(least.astype(np.int8)), pa.array(most.astype(np.int8)), pa.array(np.zeros(len(i), bool))]
+                state, each = np.zeros(len(i), np.int8), np.arange(len(i))
+                if plain:
+                    key, state, probes = _known(pair(rank, then), whole, seen + each)
+                    seen += len(each)
+                    own = state != COLD
+                    rank, then = np.concatenate([np.where(own, key, rank), rank[probes]]), np.concatenate([np.where(own, np.uint64(0), then), then[probes]])
+                    each, state, whole = np.concatenate([each, probes]), np.concatenate([state, np.full(len(probes), PROBE, np.int8)]), np.concatenate([whole, np.zeros(len(probes), np.uint64)])
+                take = pa.array(i[each])
+                columns = [pa.array(rank.view(np.int64)), pa.array(then.view(np.int64)), pa.array(whole.view(np.int64)), c["doc"].take(take), c["place"].take(take), pa.array(least[each].astype(np.int8)), pa.array(most[each].astype(np.int8)), pa.array(state)]
                 if keep:
                     raw = data.tobytes()
-                    columns.append(pa.array([raw[x:y] for x, y in zip((at - most).tolist(), (at - least + LENGTH).tolist(), strict=True)], pa.binary()))
+                    columns.append(pa.array([raw[x:y] for x, y in zip((at - most)[each].tolist(), (at - least + LENGTH)[each].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)

@@ -276,6 +276,19 @@ def test_substring_dedup_is_brute_force(spark, scratch, seed):
     assert len(got) == len(rows)
 
 
+def test_substring_dedup_of_a_passage_in_all_documents(spark, scratch):
+    """A passage in differing surroundings, in every document, twice in some, and documents that are equal but for a little."""
+    rng = random.Random(4)
+    words = lambda k: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(k))
+    passage, base = words(60), words(120)
+    rows = [(i, f"{words(rng.randint(0, 30))} {passage} {words(rng.randint(0, 30))}" + f" {passage}" * (i % 7 == 0)) for i in range(150, 0, -1)]
+    rows += [(200 + i, base[:k] + "#" + base[k:]) for i, k in enumerate(range(0, len(base), 5))]
+    got = substring_dedup.remove_repeats(texts(spark, rows).repartition(5), scratch).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
+    spread = substring_dedup._ranked(texts(spark, rows).select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("order"), F.lit(0).alias("tie"), "text").coalesce(1))
+    assert spread.groupBy("rank").count().agg(F.max("count")).first()[0] < 20
+
+
 def test_substring_dedup_in_parts(spark, scratch, monkeypatch):
     """Long documents are ranked in overlapping parts."""
     rng = random.Random(9)
