@@ -26,3 +26,20 @@ def at_k(rows: DataFrame, by: str, relevance: str, k: int) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.when(top, F.col("_gain") / F.log2(F.col("rank") + 1.0))), F.sum(F.when(F.col("_ideal") <= k, F.col("_gain") / F.log2(F.col("_ideal") + 1.0)))), F.lit(0.0)).alias("ndcg"),
         F.coalesce(F.try_divide(F.sum(F.when(F.col("_rel") == 1, F.col("_found") / F.col("rank"))), total), F.lit(0.0)).alias("average_precision"),
     )
+
+
+def at_depths(rows: DataFrame, by: str, relevance: str, depths: tuple[int, ...]) -> DataFrame:
+    """(by, depth, hits, recall, ndcg) of ranked rows for several depths: the windows and the grouping are those of one."""
+    rel = (F.col(relevance) > 0).cast("int")
+    gain = F.greatest(F.col(relevance), F.lit(0.0))
+    r = rows.withColumn("_ideal", F.row_number().over(Window.partitionBy(by).orderBy(gain.desc()))).withColumn("_gain", gain).withColumn("_rel", rel)
+    discounted = lambda place: F.col("_gain") / F.log2(F.col(place) + 1.0)
+
+    def one(k: int):
+        hits = F.sum(F.when(F.col("rank") <= k, F.col("_rel")).otherwise(0))
+        return F.struct(
+            F.lit(k).alias("depth"), (hits / F.least(F.lit(k), F.count("*"))).alias("hits"), F.coalesce(F.try_divide(hits, F.sum("_rel")), F.lit(0.0)).alias("recall"),
+            F.coalesce(F.try_divide(F.sum(F.when(F.col("rank") <= k, discounted("rank"))), F.sum(F.when(F.col("_ideal") <= k, discounted("_ideal")))), F.lit(0.0)).alias("ndcg"),
+        )
+
+    return r.groupBy(by).agg(F.array(*map(one, depths)).alias("_d")).select(by, F.explode("_d").alias("_d")).select(by, "_d.*")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import survival as S
-from tessera.operators.ranking import at_k, ranked
+from tessera.operators.ranking import at_depths, ranked
 from tessera.plans import clones as C
 from tessera.plans.ranking import SQL as RANKING
 from tessera.plans.ranking import _gate, _metrics
@@ -70,8 +68,7 @@ def metric_tables(spark, sf_dir):
     """Mean hits, recall and nDCG by line and depth."""
     r = ranked(scored(spark, sf_dir), "decision_id", "propensity", "candidate")
     line = decisions(spark, sf_dir).select("decision_id", "line")
-    each = [at_k(r, "decision_id", "score", k).withColumn("depth", F.lit(k)) for k in DEPTHS]
-    return reduce(lambda a, b: a.union(b), each).join(line, "decision_id").groupBy("line", "depth").agg(*[F.round(F.avg(c) + 1e-9, 5).alias(c) for c in ("hits", "recall", "ndcg")], F.count("*").alias("n"))
+    return at_depths(r, "decision_id", "score", DEPTHS).join(line, "decision_id").groupBy("line", "depth").agg(*[F.round(F.avg(c) + 1e-9, 5).alias(c) for c in ("hits", "recall", "ndcg")], F.count("*").alias("n"))
 
 
 def seed_dispersion(spark, sf_dir):
