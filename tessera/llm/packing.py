@@ -194,10 +194,11 @@ def pack(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     of documents is that of the scan, fixed once pass one is written. Memory holds one document's ids at a time.
     """
     coded = scratch.write(tokenise(docs, id_col, text_col, path or vocabulary_path()))
-    # One row of 16 bytes for each scan partition, whatever the number of documents: small enough for a window and a broadcast.
+    # One row of 16 bytes for each scan partition, whatever the number of documents: small enough for a window. It is written, so
+    # that Spark knows its size when it decides how to join it.
     totals = coded.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    placed = coded.join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.col("start_in_part"))
+    placed = coded.join(scratch.write(before), "part").withColumn("at", F.col("before") + F.col("start_in_part"))
     w = F.lit(window)
     whole = lambda x: F.floor(x / w).cast("bigint")  # noqa: E731  the numbers stay far below 2**53
 
