@@ -131,9 +131,10 @@ def slide_signature(spark, sf_dir):
     return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
 
 
-def feature(embedding):
+def feature(embedding, weights: tuple[float, ...] = WEIGHTS):
     """The dot product of an embedding's first coordinates with the weights, of as many as it has; 0 for none."""
-    pairs = F.zip_with(F.slice(embedding, 1, len(WEIGHTS)), F.slice(F.array(*map(F.lit, WEIGHTS)), F.lit(1), F.least(F.size(embedding), F.lit(len(WEIGHTS)))), lambda x, w: x.cast("double") * w)
+    n = len(weights)
+    pairs = F.zip_with(F.slice(embedding, 1, n), F.slice(F.array(*map(F.lit, weights)), F.lit(1), F.least(F.size(embedding), F.lit(n))), lambda x, w: x.cast("double") * w)
     return F.when(F.size(embedding) > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
 
