@@ -748,6 +748,61 @@ def test_classifier(spark, scratch):
     assert quality_classifier.score(texts(spark, []), labels, scratch).count() == 0
 
 
+def plain_features(t):
+    """FEATURES from their definitions, one text at a time."""
+    w = WORD.findall((t or "").translate(LOWER))
+    n, raw = max(len(w), 1), (t or "").encode()
+    words = WORD.findall(t or "")
+    lines = (t or "").split("\n")
+    with_word = [x for x in lines if WORD.search(x)]
+    grams = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    alpha = sum(c.isascii() and c.isalpha() for c in t or "")
+    return [
+        math.log1p(len(w)), min(sum(map(len, words)) / n, 30), min(sum(c in "#*$%&|<>" for c in t or "") / n, 3), (len(with_word) - len(set(with_word))) / len(lines), len(repeated) / n,
+        1 - (len(w) - len(set(w))) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, sum("A" <= c <= "Z" for c in t or "") / max(alpha, 1), sum(48 <= b < 58 for b in raw) / max(len(raw), 1),
+        min(sum(c in ".,;:!?" for c in t or "") / n, 3), sum(b >= 128 for b in raw) / max(len(raw), 1), math.log1p(len(w) / len(lines)),
+    ]
+
+
+def test_classifier_is_brute_force(spark, scratch):
+    """Scores against the definition on all rows at once: standardised statistics, cosines, ridge on three folds, isotonic map by the max-min formula on the fourth."""
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in corpus(7, 260) if i is not None]
+    rows += [(3, rows[3][1]), (7, rows[7][1])]
+    labels = [(i, int(rng.random() < (0.8 if len(t or "") > 400 else 0.3))) for i, t in rows[:240]] + [(5, 1), (6, None)]
+    got = quality_classifier.score(texts(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int"), scratch).collect()
+    x = np.array([plain_features(t) for _, t in rows])
+    assert np.abs(quality_classifier.features(pa.array([t for _, t in rows])) - x).max() < 1e-12
+    scale = x.std(0)
+    z = (x - x.mean(0)) / np.where(scale > 0, scale, 1)
+    draw = np.random.default_rng(quality_classifier.SEED)
+    w, b = draw.normal(0, 1 / quality_classifier.WIDTH, (x.shape[1], quality_classifier.COSINES)), draw.uniform(0, 2 * np.pi, quality_classifier.COSINES)
+    c = np.hstack([np.ones((len(z), 1)), np.sqrt(2 / quality_classifier.COSINES) * np.cos(z @ w + b)])
+    y = {i: np.mean([v for k, v in labels if k == i and v is not None]) for i in {k for k, v in labels if v is not None}}
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    known = np.array([i in y for i, _ in rows])
+    fit, cal = known & (fold > 0) & (fold < 4), known & (fold == 4)
+    target = np.array([y.get(i, 0.0) for i, _ in rows])
+    k = quality_classifier.COSINES
+    beta = np.linalg.solve(c[fit].T @ c[fit] + quality_classifier.RIDGE * fit.sum() * np.diag(np.r_[0, np.ones(k)] / k) + 1e-9 * np.eye(k + 1), c[fit].T @ target[fit])
+    raw = np.clip(c @ beta, 0, 1)
+    bins = np.floor(raw * quality_classifier.BINS + 0.5)
+    at = sorted(set(bins[cal]))
+    n, hits = [sum(bins[cal] == e) for e in at], [target[cal][bins[cal] == e].sum() for e in at]
+    level = [max(min(sum(hits[a : z + 1]) / sum(n[a : z + 1]) for z in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    pools = [(np.average([at[i] for i in g], weights=[n[i] for i in g]) / quality_classifier.BINS, v) for v in sorted(set(np.round(level, 12))) for g in [[i for i in range(len(at)) if round(level[i], 12) == v]]]
+    want = dict(zip([i for i, _ in rows], np.interp(raw, *zip(*pools, strict=True)), strict=True))
+    assert len(got) == len(rows) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-6
+
+
+def test_quality_ledger_of_a_text_of_many_slices(spark):
+    long = "\n".join(f"line {i % 50_000} of {i % 7} words" for i in range(120_000))
+    r = quality_rules.ledger(texts(spark, [(1, long), (2, "x y z"), (2, "x y z")])).collect()
+    m = next(x.quality_ledger for x in r if x.doc_id == 1)
+    assert len(long) > 2 << 20 and (m.n_lines, m.n_words, m.n_dup_lines) == (120_000, 600_000, 120_000 - len(set(long.split("\n")))) and len(r) == 3
+
+
 def test_isotonic():
     edges, values = quality_classifier.pool(np.array([0.1, 0.2, 0.3]), np.array([1, 0, 3]), np.array([2.0, 2.0, 3.0]))
     assert values.tolist() == [0.25, 1.0] and edges.tolist() == pytest.approx([0.15, 0.3])
