@@ -73,6 +73,10 @@ class Scratch:
         self._sweep()
         return back
 
+    def size(self, df: DataFrame) -> int:
+        """Bytes of df, columns of a table that was written, as Spark estimates them from the size of its files."""
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that :meth:`write` returned and nothing will read again."""
         _delete(self.spark, df._scratch_path)

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL that answers them where SQL can."""
 
-from tessera.llm import decontamination, html_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, substring_dedup, tool_calls, warc
+from tessera.llm import decontamination, html_text, ngram_join, packing, personal_data, phrases, quality_classifier, quality_rules, substring_dedup, tool_calls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,10 +10,10 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_tool_calls": tool_calls.op6_tool_calls,
     "op7_quality_rules": quality_rules.op7_quality_rules,
-    "quality_ablation": quality_rules.ABLATION_SQL,
     "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_personal_data": personal_data.op9_personal_data,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
     "quality_ablation": quality_rules.quality_ablation,
 }
 SQL = {
@@ -23,4 +23,5 @@ SQL = {
     "op7_quality_rules": quality_rules.OP7_SQL,
     "quality_ablation": quality_rules.ABLATION_SQL,
     "op8_suffix_dedup": substring_dedup.OP8_SQL,
+    "op13_phrase_collocations": phrases.OP13_SQL,
 }
