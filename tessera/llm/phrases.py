@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.words import bounds, codes, lower, slices
