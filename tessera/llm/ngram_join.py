@@ -130,7 +130,7 @@ def signatures(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(codes)
 
 
-def _whole(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def whole_sets(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit fingerprints of each whole set: only sets that agree in both count as equal."""
     n = np.diff(at).astype(np.uint64)
     out = []
@@ -159,7 +159,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 ids = b["doc_id"].slice(lo, hi - lo)
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 n = np.diff(at)
-                whole, check = _whole(grams, at)
+                whole, check = whole_sets(grams, at)
                 names, keys, alone, of, sign = ids.to_pylist(), np.stack([whole, check], 1).tobytes(), (n == 0) | ~known, [None] * (hi - lo), np.zeros(hi - lo, bool)
                 if len(met) > KEPT_SETS:
                     met.clear()
@@ -185,7 +185,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame) -> DataFrame:
     """(doc_id, grams array<long>)."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("grams", T.ArrayType(T.LongType(), False))])
 
@@ -198,8 +198,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 80 * union; pairs of repeated rows repeat.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; pairs of repeated rows repeat.
 
     Nothing is grouped by a or b behind the joins, so that adaptive execution may split a centre that thousands of pairs share.
     """
@@ -208,37 +208,38 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     small, large = F.least(F.size("grams_a"), F.size("grams_b")), F.greatest(F.size("grams_a"), F.size("grams_b"))
     # Sizes alone rule a pair out when the smaller set is too small; no intersection is computed then.
-    return pairs.join(one, "a").join(two, "b").where((100 * small >= 80 * large) & (100 * both >= 80 * (small + large - both))).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where((100 * small >= percent * large) & (100 * both >= percent * (small + large - both))).select("a", "b")
 
 
 def _code() -> Column:
     return -1 - F.col("n")
 
 
-def _enough(rows: DataFrame) -> DataFrame:
+def enough(rows: DataFrame) -> DataFrame:
     """The rows (sig, doc_id, n, ...) of documents that share as many signatures in a band as one partner there would bring."""
     counts = rows.groupBy("doc_id", "n").count().where(F.col("count") >= F.floor(_code() / BAND)).select("doc_id", "n")
     return rows.join(counts, ["doc_id", "n"], "left_semi")
 
 
-def _left_over(near: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+def left_over(near: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
     """The pairs (a, b) of near (doc_id, sig, n, component) across components that can be similar, for exact verification.
 
     A set's overlap with any other is at most the number of its members that are not its alone. Two sets of sizes x and y
-    need an overlap of 4/9 (x + y); so this number bounds the size of a partner from above. Copies that are too far from
+    need an overlap of 4/9 (x + y) at 80 percent; so this number bounds the size of a partner from above. Copies that are too far from
     their group's centre mostly differ by members of their own, and so go here one by one, before any pair is formed.
     """
+    largest = lambda overlap: F.call_function("div", overlap * F.lit(100 + percent), F.lit(percent)) - F.col("size")
     members = near.select("doc_id").distinct()
     own = sets.join(members, "doc_id", "left_semi").select("doc_id", F.explode("grams").alias("g"))
     alone = own.groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").agg(F.count("*").alias("alone"))
     most = members.join(sizes, "doc_id").join(alone, "doc_id", "left")
-    most = most.select("doc_id", "size", F.floor((F.col("size") - F.coalesce("alone", F.lit(0))) * 9 / 4 - F.col("size")).alias("largest"))
+    most = most.select("doc_id", "size", largest(F.col("size") - F.coalesce("alone", F.lit(0))).alias("largest"))
     near = near.join(most, "doc_id")
     # A group counts for a document if it has one small enough in it, and counts at all if it has several components.
     group = near.groupBy("sig").agg(F.min("size").alias("smallest"))
     near = near.join(group, "sig").where("largest >= smallest").drop("smallest")
     several = near.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    near = scratch.write(_enough(near.join(several, "sig", "left_semi")))
+    near = scratch.write(enough(near.join(several, "sig", "left_semi")))
     # Of the documents that are left, the members by how rare they are among them. If two sets are similar, their first
     # common member comes early enough in both for what follows to reach the overlap: members further on needn't be met.
     # Counts are combined before they are shuffled, and written: a member that thousands of sets have then only meets its
@@ -248,7 +249,7 @@ def _left_over(near: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scra
     df = scratch.write(held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
     own = Window.partitionBy("doc_id")
     met = held.join(df, "g").join(kept, "doc_id").withColumn("pos", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "g")))
-    early = scratch.write(met.withColumn("largest", F.floor((F.col("size") - F.col("pos") + 1) * 9 / 4 - F.col("size"))).where("10 * largest >= 8 * size").drop("df", "pos"))
+    early = scratch.write(met.withColumn("largest", largest(F.col("size") - F.col("pos") + 1)).where(f"100 * largest >= {percent} * size").drop("df", "pos"))
     several = early.groupBy("g").agg(F.min("size").alias("smallest"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g", "smallest")
     early = scratch.write(early.join(scratch.write(several), "g").where("largest >= smallest").select("g", "doc_id", "component", "size", "largest"))
     other = early.select("g", F.col("doc_id").alias("b"), F.col("component").alias("of"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"))
@@ -268,10 +269,10 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     shared = _signed(docs).withColumn("centre", F.min("doc_id").over(group)).withColumn("far", F.max("doc_id").over(group))
     shared = scratch.write(shared.where((F.col("n") >= 0) | (F.col("centre") != F.col("far"))).withColumn("centre", F.coalesce("of", "centre")).drop("far", "of", "check"))
     equal = shared.where("n > 0 and doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-    near = scratch.write(_enough(shared.where("n < 0")))
+    near = scratch.write(enough(shared.where("n < 0")))
     # The written list of ids is small enough to be sent to the texts, or its size tells Spark that it isn't.
     candidates = scratch.write(near.select("doc_id").distinct())
-    sets = scratch.write(_sets(docs.join(candidates, "doc_id", "left_semi")))
+    sets = scratch.write(sets_of(docs.join(candidates, "doc_id", "left_semi")))
     labels = components(equal, scratch)
     pairs = near.where("doc_id <> centre").groupBy("doc_id", "centre").count().groupBy(F.col("doc_id").alias("a")).agg(F.max_by("centre", "count").alias("b"))
     pairs = pairs.join(equal, ["a", "b"], "left_anti")
@@ -284,7 +285,7 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
         # Groups that still hold several components, and in them the documents that can have a partner in another one.
         own = near.select("sig", "doc_id", "n").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         several = own.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-        near = scratch.write(_enough(own.join(several, "sig", "left_semi")))
+        near = scratch.write(enough(own.join(several, "sig", "left_semi")))
         if near.isEmpty():
             break
         if i < STAR_ROUNDS - 1:
@@ -293,7 +294,7 @@ def link(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
             centres = near.groupBy("sig").agg(F.min_by("doc_id", rank).alias("b"), F.min_by("component", rank).alias("of"))
             pairs = near.join(centres, "sig").where("component <> of").groupBy(F.col("doc_id").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", "count").alias("b"))
         else:
-            pairs = _left_over(near, sets, shared.where("n > 0").select("doc_id", F.col("n").alias("size")).distinct(), scratch)
+            pairs = left_over(near, sets, shared.where("n > 0").select("doc_id", F.col("n").alias("size")).distinct(), scratch)
     out = shared.where("n >= 0").select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
