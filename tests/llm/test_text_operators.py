@@ -586,8 +586,19 @@ def test_html_density_is_brute_force():
                     reach(k)
 
         reach(body)
-        lines = [" ".join(x.split()) for x in "".join(body.lines(content, [])).split("\n")]
-        assert html_text.extract(body.html()) == "\n".join(x for x in lines if x), body.html()
+        page = html_text._Page(body.html())
+        scores = html_text._Scores(page, [(i, unescape(t)) for i, t in page.pieces], page.drop)
+        way = [scores.top]
+        while way[-1] > scores.body:
+            way.append(page.parent[way[-1]])
+        assert math.isclose(scores.sums[scores.top], top.sum(share)) and scores.chars[scores.top] == top.chars(), body.html()
+        assert math.isclose(min(scores.density[i] for i in way), threshold) and len(way) == len(path(body, top)), body.html()
+        # The article is the block around what density says, so what that keeps is part of it; a body that is it leaves out its menus.
+        if scores.top == scores.body:
+            continue
+        lines = [x for x in (" ".join(x.split()) for x in "".join(body.lines([top], [])).split("\n")) if x]
+        got = iter(html_text.extract(body.html()).split("\n"))
+        assert all(any(x == y for y in got) for x in lines), body.html()
 
 
 def test_html_deep_markup_takes_linear_time():
