@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
 
-#: A wrapper ends at the first closing tag outside the strings of its JSON; if there is none, at the first closing tag.
-_WRAPPED = r"(?s)<{0}>((?:[^\"<]++|\"(?:[^\"\\]++|\\.)*+\"|<(?!/{0}>))*+(?=</{0}>)|.*?(?=</{0}>))</{0}>"
+#: A wrapper ends at the first closing tag outside the strings of its JSON; if there is none, at the first closing tag. Outside of
+#: strings no other opening tag of its kind may come before that: one that isn't closed is plain text. So what is read from one opening
+#: tag is not read again from the next, and a text takes time in proportion to its length.
+_WRAPPED = r"(?s)<{0}>((?:[^\"<\\]++|\\.|\"(?:[^\"\\]++|\\.)*+\"|<(?!/?{0}>))*+(?=</{0}>)|(?:[^<]++|<(?!/?{0}>))*+(?=</{0}>))</{0}>"
 CALL, RESULT = _WRAPPED.format("tool_call"), _WRAPPED.format("tool_result")
 #: An argument of this form stands for the result of the call it names, which must come first.
 REFERENCE = r"\$\{([^}]+)\}"
