@@ -42,6 +42,10 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark's setting that deletes the shuffle files of a job once it is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, so that what follows survives the loss of executors.
 
@@ -60,12 +64,18 @@ class Scratch:
     def write(self, df: DataFrame, codec: str = "zstd", with_folder: str | None = None, by: str | None = None) -> DataFrame:
         """Write df and read it again: a cut of the lineage. Files of with_folder, which its rows name, go when it goes.
 
-        With a column ``by``, the rows of each of its values are in a folder of their own.
+        With a column ``by``, the rows of each of its values are in a folder of their own. Once the table is there, nothing needs the
+        shuffles that led to it: their files go at once, not when the driver happens to collect its garbage.
         """
         self._n += 1
         at = f"{self.path}/{self._n}"
         writer = df.write.option("compression", codec)
-        (writer.partitionBy(by) if by else writer).parquet(at)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(at)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._scratch_path = at
         files = back._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
