@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import nuisance
 from tessera.operators.estimation import cox_hazard_ratio as _cox
 from tessera.operators.estimation import cox_fit, cox_restricted_mean, effects
 from tessera.operators.order import rank_within
@@ -14,7 +15,8 @@ from tessera.plans.cohort import FOLDS
 from tessera.plans.graph import degree_terciles
 from tessera.plans.ranking import EPSILON, N_MIN
 from tessera.plans.survival import ARMED_CTE, armed
-from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, SCORED_CTE, decisions, exposures, scored
+from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, PRESCRIBING, SCORED_CTE, covariates, decisions, exposures, scored
+from tessera.sources.stored import cut
 
 CELL = ["fold", "site", "ecog", "prior_bucket", "c_mktsegment"]
 
@@ -45,6 +47,20 @@ def with_outcome(d: DataFrame) -> DataFrame:
     return d.withColumn("t", F.least("follow_up_months", "horizon_months")).join(knots, [*CENSORING, "fold", "t"]).drop("t")
 
 
+def held_out_outcome(d: DataFrame) -> DataFrame:
+    """The held-out site's decisions with ``y`` by the censoring curves of all development decisions.
+
+    The knots of a curve are its own distinct times and the restricted times that are asked for.
+    """
+    own, out = d.where("split = 'development'"), d.where("split = 'held_out'").withColumn("t", F.least("follow_up_months", "horizon_months"))
+    at = own.groupBy(*CENSORING, F.col("follow_up_months").alias("t")).agg(F.count("*").alias("n"), F.count_if(~F.col("event")).alias("deaths"))
+    none = F.lit(0).cast("bigint")
+    asked = out.select(*CENSORING, "t").distinct().join(own.select(*CENSORING).distinct(), CENSORING, "left_semi")
+    steps = at.union(asked.select("*", none.alias("n"), none.alias("deaths"))).groupBy(*CENSORING, "t").agg(F.sum("n").alias("n"), F.sum("deaths").alias("deaths"))
+    knots = inverse_integral(steps, CENSORING, FLOOR).select(*CENSORING, "t", F.col("integral").alias("y"))
+    return out.join(knots, [*CENSORING, "t"]).drop("t")
+
+
 def cells(d: DataFrame, x: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
     """Counts, sums and sums of squares of the outcome: of all per cell, and of the exposed per candidate and cell.
 
@@ -65,15 +81,41 @@ def effect_table(d: DataFrame, x: DataFrame) -> DataFrame:
     return effects(every.join(exposed, ["candidate", *CELL], "left").fillna(0, ["n1", "y1", "yy1"]), CELL[1:], EPSILON, N_MIN)
 
 
+def _fitted(spark, sf_dir) -> tuple[DataFrame, nuisance.Nuisances]:
+    """The development decisions' rows, written, and the models of all candidates without each fold and without none."""
+    x = exposures(spark, sf_dir)
+    d = _folded(spark, sf_dir).select("decision_id", "fold", "y").join(covariates(spark, sf_dir), "decision_id")
+    rows = cut(nuisance.rows_of(d, x, PRESCRIBING))
+    return rows, nuisance.fit(rows, nuisance.catalogue(x), FOLDS)
+
+
 def emulation_table(spark, sf_dir):
     """Per candidate: cross-fitted doubly robust effect on restricted months, error, eligible, trimmed and exposed counts.
 
-    Censoring is accounted for by the inverse integral in the outcome; there is no martingale augmentation.
+    Propensities are logistic and outcome models ridge fits on sixteen covariates, each without the fold that it scores. Censoring is
+    accounted for by the inverse integral in the outcome; there is no martingale augmentation.
     """
-    e = effect_table(_folded(spark, sf_dir), exposures(spark, sf_dir))
+    rows, fitted = _fitted(spark, sf_dir)
+    e = nuisance.effects(rows, fitted, EPSILON, N_MIN)
     return e.select("candidate", F.round("tau", 6).alias("tau"), F.round("se", 6).alias("se"), "eligible", "trimmed", "exposed")
 
 
+def held_out_effects(spark, sf_dir):
+    """The same of the held-out site: its decisions are scored by models of the development ones, and change none of them."""
+    _, fitted = _fitted(spark, sf_dir)
+    d = held_out_outcome(decisions(spark, sf_dir)).select("decision_id", "y").join(covariates(spark, sf_dir), "decision_id").withColumn("fold", F.lit(nuisance.NONE_OUT))
+    rows = nuisance.rows_of(d, exposures(spark, sf_dir), PRESCRIBING)
+    e = nuisance.effects(cut(rows), fitted, EPSILON, N_MIN)
+    return e.select("candidate", F.round("tau", 6).alias("tau"), F.round("se", 6).alias("se"), "eligible", "trimmed", "exposed")
+
+
+def pseudo_outcomes(spark, sf_dir):
+    """Each eligible development decision's propensity and doubly robust value for each candidate."""
+    rows, fitted = _fitted(spark, sf_dir)
+    v = nuisance.values(rows, fitted, EPSILON, N_MIN)
+    return v.select("decision_id", "candidate", F.round("propensity", 6).alias("propensity"), F.round("value", 6).alias("value"), "exposed")
+
+
 def saturated_effects(spark, sf_dir):
     """The same estimator with cell shares and means of the other folds as its nuisances, in DataFrame operations only."""
     cell = ["fold", "ecog", "prior_bucket"]
@@ -195,7 +237,7 @@ cp AS (SELECT *, (t - COALESCE(lag(t) OVER w, 0.0)) / GREATEST(COALESCE(lag(g) O
 ci AS (SELECT *, SUM(piece) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS y FROM cp),
 d AS (SELECT d0.*, ci.y FROM d0 JOIN ci ON ci.ecog = d0.ecog AND ci.prior_bucket = d0.prior_bucket AND ci.fold = d0.fold AND ci.t = LEAST(follow_up_months, horizon_months))"""
 _TAIL = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * EXP(-x * x)"
-QUERIES = {f.__name__: f for f in (emulation_table, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, iab_ir, tercile_summary, unadjusted_contrast)}
+QUERIES = {f.__name__: f for f in (emulation_table, held_out_effects, pseudo_outcomes, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, iab_ir, tercile_summary, unadjusted_contrast)}
 SQL = {
     "saturated_effects": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, {_OUTCOME},
 t AS (SELECT fold, ecog, prior_bucket, COUNT(*) AS n, SUM(y) AS y FROM d GROUP BY 1, 2, 3), x AS (SELECT candidate, fold, ecog, prior_bucket, COUNT(*) AS n1, SUM(y) AS y1 FROM exposure JOIN d USING (decision_id) GROUP BY ALL),

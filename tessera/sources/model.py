@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,39 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("decision_id"), F.col("p_brand").alias("candidate")).distinct()
 
 
+#: What the prescriber sees at the time of a decision, in a fixed order; the continuous ones among them.
+PRESCRIBING = "ecog prior_orders line_index balance years_since_first log_gap first_order season_sin season_cos calendar_year seg_building seg_furniture seg_household seg_machinery n_lines mean_quantity".split()
+CONTINUOUS = ("prior_orders", "balance", "log_gap", "calendar_year", "mean_quantity")
+
+
+def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decision_id and the PRESCRIBING columns, all doubles: the state at the order's time, from the customer's earlier orders and its lines."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    day = F.to_date("o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", day.alias("day"), F.row_number().over(w).alias("rn"), F.datediff(day, F.lag(day).over(w)).alias("gap"), F.datediff(day, F.first(day).over(w)).alias("since"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.avg("l_quantity").alias("mean_quantity"))
+    d = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    turn = 2.0 * pi * (F.dayofyear("day") - 1) / 365.0
+    segment = lambda name: (F.col("c_mktsegment") == name)
+    columns = {
+        "ecog": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "prior_orders": F.log1p(F.col("rn") - 1), "line_index": F.least(F.lit(2), F.col("rn") - 1), "balance": F.col("c_acctbal") / 1000.0,
+        "years_since_first": F.col("since") / 365.0, "log_gap": F.log1p(F.coalesce("gap", F.lit(0))), "first_order": F.col("rn") == 1, "season_sin": F.sin(turn), "season_cos": F.cos(turn), "calendar_year": F.year("day") - 1995,
+        **{f"seg_{s.lower()}": segment(s) for s in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}, "n_lines": F.coalesce("n_lines", F.lit(0)), "mean_quantity": F.coalesce("mean_quantity", F.lit(0.0)),
+    }
+    return d.select(F.col("o_orderkey").alias("decision_id"), *[columns[c].cast("double").alias(c) for c in PRESCRIBING])
+
+
+COVARIATE_CTE = """covariate AS (
+SELECT o_orderkey AS decision_id, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS DOUBLE) AS ecog, ln(CAST(rn AS DOUBLE)) AS prior_orders, CAST(LEAST(2, rn - 1) AS DOUBLE) AS line_index, c_acctbal / 1000.0 AS balance,
+       (day - first_day) / 365.0 AS years_since_first, ln(1.0 + COALESCE(day - before, 0)) AS log_gap, CAST(rn = 1 AS DOUBLE) AS first_order,
+       sin(2.0 * pi() * (dayofyear(day) - 1) / 365.0) AS season_sin, cos(2.0 * pi() * (dayofyear(day) - 1) / 365.0) AS season_cos, CAST(year(day) - 1995 AS DOUBLE) AS calendar_year,
+       CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS seg_building, CAST(c_mktsegment = 'FURNITURE' AS DOUBLE) AS seg_furniture, CAST(c_mktsegment = 'HOUSEHOLD' AS DOUBLE) AS seg_household, CAST(c_mktsegment = 'MACHINERY' AS DOUBLE) AS seg_machinery,
+       CAST(COALESCE(n_lines, 0) AS DOUBLE) AS n_lines, COALESCE(mean_quantity, 0.0) AS mean_quantity
+FROM (SELECT *, CAST(o_orderdate AS DATE) AS day, ROW_NUMBER() OVER w AS rn, LAG(CAST(o_orderdate AS DATE)) OVER w AS before, FIRST(CAST(o_orderdate AS DATE)) OVER w AS first_day
+      FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) o
+JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n_lines, AVG(l_quantity) AS mean_quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
 #: The same two views as SQL common table expressions, to prefix oracle statements with.
 DECISION_CTE = """decision AS (
 SELECT decision_id, patient_id, site, split, line, prior_bucket, ecog, c_acctbal, c_mktsegment, follow_up_months, event,
