@@ -122,15 +122,16 @@ def cox_hazard_ratio(rows: DataFrame, time: str, event: str, x: str, ridge: floa
 
 
 def cox_restricted_mean(points: DataFrame, baseline: DataFrame, eta: Column, horizon: str, keys: list[str]) -> DataFrame:
-    """keys and rmst: the area up to the horizon under exp(-H0(t) exp(eta)) for each of the (few) covariate points.
+    """keys, rmst and survival: the area under exp(-H0(t) exp(eta)) up to the horizon, and its value there, for each covariate point.
 
-    baseline has a row per distinct event time, of which each point takes those before its horizon.
+    baseline has a row per distinct event time, of which each point takes those up to its horizon: points times times rows, which
+    covariates of few values and times rounded to two decimals bound, and nothing else.
     """
     nxt = F.lead("t").over(Window.orderBy("t"))
     pieces = baseline.withColumn("next", nxt)
     first = baseline.agg(F.min("t").alias("first"))
-    each = points.withColumn("_risk", F.exp(eta)).crossJoin(first).join(pieces, F.col("t") < F.col(horizon), "left")
+    each = points.withColumn("_risk", F.exp(eta)).crossJoin(first).join(pieces, F.col("t") <= F.col(horizon), "left")
     width = F.least(F.coalesce("next", F.col(horizon)), F.col(horizon)) - F.col("t")
     area = F.coalesce(F.sum(F.exp(-F.col("hazard") * F.col("_risk")) * width), F.lit(0.0))
     head = F.least(F.coalesce("first", F.col(horizon)), F.col(horizon))
-    return each.groupBy(*keys, F.col(horizon).alias("_h"), head.alias("_head")).agg((area + F.first(head)).alias("rmst")).drop("_h", "_head")
+    return each.groupBy(*keys, F.col(horizon).alias("_h"), head.alias("_head")).agg((area + F.first(head)).alias("rmst"), F.coalesce(F.min(F.exp(-F.col("hazard") * F.col("_risk"))), F.lit(1.0)).alias("survival")).drop("_h", "_head")

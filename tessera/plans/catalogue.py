@@ -52,6 +52,11 @@ def patient_anchors(spark, sf_dir):
 CORRUPTIONS = 2
 
 
+def _stride(m):
+    """A stride that shares no factor with m, so that it meets all of m places: a prime that isn't one, or else a single step."""
+    return F.when(m % STRIDE != 0, STRIDE).otherwise(1)
+
+
 def anchor_corruptions(spark, sf_dir):
     """For each patient and kind of anchor, CORRUPTIONS nodes of the kind that aren't its anchors, drawn by a stride without replacement.
 
@@ -63,7 +68,7 @@ def anchor_corruptions(spark, sf_dir):
     pool = pool.select("kind", "anchor", (F.row_number().over(w.orderBy("anchor")) - 1).alias("number"), F.count("*").over(w).alias("m"))
     own = a.groupBy("patient_id", "kind").agg(F.count("*").alias("own")).join(pool.select("kind", "m").distinct(), "kind").where(F.col("own") + CORRUPTIONS <= F.col("m"))
     steps = own.select("patient_id", "kind", "m", F.explode(F.sequence(F.lit(0), (F.col("own") + CORRUPTIONS - 1).cast("int"))).alias("step"))
-    drawn = steps.withColumn("number", ((F.col("patient_id") * 31 + F.col("step") * STRIDE) % F.col("m")).cast("int")).join(pool.select("kind", "number", "anchor"), ["kind", "number"])
+    drawn = steps.withColumn("number", ((F.col("patient_id") * 31 + F.col("step") * _stride(F.col("m"))) % F.col("m")).cast("int")).join(pool.select("kind", "number", "anchor"), ["kind", "number"])
     free = drawn.join(a, ["patient_id", "kind", "anchor"], "left_anti")
     place = F.row_number().over(Window.partitionBy("patient_id", "kind").orderBy("step"))
     return free.withColumn("place", place).where(F.col("place") <= CORRUPTIONS).select("patient_id", "kind", F.col("anchor").alias("negative"), "place")

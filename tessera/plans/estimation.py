@@ -154,7 +154,7 @@ def cox_outcome_model(spark, sf_dir):
     beta, _, baseline = cox_fit(d, "follow_up_months", "event", xs, ridge=1.0)
     eta = sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, xs, strict=True)), F.lit(0.0))
     points = d.select(*xs, "horizon_months").distinct()
-    return cox_restricted_mean(points, baseline, eta, "horizon_months", [*xs, "horizon_months"]).select(*xs, "horizon_months", F.round("rmst", 6).alias("rmst"))
+    return cox_restricted_mean(points, baseline, eta, "horizon_months", [*xs, "horizon_months"]).select(*xs, "horizon_months", F.round("rmst", 6).alias("rmst"), F.round("survival", 6).alias("survival"))
 
 
 def placebo_permutation(spark, sf_dir):
@@ -193,20 +193,6 @@ def paired_seed_test(spark, sf_dir):
     return s.select(F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round(_normal_tail(F.col("mean") / F.col("se")), 6).alias("p"))
 
 
-#: Removal deltas of a joint and its two singles: fixed values of the reported panel, with their intervals, and a made-up pair without a joint effect.
-REMOVALS = (("C1 x C2", -17.7, -20.1, -15.3, -8.4, -10.0, -6.8, -7.8, -9.3, -6.3), ("no joint effect", -1.0, -2.4, 0.4, -0.6, -1.4, 0.2, -0.5, -1.2, 0.2))
-_REMOVAL = "pair string, joint double, joint_lo double, joint_hi double, a double, a_lo double, a_hi double, b double, b_lo double, b_hi double"
-
-
-def iab_ir(spark, sf_dir):
-    """Interaction beyond additive and its ratio; the ratio only where the joint interval excludes nothing happening."""
-    r = spark.createDataFrame(list(REMOVALS), _REMOVAL)
-    half = F.sqrt(sum((F.col(f"{x}_hi") - F.col(f"{x}_lo")) * (F.col(f"{x}_hi") - F.col(f"{x}_lo")) for x in ("joint", "a", "b"))) / 2.0
-    iab = F.col("joint") - (F.col("a") + F.col("b"))
-    clear = (F.col("joint_lo") > 0) | (F.col("joint_hi") < 0)
-    return r.select("pair", F.round(iab, 6).alias("iab"), F.round(iab - half, 6).alias("lower"), F.round(iab + half, 6).alias("upper"), F.round(F.when(clear, (F.col("a") + F.col("b")) / F.col("joint")), 6).alias("ratio"))
-
-
 def tercile_summary(spark, sf_dir):
     """Scores by the degree tercile of their candidate, all three terciles present."""
     t = degree_terciles(spark, sf_dir).select(F.substring_index("node", ":", -1).alias("candidate"), "tercile")
@@ -237,7 +223,7 @@ cp AS (SELECT *, (t - COALESCE(lag(t) OVER w, 0.0)) / GREATEST(COALESCE(lag(g) O
 ci AS (SELECT *, SUM(piece) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS y FROM cp),
 d AS (SELECT d0.*, ci.y FROM d0 JOIN ci ON ci.ecog = d0.ecog AND ci.prior_bucket = d0.prior_bucket AND ci.fold = d0.fold AND ci.t = LEAST(follow_up_months, horizon_months))"""
 _TAIL = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * EXP(-x * x)"
-QUERIES = {f.__name__: f for f in (emulation_table, held_out_effects, pseudo_outcomes, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, iab_ir, tercile_summary, unadjusted_contrast)}
+QUERIES = {f.__name__: f for f in (emulation_table, held_out_effects, pseudo_outcomes, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, tercile_summary, unadjusted_contrast)}
 SQL = {
     "saturated_effects": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, {_OUTCOME},
 t AS (SELECT fold, ecog, prior_bucket, COUNT(*) AS n, SUM(y) AS y FROM d GROUP BY 1, 2, 3), x AS (SELECT candidate, fold, ecog, prior_bucket, COUNT(*) AS n1, SUM(y) AS y1 FROM exposure JOIN d USING (decision_id) GROUP BY ALL),
@@ -260,9 +246,6 @@ w AS (SELECT site, rep, {DRAW} AS k FROM v, unnest(range({REPS})) AS r(rep)), m
 SELECT (SELECT ROUND(AVG(follow_up_months), 6) FROM decision) AS point, ROUND(quantile_cont(m, 0.025), 6) AS lower, ROUND(quantile_cont(m, 0.975), 6) AS upper, COUNT(*) AS reps FROM m""",
     "paired_seed_test": f"""WITH {DECISION_CTE}, m AS (SELECT AVG(follow_up_months) FILTER (line = 'second') - AVG(follow_up_months) FILTER (line = 'first') AS d FROM decision GROUP BY site), s AS (SELECT AVG(d) AS mean, STDDEV_SAMP(d) / SQRT(COUNT(*)) AS se FROM m),
 x AS (SELECT *, ABS(mean / se) / SQRT(2.0) AS x FROM s), t AS (SELECT *, CAST(1.0 AS DOUBLE) / (1.0 + CAST(0.3275911 AS DOUBLE) * x) AS t FROM x) SELECT ROUND(mean, 6) AS mean, ROUND(se, 6) AS se, ROUND({_TAIL}, 6) AS p FROM t""",
-    "iab_ir": f"""WITH r AS (SELECT pair, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ('j', 'j_lo', 'j_hi', 'a', 'a_lo', 'a_hi', 'b', 'b_lo', 'b_hi'))} FROM (VALUES {', '.join(str(x) for x in REMOVALS)}) AS v(pair, j, j_lo, j_hi, a, a_lo, a_hi, b, b_lo, b_hi)),
-h AS (SELECT *, j - (a + b) AS iab, SQRT((j_hi - j_lo) * (j_hi - j_lo) + (a_hi - a_lo) * (a_hi - a_lo) + (b_hi - b_lo) * (b_hi - b_lo)) / 2.0 AS half FROM r)
-SELECT pair, ROUND(iab, 6) AS iab, ROUND(iab - half, 6) AS lower, ROUND(iab + half, 6) AS upper, ROUND(CASE WHEN j_lo > 0 OR j_hi < 0 THEN (a + b) / j END, 6) AS ratio FROM h""",
     "tercile_summary": None,
     "unadjusted_contrast": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, d AS (SELECT decision_id, LEAST(follow_up_months, horizon_months) AS y FROM decision), t AS (SELECT COUNT(*) AS n, SUM(y) AS y FROM d), x AS (SELECT candidate, COUNT(*) AS n1, SUM(y) AS y1 FROM exposure JOIN d USING (decision_id) GROUP BY 1)
 SELECT candidate, n1, ROUND(y1 / n1 - (y - y1) / (n - n1), 6) AS contrast FROM x, t""",

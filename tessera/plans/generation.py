@@ -31,15 +31,6 @@ def generated_cohort(spark, sf_dir):
     return c.groupBy("site", "treated").agg(F.count("*").alias("n"), F.count_if("event").alias("events"), F.round(F.avg(F.least("follow_up", F.lit(HORIZON))), 4).alias("mean_follow_up"))
 
 
-def reported_restricted_mean(spark, sf_dir):
-    """Closed-form Weibull restricted means of both arms by the trapezoid rule on 4,001 points."""
-    d = spark.createDataFrame([(0, 0.0), (1, EFFECT)], "treated int, eta double")
-    h = HORIZON / 4000
-    s = lambda i: F.exp(-F.exp(F.col("eta")) * F.pow(i * h / SCALE, F.lit(SHAPE)))
-    inner = F.aggregate(F.sequence(F.lit(1), F.lit(3999)), F.lit(0.0), lambda a, i: a + s(i))
-    return d.select("treated", F.round((inner + (s(F.lit(0)) + s(F.lit(4000))) / 2.0) * h, 6).alias("rmst"))
-
-
 def _u(stream: int) -> str:
     return f"((((decision_id * {MULTIPLIERS[stream]} + 12345) % 2147483647) * 16807 + {stream}) % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647.0 AS DOUBLE)"
 
@@ -47,9 +38,7 @@ def _u(stream: int) -> str:
 _COHORT = f"""WITH {DECISION_CTE}, t AS (SELECT decision_id, site, CASE WHEN {_u(1)} < 0.4 THEN 1 ELSE 0 END AS treated, ecog, prior_bucket FROM decision),
 e AS (SELECT *, CAST(0.18 AS DOUBLE) * ecog + CAST(0.05 AS DOUBLE) * prior_bucket + CAST({EFFECT} AS DOUBLE) * treated AS eta FROM t),
 x AS (SELECT *, {SCALE} * POW(-LN({_u(2)}) / EXP(eta), CAST({1 / SHAPE} AS DOUBLE)) AS ev, {CENSOR_SCALE} * POW(-LN({_u(3)}), CAST({1 / SHAPE} AS DOUBLE)) AS lost FROM e)"""
-QUERIES = {f.__name__: f for f in (generated_cohort, reported_restricted_mean)}
+QUERIES = {f.__name__: f for f in (generated_cohort,)}
 SQL = {
     "generated_cohort": f"{_COHORT} SELECT site, treated, COUNT(*) AS n, COUNT(*) FILTER (ev <= lost AND ev <= {1.4 * HORIZON}) AS events, ROUND(AVG(LEAST(GREATEST(0.02, LEAST(ev, lost, {1.4 * HORIZON})), {HORIZON})), 4) AS mean_follow_up FROM x GROUP BY 1, 2",
-    "reported_restricted_mean": f"""SELECT treated, ROUND(SUM(CASE WHEN i IN (0, 4000) THEN 0.5 ELSE 1.0 END * EXP(-EXP(CAST(eta AS DOUBLE)) * POW(i * CAST({HORIZON / 4000} AS DOUBLE) / {SCALE}, CAST({SHAPE} AS DOUBLE)))) * CAST({HORIZON / 4000} AS DOUBLE), 6) AS rmst
-FROM (VALUES (0, 0.0), (1, {EFFECT})) AS d(treated, eta), unnest(range(4001)) AS g(i) GROUP BY 1""",
 }

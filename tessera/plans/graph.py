@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,26 +125,47 @@ def enumerate_motifs(spark, sf_dir):
 MASK_EVERY, NEGATIVES, STRIDE = 7, 12, 7919
 
 
-def negative_tails(spark, sf_dir):
+def coprime(stride: int, m: int) -> int:
+    """The least number from stride on that shares no factor with m."""
+    while gcd(stride, m) > 1:
+        stride += 1
+    return stride
+
+
+def negatives(e: DataFrame) -> DataFrame:
     """Of a fixed share of edges, each masked, NEGATIVES tails that are neither its head nor linked to it by its relation.
 
-    Nodes are numbered once. An edge steps through them from a place of its own by a stride, meeting no node twice, one step
-    for each negative and each node that it may have to pass over; the first free ones are its draw. So a draw is without
-    replacement, and the rows are a few for each masked edge, never all that aren't linked.
+    Nodes are numbered once. An edge steps through them from a place of its own by a stride that shares no factor with their
+    number, so it meets no node twice; the first free ones are its draw, which is without replacement. All edges take two steps for
+    each negative first, and only those that fell short, because their head is linked to much, go on, twice as far each time.
     """
-    e = edges(spark, sf_dir)
     node = numbered(nodes(e), "node")
     m = node.count()
     at = node.select(F.col("node").alias("head"), F.col("number").alias("h"))
     masked = e.join(at, "head").join(node.select(F.col("node").alias("tail"), F.col("number").alias("t")), "tail").where((F.col("h") * 31 + F.col("t") * 17) % MASK_EVERY == 0)
     taken = e.groupBy("head", "relation").agg(F.count("*").alias("taken"))
-    steps = masked.join(taken, ["head", "relation"]).where(NEGATIVES + F.col("taken") + 1 <= m).select("head", "relation", "tail", "h", "t", F.explode(F.sequence(F.lit(0), (F.lit(NEGATIVES) + F.col("taken")).cast("int"))).alias("step"))
-    drawn = steps.withColumn("number", (F.col("h") * 31 + F.col("t") * 17 + F.col("step") * STRIDE) % m).join(node.withColumnRenamed("node", "negative"), "number").where("negative <> head")
-    free = drawn.join(e.select("head", "relation", F.col("tail").alias("negative")), ["head", "relation", "negative"], "left_anti")
+    left = cut(masked.join(taken, ["head", "relation"]).where(NEGATIVES + F.col("taken") + 1 <= m).select("head", "relation", "tail", "h", "t", F.lit(0).cast("bigint").alias("found")))
+    by, links = coprime(STRIDE, m), e.select("head", "relation", F.col("tail").alias("negative"))
+    free, first, after = None, 0, 2 * NEGATIVES
+    while True:
+        steps = left.select("head", "relation", "tail", "h", "t", F.explode(F.sequence(F.lit(first), F.lit(min(after, m) - 1))).alias("step"))
+        drawn = steps.withColumn("number", (F.col("h") * 31 + F.col("t") * 17 + F.col("step").cast("bigint") * by) % m).join(node.withColumnRenamed("node", "negative"), "number").where("negative <> head")
+        now = cut(drawn.join(links, ["head", "relation", "negative"], "left_anti"))
+        free = now if free is None else free.union(now)
+        more = now.groupBy("head", "relation", "tail").agg(F.count("*").alias("more"))
+        left = left.join(more, ["head", "relation", "tail"], "left").withColumn("found", F.col("found") + F.coalesce("more", F.lit(0))).drop("more").where(F.col("found") < NEGATIVES)
+        first, after = after, 2 * after
+        if first >= m or left.isEmpty():
+            break
+        left = cut(left)
     place = F.row_number().over(Window.partitionBy("head", "relation", "tail").orderBy("step"))
     return free.withColumn("place", place).where(F.col("place") <= NEGATIVES).select("head", "relation", "tail", "negative", "place")
 
 
+def negative_tails(spark, sf_dir):
+    return negatives(edges(spark, sf_dir))
+
+
 def anchors(spark, sf_dir):
     """Edges whose tail is shared by the most heads of their relation: the anchor of each relation."""
     n = edges(spark, sf_dir).groupBy("relation", "tail").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import survival as S
+from tessera.operators.order import as_of
 from tessera.operators.ranking import at_depths, ranked
 from tessera.plans import clones as C
 from tessera.plans.ranking import SQL as RANKING
@@ -31,10 +32,14 @@ def within_set_value(spark, sf_dir):
     return _hits(spark, sf_dir).groupBy("line").agg(F.round(F.avg(F.when(F.col("hit"), F.col("y"))), 6).alias("value"), F.count_if("hit").alias("hits"), F.count("*").alias("n"))
 
 
+def _uncensored(h: DataFrame, spark, sf_dir) -> DataFrame:
+    """h with ``g``, the censoring curve just before each restricted time."""
+    return as_of(h.withColumn("k", F.lit(1)), _lost_curve(spark, sf_dir), ["k"], "y", "t", "survival", F.lit(1.0), "g", before=True).drop("k")
+
+
 def weighted_agreement_value(spark, sf_dir):
-    """Inverse-probability weighted time of those who agreed and had their event; each meets the censoring curve at its own time."""
-    g = _lost_curve(spark, sf_dir).select(F.col("t").alias("follow_up_months"), F.col("survival").alias("g"))
-    h = _hits(spark, sf_dir).join(g, "follow_up_months")
+    """Inverse-probability weighted restricted time of those who agreed and had their event, over the chance of being seen until then."""
+    h = _uncensored(_hits(spark, sf_dir), spark, sf_dir)
     term = F.when(F.col("hit") & F.col("event"), F.col("y") * F.col("weight") / F.greatest("g", F.lit(0.05))).otherwise(0.0)
     return h.agg(F.round(F.avg(term), 6).alias("value"), F.count("*").alias("n"))
 
@@ -114,7 +119,7 @@ _DEPTH = "(SELECT unnest([1, 3, 5]) AS depth)"
 QUERIES = {f.__name__: f for f in (within_set_value, weighted_agreement_value, policy_contrast, inverse_survival_integral, martingale_mean, metric_tables, seed_dispersion, gate_diagnostics, design_summary, censoring_keys, reference_vector, candidate_spread)}
 SQL = {
     "within_set_value": f"{_HIT} SELECT line, ROUND(AVG(y) FILTER (hit), 6) AS value, COUNT(*) FILTER (hit) AS hits, COUNT(*) AS n FROM h GROUP BY 1",
-    "weighted_agreement_value": f"{_HIT}, {_LOST} SELECT ROUND(AVG(CASE WHEN hit AND event THEN y * weight / GREATEST(survival, 0.05) ELSE 0.0 END), 6) AS value, COUNT(*) AS n FROM h JOIN k ON k.t = h.follow_up_months",
+    "weighted_agreement_value": f"{_HIT}, {_LOST} SELECT ROUND(AVG(CASE WHEN hit AND event THEN y * weight / GREATEST(COALESCE(survival, 1.0), 0.05) ELSE 0.0 END), 6) AS value, COUNT(*) AS n FROM h ASOF LEFT JOIN k ON h.y > k.t",
     "policy_contrast": f"WITH x AS ({C.SQL['clone_weighted_rmst']}) SELECT ROUND(MAX(CASE WHEN strategy = 'top_agreement' THEN rmst END) - MAX(CASE WHEN strategy = 'no_initiation' THEN rmst END), 5) AS difference, ROUND(MAX(CASE WHEN strategy = 'no_initiation' THEN rmst END), 5) AS no_initiation FROM x",
     "inverse_survival_integral": f"""WITH {DECISION_CTE}, {_LOST}, p AS (SELECT t, (t - COALESCE(lag(t) OVER (ORDER BY t), 0.0)) / (CASE WHEN lag(t) OVER (ORDER BY t) IS NULL THEN 1.0 ELSE GREATEST(lag(survival) OVER (ORDER BY t), 0.05) END) AS piece FROM k)
 SELECT t AS knot, ROUND(SUM(piece) OVER (ORDER BY t), 6) AS integral FROM p""",

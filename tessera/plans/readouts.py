@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import functions as fn
 from tessera.operators import survival as S
+from tessera.operators.estimation import cox_hazard_ratio
 from tessera.operators.order import as_of
 from tessera.operators.ranking import ranked
 from tessera.operators.resampling import DRAW, interval, replicates
 from tessera.plans import clones as C
 from tessera.plans.estimation import _TAIL, REPS, _normal_tail
-from tessera.plans.policy import _HIT, _LOST, _hits, _lost_curve
+from tessera.plans.policy import _HIT, _LOST, _hits, _uncensored
 from tessera.plans.ranking import K, REASON, _counted, _metrics
-from tessera.plans.survival import ARMED_CTE, SHORTEST, armed, curve_cte, rmst_contrast
+from tessera.plans.survival import ARMED_CTE, SHORTEST, armed, curve_cte, restricted_means_beyond, rmst_contrast
 from tessera.plans.survival import SQL as SURVIVAL
-from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, SCORED_CTE, decisions, exposures, scored
+from tessera.sources.model import COVARIATE_CTE, DECISION_CTE, EXPOSURE_CTE, HORIZONS, PRESCRIBING, SCORED_CTE, covariates, decisions, exposures, scored
 
 KEY = ["ecog", "prior_bucket"]
 Z95, Z975 = fn.normal_quantile(0.95), fn.two_sided_quantile(0.95)
@@ -29,6 +31,17 @@ def censoring_as_of(spark, sf_dir):
     return as_of(d.select("decision_id", *KEY, "at"), steps, KEY, "at", "t", "survival", F.lit(1.0), "g").select("decision_id", "at", F.round("g", 6).alias("g"))
 
 
+def q_as_of(spark, sf_dir):
+    """The restricted-mean function of each arm and covariate key at months between its knots: the mean restricted time of those still
+    followed at the last knot, which stays beyond the last one; nothing before the first, and for an arm and key that nobody has."""
+    keys = ["exposed", *KEY]
+    d = armed(spark, sf_dir)
+    steps = restricted_means_beyond(d, keys)
+    months = d.select(*KEY).distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("exposed"), *KEY)
+    months = months.select(*keys, F.explode(F.array(*[F.lit(m / 2) for m in range(19)])).alias("month"))
+    return as_of(months, steps, keys, "month", "knot", "q", F.lit(0.0), "q").select(*keys, "month", F.round(F.col("q") + 1e-9, 6).alias("q"))
+
+
 def landmark_survival(spark, sf_dir):
     """Product-limit survival of each line at landmark months."""
     steps = S.curve(decisions(spark, sf_dir), ["line"], "follow_up_months", "event")
@@ -37,11 +50,10 @@ def landmark_survival(spark, sf_dir):
 
 
 def agreement_identity(spark, sf_dir):
-    """Both sides of the agreement identity and the two comparisons that are not it, at the shortest horizon."""
-    g = _lost_curve(spark, sf_dir).select(F.col("t").alias("follow_up_months"), F.col("survival").alias("g"))
-    h = _hits(spark, sf_dir).withColumn("short", F.least("follow_up_months", F.lit(SHORTEST))).join(g, "follow_up_months")
+    """Both sides of the agreement identity, the weighted one at each line's horizon, and the comparisons that are not it, at the shortest."""
+    h = _uncensored(_hits(spark, sf_dir), spark, sf_dir).withColumn("short", F.least("follow_up_months", F.lit(SHORTEST)))
     hit = F.col("hit")
-    weighted = F.when(hit & F.col("event"), F.col("short") * F.col("weight") / F.greatest("g", F.lit(0.05))).otherwise(0.0)
+    weighted = F.when(hit & F.col("event"), F.col("y") * F.col("weight") / F.greatest("g", F.lit(0.05))).otherwise(0.0)
     a = h.agg(F.avg(weighted).alias("w"), F.avg(F.when(hit, F.col("short"))).alias("v"), F.sum(F.when(hit, F.col("short"))).alias("s"), F.avg(hit.cast("double")).alias("p"), F.count("*").alias("n"))
     return a.select(
         F.round("w", 6).alias("weighted_value"), F.round("v", 6).alias("within_set_value"), F.round("v", 6).alias("unweighted_value"),
@@ -57,11 +69,14 @@ def propensity_constant(spark, sf_dir):
 
 
 def collapsibility_gap(spark, sf_dir):
-    """The gap between a rate ratio and the restricted-mean contrast of each line: they answer different questions."""
-    d = armed(spark, sf_dir)
-    rate = lambda a: F.sum(F.when(F.col("exposed") == a, F.col("event").cast("double"))) / F.sum(F.when(F.col("exposed") == a, F.col("follow_up_months")))
-    r = d.groupBy("line").agg((rate(1) / rate(0)).alias("rate_ratio"))
-    return r.join(rmst_contrast(spark, sf_dir).select("line", "contrast"), "line").select("line", F.round("rate_ratio", 6).alias("rate_ratio"), "contrast", F.round(F.abs(F.col("rate_ratio") - 1.0) - F.abs("contrast"), 5).alias("gap"))
+    """The gap between the hazard ratio and the restricted-mean contrast of each line: they answer different questions.
+
+    There are three lines, each with a Cox fit of its own.
+    """
+    d = armed(spark, sf_dir).select("line", "follow_up_months", "event", "exposed")
+    ratios = [(line, float(np.exp(cox_hazard_ratio(d.where(F.col("line") == line), "follow_up_months", "event", "exposed")[0]))) for line in HORIZONS]
+    r = spark.createDataFrame(ratios, "line string, hazard_ratio double")
+    return r.join(rmst_contrast(spark, sf_dir).select("line", "contrast"), "line").select("line", F.round("hazard_ratio", 6).alias("hazard_ratio"), "contrast", F.round(F.abs(F.col("hazard_ratio") - 1.0) - F.abs("contrast"), 5).alias("gap"))
 
 
 def top_three_value(spark, sf_dir):
@@ -221,21 +236,15 @@ def criteria_summary(spark, sf_dir):
 
 
 def prescribing_matrix(spark, sf_dir):
-    """Each decision's exposure to every candidate, as one row of the matrix: the candidates it has, as 0 and 1 in the order of names."""
-    x = exposures(spark, sf_dir)
-    names = x.agg(F.sort_array(F.collect_set("candidate")).alias("names"))
-    own = x.groupBy("decision_id").agg(F.collect_set("candidate").alias("own"))
-    d = decisions(spark, sf_dir).select("decision_id").join(own, "decision_id", "left").crossJoin(F.broadcast(names))
-    bits = F.transform("names", lambda c: F.when(F.coalesce(F.array_contains("own", c), F.lit(False)), "1").otherwise("0"))
-    return d.select("decision_id", F.concat_ws("", bits).alias("row"))
+    """The propensity design: an intercept and the sixteen columns that the prescriber sees, a row for each decision."""
+    return covariates(spark, sf_dir).select("decision_id", F.lit(1.0).alias("intercept"), *[F.round(c, 6).alias(c) for c in PRESCRIBING])
 
 
 def state_features(spark, sf_dir):
     """A decision's covariates, standardised by the mean and deviation of all; a constant column is centred only."""
-    cols = {"ecog": F.col("ecog").cast("double"), "prior": F.col("prior_bucket").cast("double"), "balance": F.col("c_acctbal")}
-    d = decisions(spark, sf_dir).select("decision_id", *[c.alias(n) for n, c in cols.items()])
+    cols, d = PRESCRIBING, covariates(spark, sf_dir)
     m = d.agg(*[f(n).alias(f"{k}_{n}") for n in cols for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda n: F.round((F.col(n) - F.col(f"m_{n}")) / F.when(F.col(f"s_{n}") > 0, F.col(f"s_{n}")).otherwise(1.0), 6)
+    z = lambda n: F.round((F.col(n) - F.col(f"m_{n}")) / F.when(F.col(f"s_{n}") > 1e-8, F.col(f"s_{n}")).otherwise(1.0), 6)
     return d.crossJoin(F.broadcast(m)).select("decision_id", *[z(n).alias(n) for n in cols])
 
 
@@ -295,20 +304,30 @@ _CON = "CAST(SUM(v) FILTER (line = 'second') AS DOUBLE) / COUNT(*) FILTER (line
 QUERIES = {
     f.__name__: f
     for f in (
-        censoring_as_of, landmark_survival, agreement_identity, propensity_constant, collapsibility_gap, top_three_value, precision_at_k, log_softmax, score_intervals, candidate_e_values, pooled_e_value, clone_weight_quantiles,
+        censoring_as_of, q_as_of, landmark_survival, agreement_identity, propensity_constant, collapsibility_gap, top_three_value, precision_at_k, log_softmax, score_intervals, candidate_e_values, pooled_e_value, clone_weight_quantiles,
         bootstrap_contrast, bootstrap_hits, one_sample_seed_test, site_ablation, panel_readout, comparator_families, criteria_status, criteria_summary, prescribing_matrix, state_features, early_stop_split, strata,
     )
 }
 SQL = {
     "censoring_as_of": f"""{_D}, {_CENSOR}, p AS (SELECT decision_id, ecog, prior_bucket, ROUND(follow_up_months * CAST(0.9 AS DOUBLE) + CAST(0.003 AS DOUBLE), 3) AS at FROM decision)
 SELECT p.decision_id, p.at, ROUND(COALESCE(k.survival, 1.0), 6) AS g FROM p ASOF LEFT JOIN k ON p.ecog = k.ecog AND p.prior_bucket = k.prior_bucket AND p.at >= k.t""",
+    "q_as_of": f"""WITH {ARMED_CTE}, n AS (SELECT exposed, ecog, prior_bucket, LEAST(follow_up_months, horizon_months) AS knot, COUNT(*) AS n FROM armed GROUP BY ALL),
+k AS (SELECT *, SUM(CAST(ROUND(knot * 100) AS BIGINT) * n) OVER w / CAST(100.0 AS DOUBLE) / SUM(n) OVER w AS q FROM n WINDOW w AS (PARTITION BY exposed, ecog, prior_bucket ORDER BY knot DESC)),
+p AS (SELECT CAST(exposed AS INTEGER) AS exposed, ecog, prior_bucket, CAST(m / 2.0 AS DOUBLE) AS month FROM (SELECT DISTINCT ecog, prior_bucket FROM armed), (SELECT unnest([0, 1]) AS exposed), unnest(range(19)) AS g(m))
+SELECT p.exposed, p.ecog, p.prior_bucket, p.month, ROUND(COALESCE(k.q, 0.0) + 1e-9, 6) AS q FROM p ASOF LEFT JOIN k ON p.exposed = k.exposed AND p.ecog = k.ecog AND p.prior_bucket = k.prior_bucket AND p.month >= k.knot""",
     "landmark_survival": f"{_D}, {_LINE}, p AS (SELECT line, month FROM (SELECT DISTINCT line FROM decision), (SELECT CAST(unnest([1.0, 2.5, 4.0, 5.5]) AS DOUBLE) AS month)) SELECT p.line, month, ROUND(COALESCE(k.survival, 1.0), 6) AS survival FROM p ASOF LEFT JOIN k ON p.line = k.line AND p.month >= k.t",
-    "agreement_identity": f"""{_HIT}, {_LOST}, sb AS (SELECT *, LEAST(follow_up_months, {SHORTEST}) AS short FROM h JOIN k ON k.t = h.follow_up_months)
-SELECT ROUND(AVG(CASE WHEN hit AND event THEN short * weight / GREATEST(survival, 0.05) ELSE 0.0 END), 6) AS weighted_value, ROUND(AVG(short) FILTER (hit), 6) AS within_set_value, ROUND(AVG(short) FILTER (hit), 6) AS unweighted_value,
+    "agreement_identity": f"""{_HIT}, {_LOST}, sb AS (SELECT *, LEAST(follow_up_months, {SHORTEST}) AS short FROM h ASOF LEFT JOIN k ON h.y > k.t)
+SELECT ROUND(AVG(CASE WHEN hit AND event THEN y * weight / GREATEST(COALESCE(survival, 1.0), 0.05) ELSE 0.0 END), 6) AS weighted_value, ROUND(AVG(short) FILTER (hit), 6) AS within_set_value, ROUND(AVG(short) FILTER (hit), 6) AS unweighted_value,
 ROUND(SUM(short) FILTER (hit) / (AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END) * COUNT(*)), 6) AS constant_propensity_value, COUNT(*) AS subjects, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS agreement_share FROM sb""",
     "propensity_constant": f"{_HIT}, sb AS (SELECT 'ecog=' || ecog AS scope, 1.0 / weight AS p FROM h UNION ALL SELECT 'all', 1.0 / weight FROM h) SELECT scope, MAX(p) - MIN(p) <= 1e-9 AS constant, COUNT(*) AS n FROM sb GROUP BY 1",
-    "collapsibility_gap": f"""WITH c AS ({SURVIVAL['rmst_contrast']}), a AS (WITH {ARMED_CTE} SELECT * FROM armed), r AS (SELECT line, (CAST(COUNT(*) FILTER (event AND exposed = 1) AS DOUBLE) / SUM(follow_up_months) FILTER (exposed = 1)) / (CAST(COUNT(*) FILTER (event AND exposed = 0) AS DOUBLE) / SUM(follow_up_months) FILTER (exposed = 0)) AS q FROM a GROUP BY 1)
-SELECT line, ROUND(q, 6) AS rate_ratio, contrast, ROUND(ABS(q - 1.0) - ABS(contrast), 5) AS gap FROM r JOIN c USING (line)""",
+    "collapsibility_gap": f"""WITH RECURSIVE c AS ({SURVIVAL['rmst_contrast']}), a AS (WITH {ARMED_CTE} SELECT * FROM armed),
+n AS (SELECT line, follow_up_months AS t, CAST(exposed AS DOUBLE) AS x, COUNT(*) AS n, COUNT(*) FILTER (event) AS d FROM a GROUP BY 1, 2, 3),
+s AS (SELECT line, 0 AS k, CAST(0 AS DOUBLE) AS beta FROM (SELECT DISTINCT line FROM n) UNION ALL
+  SELECT line, k + 1, beta + SUM(dx - d * s1 / s0) / SUM(d * (s2 / s0 - s1 * s1 / (s0 * s0))) FROM (
+    SELECT line, k, beta, d, dx, SUM(e) OVER w AS s0, SUM(e1) OVER w AS s1, SUM(e2) OVER w AS s2 FROM (
+      SELECT line, k, beta, t, SUM(d) AS d, SUM(d * x) AS dx, SUM(n * EXP(beta * x)) AS e, SUM(n * EXP(beta * x) * x) AS e1, SUM(n * EXP(beta * x) * x * x) AS e2 FROM s JOIN n USING (line) WHERE k < 12 GROUP BY line, k, beta, t)
+    WINDOW w AS (PARTITION BY line, k ORDER BY t DESC)) GROUP BY line, k, beta)
+SELECT line, ROUND(EXP(beta), 6) AS hazard_ratio, contrast, ROUND(ABS(EXP(beta) - 1.0) - ABS(contrast), 5) AS gap FROM s JOIN c USING (line) WHERE k = 12""",
     "top_three_value": f"WITH {DECISION_CTE}, {SCORED_CTE}, {_TOP3} SELECT * FROM t3",
     "precision_at_k": f"{_S}, {_METRIC} SELECT decision_id, ROUND(hits, 6) AS precision FROM met",
     "log_softmax": f"{_S}, x AS (SELECT *, score - MAX(score) OVER (PARTITION BY decision_id) AS x FROM scored) SELECT decision_id, candidate, ROUND(x - LN(SUM(EXP(x)) OVER (PARTITION BY decision_id)), 6) AS log_share FROM x",
@@ -330,10 +349,9 @@ s AS (SELECT panel, stratum, COUNT(*) AS n, AVG(ndcg) AS value, ROUND(AVG(ndcg)
     "comparator_families": f"{_ROSTER} SELECT family, COUNT(*) AS members, COUNT(*) FILTER (transfer) AS transfers, MIN(value) AS low, MAX(value) AS high, FIRST(candidate ORDER BY value DESC, candidate) FILTER (NOT transfer) AS best FROM roster GROUP BY 1",
     "criteria_status": f"{_CRITERIA} SELECT * FROM st",
     "criteria_summary": f"{_CRITERIA} SELECT COUNT(*) AS total, COUNT(*) FILTER (kind = 'primary') AS primary, COUNT(*) FILTER (adjusted) AS adjusted, COUNT(*) FILTER (met) AS met, COUNT(*) FILTER (NOT met) AS not_met, BOOL_AND(met) FILTER (kind = 'primary') AS primary_all_met FROM st",
-    "prescribing_matrix": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, k AS (SELECT DISTINCT candidate FROM exposure)
-SELECT d.decision_id, string_agg(CASE WHEN e.candidate IS NULL THEN '0' ELSE '1' END, '' ORDER BY k.candidate) AS row FROM decision d CROSS JOIN k LEFT JOIN exposure e ON e.decision_id = d.decision_id AND e.candidate = k.candidate GROUP BY 1""",
-    "state_features": f"""{_D}, d AS (SELECT decision_id, CAST(ecog AS DOUBLE) AS ecog, CAST(prior_bucket AS DOUBLE) AS prior, c_acctbal AS balance FROM decision), m AS (SELECT {', '.join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in ('ecog', 'prior', 'balance'))} FROM d)
-SELECT decision_id, {', '.join(f"ROUND(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END, 6) AS {c}" for c in ('ecog', 'prior', 'balance'))} FROM d, m""",
+    "prescribing_matrix": f"WITH {COVARIATE_CTE} SELECT decision_id, CAST(1 AS DOUBLE) AS intercept, {', '.join(f'ROUND({c}, 6) AS {c}' for c in PRESCRIBING)} FROM covariate",
+    "state_features": f"""WITH {COVARIATE_CTE}, m AS (SELECT {', '.join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in PRESCRIBING)} FROM covariate)
+SELECT decision_id, {', '.join(f"ROUND(({c} - m_{c}) / CASE WHEN s_{c} > 1e-8 THEN s_{c} ELSE 1.0 END, 6) AS {c}" for c in PRESCRIBING)} FROM covariate, m""",
     "early_stop_split": f"{_D} SELECT (patient_id * 48271 + 12345) % 2147483647 % {EARLY} = 0 AS early, COUNT(*) AS decisions, COUNT(DISTINCT patient_id) AS patients FROM decision WHERE split = 'development' GROUP BY 1",
     "strata": f"{_D} SELECT ecog, line, c_mktsegment, COUNT(*) AS n, COUNT(*) FILTER (event) AS events, ROUND(AVG(follow_up_months), 6) AS follow_up FROM decision GROUP BY ALL",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import survival as S
@@ -130,14 +130,17 @@ def censoring_survival(spark, sf_dir):
     return c.select("exposed", "ecog", "prior_bucket", F.col("t").alias("knot"), F.round(F.greatest("survival", F.lit(0.05)), 6).alias("g"))
 
 
+def restricted_means_beyond(d: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, knot, q): at each distinct restricted time, the mean restricted time of those who are followed until then."""
+    n = d.groupBy(*keys, F.least("follow_up_months", "horizon_months").alias("knot")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("knot").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return n.select(*keys, "knot", (F.sum(F.round(F.col("knot") * 100).cast("bigint") * F.col("n")).over(w) / 100.0 / F.sum("n").over(w)).alias("q"))
+
+
 def q_function(spark, sf_dir):
     """Per censoring key, the mean restricted follow-up of those still followed at each knot."""
-    from pyspark.sql import Window
-
     keys = ["exposed", "ecog", "prior_bucket"]
-    d = armed(spark, sf_dir).groupBy(*keys, F.least("follow_up_months", "horizon_months").alias("knot")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.col("knot").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return d.select(*keys, "knot", F.round(F.sum(F.round(F.col("knot") * 100).cast("bigint") * F.col("n")).over(w) / 100.0 / F.sum("n").over(w) + 1e-9, 6).alias("q"))
+    return restricted_means_beyond(armed(spark, sf_dir), keys).withColumn("q", F.round(F.col("q") + 1e-9, 6))
 
 
 def weighted_km(spark, sf_dir):

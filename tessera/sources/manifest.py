@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, length, digest) of the files below a path; each is digested where it is read. Spark's reader lists no empty files."""
+    """(name, length, digest) of the files below a folder, named by their path from there; each is digested where it is read.
+
+    Spark's reader leaves out empty files, so the driver, which lists a folder for it anyway, looks for these itself.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(conf)
+    root = system.makeQualified(top).toString().rstrip("/") + "/"
+    own = lambda at: jvm.org.apache.hadoop.fs.Path(at).toUri().getPath()
+    empty, listed = [], system.listFiles(top, True)
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and fnmatch(f.getPath().getName(), pattern):
+            empty.append((f.getPath().toUri().getPath()[len(own(root)) + 1 :],))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
+    # A file's path comes with its scheme, and with as many slashes behind it as the file system likes.
+    below = F.expr("substring(path, locate(prefix, path) + length(prefix))")
+    files = files.withColumn("prefix", F.lit(own(root).rstrip("/") + "/")).select(below.alias("name"), "length", F.sha2("content", 256).alias("digest"))
+    none = spark.createDataFrame(empty, "name string").select("name", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(b""), 256).alias("digest"))
+    return files.union(none)
 
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:

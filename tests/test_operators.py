@@ -13,7 +13,7 @@ from tessera.operators.ranking import at_k, ranked
 from tessera.plans.cohort import feature
 from tessera.plans.discrimination import concordance
 from tessera.plans.estimation import effect_table, with_outcome
-from tessera.plans.graph import numbered, walks
+from tessera.plans.graph import coprime, negatives, numbered, walks
 
 
 def one(df):
@@ -98,7 +98,7 @@ def test_slide_feature_weights_the_first_four(spark):
 def test_rank_within_is_row_number(spark):
     rng = np.random.default_rng(1)
     rows = [(int(g), int(n), i) for i, (g, n) in enumerate(zip(rng.choice(3, 500, p=[0.9, 0.05, 0.05]), rng.choice([5, 7, 10**12, 10**12 + 3, -4], 500), strict=True))]
-    got = {r.i: r["rank"] for r in rank_within(spark.createDataFrame(rows, "g int, n bigint, i int"), ["g"], "n", "i", ranges=16).collect()}
+    got = {r.i: r["rank"] for r in rank_within(spark.createDataFrame(rows, "g int, n bigint, i int"), ["g"], "n", "i").collect()}
     want = {i: k for g in range(3) for k, (_, i) in enumerate(sorted((n, i) for x, n, i in rows if x == g), 1)}
     assert got == want
     assert rank_within(spark.createDataFrame([], "g int, n bigint, i int"), ["g"], "n", "i").count() == 0
@@ -162,3 +162,42 @@ def test_effect_under_censoring_is_the_closed_form(spark):
     got = effect_table(with_outcome(d), x).first()
     naive = effect_table(d.withColumn("y", F.least("follow_up_months", "horizon_months")), x).first()
     assert abs(got.tau - truth) < 0.07 < abs(naive.tau - truth) and got.trimmed == 0 and got.exposed == int(exposed.sum())
+
+
+def test_rank_within_ranges_follow_the_rows_not_the_width(spark):
+    """One outlier, ties and a group of nearly all rows: places are as ever, and no range holds most of the rows."""
+    rows = [("big", i // 2, i) for i in range(4000)] + [("big", 10**15, 4000), ("small", 7, 1), (None, 5, 1), (None, 4, 2)]
+    frame = spark.createDataFrame(rows, "g string, n bigint, i int")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = {(r.g, r.i): r["rank"] for r in rank_within(frame, ["g"], "n", "i").collect()}
+        parts = frame.repartitionByRange(8, "g", "n", "i").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert got == {**{("big", i): i + 1 for i in range(4001)}, ("small", 1): 1, (None, 2): 1, (None, 1): 2} and parts < 1500
+
+
+def test_as_of_before_leaves_out_the_step_itself(spark):
+    steps = spark.createDataFrame([("a", 1.0, 0.9), ("a", 2.0, 0.5)], "k string, t double, v double")
+    points = spark.createDataFrame([("a", x) for x in (0.5, 1.0, 1.5, 2.0, 2.5)] + [("b", 2.0)], "k string, x double")
+    read = lambda before: [r.g for r in as_of(points, steps, ["k"], "x", "t", "v", F.lit(1.0), "g", before).orderBy("k", "x").collect()]
+    assert read(False) == [1.0, 0.9, 0.9, 0.5, 0.5, 1.0] and read(True) == [1.0, 1.0, 0.9, 0.9, 0.5, 1.0]
+
+
+def test_strides_share_no_factor(spark):
+    assert [coprime(7919, m) for m in (10, 7919, 2 * 7919)] == [7919, 7920, 7921] and all(math.gcd(coprime(7919, m), m) == 1 for m in (7919 * 7920, 7919 * 7921))
+
+
+def test_negatives_of_a_hub(spark):
+    """A head that is linked to nearly all nodes goes on until its draw is whole; what it draws is free, distinct and in stride order."""
+    names = [f"n{i:04d}" for i in range(900)]
+    edges = [("n0000", "r", x) for x in names[1:880]] + [(x, "r", "n0000") for x in names[1:40]] + [(x, "s", "n0001") for x in names[880:]]
+    got = {}
+    for r in negatives(spark.createDataFrame(edges, "head string, relation string, tail string")).orderBy("place").collect():
+        got.setdefault((r["head"], r["tail"]), []).append((r["place"], r["negative"]))
+    links = {(h, t) for h, _, t in edges}
+    assert sum(h == "n0000" for h, _ in got) > 100 and any(h != "n0000" for h, _ in got)
+    by = coprime(7919, 900)
+    for (h, t), drawn in got.items():
+        walk = [names[(names.index(h) * 31 + names.index(t) * 17 + k * by) % 900] for k in range(900)]
+        assert drawn == list(enumerate([x for x in walk if x != h and (h, x) not in links][:12], 1))

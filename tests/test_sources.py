@@ -1,5 +1,6 @@
 """Protocol files, manifests, column functions and the stream."""
 
+import hashlib
 import json
 import math
 
@@ -30,6 +31,23 @@ def test_manifest_drift(spark, tmp_path):
     assert {r["name"]: r["status"] for r in got} == {"y": "changed", "z": "removed", "w": "added"}
 
 
+def test_manifest_names_files_by_their_path_and_lists_empty_ones(spark, tmp_path):
+    """Files of one name in two folders are two files; names may hold blanks, signs and letters; empty files count."""
+    names = ["one/data.txt", "two/data.txt", "data.txt", "two/a b+c%20é.txt", "two/empty.txt", "none.bin"]
+    for i, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text("" if "empty" in n or "none" in n else f"content {i}")
+    files = manifest.manifest(spark, str(tmp_path)).collect()
+    assert sorted(r["name"] for r in files) == sorted(names) and all((r["length"] == 0) == ("empty" in r["name"] or "none" in r["name"]) for r in files)
+    assert {r["digest"] for r in files if r["length"] == 0} == {hashlib.sha256(b"").hexdigest()}
+    before = spark.createDataFrame(files)
+    assert manifest.drift(before, manifest.manifest(spark, str(tmp_path))).count() == 0
+    (tmp_path / "two/data.txt").write_text("changed")
+    (tmp_path / "two/empty.txt").unlink()
+    assert {(r["name"], r["status"]) for r in manifest.drift(before, manifest.manifest(spark, str(tmp_path))).collect()} == {("two/data.txt", "changed"), ("two/empty.txt", "removed")}
+    assert {r["name"] for r in manifest.manifest(spark, str(tmp_path), "*.bin").collect()} == {"none.bin"}
+
+
 def test_functions(spark):
     d = spark.range(1).select(
         fn.sigmoid(F.lit(-800.0)).alias("lo"), fn.sigmoid(F.lit(0.0)).alias("mid"), fn.safe_divide(F.lit(1.0), F.lit(0.0), -1.0).alias("fill"), fn.logit(F.lit(0.0)).alias("edge"),
