@@ -25,26 +25,45 @@ CELL = ["fold", "site", "ecog", "prior_bucket", "c_mktsegment"]
 CENSORING, FLOOR = ["ecog", "prior_bucket"], 0.05
 
 
-def _folded(spark, sf_dir) -> DataFrame:
+def _folded(spark, sf_dir, augment: bool = False) -> DataFrame:
     """Development decisions with a fold that is a function of the patient, and their outcome."""
     fold = ((F.col("patient_id") * 7919 + 104729) % 1000003 % FOLDS).cast("int")
-    return with_outcome(decisions(spark, sf_dir).where("split = 'development'").withColumn("fold", fold))
+    return with_outcome(decisions(spark, sf_dir).where("split = 'development'").withColumn("fold", fold), augment)
 
 
-def with_outcome(d: DataFrame) -> DataFrame:
+def with_outcome(d: DataFrame, augment: bool = False) -> DataFrame:
     """d with ``y``: the integral of 1 / G up to the restricted time, G the survival of censoring among the other folds.
 
     Its mean is that of the restricted time without censoring: a decision that was lost stands for those like it that were not.
     G is a curve for each fold and censoring key. Its knots are the distinct times of the key and the horizons, so every
     restricted time is one, and the integrals up to the knots go to the decisions by an equi-join.
+
+    With ``augment``, y also has the integral of Q / G over the decision's censoring martingale, Q(u) being the mean restricted time of
+    the other folds' decisions that are followed until u: what was lost adds Q / G at its time, and everybody gives off Q / G times
+    the hazard of being lost for as long as followed. Both terms are sums up to a knot of the same curves, so that each
+    decision still looks up one knot. The integral's mean is zero where G is right; Q being of whole times, not of what is
+    left of them, it adds to the spread. A censoring key has one horizon; being followed beyond it isn't being lost.
     """
     at = d.groupBy(*CENSORING, "fold", F.col("follow_up_months").alias("t")).agg(F.count("*").alias("n"), F.count_if(~F.col("event")).alias("lost"))
     ends = d.select(*CENSORING, F.col("horizon_months").alias("t"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("lost")).distinct()
     whole = at.select(*ends.columns).union(ends).groupBy(*CENSORING, "t").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
     each = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).join(at.withColumnsRenamed({"n": "own", "lost": "own_lost"}), [*CENSORING, "fold", "t"], "left").fillna(0, ["own", "own_lost"])
     other = each.select(*CENSORING, "fold", "t", (F.col("n") - F.col("own")).alias("n"), (F.col("lost") - F.col("own_lost")).alias("deaths"))
-    knots = inverse_integral(other, [*CENSORING, "fold"], FLOOR).select(*CENSORING, "fold", "t", F.col("integral").alias("y"))
-    return d.withColumn("t", F.least("follow_up_months", "horizon_months")).join(knots, [*CENSORING, "fold", "t"]).drop("t")
+    knots = inverse_integral(other, [*CENSORING, "fold"], FLOOR)
+    plain = [*CENSORING, "fold", "t", F.col("integral").alias("y")]
+    met = d.withColumn("t", F.least("follow_up_months", "horizon_months"))
+    if not augment:
+        return met.join(knots.select(*plain), [*CENSORING, "fold", "t"]).drop("t")
+    w = Window.partitionBy(*CENSORING, "fold")
+    knots = knots.join(d.groupBy(*CENSORING).agg(F.max("horizon_months").alias("_end")), CENSORING)
+    q = F.try_divide(F.sum(F.col("n") * F.least("t", "_end")).over(w.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)), F.col("at_risk"))
+    knots = knots.withColumn("_jump", F.coalesce(q / F.greatest(F.coalesce(F.lag("survival").over(w.orderBy("t")), F.lit(1.0)), F.lit(FLOOR)), F.lit(0.0)))
+    hazard = F.coalesce(F.try_divide("deaths", F.col("at_risk")), F.lit(0.0))
+    given = F.sum(F.when(F.col("t") < F.col("_end"), F.col("_jump") * hazard).otherwise(0.0)).over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    knots = knots.withColumn("_given", given)
+    met = met.join(knots.select(*plain, "_jump", "_given"), [*CENSORING, "fold", "t"])
+    lost = F.when(~F.col("event") & (F.col("follow_up_months") < F.col("horizon_months")), F.col("_jump")).otherwise(0.0)
+    return met.withColumn("y", F.col("y") + lost - F.col("_given")).drop("t", "_jump", "_given")
 
 
 def held_out_outcome(d: DataFrame) -> DataFrame:
@@ -81,25 +100,37 @@ def effect_table(d: DataFrame, x: DataFrame) -> DataFrame:
     return effects(every.join(exposed, ["candidate", *CELL], "left").fillna(0, ["n1", "y1", "yy1"]), CELL[1:], EPSILON, N_MIN)
 
 
-def _fitted(spark, sf_dir) -> tuple[DataFrame, nuisance.Nuisances]:
+def _fitted(spark, sf_dir, augment: bool = False) -> tuple[DataFrame, nuisance.Nuisances]:
     """The development decisions' rows, written, and the models of all candidates without each fold and without none."""
     x = exposures(spark, sf_dir)
-    d = _folded(spark, sf_dir).select("decision_id", "fold", "y").join(covariates(spark, sf_dir), "decision_id")
+    d = _folded(spark, sf_dir, augment).select("decision_id", "fold", "y").join(covariates(spark, sf_dir), "decision_id")
     rows = cut(nuisance.rows_of(d, x, PRESCRIBING))
     return rows, nuisance.fit(rows, nuisance.catalogue(x), FOLDS)
 
 
-def emulation_table(spark, sf_dir):
+def emulation_table(spark, sf_dir, augment: bool = False):
     """Per candidate: cross-fitted doubly robust effect on restricted months, error, eligible, trimmed and exposed counts.
 
     Propensities are logistic and outcome models ridge fits on sixteen covariates, each without the fold that it scores. Censoring is
-    accounted for by the inverse integral in the outcome; there is no martingale augmentation.
+    accounted for by the inverse integral in the outcome, to which ``augment`` adds that over the censoring martingale.
     """
-    rows, fitted = _fitted(spark, sf_dir)
+    rows, fitted = _fitted(spark, sf_dir, augment)
     e = nuisance.effects(rows, fitted, EPSILON, N_MIN)
     return e.select("candidate", F.round("tau", 6).alias("tau"), F.round("se", 6).alias("se"), "eligible", "trimmed", "exposed")
 
 
+def augmented_effects(spark, sf_dir):
+    """The emulation table with the augmented outcome."""
+    return emulation_table(spark, sf_dir, augment=True)
+
+
+def augmented_outcome(spark, sf_dir):
+    """Per censoring key, the mean and deviation of the outcome as it is and augmented: the means are about equal."""
+    keys = [*CENSORING, "line"]
+    each = lambda augment, name: _folded(spark, sf_dir, augment).groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("y"), 5).alias(name), F.round(F.stddev_samp("y"), 5).alias(f"{name}_sd"))
+    return each(False, "plain").join(each(True, "augmented").drop("n"), keys)
+
+
 def held_out_effects(spark, sf_dir):
     """The same of the held-out site: its decisions are scored by models of the development ones, and change none of them."""
     _, fitted = _fitted(spark, sf_dir)
@@ -222,9 +253,16 @@ cg AS (SELECT *, product(1.0 - COALESCE(CAST(lost AS DOUBLE) / NULLIF(at_risk, 0
 cp AS (SELECT *, (t - COALESCE(lag(t) OVER w, 0.0)) / GREATEST(COALESCE(lag(g) OVER w, 1.0), {FLOOR}) AS piece FROM cg WINDOW w AS (PARTITION BY ecog, prior_bucket, fold ORDER BY t)),
 ci AS (SELECT *, SUM(piece) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS y FROM cp),
 d AS (SELECT d0.*, ci.y FROM d0 JOIN ci ON ci.ecog = d0.ecog AND ci.prior_bucket = d0.prior_bucket AND ci.fold = d0.fold AND ci.t = LEAST(follow_up_months, horizon_months))"""
+_AUGMENT = f"""cq AS (SELECT cg.*, h, SUM(n * LEAST(t, h)) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t DESC) / NULLIF(at_risk, 0) / GREATEST(COALESCE(lag(g) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t), 1.0), {FLOOR}) AS jump
+  FROM cg JOIN (SELECT ecog, prior_bucket, MAX(horizon_months) AS h FROM d0 GROUP BY ALL) USING (ecog, prior_bucket)),
+cs AS (SELECT *, SUM(CASE WHEN t < h THEN COALESCE(jump * lost / NULLIF(at_risk, 0), 0.0) ELSE 0.0 END) OVER (PARTITION BY ecog, prior_bucket, fold ORDER BY t) AS given FROM cq),
+da AS (SELECT d.*, d.y + CASE WHEN NOT event AND follow_up_months < horizon_months THEN COALESCE(jump, 0.0) ELSE 0.0 END - given AS ya FROM d
+  JOIN cs ON cs.ecog = d.ecog AND cs.prior_bucket = d.prior_bucket AND cs.fold = d.fold AND cs.t = LEAST(follow_up_months, horizon_months))"""
 _TAIL = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * EXP(-x * x)"
-QUERIES = {f.__name__: f for f in (emulation_table, held_out_effects, pseudo_outcomes, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, tercile_summary, unadjusted_contrast)}
+QUERIES = {f.__name__: f for f in (emulation_table, augmented_effects, augmented_outcome, held_out_effects, pseudo_outcomes, saturated_effects, ridge_gram, cox_hazard_ratio, cox_outcome_model, placebo_permutation, bootstrap_ci, paired_seed_test, tercile_summary, unadjusted_contrast)}
 SQL = {
+    "augmented_outcome": f"""WITH {DECISION_CTE}, {_OUTCOME}, {_AUGMENT}
+SELECT ecog, prior_bucket, line, COUNT(*) AS n, ROUND(AVG(y), 5) AS plain, ROUND(STDDEV_SAMP(y), 5) AS plain_sd, ROUND(AVG(ya), 5) AS augmented, ROUND(STDDEV_SAMP(ya), 5) AS augmented_sd FROM da GROUP BY 1, 2, 3""",
     "saturated_effects": f"""WITH {DECISION_CTE}, {EXPOSURE_CTE}, {_OUTCOME},
 t AS (SELECT fold, ecog, prior_bucket, COUNT(*) AS n, SUM(y) AS y FROM d GROUP BY 1, 2, 3), x AS (SELECT candidate, fold, ecog, prior_bucket, COUNT(*) AS n1, SUM(y) AS y1 FROM exposure JOIN d USING (decision_id) GROUP BY ALL),
 c AS (SELECT k.candidate, t.*, COALESCE(n1, 0) AS n1, COALESCE(y1, 0) AS y1 FROM (SELECT DISTINCT candidate FROM x) k CROSS JOIN t LEFT JOIN x ON x.candidate = k.candidate AND x.fold = t.fold AND x.ecog = t.ecog AND x.prior_bucket = t.prior_bucket),

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import nuisance
 from tessera.operators import survival as S
 from tessera.operators.estimation import cox_fit, cox_hazard_ratio, cox_restricted_mean, irls
 from tessera.operators.order import as_of, rank_within
@@ -162,6 +163,16 @@ def test_effect_under_censoring_is_the_closed_form(spark):
     got = effect_table(with_outcome(d), x).first()
     naive = effect_table(d.withColumn("y", F.least("follow_up_months", "horizon_months")), x).first()
     assert abs(got.tau - truth) < 0.07 < abs(naive.tau - truth) and got.trimmed == 0 and got.exposed == int(exposed.sum())
+    # The augmented outcome has the same mean, and the same effect within its error.
+    more = effect_table(with_outcome(d, augment=True), x).first()
+    assert abs(more.tau - truth) < 2.5 * more.se and abs(more.tau - got.tau) < 2 * more.se
+    plain, augmented = (with_outcome(d, a).agg(F.avg("y")).first()[0] for a in (False, True))
+    whole = np.mean([mean(r) for r in rate])
+    assert abs(plain - whole) < 0.06 and abs(augmented - whole) < 0.06
+    # And of rows of continuous covariates, by the batched models.
+    rows = nuisance.rows_of(with_outcome(d, augment=True), x, ["ecog", "prior_bucket"])
+    batched = nuisance.effects(rows, nuisance.fit(rows, nuisance.catalogue(x), 5), 0.05, 10).first()
+    assert abs(batched.tau - truth) < 2.5 * batched.se
 
 
 def test_rank_within_ranges_follow_the_rows_not_the_width(spark):
