@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ranking import at_k, ranked
 from tessera.sources.model import DECISION_CTE, SCORED_CTE, decisions, scored
+from tessera.sources.stored import cut
 
 K, EPSILON, N_MIN, ALPHA, MARGIN = 3, 0.05, 40, 0.1, 0.0
 #: What separates trimmed candidates: exposure is tested first.
 REASON = f"CASE WHEN exposed < {N_MIN} THEN 'exposure below minimum' WHEN propensity < {EPSILON} OR propensity > {1 - EPSILON} THEN 'propensity trimmed' END"
 
 
-def _counted(spark, sf_dir) -> DataFrame:
-    """Scored pairs with their candidate's exposure count and the reason, if any, that they are not eligible."""
-    s = scored(spark, sf_dir)
+def _counted(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    """Scored pairs (s if given) with their candidate's exposure count and the reason, if any, that they are not eligible."""
+    s = scored(spark, sf_dir) if s is None else s
     n = s.groupBy("candidate").agg(F.count("*").alias("exposed"))
     return s.join(n, "candidate").withColumn("reason", F.expr(REASON))
 
@@ -107,10 +108,14 @@ def selection_regret(spark, sf_dir):
     return d.agg(F.round(F.avg("regret"), 6).alias("regret"), F.count("*").alias("n"))
 
 
-def _residuals(spark, sf_dir) -> DataFrame:
+def _written(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The scored pairs and the decisions with their bins, each written once: what follows reads them several times."""
+    return cut(scored(spark, sf_dir)), cut(_binned(spark, sf_dir))
+
+
+def _residuals(s: DataFrame, d: DataFrame) -> DataFrame:
     """Scored pairs with their residual, the distance from the candidate's mean score in development, and their covariate bin."""
-    d = _binned(spark, sf_dir)
-    s = scored(spark, sf_dir).join(d, "decision_id")
+    s = s.join(d, "decision_id")
     mean = s.where("split <> 'held_out'").groupBy("candidate").agg(F.round(F.avg("score"), 6).alias("mean"))
     return s.join(mean, "candidate").withColumn("residual", F.round(F.abs(F.col("score") - F.col("mean")), 4))
 
@@ -130,15 +135,17 @@ def _limit(residuals: DataFrame, weights: DataFrame) -> DataFrame:
 
 def weighted_conformal(spark, sf_dir):
     """The weighted limit of the development decisions, and how many held-out scores lie within it of their prediction."""
-    r = _residuals(spark, sf_dir)
-    q = _limit(r, covariate_weights(spark, sf_dir))
+    s, d = _written(spark, sf_dir)
+    r = _residuals(s, d)
+    q = _limit(r, _weights(d))
     return r.where("split = 'held_out'").crossJoin(F.broadcast(q)).agg(F.max("q").alias("q"), F.max("n").alias("calibrated"), F.count("*").alias("n"), F.count_if(F.col("residual") <= F.col("q")).alias("covered"))
 
 
 def conformal_bounds(spark, sf_dir):
     """Mean lower and upper limit of the held-out decisions' scores by candidate, and the share of them on one side of zero."""
-    q = _limit(_residuals(spark, sf_dir), covariate_weights(spark, sf_dir))
-    s = scored(spark, sf_dir).join(_binned(spark, sf_dir).where("split = 'held_out'"), "decision_id").crossJoin(F.broadcast(q))
+    s, d = _written(spark, sf_dir)
+    q = _limit(_residuals(s, d), _weights(d))
+    s = s.join(d.where("split = 'held_out'"), "decision_id").crossJoin(F.broadcast(q))
     lower, upper = F.col("score") - F.col("q"), F.col("score") + F.col("q")
     return s.groupBy("candidate").agg(F.round(F.avg(lower) + 1e-9, 5).alias("lower"), F.round(F.avg(upper) + 1e-9, 5).alias("upper"), F.count_if((lower > 0) | (upper < 0)).alias("clear"), F.count("*").alias("n"))
 
@@ -148,8 +155,9 @@ def _gate(spark, sf_dir) -> DataFrame:
 
     A score's lower limit is the weighted conformal one.
     """
-    q = _limit(_residuals(spark, sf_dir), covariate_weights(spark, sf_dir)).select("q")
-    c = _counted(spark, sf_dir).crossJoin(F.broadcast(q)).withColumn("lower", F.col("score") - F.col("q"))
+    s, d = _written(spark, sf_dir)
+    q = _limit(_residuals(s, d), _weights(d)).select("q")
+    c = _counted(spark, sf_dir, s).crossJoin(F.broadcast(q)).withColumn("lower", F.col("score") - F.col("q"))
     ok = F.col("reason").isNull()
     c = c.withColumn("harm", ok & (F.col("lower") < 0)).withColumn("kept", ok & (F.col("lower") >= 0) & (F.col("score") > 0))
     r = c.withColumn("rank", F.when(F.col("kept"), F.row_number().over(Window.partitionBy("decision_id", "kept").orderBy(F.desc("score"), "candidate"))))
@@ -227,7 +235,11 @@ def _binned(spark, sf_dir) -> DataFrame:
 
 def covariate_weights(spark, sf_dir):
     """Histogram density ratio of held-out over development account balances in ten shared bins, floored and clipped."""
-    n = _binned(spark, sf_dir).groupBy("bin").agg(F.count_if(F.col("split") == "held_out").alias("target"), F.count_if(F.col("split") != "held_out").alias("source"))
+    return _weights(_binned(spark, sf_dir))
+
+
+def _weights(d: DataFrame) -> DataFrame:
+    n = d.groupBy("bin").agg(F.count_if(F.col("split") == "held_out").alias("target"), F.count_if(F.col("split") != "held_out").alias("source"))
     return n.select("bin", "target", "source", F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.col("target") / F.greatest("source", F.lit(1)))), 6).alias("weight"))
 
 
