@@ -104,13 +104,13 @@ def residual_summary(spark, sf_dir):
 
 
 #: What the graph is expected to add in each tercile of exposure: fixed values.
-EXPECTATIONS = {"low": "largest KG gain", "middle": "intermediate", "high": "about zero KG gain"}
+EXPECTATIONS = {"lowest": "largest KG gain", "middle": "intermediate", "highest": "about zero KG gain"}
 
 
 def tercile_gain(spark, sf_dir):
     """Gain of each exposure tercile, what is expected of it, and the gain as a share of that of the highest."""
     t = tercile_summary(spark, sf_dir)
-    top = t.agg(F.max(F.when(F.col("tercile") == "high", F.col("gain"))).alias("top"))
+    top = t.agg(F.max(F.when(F.col("tercile") == "highest", F.col("gain"))).alias("top"))
     expected = F.create_map(*[F.lit(x) for kv in EXPECTATIONS.items() for x in kv])[F.col("tercile")]
     return t.crossJoin(F.broadcast(top)).select("tercile", "gain", expected.alias("expectation"), F.round(F.when(F.abs("top") >= 1e-12, F.col("gain") / F.col("top")), 6).alias("normalised"))
 
@@ -158,7 +158,7 @@ SELECT a.split, CAST(SUM(a.e * b.n) AS BIGINT) AS pairs, ROUND(SUM(a.e * b.n * C
     "weight_diagnostics": f"""WITH {DECISION_CTE}, {_BINS}, t AS (SELECT SUM(weight * source) AS total, SUM(weight * weight * source) AS squares FROM bw) SELECT bin, ROUND(weight / total, 9) AS share, ROUND(total, 4) AS total, ROUND(total * total / squares, 4) AS effective FROM bw, t""",
     "residual_summary": f"""WITH {SCORED_CTE}, r AS (SELECT score - AVG(score) OVER (PARTITION BY candidate) AS r, propensity AS w FROM scored)
 SELECT ROUND(AVG(r) + 1e-9, 6) AS mean, ROUND(SQRT(AVG(r * r)), 6) AS rmse, ROUND(SQRT(SUM(w * r * r) / GREATEST(SUM(w), 1.0)), 6) AS weighted_rmse, ROUND(SUM(w) * SUM(w) / SUM(w * w), 2) AS effective FROM r""",
-    "tercile_gain": f"""WITH t AS ({ESTIMATION['tercile_summary']}), h AS (SELECT MAX(gain) FILTER (tercile = 'high') AS top FROM t)
+    "tercile_gain": f"""WITH t AS ({ESTIMATION['tercile_summary']}), h AS (SELECT MAX(gain) FILTER (tercile = 'highest') AS top FROM t)
 SELECT tercile, gain, CASE tercile {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in EXPECTATIONS.items())} END AS expectation, ROUND(CASE WHEN ABS(top) >= 1e-12 THEN gain / top END, 6) AS normalised FROM t, h""",
     "mean_effect_ratio": f"WITH e AS ({ESTIMATION['saturated_effects']}) SELECT ROUND(AVG(EXP(tau)) + 1e-9, 5) AS mean_ratio, MIN(tau) AS least, MAX(tau) AS most, COUNT(tau) AS candidates FROM e",
     "marginal_matches": f"WITH m AS ({COHORT['scaled_marginals']}) SELECT variable, CAST(SUM(n) AS BIGINT) AS n, SUM(n) = {TARGET} AS matches FROM m GROUP BY 1",

@@ -228,7 +228,7 @@ def tercile_summary(spark, sf_dir):
     """Scores by the degree tercile of their candidate, all three terciles present."""
     t = degree_terciles(spark, sf_dir).select(F.substring_index("node", ":", -1).alias("candidate"), "tercile")
     s = scored(spark, sf_dir).join(t, "candidate").groupBy("tercile").agg(F.round(F.avg("score"), 6).alias("gain"), F.count("*").alias("size"), F.count_distinct("candidate").alias("candidates"))
-    return spark.createDataFrame([("low",), ("middle",), ("high",)], "tercile string").join(s, "tercile", "left").select("tercile", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("size", F.lit(0).cast("bigint")).alias("size"), F.coalesce("candidates", F.lit(0).cast("bigint")).alias("candidates"))
+    return spark.createDataFrame([("lowest",), ("middle",), ("highest",)], "tercile string").join(s, "tercile", "left").select("tercile", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("size", F.lit(0).cast("bigint")).alias("size"), F.coalesce("candidates", F.lit(0).cast("bigint")).alias("candidates"))
 
 
 def unadjusted_contrast(spark, sf_dir):
@@ -295,7 +295,7 @@ def _tercile_sql() -> str:
 
     graph = GRAPH["degree_terciles"]
     return f"""WITH g AS ({graph}), {SCORED_CTE}, s AS (SELECT tercile, ROUND(AVG(score), 6) AS gain, COUNT(*) AS size, COUNT(DISTINCT candidate) AS candidates FROM scored JOIN g ON g.node = 'candidate:' || candidate GROUP BY 1)
-SELECT d.tercile, COALESCE(gain, 0.0) AS gain, COALESCE(size, 0) AS size, COALESCE(candidates, 0) AS candidates FROM (VALUES ('low'), ('middle'), ('high')) AS d(tercile) LEFT JOIN s USING (tercile)"""
+SELECT d.tercile, COALESCE(gain, 0.0) AS gain, COALESCE(size, 0) AS size, COALESCE(candidates, 0) AS candidates FROM (VALUES ('lowest'), ('middle'), ('highest')) AS d(tercile) LEFT JOIN s USING (tercile)"""
 
 
 SQL["tercile_summary"] = _tercile_sql()

@@ -52,7 +52,7 @@ def degree_terciles(spark, sf_dir):
     w = Window.orderBy("degree", "node")
     n = F.count("*").over(Window.partitionBy())
     r = d.withColumn("rk", F.row_number().over(w)).withColumn("n", n)
-    return r.select("node", "degree", F.when(F.col("rk") <= F.floor(F.col("n") / 3), "low").when(F.col("rk") <= F.floor(2 * F.col("n") / 3), "middle").otherwise("high").alias("tercile"))
+    return r.select("node", "degree", F.when(F.col("rk") <= F.floor(F.col("n") / 3), "lowest").when(F.col("rk") <= F.floor(2 * F.col("n") / 3), "middle").otherwise("highest").alias("tercile"))
 
 
 def walk_counts_2(spark, sf_dir):
@@ -192,7 +192,7 @@ SQL = {
 SELECT * FROM c UNION ALL SELECT 'node:_total', COUNT(*) FROM node UNION ALL SELECT 'edge:_total', COUNT(*) FROM edge""",
     "degrees": f"{_DEG} SELECT * FROM d",
     "degree_terciles": f"""{_DEG}, r AS (SELECT node, out_degree + in_degree AS degree, row_number() OVER (ORDER BY out_degree + in_degree, node) AS rk, COUNT(*) OVER () AS n FROM d WHERE node LIKE 'candidate:%')
-SELECT node, degree, CASE WHEN rk <= n // 3 THEN 'low' WHEN rk <= 2 * n // 3 THEN 'middle' ELSE 'high' END AS tercile FROM r""",
+SELECT node, degree, CASE WHEN rk <= n // 3 THEN 'lowest' WHEN rk <= 2 * n // 3 THEN 'middle' ELSE 'highest' END AS tercile FROM r""",
     "walk_counts_2": f"{_WALK} SELECT * FROM w",
     "motif_frequencies": f"{_WALK} SELECT m.first || '>' || m.second AS motif, COALESCE(walks, 0) AS walks FROM (VALUES {', '.join(str(m) for m in MOTIFS)}) AS m(first, second) LEFT JOIN w USING (first, second)",
     "orbit_partition": f"{_SHARED} SELECT s AS candidate, n AS walks, COUNT(*) AS size, string_agg(t, ',' ORDER BY t) AS members FROM a GROUP BY 1, 2",
