@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.order import rank_within
-from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, decisions, exposures, table
+from tessera.sources.contract import Contract
+from tessera.sources.model import DECISION_CTE, EXPOSURE_CTE, HORIZONS, decisions, exposures, table
 
 FOLDS, TARGET = 5, 1000
 #: Of the first coordinates in a slide's signature.
@@ -116,6 +117,18 @@ def validation_rejects(spark, sf_dir):
     return decisions(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: What decisions must hold; the bounds are tighter than the data, so that there is something to reject.
+DECISIONS = Contract(
+    keys=("decision_id", "patient_id"), domains={"site": ("AFRICA", "AMERICA", "ASIA", "EUROPE"), "line": tuple(HORIZONS), "c_mktsegment": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")},
+    bounds={"follow_up_months": (0, 9.5), "c_acctbal": (-900, 9900), "ecog": (0, 1)}, flags=("event",), positive=("follow_up_months",),
+)
+
+
+def contract_rejects(spark, sf_dir):
+    """Decisions by every reason for which the contract rejects them, one with several reasons counted for each, and those without."""
+    return DECISIONS.rejects(decisions(spark, sf_dir))
+
+
 def embedding_norm(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -155,7 +168,7 @@ _LONG = f"""{_W}, l AS (SELECT 'site' AS variable, site AS label FROM decision U
 UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM decision UNION ALL SELECT 'status', CASE WHEN ecog = 1 THEN 'impaired' ELSE 'active' END FROM decision),
 n AS (SELECT variable, label, COUNT(*) AS n FROM l GROUP BY 1, 2)"""
 _FOLD = f"{_W}, fold AS (SELECT patient_id, site, CAST((row_number() OVER (PARTITION BY site ORDER BY (patient_id * 7919 + 104729) % 1000003, patient_id) - 1) % {FOLDS} AS INTEGER) AS fold FROM (SELECT DISTINCT patient_id, site FROM decision))"
-QUERIES = {f.__name__: f for f in (marginal_counts, scaled_marginals, interleave, fold_assignment, fold_sizes, cross_fitted_folds, first_decision, outer_site_split, partition_closes, exposure_prevalence, modality_census, patient_counts, validation_rejects, embedding_norm, slide_signature, slide_feature, centred_modifier)}
+QUERIES = {f.__name__: f for f in (marginal_counts, scaled_marginals, interleave, fold_assignment, fold_sizes, cross_fitted_folds, first_decision, outer_site_split, partition_closes, exposure_prevalence, modality_census, patient_counts, contract_rejects, validation_rejects, embedding_norm, slide_signature, slide_feature, centred_modifier)}
 SQL = {
     "marginal_counts": f"{_LONG} SELECT * FROM n UNION ALL SELECT variable, '_total', CAST(SUM(n) AS BIGINT) FROM n GROUP BY 1",
     "scaled_marginals": f"""{_LONG}, s AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY variable) AS BIGINT) AS total FROM n), f AS (SELECT *, n * {TARGET} // total AS whole, (n * {TARGET}) % total AS rest FROM s),
@@ -172,6 +185,9 @@ SELECT row_number() OVER (ORDER BY k, site) AS slot, site, i FROM s""",
     "modality_census": f"{_W}, {EXPOSURE_CTE} SELECT decision_id IN (SELECT decision_id FROM exposure) AS has_lines, COUNT(*) AS n FROM decision GROUP BY 1",
     "patient_counts": f"{_W} SELECT patient_id, COUNT(*) AS n FROM decision GROUP BY 1",
     "validation_rejects": f"{_W} SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in CHECKS) + " ELSE 'valid' END AS reason, COUNT(*) AS n FROM decision GROUP BY 1",
+    "contract_rejects": f"""{_W}, r AS (SELECT list_filter([CASE WHEN site NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') THEN 'site: not declared' END, CASE WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') THEN 'c_mktsegment: not declared' END,
+CASE WHEN follow_up_months NOT BETWEEN 0 AND 9.5 THEN 'follow_up_months: out of bounds' END, CASE WHEN c_acctbal NOT BETWEEN -900 AND 9900 THEN 'c_acctbal: out of bounds' END, CASE WHEN follow_up_months <= 0 THEN 'follow_up_months: not positive' END], lambda x: x IS NOT NULL) AS r FROM decision)
+SELECT unnest(CASE WHEN len(r) = 0 THEN ['valid'] ELSE r END) AS reason, COUNT(*) AS n FROM r GROUP BY 1""",
     "embedding_norm": "SELECT vec_id, label, ROUND(SQRT(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings",
     "slide_signature": "SELECT label, CAST(i - 1 AS INTEGER) AS pos, ROUND(AVG(CAST(embedding[i] AS DOUBLE)), 4) AS mean FROM embeddings, unnest(range(1, 9)) AS u(i) GROUP BY 1, 2",
     "slide_feature": f"SELECT vec_id, ROUND(COALESCE(list_sum(list_transform(list_zip(embedding[1:{len(WEIGHTS)}], {list(WEIGHTS)}[1:len(embedding)]), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 0.0), 4) AS signature FROM embeddings",
