@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import gcd
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 from tessera.sources.model import EDGE_CTE, SCORED_CTE, edges, scored
 from tessera.sources.stored import cut
 
-MOTIFS = (("has_type", "has_size"), ("located_in", "part_of"), ("supplies", "has_type"), ("supplies", "has_size"))
+#: The motifs that a node's signature counts: every relation, and walks of two and three; a relation after ~ is walked backwards.
+MOTIF_SET = (
+    ("has_type",), ("has_size",), ("located_in",), ("part_of",), ("supplies",),
+    ("has_type", "has_size"), ("located_in", "part_of"), ("supplies", "has_type"), ("supplies", "has_size"),
+    ("~supplies", "located_in", "part_of"), ("has_size", "~has_size", "has_type"), ("supplies", "has_size", "~has_size"),
+)
 
 
 def _kind(c) -> F.Column:
@@ -63,10 +69,41 @@ def walk_counts_2(spark, sf_dir):
     return into.join(out, "node").groupBy("first", "second").agg(F.sum(F.col("i") * F.col("o")).alias("walks"))
 
 
+def both_ways(e: DataFrame) -> DataFrame:
+    """The edges, and each of them backwards under ``~`` and its relation."""
+    return e.union(e.select("tail", F.concat(F.lit("~"), "relation"), "head"))
+
+
+def starts(e: DataFrame, order: int, motifs: tuple[tuple[str, ...], ...] | None = None) -> DataFrame:
+    """(node, motif, order, n): how many walks along each pattern of up to ``order`` relations start at each node; none where there are none.
+
+    Walks grow at their start: those of a pattern are, by edge, those of the pattern without its first relation at the edge's tail. So
+    counts of a level are one join with the edges and one sum, patterns that end alike share them, and patterns without a walk drop
+    out. With motifs, only these and what they end in are grown, and only they are returned.
+    """
+    wanted = None if motifs is None else {">".join(m[i:]) for m in motifs for i in range(len(m))}
+    kept = lambda level: level if wanted is None else level.where(F.col("motif").isin(*wanted))
+    level = kept(e.select(F.col("head").alias("node"), F.col("relation").alias("motif"))).groupBy("node", "motif").agg(F.count("*").alias("n"))
+    levels = [level.withColumn("order", F.lit(1))]
+    for k in range(2, order + 1):
+        level = cut(level)
+        step = e.join(level, F.col("tail") == F.col("node")).select(F.col("head").alias("node"), F.concat_ws(">", "relation", "motif").alias("motif"), "n")
+        level = kept(step).groupBy("node", "motif").agg(F.sum("n").alias("n"))
+        levels.append(level.withColumn("order", F.lit(k)))
+    out = reduce(DataFrame.unionByName, levels)
+    return out if motifs is None else out.where(F.col("motif").isin(*[">".join(m) for m in motifs]))
+
+
+def _bank(spark, sf_dir) -> DataFrame:
+    return starts(both_ways(edges(spark, sf_dir)), max(map(len, MOTIF_SET)), MOTIF_SET)
+
+
 def motif_frequencies(spark, sf_dir):
-    """Walks of a fixed set of relation pairs; a motif without walks counts zero."""
-    motifs = spark.createDataFrame(list(MOTIFS), "first string, second string")
-    return motifs.join(walk_counts_2(spark, sf_dir), ["first", "second"], "left").select(F.concat_ws(">", "first", "second").alias("motif"), F.coalesce("walks", F.lit(0).cast("bigint")).alias("walks"))
+    """Walks of each motif of the set and their share of all; a motif without walks counts zero."""
+    motifs = spark.createDataFrame([(">".join(m), len(m)) for m in MOTIF_SET], "motif string, order int")
+    n = _bank(spark, sf_dir).groupBy("motif").agg(F.sum("n").alias("n"))
+    w = motifs.join(n, "motif", "left").withColumn("walks", F.coalesce("n", F.lit(0).cast("bigint")))
+    return w.select("motif", "order", "walks", F.round(F.col("walks") / F.sum("walks").over(Window.partitionBy()), 6).alias("share"))
 
 
 def walks(e: DataFrame, motif: tuple[str, ...]) -> DataFrame:
@@ -106,20 +143,19 @@ def orbit_regret_floor(spark, sf_dir):
 
 
 def motif_bank(spark, sf_dir):
-    """The motif signature of every node that starts a walk: its number of walks of each motif of the set.
+    """The motif signature of every node: its number of walks of each motif of the set, zeros included."""
+    n = _bank(spark, sf_dir).groupBy("node").agg(*[F.sum(F.when(F.col("motif") == ">".join(m), F.col("n")).otherwise(0)).alias(_column(m)) for m in MOTIF_SET])
+    return nodes(edges(spark, sf_dir)).join(n, "node", "left").fillna(0)
 
-    A motif's second relation is first counted per node, so a node's walks are a sum over its neighbours' counts.
-    """
-    e = edges(spark, sf_dir)
-    out = e.groupBy(F.col("head").alias("tail"), F.col("relation").alias("second")).agg(F.count("*").alias("o"))
-    two = e.withColumnRenamed("relation", "first").join(out, "tail").groupBy("head", "first", "second").agg(F.sum("o").alias("n"))
-    return two.groupBy(F.col("head").alias("node")).agg(*[F.sum(F.when((F.col("first") == a) & (F.col("second") == b), F.col("n")).otherwise(0)).alias(f"{a}_{b}") for a, b in MOTIFS])
+
+def _column(motif: tuple[str, ...]) -> str:
+    return "__".join(r.replace("~", "of_") for r in motif)
 
 
 def enumerate_motifs(spark, sf_dir):
-    """Every pattern of two relations that occurs, in the order of their names, and its share of all walks."""
-    w = walk_counts_2(spark, sf_dir)
-    return w.select(F.concat_ws(">", "first", "second").alias("motif"), F.row_number().over(Window.orderBy("first", "second")).alias("place"), F.round(F.col("walks") / F.sum("walks").over(Window.partitionBy()), 6).alias("share"))
+    """Every pattern of one to three relations, either way, that occurs: its place in the order of names and its share of its length's walks."""
+    w = starts(both_ways(edges(spark, sf_dir)), 3).groupBy("order", "motif").agg(F.sum("n").alias("walks"))
+    return w.select("motif", "order", "walks", F.row_number().over(Window.partitionBy("order").orderBy("motif")).alias("place"), F.round(F.col("walks") / F.sum("walks").over(Window.partitionBy("order")), 6).alias("share"))
 
 
 MASK_EVERY, NEGATIVES, STRIDE = 7, 12, 7919
@@ -185,6 +221,11 @@ _W = f"WITH {EDGE_CTE}"
 _N = f"{_W}, node AS (SELECT head AS node FROM edge UNION SELECT tail FROM edge)"
 _DEG = f"{_W}, d AS (SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT head AS node, 1 AS o, 0 AS i FROM edge UNION ALL SELECT tail, 0, 1 FROM edge) GROUP BY 1)"
 _SHARED = f"{_W}, z AS (SELECT head, tail FROM edge WHERE relation = 'has_size'), a AS (SELECT x.head AS s, y.head AS t, COUNT(*) AS n FROM z x JOIN z y USING (tail) GROUP BY 1, 2)"
+_STARTS = f"""{_W}, bw AS (SELECT head, relation, tail FROM edge UNION ALL SELECT tail, '~' || relation, head FROM edge),
+w1 AS (SELECT head AS node, relation AS motif, 1 AS "order", COUNT(*) AS n FROM bw GROUP BY 1, 2),
+w2 AS (SELECT a.head AS node, a.relation || '>' || b.relation AS motif, 2 AS "order", COUNT(*) AS n FROM bw a JOIN bw b ON a.tail = b.head GROUP BY 1, 2),
+w3 AS (SELECT a.head AS node, a.relation || '>' || w2.motif AS motif, 3 AS "order", CAST(SUM(n) AS BIGINT) AS n FROM bw a JOIN w2 ON a.tail = w2.node GROUP BY 1, 2),
+st AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)"""
 _WALK = f"{_W}, w AS (SELECT a.relation AS first, b.relation AS second, COUNT(*) AS walks FROM edge a JOIN edge b ON a.tail = b.head GROUP BY 1, 2)"
 QUERIES = {f.__name__: f for f in (graph_census, degrees, degree_terciles, walk_counts_2, motif_frequencies, orbit_partition, orbit_regret_floor, motif_bank, enumerate_motifs, negative_tails, anchors, laplacian_entries)}
 SQL = {
@@ -194,12 +235,15 @@ SELECT * FROM c UNION ALL SELECT 'node:_total', COUNT(*) FROM node UNION ALL SEL
     "degree_terciles": f"""{_DEG}, r AS (SELECT node, out_degree + in_degree AS degree, row_number() OVER (ORDER BY out_degree + in_degree, node) AS rk, COUNT(*) OVER () AS n FROM d WHERE node LIKE 'candidate:%')
 SELECT node, degree, CASE WHEN rk <= n // 3 THEN 'lowest' WHEN rk <= 2 * n // 3 THEN 'middle' ELSE 'highest' END AS tercile FROM r""",
     "walk_counts_2": f"{_WALK} SELECT * FROM w",
-    "motif_frequencies": f"{_WALK} SELECT m.first || '>' || m.second AS motif, COALESCE(walks, 0) AS walks FROM (VALUES {', '.join(str(m) for m in MOTIFS)}) AS m(first, second) LEFT JOIN w USING (first, second)",
+    "motif_frequencies": f"""{_STARTS} SELECT motif, "order", COALESCE(walks, 0) AS walks, ROUND(CAST(COALESCE(walks, 0) AS DOUBLE) / SUM(COALESCE(walks, 0)) OVER (), 6) AS share
+FROM (VALUES {', '.join(str((">".join(m), len(m))) for m in MOTIF_SET)}) AS s(motif, "order") LEFT JOIN (SELECT motif, CAST(SUM(n) AS BIGINT) AS walks FROM st GROUP BY 1) USING (motif)""",
     "orbit_partition": f"{_SHARED} SELECT s AS candidate, n AS walks, COUNT(*) AS size, string_agg(t, ',' ORDER BY t) AS members FROM a GROUP BY 1, 2",
     "orbit_regret_floor": f"""{_SHARED}, {SCORED_CTE}, m AS (SELECT 'candidate:' || candidate AS t, AVG(score) AS score FROM scored GROUP BY 1), o AS (SELECT s, n, COUNT(*) AS size, STDDEV_POP(score) AS spread FROM a JOIN m USING (t) GROUP BY 1, 2)
 SELECT s AS candidate, ROUND(SUM(size * spread) / SUM(size), 6) AS floor, COUNT(*) AS orbits FROM o GROUP BY 1""",
-    "motif_bank": f"{_W} SELECT a.head AS node, {', '.join(f"COUNT(*) FILTER (a.relation = '{x}' AND b.relation = '{y}') AS {x}_{y}" for x, y in MOTIFS)} FROM edge a JOIN edge b ON a.tail = b.head GROUP BY 1",
-    "enumerate_motifs": f"{_WALK} SELECT first || '>' || second AS motif, row_number() OVER (ORDER BY first, second) AS place, ROUND(CAST(walks AS DOUBLE) / SUM(walks) OVER (), 6) AS share FROM w",
+    "motif_bank": f"""{_STARTS}, node AS (SELECT head AS node FROM edge UNION SELECT tail FROM edge)
+SELECT node, {', '.join(f"CAST(COALESCE(SUM(n) FILTER (motif = '{'>'.join(m)}'), 0) AS BIGINT) AS {_column(m)}" for m in MOTIF_SET)} FROM node LEFT JOIN st USING (node) GROUP BY 1""",
+    "enumerate_motifs": f"""{_STARTS}, w AS (SELECT "order", motif, CAST(SUM(n) AS BIGINT) AS walks FROM st GROUP BY 1, 2)
+SELECT motif, "order", walks, row_number() OVER (PARTITION BY "order" ORDER BY motif) AS place, ROUND(CAST(walks AS DOUBLE) / SUM(walks) OVER (PARTITION BY "order"), 6) AS share FROM w""",
     "negative_tails": f"""{_N}, v AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS number, COUNT(*) OVER () AS m FROM node), k AS (SELECT head, relation, COUNT(*) AS taken FROM edge GROUP BY 1, 2),
 d AS (SELECT e.*, h.number * 31 + t.number * 17 AS place, h.m, taken FROM edge e JOIN v h ON h.node = e.head JOIN v t ON t.node = e.tail JOIN k ON k.head = e.head AND k.relation = e.relation WHERE (h.number * 31 + t.number * 17) % {MASK_EVERY} = 0 AND {NEGATIVES} + taken + 1 <= h.m),
 x AS (SELECT d.head, d.relation, d.tail, v.node AS negative, step FROM d, unnest(range({NEGATIVES} + taken + 1)) AS u(step) JOIN v ON v.number = (d.place + step * {STRIDE}) % d.m WHERE v.node <> d.head AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.head = d.head AND e.relation = d.relation AND e.tail = v.node))

@@ -1,5 +1,6 @@
 """Hand-computed values and edge cases of the operators."""
 
+import itertools
 import math
 
 import numpy as np
@@ -14,7 +15,7 @@ from tessera.operators.ranking import at_k, ranked
 from tessera.plans.cohort import feature
 from tessera.plans.discrimination import concordance
 from tessera.plans.estimation import effect_table, with_outcome
-from tessera.plans.graph import coprime, negatives, numbered, walks
+from tessera.plans.graph import both_ways, coprime, negatives, numbered, starts, walks
 
 
 def one(df):
@@ -212,3 +213,25 @@ def test_negatives_of_a_hub(spark):
     for (h, t), drawn in got.items():
         walk = [names[(names.index(h) * 31 + names.index(t) * 17 + k * by) % 900] for k in range(900)]
         assert drawn == list(enumerate([x for x in walk if x != h and (h, x) not in links][:12], 1))
+
+
+def test_motifs_of_any_order_are_matrix_products(spark):
+    """Walks by start and pattern, from products of the relations' 0/1 matrices; patterns without a walk don't occur."""
+    rng = np.random.default_rng(3)
+    names, relations = [f"v{i}" for i in range(12)], ["r", "s", "t"]
+    edges = sorted({(names[rng.integers(12)], relations[rng.integers(3)], names[rng.integers(12)]) for _ in range(30)})
+    e = both_ways(spark.createDataFrame(edges, "head string, relation string, tail string"))
+    matrix = {r: np.zeros((12, 12), int) for r in relations}
+    for h, r, t in edges:
+        matrix[r][names.index(h), names.index(t)] = 1
+    matrix |= {f"~{r}": matrix[r].T for r in relations}
+    want = {}
+    for k in (1, 2, 3):
+        for m in itertools.product(matrix, repeat=k):
+            for i, n in enumerate(np.linalg.multi_dot([np.eye(12, dtype=int), np.eye(12, dtype=int), *[matrix[r] for r in m]]).sum(1)):
+                if n:
+                    want[names[i], ">".join(m), k] = n
+    got = {(r.node, r.motif, r["order"]): r.n for r in starts(e, 3).collect()}
+    assert got == want and max(k for *_, k in want) == 3
+    some = (("r",), ("~s", "t"), ("r", "s", "~t"), ("none", "r"))
+    assert {(r.node, r.motif, r["order"]): r.n for r in starts(e, 3, some).collect()} == {k: n for k, n in want.items() if k[1] in {">".join(m) for m in some}}
