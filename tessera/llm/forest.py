@@ -33,8 +33,8 @@ from tessera.llm.words import mix, slices
 PERCENT = 85
 #: Minhash values of a set, and trees; the values of a label that neighbours must share, and those that only order them further.
 POOL, TREES, BASE, DEEPER = 128, 40, 5, 3
-#: Rounds in which each set is verified against one neighbour.
-ROUNDS = 2
+#: Rounds in which each set is verified against its best neighbours that aren't known to be connected with it, and how many.
+ROUNDS = (1, 3, 6)
 #: A similar pair meets in two trees at least, so a set must have company in as many.
 MEETINGS = 2
 
@@ -179,10 +179,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, i
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = scratch.write(_signed(docs))
     rows = signed.where("tree < 0").drop("tree")
-    # Of the sets that tasks met first, those that are equal: a row or none for each task and set.
-    centres = rows.where("n > 0 and of is null").groupBy("key", "deep").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("far")).where("centre <> far")
-    equal = rows.where("n > 0 and of is null").join(centres, ["key", "deep"]).where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-    equal = scratch.write(equal.union(rows.where("of is not null and doc_id <> of").select("doc_id", "of")))
+    # Of the sets that tasks met first, those that are equal: a row or none for each task and set. Further copies follow their first.
+    first = rows.where("n > 0 and of is null")
+    centres = first.groupBy("key", "deep").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("far")).where("centre <> far")
+    equal = first.join(centres, ["key", "deep"]).where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
+    # Rows of one id are one document: where they are copies of different texts, these belong together.
+    twice = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    equal = scratch.write(equal.union(rows.where("of is not null and doc_id <> of").join(twice, "doc_id", "left_semi").select("doc_id", "of")))
     known = components(equal, scratch)
     pairs = scratch.write(_neighbours(signed.where("tree >= 0"), scratch))
     region = ["tree", "key"]
@@ -193,12 +196,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, i
     sets = scratch.write(sets_of(docs.join(candidates, "doc_id", "left_semi")))
     best = scratch.write(pairs.groupBy("a", "b").agg(F.sum("depth").alias("depth")))
     tested = None
-    for _ in range(ROUNDS):
+    for most in ROUNDS:
         of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in"))  # noqa: B023, E731
         apart = best.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b", "depth")
         if tested is not None:
             apart = apart.join(tested, ["a", "b"], "left_anti")
-        now = scratch.write(apart.groupBy("a").agg(F.max_by("b", F.struct("depth", "b")).alias("b")))
+        # A set has two neighbours in a tree at most.
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("depth"), "b"))
+        now = scratch.write(apart.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"))
         known = _joined(known, scratch.write(verify(now, sets, percent)), scratch)
         tested = now if tested is None else tested.union(now)
     own = near.join(known.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -207,9 +212,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, i
     if not near.isEmpty():
         sizes = rows.where("n > 0").select("doc_id", F.col("n").alias("size")).distinct()
         known = _joined(known, scratch.write(verify(left_over(near, sets, sizes, scratch, percent), sets, percent)), scratch)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    first = F.coalesce("of", "doc_id")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), first.alias("id")).join(known, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("group"))
+    # The smallest id may be that of a copy that followed another.
+    smallest = scratch.write(out.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("far")).where("component_id <> far or component_id <> group").drop("far"))
+    out = out.join(smallest, "group", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _joined(known: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:

@@ -79,6 +79,14 @@ def test_forest_repeated_rows_and_empty_table(spark, scratch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True)]
 
 
+def test_forest_joins_the_texts_of_one_id(spark, scratch):
+    """Rows of one id are one document, whichever of its texts have copies, near copies or neither."""
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (3, text("a")), (9, text("b")), (9, text("b")), (4, text("b") + " more"), (8, text("c")), (8, text("d")), (7, text("d"))]
+    got = forest.near_duplicates(texts(spark, rows), scratch).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 3) for i in (3, 4, 5, 9)} | {(7, 7), (8, 7)} and len(got) == len(rows)
+
+
 def test_neighbours_are_those_of_each_sorted_tree(spark, scratch):
     rng = random.Random(2)
     rows = [(t, rng.randrange(4), rng.randrange(6) << 32, i) for i in range(40) for t in range(3)]
