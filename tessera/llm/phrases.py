@@ -3,7 +3,7 @@
 Texts become sequences of word numbers, a row for each block of documents of one language, each with a dictionary of its own.
 Level by level, the ids of adjacent frequent k-grams are replaced by the id of their pair, which names the (k+1)-gram that
 the two cover: a block lists its distinct pairs with counts, Spark sums them over all blocks, what reaches the support gets an id,
-and a join by pair brings the ids back to the blocks that hold them. A phrase is frequent only if both of its ends are, so
+and a join by pair, or where the names are few a look-up, brings the ids back to the blocks that hold them. A phrase is frequent only if both of its ends are, so
 nothing is lost on the way up, and what is left of the sequences gets short quickly.
 
 A name's two ids are pointers to the phrase without its last and without its first word. Following the left ones gives every first
@@ -13,10 +13,11 @@ is as frequent, so that nothing further away has to be looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from tessera.llm.words import bounds, codes, lower, slices
 
 #: Bytes of text in a block. A longer document is a block of its own.
 BLOCK = 4 << 20
-#: Names of a level are sent to all tasks if they take no more bytes than this in the shared folder, and joined by key otherwise.
+#: Names of a level are sent to all tasks, which look them up, if they take no more bytes than this; more are joined by key, which
+#: Spark splits, so that any number will do.
 SENT = 8 << 20
 _NONE, _SPACE, _CUT = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
@@ -80,54 +82,84 @@ def _blocks(docs: DataFrame) -> DataFrame:
 _PAIRS = "row bigint, left array<bigint>, right array<bigint>, counts array<bigint>, seq binary"
 
 
-def _paired(named: DataFrame) -> DataFrame:
-    """Of rows (row, seq, at, id), seq a sequence of local numbers of which those in at have an id: the pairs of adjacent ids.
+def _adjacent(seq: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a sequence of local numbers, those in ``at`` having the ids: the distinct pairs of adjacent ids with their counts, and the
+    sequence of the pairs' numbers, with one -1 for each stretch without any. None if there is no pair."""
+    place = np.full(max(int(seq.max(initial=0)), int(at.max(initial=0))) + 2, -1, np.int64)  # the last is that of -1
+    place[at] = np.arange(len(at))
+    seq = place[seq]
+    both = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    if not both.any():
+        return None
+    keys = seq[:-1][both] * len(at) + seq[1:][both]
+    pairs, local, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    out = np.full(len(both), -1, np.int32)
+    out[both] = local
+    keep = both.copy()
+    keep[1:] |= both[:-1]
+    return ids[pairs // len(at)], ids[pairs % len(at)], counts, out[keep]
 
-    Returns the distinct pairs of each row with their counts, and the sequence of their numbers, one -1 for each stretch without any.
-    """
 
-    def one(seq: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        place = np.full(max(int(seq.max(initial=0)), int(at.max(initial=0))) + 2, -1, np.int64)  # the last is that of -1
-        place[at] = np.arange(len(at))
-        seq = place[seq]
-        both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-        if not both.any():
-            return None
-        keys = seq[:-1][both] * len(at) + seq[1:][both]
-        pairs, local, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        out = np.full(len(both), -1, np.int32)
-        out[both] = local
-        keep = both.copy()
-        keep[1:] |= both[:-1]
-        return ids[pairs // len(at)], ids[pairs % len(at)], counts, out[keep]
+def _paired(rows: DataFrame, named: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The pairs of adjacent ids in each row (row, seq, ...); named gives, for a row of a batch, the local numbers that have an id, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                seq = np.frombuffer(b["seq"][i].as_buffer(), np.int32)
-                found = one(seq, b["at"][i].values.to_numpy(), b["id"][i].values.to_numpy())
+                found = _adjacent(np.frombuffer(b["seq"][i].as_buffer(), np.int32), *named(b, i))
                 if found is not None:
                     left, right, counts, seq = found
                     end = pa.array([0, len(left)], pa.int32())
                     arrays = [b["row"].slice(i, 1), *[pa.ListArray.from_arrays(end, pa.array(x, pa.int64())) for x in (left, right, counts)], pa.array([seq.tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["row", "left", "right", "counts", "seq"])
 
-    return named.select("row", "seq", "at", "id").mapInArrow(run, _PAIRS)
-
-
-def _sent(names: DataFrame, scratch: Scratch) -> DataFrame:
-    """names, marked to be sent to all tasks if it is small; a join by key, which Spark can split, takes any size."""
-    return F.broadcast(names) if scratch.size(names) <= SENT else names
+    return rows.mapInArrow(run, _PAIRS)
 
 
-def _named_back(local: DataFrame, names: DataFrame, on: list[str], rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (row, seq) with the ids that names gives to their local numbers: (row, seq, at, id); rows without any go.
+def _joined(local: DataFrame, names: DataFrame, on: list[str], rows: DataFrame) -> DataFrame:
+    """The pairs of adjacent ids in rows, the ids of local (row, pos, *on), a row for each local number, from names by a join.
 
-    local has (row, pos, *on), a row for each local number. What is gathered for a row is at most its own dictionary.
+    What is gathered for a row is at most its own dictionary.
     """
-    met = local.join(_sent(names.select(*on, "id"), scratch), on)
+    met = local.join(names.select(*on, "id"), on)
     ids = met.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
-    return rows.join(ids, F.col("row") == F.col("of")).select("row", "seq", F.col("ids.pos").alias("at"), F.col("ids.id").alias("id"))
+    named = rows.join(ids, F.col("row") == F.col("of")).select("row", "seq", F.col("ids.pos").alias("at"), F.col("ids.id").alias("id"))
+    return _paired(named, lambda b, i: (b["at"][i].values.to_numpy(), b["id"][i].values.to_numpy()))
+
+
+def _looked_up(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """The same by names that are sent to all tasks, which look up their rows' dictionaries in them: no row has to move."""
+    sent = names.select(*on, "id").orderBy(*on).toArrow().combine_chunks()
+    ids, first, second = sent["id"].to_numpy(), sent[on[0]], sent[on[1]]
+    if on == ["lang", "word"]:
+        langs = first.to_numpy(zero_copy_only=False)
+        held = {lang: (second.filter(pc.equal(first, lang)).combine_chunks(), ids[langs == lang]) for lang in set(langs.tolist())}
+    else:
+        lefts, rights = np.unique(first.to_numpy()), np.unique(second.to_numpy())
+        held = lefts, rights, np.searchsorted(lefts, first.to_numpy()) * len(rights) + np.searchsorted(rights, second.to_numpy()), ids
+    held = rows.sparkSession.sparkContext.broadcast(held)
+
+    def words(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        known, ids = held.value.get(b["lang"][i].as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
+        place = pc.index_in(b["words"][i].values, value_set=known).fill_null(-1).to_numpy()
+        at = np.flatnonzero(place >= 0)
+        return at, ids[place[at]]
+
+    def pairs(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        lefts, rights, keys, ids = held.value
+        key = _place(lefts, b["left"][i].values.to_numpy()) * len(rights) + _place(rights, b["right"][i].values.to_numpy())
+        key[key < 0] = -1
+        at = np.flatnonzero(_place(keys, key) >= 0)
+        return at, ids[np.searchsorted(keys, key[at])]
+
+    return _paired(rows, words if on == ["lang", "word"] else pairs)
+
+
+def _place(known: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each number is among sorted known ones; far below zero for those that aren't."""
+    at = np.searchsorted(known, of)
+    found = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == of) if len(known) else np.zeros(len(of), bool)
+    return np.where(found, at, -(1 << 40))
 
 
 def mine(docs: DataFrame, scratch: Scratch, longest: int = 5, support: int = 100, within: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -150,7 +182,9 @@ def mine(docs: DataFrame, scratch: Scratch, longest: int = 5, support: int = 100
     names = scratch.write(names.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("firsts"), none.alias("rests")))
     rows, local, on, levels = blocks, words, ["lang", "word"], []
     for _ in range(2, longest + 1):
-        rows = scratch.write(_paired(_named_back(local, names, on, rows, scratch)))
+        paired = _looked_up(rows, names, on) if scratch.size(names) <= SENT else _joined(local, names, on, rows)
+        last, rows = rows, scratch.write(paired)
+        scratch.drop(last)
         local = rows.select("row", F.posexplode(F.arrays_zip("left", "right", "counts")).alias("pos", "p")).select("row", "pos", F.col("p.left").alias("left"), F.col("p.right").alias("right"), F.col("p.counts").alias("count"))
         on = ["left", "right"]
         often = scratch.write(local.groupBy(on).agg(F.sum("count").alias("f")).where(F.col("f") >= support).withColumn("id", F.monotonically_increasing_id()))
