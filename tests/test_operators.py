@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -235,3 +236,23 @@ def test_motifs_of_any_order_are_matrix_products(spark):
     assert got == want and max(k for *_, k in want) == 3
     some = (("r",), ("~s", "t"), ("r", "s", "~t"), ("none", "r"))
     assert {(r.node, r.motif, r["order"]): r.n for r in starts(e, 3, some).collect()} == {k: n for k, n in want.items() if k[1] in {">".join(m) for m in some}}
+
+
+def test_draws_are_counted_from_a_place_and_none_is_shuffled(spark):
+    from tessera.operators.resampling import DRAW, replicates, times_drawn
+
+    for n in (1, 6, 32767, 32768, 50001):
+        draw = eval(DRAW, {"k": np.arange(n)[:, None], "rep": np.arange(3), "n": n})
+        assert (times_drawn(np.arange(n), n, 3) == np.stack([np.bincount(draw[:, r], minlength=n) for r in range(3)], 1)).all()
+    rows = spark.range(40000).select((F.col("id") % 7 == 0).cast("int").alias("g"), "id", (F.col("id") * 31 % 1000).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = replicates(rows, "g", "id", {"s": F.sum(F.col("v") * F.col("times")), "n": F.sum("times")}, 3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\([^)]*\bk#", plan)
+        values = {g: [i * 31 % 1000 for i in range(40000) if (i % 7 == 0) == g] for g in (0, 1)}
+        want = {r: sum(sum(v[eval(DRAW, {"k": k, "rep": r, "n": len(v)})] for k in range(len(v))) for v in values.values()) for r in range(3)}
+        assert {r.rep: (r.s, r.n) for r in got.collect()} == {r: (s, 40000) for r, s in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
