@@ -4,7 +4,8 @@ Rows hold a decision's covariates, its fold and the candidates that it is expose
 a task adds up, by model, the moments of its rows in matrix products and sends only these, so what is shuffled and what the driver
 solves depends on the number of candidates, folds and columns, never on rows. Ridge outcome models take one pass for all
 candidates, folds and arms: sums of a fold are kept apart, and what is left out is subtracted. Logistic propensities take one pass
-for each Newton step of all of them together. The last pass scores each decision with the models of which it was no part.
+for each Newton step: first of the models that leave out nothing, whose sums by fold are also the first step of the others, which
+start from there and need few more. The last pass scores each decision with the models of which it was no part.
 
 A model is named by its candidate and the fold that it leaves out; ``NONE_OUT`` leaves out none, and scores other decisions.
 """
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.stored import cut
+
 NONE_OUT = -1
 RIDGE, FLOOR, CEILING = 1.0, 0.01, 0.99
 #: An arm of fewer decisions than this has no model.
@@ -52,6 +55,35 @@ def _batch(b: pa.RecordBatch, candidates: pa.Array) -> tuple[np.ndarray, np.ndar
     return x, b["y"].to_numpy(zero_copy_only=False), b["fold"].to_numpy(), a
 
 
+#: Rows in a block. Passes read a block's numbers as they lie in memory, where rows would be turned into arrays again each time.
+BLOCK = 4096
+
+
+def _blocks(rows: DataFrame, candidates: list[str], folds: int) -> DataFrame:
+    """The rows of the fit's folds as blocks of one fold: (fold, y, x, exposed), the latter three as bytes, a bit for each candidate."""
+    names = pa.array(candidates, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, fold, a = _batch(b, names)
+            for f in np.unique(fold[(fold >= 0) & (fold < folds)]):
+                of = np.flatnonzero(fold == f)
+                for lo in range(0, len(of), BLOCK):
+                    at = of[lo : lo + BLOCK]
+                    parts = y[at].tobytes(), x[at].tobytes(), np.packbits(a[at] > 0, axis=1).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), *[pa.array([v], pa.binary()) for v in parts]], names=["fold", "y", "x", "exposed"])
+
+    return rows.mapInArrow(run, "fold int, y binary, x binary, exposed binary")
+
+
+def _each(b: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """The design, outcomes, fold, and exposure as 0 and 1 by candidate, of each block in a batch."""
+    for i in range(len(b)):
+        y = np.frombuffer(b["y"][i].as_buffer())
+        bits = np.frombuffer(b["exposed"][i].as_buffer(), np.uint8).reshape(len(y), -1)
+        yield np.frombuffer(b["x"][i].as_buffer()).reshape(len(y), -1), y, b["fold"][i].as_py(), np.unpackbits(bits, axis=1, count=k).astype(np.float64)
+
+
 def _upper(p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(p)
 
@@ -64,6 +96,16 @@ def _square(flat: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
+def _products(x: np.ndarray) -> np.ndarray:
+    """The products of each row's values, as upper triangles."""
+    p = x.shape[1]
+    out, at = np.empty((len(x), p * (p + 1) // 2)), 0
+    for i in range(p):
+        np.multiply(x[:, i : i + 1], x[:, i:], out=out[:, at : at + p - i])
+        at += p - i
+    return out
+
+
 def _summed(rows: DataFrame, sums, shape: tuple[int, ...]) -> np.ndarray:
     """The sum over all rows of what ``sums`` returns for a batch, an array of this shape. A task sends its sum once."""
 
@@ -128,30 +170,32 @@ class Nuisances:
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
+    out = np.clip(z, -30.0, 30.0)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1.0
+    return np.reciprocal(out, out=out)
 
 
 def fit(rows: DataFrame, candidates: list[str], folds: int, ridge: float = RIDGE, steps: int = STEPS) -> Nuisances:
     """The propensity and both outcome models of each candidate, without each fold and without none, on rows of :func:`rows_of`.
 
     Columns are standardised by the rows that a model is fitted on, and the penalty leaves the intercept alone. A candidate of fewer
-    than LEAST_ARM exposed or unexposed decisions outside of a fold has no model there. rows should have been written.
+    than LEAST_ARM exposed or unexposed decisions outside of a fold has no model there. rows are read once, and put into blocks that the passes read.
     """
     p, k = len(rows.select("x").first()["x"]) if not rows.isEmpty() else 1, len(candidates)
-    i, j = _upper(p)
-    width, names = len(i), pa.array(candidates, pa.string())
+    width = p * (p + 1) // 2
 
     def moments(b: pa.RecordBatch) -> np.ndarray:
-        x, y, fold, a = _batch(b, names)
         out = np.zeros((folds, k + 1, width + p))
-        for f in np.unique(fold[(fold >= 0) & (fold < folds)]):
-            own = fold == f
-            with_all = np.hstack([np.ones((own.sum(), 1)), a[own]]).T
-            out[f, :, :width] = with_all @ (x[own][:, i] * x[own][:, j])
-            out[f, :, width:] = with_all @ (x[own] * y[own, None])
+        for x, y, f, a in _each(b, k):
+            with_all = np.hstack([np.ones((len(y), 1)), a]).T
+            out[f, :, :width] += with_all @ _products(x)
+            out[f, :, width:] += with_all @ (x * y[:, None])
         return out
 
-    m = _summed(rows, moments, (folds, k + 1, width + p))
+    blocks = cut(_blocks(rows, candidates, folds))
+    m = _summed(blocks, moments, (folds, k + 1, width + p))
     left = np.concatenate([m.sum(0) - m, m.sum(0)[None]])  # by what is left out
     gram, xy = _square(left[..., :width], p), left[..., width:]
     n = gram[:, :, 0, 0]
@@ -176,33 +220,53 @@ def fit(rows: DataFrame, candidates: list[str], folds: int, ridge: float = RIDGE
     turn = np.zeros((folds + 1, p, p))
     turn[:, np.arange(p), np.arange(p)] = 1.0 / deviation
     turn[:, 0, 1:] = (-mean / deviation)[:, 1:]
-    beta, going = np.zeros((folds + 1, k, p)), fits.copy()
+    # Tasks work on columns scaled by all rows; a model's own are these times its step between the two.
+    every = turn[folds]
+    own = np.linalg.solve(every, turn)
+
+    def sums(b: pa.RecordBatch, now: np.ndarray, todo: np.ndarray, apart: bool) -> np.ndarray:
+        out = np.zeros((len(todo), k, p + width))
+        for x, _, f, a in _each(b, k):
+            there = (np.arange(len(todo)) == f)[:, None]
+            of, which = np.nonzero(todo & (there if apart else ~there))
+            if not len(of):
+                continue
+            z = x @ every
+            e = _sigmoid(z @ now[of, which].T)
+            out[of, which, :p] += (a[:, which] - e).T @ z
+            out[of, which, p:] += (e * (1.0 - e)).T @ _products(z)
+        return out
+
+    def step(of: slice, s: np.ndarray) -> None:
+        """A Newton step of the models that leave these folds out, from sums in the common columns."""
+        across = own[of][:, None]
+        back = np.swapaxes(across, -1, -2)
+        inner = back @ _square(s[..., p:], p) @ across + penalty
+        inner[~going[of]] = np.eye(p)
+        d = np.linalg.solve(inner, back @ s[..., :p, None] - (beta[of] @ penalty)[..., None])[..., 0]
+        d[~going[of]] = 0.0
+        beta[of] += d
+        going[of] &= np.abs(d).max(-1) >= CLOSE
+
+    beta, going, whole_of, others = np.zeros((folds + 1, k, p)), fits.copy(), slice(folds, folds + 1), slice(0, folds)
+    by_fold = None
+    for _ in range(steps):
+        if not going[folds].any():
+            break
+        # What leaves out nothing is summed by fold; models that are there already stay in, for the others' first step.
+        now, todo = np.repeat(beta[whole_of], folds, 0), np.repeat(fits[whole_of], folds, 0)
+        at = beta[folds].copy()
+        by_fold = _summed(blocks, lambda b, now=now, todo=todo: sums(b, now, todo, True), (folds, k, p + width))
+        step(whole_of, by_fold.sum(0)[None])
+    if by_fold is not None:
+        start = np.linalg.solve(own[:folds, None], at[None, ..., None])[..., 0]
+        beta[others] = np.where(fits[others][..., None], start, 0.0)
+        step(others, by_fold.sum(0) - by_fold)
     for _ in range(steps):
-        if not going.any():
+        if not going[others].any():
             break
-        now, todo = beta.copy(), going.copy()
-
-        def newton(b: pa.RecordBatch, now=now, todo=todo) -> np.ndarray:
-            x, _, fold, a = _batch(b, names)
-            out = np.zeros((folds + 1, k, p + width))
-            for f in range(folds + 1):
-                of = np.flatnonzero(todo[f])
-                rows_in = (fold != f) & (fold >= 0) & (fold < folds)
-                if not len(of) or not rows_in.any():
-                    continue
-                z = x[rows_in] @ turn[f]
-                e = _sigmoid(z @ now[f, of].T)
-                out[f, of, :p] = (a[rows_in][:, of] - e).T @ z
-                out[f, of, p:] = (e * (1.0 - e)).T @ (z[:, i] * z[:, j])
-            return out
-
-        s = _summed(rows, newton, (folds + 1, k, p + width))
-        inner = _square(s[..., p:], p) + penalty
-        inner[~todo] = np.eye(p)
-        step = np.linalg.solve(inner, (s[..., :p] - beta @ penalty)[..., None])[..., 0]
-        step[~todo] = 0.0
-        beta += step
-        going = todo & (np.abs(step).max(-1) >= CLOSE)
+        now, todo = np.einsum("fij,fkj->fki", own[others], beta[others]), going[others].copy()
+        step(others, _summed(blocks, lambda b, now=now, todo=todo: sums(b, now, todo, False), (folds, k, p + width)))
     return Nuisances(list(candidates), folds, m.sum(0)[1:, 0], fits, np.einsum("fij,fkj->fki", turn, beta), outcome)
 
 

@@ -140,3 +140,18 @@ def test_nulls_empty_and_no_exposure(spark):
     assert not models.fits.any() and N.values(rows, models, 0.05, 1).count() == 0
     assert [tuple(r)[3:] for r in N.effects(rows, models, 0.05, 1).collect()] == [(0, 1, 0)]
     assert N.fit(rows.where("false"), ["a"], 2).exposed.tolist() == [0.0]
+
+
+def test_a_fit_reads_its_rows_once_and_takes_few_passes(spark, monkeypatch):
+    rows, read, passes = frames(spark, *data()), spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    summed = N._summed
+    monkeypatch.setattr(N, "_summed", lambda *args: passes.append(args[2]) or summed(*args))
+    N.fit(rows.mapInArrow(counted, rows.schema), NAMES, FOLDS)
+    # Looking for the first row takes a few more; all passes are over the blocks, and none sums what leaves out nothing beside the others.
+    assert read.value < 3 * 240 and len(passes) > 3 and all(shape[0] == FOLDS for shape in passes)
