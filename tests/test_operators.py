@@ -256,3 +256,14 @@ def test_draws_are_counted_from_a_place_and_none_is_shuffled(spark):
         assert {r.rep: (r.s, r.n) for r in got.collect()} == {r: (s, 40000) for r, s in want.items()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_tasks_share_of_scored_pairs_is_bounded_by_rows_and_dealt_once(spark, monkeypatch):
+    from tessera.sources import stored
+    from tessera.sources.model import scored
+
+    monkeypatch.setattr(stored, "SHARE", 500)
+    pairs = ranked(scored(spark, "/root/testdata/sf0.001"), "decision_id", "propensity", "candidate")
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1000
+    assert len(re.findall(r"hashpartitioning\(decision_id#", pairs._jdf.queryExecution().executedPlan().toString())) == 1
