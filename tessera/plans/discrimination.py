@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.model import DECISION_CTE, RATED_CTE, decisions, rated
-from tessera.sources.stored import cut
+from tessera.sources.stored import cut, spread
 
 BINS, MONTH = 10, 4.0
 
@@ -49,15 +49,21 @@ def concordance(rows: DataFrame, by: list[str]) -> DataFrame:
     """(*by, pairs, c_index) of rows (*by, t, s, event), exact: pairs have the event first, equal scores count one half.
 
     Of two ranks of times the later one has a one where the other has a zero, in the highest bit that differs. So each pair is
-    counted once, at that bit, among the ranks that agree above it: by running sums over the distinct scores there.
+    counted once, at that bit, among the ranks that agree above it: by running sums over the distinct scores there. Counts are
+    dealt once, by bit and what is above it, to tasks whose number goes with that of the counts.
     """
-    n = rows.where("t is not null and s is not null").groupBy(*by, "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events"))
+    n = cut(rows.where("t is not null and s is not null").groupBy(*by, "t", "s").agg(F.count("*").alias("n"), F.count_if("event").alias("events")))
     times = n.select(*by, "t").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("t")))
-    bits = F.length(F.bin(F.max("rank").over(Window.partitionBy(*by))))
-    rank = n.join(times.withColumn("bits", bits), [*by, "t"]).select(*by, "s", "n", "events", "rank", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
+    times = cut(times.withColumn("bits", F.length(F.bin(F.max("rank").over(Window.partitionBy(*by))))))
+    most = times.agg(F.max("bits")).first()[0] or 1
+    size = n.count() * most
+    # A row becomes one for each bit: what writes these takes shares of a size of its own, four of the readers' shares.
+    met = spread(n.join(times, [*by, "t"]), size // 4, *by, "t", "s")
+    rank = met.select(*by, "s", "n", "events", "rank", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
     one = F.expr("shiftright(rank, bit) & 1") == 1
     level = [*by, "bit", "above"]
-    d = rank.withColumn("above", F.expr("shiftright(shiftright(rank, bit), 1)")).groupBy(*level, "s").agg(F.sum(F.when(one, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(one, 0).otherwise(F.col("events"))).alias("events"))
+    dealt = spread(rank.withColumn("above", F.expr("shiftright(shiftright(rank, bit), 1)")), size, *level)
+    d = dealt.groupBy(*level, "s").agg(F.sum(F.when(one, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(one, 0).otherwise(F.col("events"))).alias("events"))
     w = Window.partitionBy(*level)
     d = d.withColumn("all", F.sum("later").over(w)).withColumn("lower", F.sum("later").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("later"))
     pairs = d.groupBy(*by).agg(F.sum(F.col("events") * F.col("all")).alias("pairs"), F.sum(F.col("events") * (F.col("lower") + F.col("later") / 2.0)).alias("agree"))

@@ -267,3 +267,16 @@ def test_a_tasks_share_of_scored_pairs_is_bounded_by_rows_and_dealt_once(spark,
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) > 10 and max(sizes) < 1000
     assert len(re.findall(r"hashpartitioning\(decision_id#", pairs._jdf.queryExecution().executedPlan().toString())) == 1
+
+
+def test_concordance_deals_its_counts_to_tasks_by_their_number(spark, monkeypatch):
+    from tessera.sources import stored
+
+    rows = spark.range(2000).select(F.lit("a").alias("k"), (F.col("id") * 7 % 500).cast("double").alias("t"), (F.col("id") * 13 % 97).cast("double").alias("s"), (F.col("id") % 3 == 0).alias("event"))
+    want = [tuple(r) for r in concordance(rows, ["k"]).collect()]
+    monkeypatch.setattr(stored, "SHARE", 1000)
+    got = concordance(rows, ["k"])
+    # 2,000 distinct pairs of 9 bits: 18 shares and a rest, and of the tasks that write these a quarter.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(k#\w+, bit#\w+, above#\w+, 19\)", plan) and re.search(r"hashpartitioning\(k#\w+, t#\w+, s#\w+, 5\)", plan)
+    assert [tuple(r) for r in got.collect()] == want
