@@ -2,8 +2,8 @@
 
 Texts become sequences of word numbers, a row for each block of documents of one language, each with a dictionary of its own.
 Level by level, the ids of adjacent frequent k-grams are replaced by the id of their pair, which names the (k+1)-gram that
-the two cover: a block lists its distinct pairs with counts, Spark sums them over all blocks, what reaches the support gets an id,
-and a join by pair, or where the names are few a look-up, brings the ids back to the blocks that hold them. A phrase is frequent only if both of its ends are, so
+the two cover: a task counts the distinct pairs of its blocks, Spark sums them over all tasks in buckets of packed sorted keys, what
+reaches the support gets an id, and a join by pair, or where the names are few a look-up, brings the ids back to the blocks that hold them. A phrase is frequent only if both of its ends are, so
 nothing is lost on the way up, and what is left of the sequences gets short quickly.
 
 A name's two ids are pointers to the phrase without its last and without its first word. Following the left ones gives every first
@@ -13,7 +13,7 @@ is as frequent, so that nothing further away has to be looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ BLOCK = 4 << 20
 #: Names of a level are sent to all tasks, which look them up, if they take no more bytes than this; more are joined by key, which
 #: Spark splits, so that any number will do.
 SENT = 8 << 20
+#: Words for each bucket of pairs: no bucket has more pairs than about that to sum, however large the input.
+BUCKET = 2 << 20
+#: Pairs whose counts a task holds, at most, besides those of one block.
+HELD = 2 << 20
 _NONE, _SPACE, _CUT = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _SPACE
@@ -72,94 +76,188 @@ def _blocks(docs: DataFrame) -> DataFrame:
                         continue
                     counts = np.bincount(seq[seq >= 0], minlength=len(distinct))
                     end = pa.array([0, len(distinct)], pa.int32())
-                    arrays = [pa.array([row], pa.int64()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(end, distinct.cast(pa.string())), pa.ListArray.from_arrays(end, pa.array(counts, pa.int64())), pa.array([seq.tobytes()], pa.binary())]
+                    arrays = [pa.array([row], pa.int64()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(end, distinct.cast(pa.string())), pa.ListArray.from_arrays(end, pa.array(counts, pa.int64())), pa.array([_packed(seq + 1)], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["row", "lang", "words", "counts", "seq"])
                     row += 1
 
     return docs.mapInArrow(run, _BLOCKS)
 
 
-_PAIRS = "row bigint, left array<bigint>, right array<bigint>, counts array<bigint>, seq binary"
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in few bytes: how many, then compressed all their lowest bytes, all their second ones and so on."""
+    planes = np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _adjacent(seq: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of a sequence of local numbers, those in ``at`` having the ids: the distinct pairs of adjacent ids with their counts, and the
-    sequence of the pairs' numbers, with one -1 for each stretch without any. None if there is no pair."""
+def _unpacked(of: pa.Scalar) -> np.ndarray:
+    held = of.as_buffer()
+    n = int.from_bytes(held[:8], "little")
+    planes = np.frombuffer(pa.decompress(held[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+_ROWS = "row bigint, ids binary, seq binary"
+
+
+def _row(row: pa.Array, seq: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A sequence of local numbers, those in ``at`` having the ids, as a row of its ids in order and the sequence of their places.
+
+    What has no neighbour with an id is left out, with one -1 for each stretch of it. No row if nothing is left.
+    """
     place = np.full(max(int(seq.max(initial=0)), int(at.max(initial=0))) + 2, -1, np.int64)  # the last is that of -1
-    place[at] = np.arange(len(at))
+    order = np.argsort(ids)
+    place[at[order]] = np.arange(len(at))
     seq = place[seq]
+    pair = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    if not pair.any():
+        return
+    near = np.append(pair, False)
+    near[1:] |= pair
+    keep = near.copy()
+    keep[1:] |= near[:-1]
+    seq = np.where(near, seq, -1)[keep]
+    used = np.bincount(seq[seq >= 0], minlength=len(at)) > 0
+    seq = np.where(seq >= 0, (np.cumsum(used) - 1)[seq], -1)
+    columns = [_packed(np.diff(ids[order][used], prepend=0)), _packed(seq + 1)]
+    yield pa.RecordBatch.from_arrays([row, *[pa.array([x], pa.binary()) for x in columns]], names=["row", "ids", "seq"])
+
+
+def _adjacent(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of adjacent ids in a row with their counts, and the sequence of the pairs' numbers, -1 between stretches."""
+    ids, seq = np.cumsum(_unpacked(b["ids"][i])), _unpacked(b["seq"][i]) - 1
     both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-    if not both.any():
-        return None
-    keys = seq[:-1][both] * len(at) + seq[1:][both]
-    pairs, local, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    out = np.full(len(both), -1, np.int32)
+    pairs, local, counts = np.unique(seq[:-1][both] * len(ids) + seq[1:][both], return_inverse=True, return_counts=True)
+    out = np.full(len(both), -1, np.int64)
     out[both] = local
-    keep = both.copy()
-    keep[1:] |= both[:-1]
-    return ids[pairs // len(at)], ids[pairs % len(at)], counts, out[keep]
+    return ids[pairs // len(ids)], ids[pairs % len(ids)], counts, out
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _paired(rows: DataFrame, named: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """The pairs of adjacent ids in each row (row, seq, ...); named gives, for a row of a batch, the local numbers that have an id, and these."""
+def _parts(rows: DataFrame, n: int, buckets: int) -> DataFrame:
+    """The counts of adjacent ids below n, in each task a row for each bucket of pairs: their keys' differences in order, and counts.
+
+    A pair's bucket is its sum modulo the number of buckets, so that the pairs of a frequent id are in all of them. In its bucket the
+    left id and the quotient of the right one tell which it is. A key is less than n * (n + buckets), so n may be up to 2^31.
+    """
+    across = -(-n // buckets)
+
+    def dealt(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ends = np.searchsorted(keys, np.arange(buckets + 1) * (n * across))
+        there = np.flatnonzero(ends[1:] > ends[:-1])
+        parts = [slice(ends[i], ends[i + 1]) for i in there]
+        columns = [[_packed(np.diff(keys[x], prepend=i * (n * across))) for i, x in zip(there.tolist(), parts, strict=True)], [_packed(counts[x]) for x in parts]]
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(x, pa.binary()) for x in columns]], names=["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for i in range(len(b)):
-                found = _adjacent(np.frombuffer(b["seq"][i].as_buffer(), np.int32), *named(b, i))
-                if found is not None:
-                    left, right, counts, seq = found
-                    end = pa.array([0, len(left)], pa.int32())
-                    arrays = [b["row"].slice(i, 1), *[pa.ListArray.from_arrays(end, pa.array(x, pa.int64())) for x in (left, right, counts)], pa.array([seq.tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["row", "left", "right", "counts", "seq"])
+                left, right, counts, _ = _adjacent(b, i)
+                held.append((((left + right) % buckets * n + left) * across + right // buckets, counts))
+                size += len(counts)
+                if size > HELD:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield dealt(*held.pop())
+                        size = 0
+        if held:
+            yield dealt(*_summed(held))
+
+    return rows.mapInArrow(run, "bucket int, keys binary, counts binary")
+
+
+def _often(rows: DataFrame, n: int, buckets: int, support: int) -> DataFrame:
+    """(left, right, f) of the pairs of adjacent ids below n that rows have ``support`` times."""
+    across = -(-n // buckets)
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        keys, f = _summed([(np.cumsum(_unpacked(k)), _unpacked(c)) for k, c in zip(part["keys"], part["counts"], strict=True)])
+        left, rest = np.divmod(keys[f >= support], across)
+        return pa.table({"left": left, "right": rest * buckets + (key[0].as_py() - left) % buckets, "f": f[f >= support]})
 
-    return rows.mapInArrow(run, _PAIRS)
+    return _parts(rows, n, buckets).groupBy("bucket").applyInArrow(run, "left bigint, right bigint, f bigint")
 
 
-def _joined(local: DataFrame, names: DataFrame, on: list[str], rows: DataFrame) -> DataFrame:
-    """The pairs of adjacent ids in rows, the ids of local (row, pos, *on), a row for each local number, from names by a join.
+def _numbered(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """df, written, with an id from 0 on without gaps, and how many rows it has. The driver gets a number for each task."""
+    at = scratch.write(df.withColumn("at", F.monotonically_increasing_id()))
+    task = F.shiftright("at", 33).cast("int")
+    sizes = dict(at.groupBy(task).count().collect())
+    before = np.cumsum([0, *[sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]])
+    return at.withColumn("id", F.get(F.lit(before), task) + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at"), int(before[-1])
+
+
+def _joined(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """The sequences of rows, words of blocks or pairs of adjacent ids, by the ids of names, which are joined to them.
 
     What is gathered for a row is at most its own dictionary.
     """
-    met = local.join(names.select(*on, "id"), on)
-    ids = met.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
-    named = rows.join(ids, F.col("row") == F.col("of")).select("row", "seq", F.col("ids.pos").alias("at"), F.col("ids.id").alias("id"))
-    return _paired(named, lambda b, i: (b["at"][i].values.to_numpy(), b["id"][i].values.to_numpy()))
+    words = on == ["lang", "word"]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                left, right, counts, _ = _adjacent(b, i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), b["row"][i].as_py())), pa.array(np.arange(len(left))), pa.array(left), pa.array(right)], names=["row", "pos", *on])
 
+    local = rows.select("row", "lang", F.posexplode("words").alias("pos", "word")) if words else rows.mapInArrow(listed, "row bigint, pos bigint, left bigint, right bigint")
+    ids = local.join(names.select(*on, "id"), on).groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
+    held = ["seq"] if words else ["ids", "seq"]
+    named = rows.join(ids.select("of", F.col("ids.pos").cast("array<bigint>").alias("at"), F.col("ids.id").alias("named")), F.col("row") == F.col("of")).select("row", *held, "at", "named")
 
-def _looked_up(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """The same by names that are sent to all tasks, which look up their rows' dictionaries in them: no row has to move."""
-    sent = names.select(*on, "id").orderBy(*on).toArrow().combine_chunks()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                seq = _unpacked(b["seq"][i]) - 1 if words else _adjacent(b, i)[3]
+                yield from _row(b["row"].slice(i, 1), seq, b["at"][i].values.to_numpy(), b["named"][i].values.to_numpy())
+
+    return named.mapInArrow(run, _ROWS)
+
+
+def _looked_up(rows: DataFrame, names: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The same by names that are sent to all tasks, which look up their rows' dictionaries in them: no row has to move. A pair's ids are below n."""
+    words = on == ["lang", "word"]
+    sent = names.select(*on, "id").toArrow().combine_chunks()
     ids, first, second = sent["id"].to_numpy(), sent[on[0]], sent[on[1]]
-    if on == ["lang", "word"]:
+    if words:
         langs = first.to_numpy(zero_copy_only=False)
         held = {lang: (second.filter(pc.equal(first, lang)).combine_chunks(), ids[langs == lang]) for lang in set(langs.tolist())}
     else:
-        lefts, rights = np.unique(first.to_numpy()), np.unique(second.to_numpy())
-        held = lefts, rights, np.searchsorted(lefts, first.to_numpy()) * len(rights) + np.searchsorted(rights, second.to_numpy()), ids
+        keys = first.to_numpy() * n + second.to_numpy()
+        held = np.sort(keys), ids[np.argsort(keys)]
     held = rows.sparkSession.sparkContext.broadcast(held)
 
-    def words(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        known, ids = held.value.get(b["lang"][i].as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
-        place = pc.index_in(b["words"][i].values, value_set=known).fill_null(-1).to_numpy()
-        at = np.flatnonzero(place >= 0)
-        return at, ids[place[at]]
-
-    def pairs(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        lefts, rights, keys, ids = held.value
-        key = _place(lefts, b["left"][i].values.to_numpy()) * len(rights) + _place(rights, b["right"][i].values.to_numpy())
-        key[key < 0] = -1
-        at = np.flatnonzero(_place(keys, key) >= 0)
-        return at, ids[np.searchsorted(keys, key[at])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                if words:
+                    known, ids = held.value.get(b["lang"][i].as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
+                    place, seq = pc.index_in(b["words"][i].values, value_set=known).fill_null(-1).to_numpy(), _unpacked(b["seq"][i]) - 1
+                else:
+                    known, ids = held.value
+                    left, right, _, seq = _adjacent(b, i)
+                    place = _place(known, left * n + right)
+                at = np.flatnonzero(place >= 0)
+                yield from _row(b["row"].slice(i, 1), seq, at, ids[place[at]])
 
-    return _paired(rows, words if on == ["lang", "word"] else pairs)
+    return rows.mapInArrow(run, _ROWS)
 
 
 def _place(known: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Where each number is among sorted known ones; far below zero for those that aren't."""
-    at = np.searchsorted(known, of)
-    found = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == of) if len(known) else np.zeros(len(of), bool)
-    return np.where(found, at, -(1 << 40))
+    """Where each number is among sorted known ones; -1 for those that aren't."""
+    if not len(known):
+        return np.full(len(of), -1)
+    at = np.minimum(np.searchsorted(known, of), len(known) - 1)
+    return np.where(known[at] == of, at, -1)
 
 
 def mine(docs: DataFrame, scratch: Scratch, longest: int = 5, support: int = 100, within: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -175,19 +273,18 @@ def mine(docs: DataFrame, scratch: Scratch, longest: int = 5, support: int = 100
     """
     docs = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     blocks = scratch.write(_blocks(docs))
-    words = blocks.select("row", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("row", "lang", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     total = scratch.write(blocks.groupBy(F.col("lang").alias("of")).agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y)).alias("n")))
     names = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= support)
     none = F.array().cast("array<bigint>")
-    names = scratch.write(names.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("firsts"), none.alias("rests")))
-    rows, local, on, levels = blocks, words, ["lang", "word"], []
+    names, n = _numbered(names.select("lang", "word", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("firsts"), none.alias("rests")), scratch)
+    buckets = max(64, (total.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    rows, on, below, levels = blocks, ["lang", "word"], 0, []
     for _ in range(2, longest + 1):
-        paired = _looked_up(rows, names, on) if scratch.size(names) <= SENT else _joined(local, names, on, rows)
-        last, rows = rows, scratch.write(paired)
+        last, rows = rows, scratch.write(_looked_up(rows, names, on, below) if scratch.size(names) <= SENT else _joined(rows, names, on))
         scratch.drop(last)
-        local = rows.select("row", F.posexplode(F.arrays_zip("left", "right", "counts")).alias("pos", "p")).select("row", "pos", F.col("p.left").alias("left"), F.col("p.right").alias("right"), F.col("p.counts").alias("count"))
-        on = ["left", "right"]
-        often = scratch.write(local.groupBy(on).agg(F.sum("count").alias("f")).where(F.col("f") >= support).withColumn("id", F.monotonically_increasing_id()))
+        on, below = ["left", "right"], n
+        often, n = _numbered(_often(rows, n, buckets, support), scratch)
         # Each end's counts of its own parts, and its own: what the cuts of the pair need.
         left = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("firsts", F.array("f")).alias("firsts"), F.col("f").alias("left_f"))
         right = names.select(F.col("id").alias("right"), "last", F.concat("rests", F.array("f")).alias("rests"), F.col("f").alias("right_f"))

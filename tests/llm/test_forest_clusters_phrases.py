@@ -210,3 +210,32 @@ def test_phrases_of_nothing_and_scores_beyond_64_bits(spark, scratch):
     a, n, left, right = 10**13 + 7, 10**17 - 3, 10**14 + 1, 10**15 + 9
     counts = spark.createDataFrame([(a, n, left, right)], "a bigint, n bigint, l bigint, r bigint")
     assert counts.select(phrases._score(*map(F.col, "anlr"))).first()[0] == 1000 * a * n // (left * right)
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that the session's stages have written so far."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rare_pairs_of_frequent_words_take_few_bytes(spark, scratch):
+    """All words are frequent and nearly all pairs are rare, each of which is counted. As a row of three longs a pair took 5.8 bytes here."""
+    rng = random.Random(4)
+    rows = [("en", " ".join(f"w{rng.randrange(400)}" for _ in range(1000))) for _ in range(100)]
+    pairs = sum(len({*zip(t.split(), t.split()[1:])}) for _, t in rows)
+    before = shuffled(spark)
+    assert phrases.mine(spark.createDataFrame(rows, "lang string, text string").repartition(2), scratch, longest=2, support=20).count() == 0
+    assert shuffled(spark) - before - sum(len(t) for _, t in rows) < 5 * pairs
+
+
+@pytest.mark.parametrize(("held", "buckets"), [(50, 7), (10**6, 1), (300, 200)])
+def test_pairs_are_counted_over_buckets_and_parts(spark, monkeypatch, held, buckets):
+    monkeypatch.setattr(phrases, "HELD", held)
+    rng = np.random.default_rng(5)
+    seqs = [np.minimum(rng.geometric(0.1, 400) - 2, 40) for _ in range(6)]  # -1 is a gap
+    want = collections.Counter(p for s in seqs for p in zip(s.tolist(), s.tolist()[1:], strict=False) if min(p) >= 0)
+    rows = [(i, phrases._packed(np.diff(np.arange(41), prepend=0)), phrases._packed(s + 1)) for i, s in enumerate(seqs)]
+    got = phrases._often(spark.createDataFrame(rows, phrases._ROWS).repartition(2), 41, buckets, 3).collect()
+    assert {(r.left, r.right): r.f for r in got} == {p: f for p, f in want.items() if f >= 3} and len(got) == len({r[:2] for r in got})
