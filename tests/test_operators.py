@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -258,6 +259,49 @@ def test_draws_are_counted_from_a_place_and_none_is_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_hits_are_resampled_with_replacement_as_often_as_the_protocol_says(spark):
+    """An interval has the width that the values' spread asks for; draws that visit each row once leave it without any."""
+    from tessera.plans.ranking import _metrics
+    from tessera.plans.readouts import RESAMPLES, bootstrap_hits
+
+    small = "/root/testdata/sf0.001"
+    got = bootstrap_hits(spark, small).first()
+    assert got.reps == RESAMPLES == 400 and got.lower < got.point < got.upper
+    spread = _metrics(spark, small).agg(F.stddev_samp("hits") / F.sqrt(F.count("*"))).first()[0]
+    assert 0.85 < (got.upper - got.lower) / (2 * 1.959964 * spread) < 1.15
+
+
+@pytest.mark.parametrize("block", [4, 64, 1 << 15])
+def test_resampled_rows_are_those_of_its_draws_in_sql_and_by_hand(spark, block):
+    import duckdb
+
+    from tessera.operators.resampling import _HIGH, _INSIDE, _LOW, _NEXT, _PRIME, _SALT, _STRIDE, draws_sql, resampled
+
+    # A stratum without a name, one of a single row, one that is a row more than blocks of 4 and 64; numbers below zero and beyond 32 bits.
+    rows = [(g, (i - 20) * 7919 * (1 if i % 2 else 1 << 33), i % 5 if i % 11 else None) for g, n in ((None, 30), ("a", 1), ("b", 65), ("c", 130)) for i in range(n)]
+    reps, mixed = 7, lambda x: pow(x, 5, _PRIME)
+    key = lambda i: mixed(((i & _PRIME) * _LOW + (i >> 31 & _PRIME) * _HIGH + _SALT) % _PRIME)
+    drawn = {r: [] for r in range(reps)}
+    for g in (None, "a", "b", "c"):
+        own = sorted((i, v) for h, i, v in rows if h == g)
+        for r in range(reps):
+            blocks = Counter(mixed((key(i) + r * _NEXT) % _PRIME) * len(own) // 2**31 // block * block for i, _ in own)
+            for at, n in blocks.items():
+                start = mixed((key(own[at][0]) + r * _NEXT + _INSIDE) % _PRIME)
+                step = 1 + mixed((start + _STRIDE) % _PRIME) % (_PRIME - 1)
+                drawn[r] += [(g, own[at + mixed((start + j * step) % _PRIME) * min(block, len(own) - at) // 2**31][1]) for j in range(n)]
+    want = {(r, sum(v or 0 for _, v in d), sum(g is None for g, _ in d), len(d)) for r, d in drawn.items()}
+    assert {n for *_, n in want} == {len(rows)} and len({s for _, s, *_ in want}) > 1
+    df = spark.createDataFrame(rows, "g string, id long, v int").repartition(3)
+    none = F.when(F.col("g").isNull(), F.col("times"))
+    assert {tuple(r) for r in resampled(df, "g", "id", {"s": F.sum(F.col("v") * F.col("times")), "none": F.sum(none), "n": F.sum("times")}, reps, block).collect()} == want
+    assert resampled(df.where("id is null"), "g", "id", {"n": F.sum("times")}, reps, block).count() == 0
+    values = ", ".join(f"({'NULL' if g is None else repr(g)}, CAST({i} AS BIGINT), {'NULL' if v is None else v})" for g, i, v in rows)
+    sql = f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS k, COUNT(*) OVER (PARTITION BY g) AS n FROM (VALUES {values}) AS t(g, id, v)), {draws_sql('g', 'id', reps, block)}
+SELECT rep, CAST(SUM(v) AS BIGINT), COUNT(*) FILTER (v.g IS NULL), COUNT(*) FROM dr JOIN v ON dr.g IS NOT DISTINCT FROM v.g AND dr.k = v.k GROUP BY 1"""
+    assert set(duckdb.connect().execute(sql).fetchall()) == want
+
+
 def test_a_tasks_share_of_scored_pairs_is_bounded_by_rows_and_dealt_once(spark, monkeypatch):
     from tessera.sources import stored
     from tessera.sources.model import scored
